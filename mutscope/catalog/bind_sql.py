@@ -75,7 +75,7 @@ _DEFS: dict[str, tuple[tuple[str, ...], str]] = {
                              WHERE r2.simulation_id = r.simulation_id)"""),
     "b_dataset": ((), f"""
         SELECT dataset_name,
-               array_to_string(list_transform(range(1, 51), i -> substr('{AA}',
+               array_to_string(list_transform(range(1, 51), lambda i: substr('{AA}',
                    CAST((i * 7 + CAST(regexp_extract(dataset_name, '#(\\d+)', 1) AS INTEGER)) % 20 + 1
                         AS INTEGER), 1)), '') AS wt_sequence
         FROM (SELECT DISTINCT p_brand AS dataset_name FROM part)"""),

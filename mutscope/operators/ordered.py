@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..util import materialize
+
 HOT_ROWS = 200_000        # groups with more distinct values are split
 N_BUCKETS = 256
 SAMPLE_PER_BUCKET = 32
@@ -36,24 +38,30 @@ _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 def _combine(op: str, off: Column, loc: Column) -> Column:
     if op == "sum":
-        return F.coalesce(off, F.lit(0)) + loc
+        return F.coalesce(off, F.lit(0)) + F.coalesce(loc, F.lit(0))
     if op == "min":
         return F.least(off, loc)
     return F.greatest(off, loc)
 
 
 def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str, str]],
-                 hot_rows: int = HOT_ROWS, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Add inclusive running aggregates in ascending ``order`` within ``keys``.
+                 hot_rows: int = HOT_ROWS, n_buckets: int = N_BUCKETS,
+                 inclusive: bool = True) -> DataFrame:
+    """Add running aggregates in ascending ``order`` within ``keys``.
 
     ``aggs`` maps output column → (op, input column), op in sum/min/max.
+    ``inclusive=False`` aggregates strictly earlier rows only (empty → 0 for
+    sums, NULL for min/max).
     """
     keys = list(keys)
     tmp_key = not keys
     if tmp_key:
         df = df.withColumn("_g", F.lit(0))
         keys = ["_g"]
-    d = df.withColumn("_o", order)
+    # One materialisation of the (already reduced) input: every later step
+    # reads it several times, and chained scans would otherwise multiply the
+    # upstream plan (and its recomputation) at each level.
+    d = materialize(df.withColumn("_o", order), "scan")
 
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows)
@@ -78,7 +86,7 @@ def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str,
         _OPS[op](f"_t_{out}").over(w_off).alias(f"_off_{out}") for out, (op, _) in aggs.items()])
 
     w_loc = Window.partitionBy(*keys, "_k").orderBy("_o").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     d = d.select("*", *[_OPS[op](c).over(w_loc).alias(f"_loc_{out}") for out, (op, c) in aggs.items()])
     d = d.join(offsets, keys + ["_k"])
     d = d.select(*[c for c in d.columns if not c.startswith(("_off_", "_loc_"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,3 +45,19 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def nan_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(float("nan")))
+
+
+def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Write ``df`` once under the shared ``spark.checkpoint.dir`` and read it back.
+
+    Cuts the lineage (later steps that read the result several times neither
+    recompute nor re-plan the upstream) and survives executor loss, unlike a
+    cache.  One job, unlike ``Dataset.checkpoint`` which computes twice.
+    """
+    from .session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/mutscope-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
