@@ -1,6 +1,6 @@
 """Registered queries (one per operator of SURVEY §2) and their SQL oracles."""
 
-from . import runlog_q, stats_q, variants_q  # noqa: F401  (registers entries)
+from . import runlog_q, selection_q, stats_q, variants_q  # noqa: F401  (registers entries)
 from .registry import ORACLES, QUERIES
 
 

@@ -89,10 +89,10 @@ _DEFS: dict[str, tuple[tuple[str, ...], str]] = {
                p_retailprice / 1000.0::DOUBLE AS assay_score
         FROM part"""),
     "b_pred": ((), """
-        SELECT o.o_orderkey AS id, o.o_custkey AS sim_key, o.o_totalprice / 100000.0::DOUBLE AS score,
+        SELECT o.o_orderkey AS id, o.o_custkey AS sim_key, o.o_totalprice / 100003.0::DOUBLE AS score,
                li.components
         FROM orders o
-        LEFT JOIN (SELECT l_orderkey, list_sort(list(l_extendedprice / 100000.0::DOUBLE)) AS components
+        LEFT JOIN (SELECT l_orderkey, list_sort(list(l_extendedprice / 100003.0::DOUBLE)) AS components
                    FROM lineitem GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey"""),
 }
 

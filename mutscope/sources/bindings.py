@@ -169,8 +169,8 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Per order: ensemble components = its line prices; score and population
     uncertainty derived from them; key = customer."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.col("l_extendedprice") / 1e5)).alias("components"))
+        F.sort_array(F.collect_list(F.col("l_extendedprice") / 100003.0)).alias("components"))
     o = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("sim_key"),
-        (F.col("o_totalprice") / 1e5).alias("score"))
+        (F.col("o_totalprice") / 100003.0).alias("score"))
     return o.join(li, o.id == li.l_orderkey, "left").drop("l_orderkey")
