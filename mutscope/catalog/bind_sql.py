@@ -58,12 +58,12 @@ _DEFS: dict[str, tuple[tuple[str, ...], str]] = {
     "b_top_variant": ((), """
         SELECT l_orderkey AS round_id, CAST(l_partkey AS VARCHAR) AS variant_id,
                'v' || CAST(l_partkey AS VARCHAR) AS variant_name,
-               l_quantity AS assay_score, l_extendedprice / 2500.0::DOUBLE AS prediction_score
+               l_quantity AS assay_score, l_extendedprice / 2503.0::DOUBLE AS prediction_score
         FROM lineitem"""),
     "b_acquired": ((), """
         SELECT l_orderkey AS round_id, CAST(l_partkey AS VARCHAR) AS variant_id,
-               l_quantity AS assay_score, l_extendedprice / 2500.0::DOUBLE AS prediction_score,
-               l_extendedprice / 2500.0::DOUBLE + l_discount * 10 AS acquisition_score,
+               l_quantity AS assay_score, l_extendedprice / 2503.0::DOUBLE AS prediction_score,
+               l_extendedprice / 2503.0::DOUBLE + l_discount * 10 AS acquisition_score,
                l_linenumber <= 2 AS top_acquisition_score,
                l_linenumber > 2 AS top_prediction_score
         FROM lineitem"""),
@@ -121,8 +121,10 @@ def with_(*names: str, extra: dict[str, str] | None = None) -> str:
 
 
 def rounded(sql: str, *cols: str, digits: int = 6) -> str:
-    """Wrap ``sql`` so the named double columns are rounded like ``util.finish``."""
+    """Wrap ``sql`` so the named double columns are rounded like ``util.finish``
+    (the same IEEE expression in both engines, so ties round identically)."""
     if not cols:
         return sql
-    repl = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    scale = f"{10 ** digits}.0::DOUBLE"
+    repl = ", ".join(f"floor({c} * {scale} + 0.5) / {scale} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) _q"

@@ -74,7 +74,8 @@ def q_w4(spark, d):
 
 
 @register("A21", rounded(_ROC_SQL + """, j AS (SELECT *, tpr - fpr AS youden FROM curve)
-SELECT lang, arg_max(threshold, (youden, coalesce(threshold, 'inf'::DOUBLE))) AS threshold,
+SELECT lang, nullif(arg_max(coalesce(threshold, 'inf'::DOUBLE), (youden, coalesce(threshold, 'inf'::DOUBLE))),
+         'inf'::DOUBLE) AS threshold,
        arg_max(tpr, (youden, coalesce(threshold, 'inf'::DOUBLE))) AS tpr,
        arg_max(fpr, (youden, coalesce(threshold, 'inf'::DOUBLE))) AS fpr,
        max(youden) AS youden

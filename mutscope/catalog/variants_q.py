@@ -60,10 +60,11 @@ def _hgvs(spark, d):
                                         F.col("position").cast("string"), suffix).alias("hgvs"))
 
 
-_HGVS_SQL = WV(h=f"""SELECT part_id, dataset_name || ':p.' || {_case('ref_aa', ONE_TO_THREE)}
+_H_CTE = f"""SELECT part_id, dataset_name || ':p.' || {_case('ref_aa', ONE_TO_THREE)}
     || CAST(position AS VARCHAR) || CASE WHEN part_id % 13 = 0 THEN '=' WHEN part_id % 11 = 0 THEN 'Ter'
-    ELSE {_case('alt_aa', ONE_TO_THREE)} END AS hgvs FROM b_variant""",
-               p="SELECT part_id, hgvs, string_split(hgvs, '.')[2] AS part FROM h")
+    ELSE {_case('alt_aa', ONE_TO_THREE)} END AS hgvs FROM b_variant"""
+_P_CTE = "SELECT part_id, hgvs, string_split(hgvs, '.')[2] AS part FROM h"
+_HGVS_SQL = WV(h=_H_CTE, p=_P_CTE)
 
 
 @register("E1", _HGVS_SQL + f"""SELECT part_id, hgvs,
@@ -336,11 +337,11 @@ def _clinical(spark, d):
         F.when(F.col("lang") != "de", F.upper("lang")).alias("gene_symbol"))
 
 
-_CLIN_SQL = _HGVS_SQL.replace("WITH ", "WITH ", 1) + """, clin AS (SELECT d.doc_id, CAST(d.n_chars % 4 AS INTEGER) AS stars,
+_CLIN_CTE = """SELECT d.doc_id, CAST(d.n_chars % 4 AS INTEGER) AS stars,
   CASE WHEN d.doc_id % 4 = 0 THEN 'LP/P' WHEN d.doc_id % 4 = 1 THEN 'US' ELSE 'LB/B' END AS category,
   h.hgvs AS protein_change, CASE WHEN d.lang <> 'de' THEN upper(d.lang) END AS gene_symbol
-  FROM documents d JOIN h ON d.doc_id = h.part_id)
-"""
+  FROM documents d JOIN h ON d.doc_id = h.part_id"""
+_CLIN_SQL = _HGVS_SQL + f", clin AS ({_CLIN_CTE})\n"
 
 
 def _hgvs_sql_expr(col: str) -> str:

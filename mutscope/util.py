@@ -33,11 +33,18 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Data
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column so results compare across engines."""
+    """Round every floating column so results compare across engines.
+
+    ``floor(x·10^d + 0.5) / 10^d`` is plain IEEE arithmetic, so any engine
+    evaluating it on the same double returns the same double (``round``
+    differs: Spark rounds the shortest decimal string, others the binary value).
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            scale = float(10 ** digits)
+            x = F.col(f.name).cast("double")
+            cols.append((F.floor(x * scale + 0.5) / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
