@@ -120,11 +120,17 @@ def with_(*names: str, extra: dict[str, str] | None = None) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def rounded(sql: str, *cols: str, digits: int = 6) -> str:
+def rounded(sql: str, *cols: str, digits: int = 6, arrays: tuple[str, ...] = ()) -> str:
     """Wrap ``sql`` so the named double columns are rounded like ``util.finish``
     (the same IEEE expression in both engines, so ties round identically)."""
-    if not cols:
+    if not cols and not arrays:
         return sql
     scale = f"{10 ** digits}.0::DOUBLE"
-    repl = ", ".join(f"floor({c} * {scale} + 0.5) / {scale} AS {c}" for c in cols)
+
+    def r(x):
+        return f"CASE WHEN abs({x}) < 1e15 THEN floor({x} * {scale} + 0.5) / {scale} ELSE {x} END"
+
+    parts = [f"{r(c)} AS {c}" for c in cols]
+    parts += [f"list_transform({c}, lambda v: {r('CAST(v AS DOUBLE)')}) AS {c}" for c in arrays]
+    repl = ", ".join(parts)
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) _q"

@@ -96,8 +96,8 @@ def _emb_roundtrip(spark, d):
     return IO.read_embeddings(spark, path).withColumn("id", F.col("id").cast("long"))
 
 
-@register("S6", """SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d
-JOIN embeddings e ON d.doc_id = e.vec_id""")
+@register("S6", rounded("""SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d
+JOIN embeddings e ON d.doc_id = e.vec_id""", arrays=("embedding",)))
 def q_s6(spark, d):
     """Wide embedding CSV → array column, attached to variants (documents)."""
     emb = _emb_roundtrip(spark, d)

@@ -32,6 +32,15 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Data
     return df
 
 
+ROUND_LIMIT = 1e15  # beyond this magnitude a double has no 6th decimal to round
+
+
+def _round_expr(c: Column, digits: int) -> Column:
+    x = c.cast("double")
+    scale = float(10 ** digits)
+    return F.when(F.abs(x) < ROUND_LIMIT, F.floor(x * scale + 0.5) / scale).otherwise(x)
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column so results compare across engines.
 
@@ -42,9 +51,9 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            scale = float(10 ** digits)
-            x = F.col(f.name).cast("double")
-            cols.append((F.floor(x * scale + 0.5) / scale).alias(f.name))
+            cols.append(_round_expr(F.col(f.name), digits).alias(f.name))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
+            cols.append(F.transform(F.col(f.name), lambda v: _round_expr(v, digits)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
