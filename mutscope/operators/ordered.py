@@ -8,6 +8,8 @@ the data becomes a single straggler task.
 
 ``ordered_scan`` splits such *hot* groups into value-range buckets:
 
+0. the reduced input is written once (lineage cut); one small job reads the
+   largest group size — without a hot group a plain window per group is used;
 1. group sizes (one partial aggregation);
 2. for hot groups only, a deterministic hash sample of values (about
    ``SAMPLE_PER_BUCKET`` per bucket) is sorted into bucket boundaries —
@@ -59,9 +61,19 @@ def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str,
         df = df.withColumn("_g", F.lit(0))
         keys = ["_g"]
     # One materialisation of the (already reduced) input: every later step
-    # reads it several times, and chained scans would otherwise multiply the
-    # upstream plan (and its recomputation) at each level.
+    # reads it, and chained scans would otherwise multiply the upstream plan.
     d = materialize(df.withColumn("_o", order), "scan")
+    frame_end = Window.currentRow if inclusive else -1
+
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= hot_rows:
+        # no hot group: one window per group is bounded by hot_rows rows
+        w = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, frame_end)
+        out = d.select("*", *[_OPS[op](c).over(w).alias(f"_loc_{o}") for o, (op, c) in aggs.items()])
+        out = out.select(*[c for c in out.columns if not c.startswith("_loc_") and c != "_o"],
+                         *[_combine(op, F.lit(None), F.col(f"_loc_{o}")).alias(o) for o, (op, _) in aggs.items()])
+        return out.drop("_g") if tmp_key else out
 
     sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows)
@@ -85,8 +97,7 @@ def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str,
     offsets = totals.select(*keys, "_k", *[
         _OPS[op](f"_t_{out}").over(w_off).alias(f"_off_{out}") for out, (op, _) in aggs.items()])
 
-    w_loc = Window.partitionBy(*keys, "_k").orderBy("_o").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    w_loc = Window.partitionBy(*keys, "_k").orderBy("_o").rowsBetween(Window.unboundedPreceding, frame_end)
     d = d.select("*", *[_OPS[op](c).over(w_loc).alias(f"_loc_{out}") for out, (op, c) in aggs.items()])
     d = d.join(offsets, keys + ["_k"])
     d = d.select(*[c for c in d.columns if not c.startswith(("_off_", "_loc_"))

@@ -26,27 +26,34 @@ def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
             .groupBy(*_keys(keys), value).agg(F.count(F.lit(1)).alias("_cnt")))
 
 
+def rank_table(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
+    """Distinct (keys, value) with its average rank: rows below + (ties + 1)/2."""
+    k = _keys(keys)
+    vc = value_counts(df, k, value)
+    scanned = ordered_scan(vc, k, F.col(value), {"_cum": ("sum", "_cnt")})
+    return scanned.select(*k, value, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
+
+
 def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """1-based rank of ``value`` within ``keys``, ties get the mean rank.
 
     rank = (rows below) + (ties + 1) / 2; NULL values get a NULL rank.
     """
     k = _keys(keys)
-    vc = value_counts(df, k, value)
-    scanned = ordered_scan(vc, k, F.col(value), {"_cum": ("sum", "_cnt")})
-    ranks = scanned.select(*k, value, (F.col("_cum") - F.col("_cnt")
-                                       + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(ranks, k + [value], "left")
+    return df.join(rank_table(df, k, value, out), k + [value], "left")
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> DataFrame:
     """Spearman correlation per group: Pearson on average ranks.
 
-    NULL when either side is constant (``try_divide``; ANSI ``corr`` raises).
+    Both rank tables are computed from the same rows independently and joined
+    back once.  NULL when either side is constant (``try_divide``; ANSI
+    ``corr`` raises).
     """
     k = _keys(keys)
-    r = average_ranks(average_ranks(df, k, x, "_rx"), k, y, "_ry")
-    r = r.filter(F.col("_rx").isNotNull() & F.col("_ry").isNotNull())
+    base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    r = (base.join(rank_table(base, k, x, "_rx"), k + [x])
+         .join(rank_table(base, k, y, "_ry"), k + [y]))
     return r.groupBy(*k).agg(F.try_divide(
         F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias(out))
 
@@ -61,16 +68,17 @@ def _class_counts(df: DataFrame, keys, score: str, label: str) -> DataFrame:
                  F.sum(1 - pos).cast("long").alias("_n")))
 
 
-def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
-            out: str = "auc") -> DataFrame:
-    """ROC AUC with ties counted half (Mann–Whitney form).
-
-    Per distinct score: AUC = Σ p·(negatives below + n/2) / (P·N); NULL if a
-    class is empty.  Also returns the class counts ``n_pos`` / ``n_neg``.
-    """
+def _roc_scan(df: DataFrame, keys, score: str, label: str) -> DataFrame:
+    """Distinct scores with class counts, running counts (ascending) and totals."""
     k = _keys(keys)
     cc = _class_counts(df, k, score, label)
-    s = ordered_scan(cc, k, F.col(score), {"_cn": ("sum", "_n")})
+    s = ordered_scan(cc, k, F.col(score), {"_cp": ("sum", "_p"), "_cn": ("sum", "_n")})
+    tot = s.groupBy(*k).agg(F.sum("_p").alias("_pos_total"), F.sum("_n").alias("_neg_total"))
+    return s.join(bounded_broadcast(tot), k) if k else s.crossJoin(tot)
+
+
+def _auc_from_scan(s: DataFrame, keys, out: str = "auc") -> DataFrame:
+    k = _keys(keys)
     below = F.col("_cn") - F.col("_n")
     agg = s.groupBy(*k).agg(
         F.sum(F.col("_p") * (below + F.col("_n") / 2.0)).alias("_u"),
@@ -79,23 +87,14 @@ def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
                       "n_pos", "n_neg")
 
 
-def roc_curve(df: DataFrame, keys, score: str = "score", label: str = "label") -> DataFrame:
-    """One ROC point per distinct threshold (predict 1 when score ≥
-    threshold), ties as one step, plus the (0, 0) origin with a NULL threshold.
-
-    Columns: keys, threshold, tp, fp, tpr, fpr, youden (= tpr − fpr).
-    """
+def _curve_from_scan(s: DataFrame, keys, score: str) -> DataFrame:
     k = _keys(keys)
-    cc = _class_counts(df, k, score, label)
-    s = ordered_scan(cc, k, F.col(score), {"_cp": ("sum", "_p"), "_cn": ("sum", "_n")})
-    tot = cc.groupBy(*k).agg(F.sum("_p").alias("_pos_total"), F.sum("_n").alias("_neg_total"))
-    s = s.join(bounded_broadcast(tot), k) if k else s.crossJoin(tot)
     pts = s.select(*k, F.col(score).cast("double").alias("threshold"),
                    (F.col("_pos_total") - F.col("_cp") + F.col("_p")).alias("tp"),
                    (F.col("_neg_total") - F.col("_cn") + F.col("_n")).alias("fp"), "_pos_total", "_neg_total")
-    origin = tot.select(*k, F.lit(None).cast("double").alias("threshold"),
-                        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
-                        "_pos_total", "_neg_total")
+    origin = (s.groupBy(*k).agg(F.first("_pos_total").alias("_pos_total"), F.first("_neg_total").alias("_neg_total"))
+              .select(*k, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"),
+                      F.lit(0).cast("long").alias("fp"), "_pos_total", "_neg_total"))
     pts = pts.unionByName(origin)
     tpr = F.try_divide(F.col("tp"), F.col("_pos_total"))
     fpr = F.try_divide(F.col("fp"), F.col("_neg_total"))
@@ -103,6 +102,31 @@ def roc_curve(df: DataFrame, keys, score: str = "score", label: str = "label") -
                       (tpr - fpr).alias("youden"))
 
 
+def roc_auc(df: DataFrame, keys, score: str = "score", label: str = "label",
+            out: str = "auc") -> DataFrame:
+    """ROC AUC with ties counted half (Mann–Whitney form).
+
+    Per distinct score: AUC = Σ p·(negatives below + n/2) / (P·N); NULL if a
+    class is empty.  Also returns the class counts ``n_pos`` / ``n_neg``.
+    """
+    return _auc_from_scan(_roc_scan(df, keys, score, label), keys, out)
+
+
+def roc_curve(df: DataFrame, keys, score: str = "score", label: str = "label") -> DataFrame:
+    """One ROC point per distinct threshold (predict 1 when score ≥
+    threshold), ties as one step, plus the (0, 0) origin with a NULL threshold.
+
+    Columns: keys, threshold, tp, fp, tpr, fpr, youden (= tpr − fpr).
+    """
+    return _curve_from_scan(_roc_scan(df, keys, score, label), keys, score)
+
+
+def roc_summary(df: DataFrame, keys, score: str = "score", label: str = "label"):
+    """AUC table and ROC curve from a single ordered scan."""
+    s = _roc_scan(df, keys, score, label)
+    return _auc_from_scan(s, keys), _curve_from_scan(s, keys, score)
+
+
 def youden_point(curve: DataFrame, keys) -> DataFrame:
     """Optimal point = max Youden J, first in descending-threshold order
     (i.e. the highest threshold among ties)."""

@@ -15,7 +15,7 @@ from ..functions import labels as L
 from ..operators import domains as D
 from ..operators import runlog as R
 from ..operators import stats as S
-from ..util import bounded_broadcast
+from ..util import bounded_broadcast, materialize
 
 # Fixed domain layout used by the binding (name, start, end; inclusive, 1-based).
 DOMAINS = (("A", 1, 10), ("B", 11, 30), ("C", 31, 50), ("D", 5, 15))
@@ -35,8 +35,11 @@ def last_round_results(log: R.RunLog, runs: DataFrame, variants: DataFrame) -> D
     a3 = R.last_round_ensemble(log, runs)
     v = variants.select("part_id", F.col("variant_id").alias("variant"), "position")
     j = a3.join(v, a3.variant_id.cast("long") == v.part_id).drop("variant_id")
-    return (j.join(bounded_broadcast(runs.select("run_id", "dataset_name")), "run_id")
-            .withColumnRenamed("variant", "variant_id"))
+    out = (j.join(bounded_broadcast(runs.select("run_id", "dataset_name")), "run_id")
+           .withColumnRenamed("variant", "variant_id"))
+    # one row per (run, variant): far smaller than the log, read by several
+    # aggregates downstream — written once instead of recomputing the log join
+    return materialize(out, "results")
 
 
 def quantile_labels(df: DataFrame, keys, lof_q: float = 0.3, gof_q: float = 0.7) -> DataFrame:
@@ -50,11 +53,10 @@ def auc_by_domain(results: DataFrame, domains: DataFrame) -> DataFrame:
     (run, domain)."""
     lab = quantile_labels(results, ["run_id"])
     r = D.attach_label(results, lab, ["run_id", "part_id", "assay_score"])
-    j = D.join_domains(r, domains)
+    j = D.join_domains(r, domains).select("run_id", "domain", "prediction_score", "label")
     keys = ["run_id", "domain"]
-    auc = S.roc_auc(j, keys, "prediction_score", "label")
-    yj = S.youden_point(S.roc_curve(j, keys, "prediction_score", "label"), keys).select(
-        *keys, F.col("threshold").alias("optimal_threshold"))
+    auc, curve = S.roc_summary(j, keys, "prediction_score", "label")
+    yj = S.youden_point(curve, keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
     return auc.join(yj, keys, "left")
 
 
@@ -92,12 +94,13 @@ def auc_by_round(log: R.RunLog, runs: DataFrame, baseline_model: str = "llr",
         "run_id", "variant_id", "model_name", "round_num", "simulation_num", "prediction_score", "assay_score")
     per_var = trace.groupBy("run_id", "variant_id").agg(F.avg("assay_score").alias("assay_score"))
     lab = L.label_strategy("quantile", lof_q=0.3, gof_q=0.7)(per_var, ["run_id"], "assay_score")
-    t = D.attach_label(trace.drop("assay_score"), lab, ["run_id", "variant_id"])
+    # the labelled trace feeds four aggregates: write it once
+    t = materialize(D.attach_label(trace.drop("assay_score"), lab, ["run_id", "variant_id"]), "trace")
     ens = D.round_ensemble(t, ["run_id"])
     keys = ["run_id", "round_num"]
-    auc = S.roc_auc(ens, keys, "mean_prediction", "label").select(*keys, "auc")
-    yj = S.youden_point(S.roc_curve(ens, keys, "mean_prediction", "label"), keys).select(
-        *keys, F.col("threshold").alias("optimal_threshold"))
+    auc, curve = S.roc_summary(ens, keys, "mean_prediction", "label")
+    auc = auc.select(*keys, "auc")
+    yj = S.youden_point(curve, keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
     base = t.filter((F.col("model_name") == baseline_model) & (F.col("round_num") == baseline_round))
     base_auc = S.roc_auc(base, ["run_id"], "prediction_score", "label").select(
         "run_id", F.col("auc").alias("llr_auc"))
