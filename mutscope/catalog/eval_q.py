@@ -382,3 +382,26 @@ def q_c8(spark, d):
     clin = clinical_labels(_clinical(spark, d))
     gm = runs.select("dataset_name", F.when(F.col("dataset_name") == "ds0", F.lit("EN")).alias("gene_symbol"))
     return finish(EV.calibration(res, clin, gm))
+
+
+# ---------------------------------------------------------------- explicit ids for combined entries
+
+@register("J4", with_(*BASE, extra={"latest": LATEST, "dims": DIMS}) + """
+, trace AS (SELECT d.run_id, tv.variant_id, d.round_num, d.simulation_num, tv.assay_score
+            FROM b_top_variant tv JOIN dims d ON tv.round_id = d.round_id),
+pv AS (SELECT run_id, variant_id, avg(assay_score) AS assay_score FROM trace GROUP BY run_id, variant_id),
+q AS (SELECT run_id, quantile_cont(assay_score, 0.7) AS gof, quantile_cont(assay_score, 0.3) AS lof FROM pv GROUP BY run_id),
+lab AS (SELECT pv.run_id, pv.variant_id, CASE WHEN pv.assay_score > q.gof THEN 1 WHEN pv.assay_score <= q.lof THEN 0 END AS label
+        FROM pv JOIN q ON pv.run_id = q.run_id)
+SELECT t.run_id, t.variant_id, t.round_num, t.simulation_num, lab.label FROM trace t
+JOIN lab ON t.run_id = lab.run_id AND t.variant_id = lab.variant_id WHERE lab.label IS NOT NULL""")
+def q_j4(spark, d):
+    """Variant → class label map on the score trace; unlabeled rows dropped."""
+    log, runs = _ctx(spark, d)
+    dims = R.round_dimension(log, runs)
+    trace = log.top_variant.join(dims, "round_id").select(
+        "run_id", "variant_id", "round_num", "simulation_num", "assay_score")
+    per_var = trace.groupBy("run_id", "variant_id").agg(F.avg("assay_score").alias("assay_score"))
+    lab = EV.L.label_strategy("quantile", lof_q=0.3, gof_q=0.7)(per_var, ["run_id"], "assay_score")
+    t = D.attach_label(trace.drop("assay_score"), lab, ["run_id", "variant_id"])
+    return finish(t.select("run_id", "variant_id", "round_num", "simulation_num", "label"))

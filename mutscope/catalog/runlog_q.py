@@ -188,6 +188,18 @@ _C9_NAME = """sr.model_name || '/' || sr.first_round_strategy_name || '/' || sr.
 _LB_COLS = ", ".join(f"p.{m}, p.{m}_rank" for m, _, _ in R.LEADERBOARD)
 
 
+ORACLE_C9 = W() + _A7_CTE.format(keys="run_id, sub_run_id") + f"""
+, ranked AS (SELECT *, {_RANKS} FROM perf),
+tot AS (SELECT *, round(CAST({_TOTAL} AS DOUBLE), 3) AS total_rank FROM ranked),
+named AS (SELECT p.run_id, p.sub_run_id, {_C9_NAME} AS name, r.name AS run_name,
+                 r.descrip AS run_descrip, r.config_id, r.dataset_name, sr.strategy_name,
+                 p.round_num AS end_round_num, {_LB_COLS}, p.total_rank
+          FROM tot p JOIN b_sub_run sr ON p.sub_run_id = sr.sub_run_id
+          JOIN latest r ON p.run_id = r.run_id)
+SELECT *, CAST(rank() OVER (PARTITION BY end_round_num ORDER BY total_rank ASC NULLS LAST) AS INTEGER)
+       AS final_rank FROM named"""
+
+
 @register("C9", rounded(W() + _A7_CTE.format(keys="run_id, sub_run_id") + f"""
 , ranked AS (SELECT *, {_RANKS} FROM perf),
 tot AS (SELECT *, round(CAST({_TOTAL} AS DOUBLE), 3) AS total_rank FROM ranked),
@@ -406,3 +418,24 @@ def q_u5(spark, d):
     """Last-state fold over an append-only lifecycle event table (events)."""
     ev = table(spark, d, "events")
     return finish(R.run_state(ev, "user_id", "ts", "event_id", ["event_type", "value"]))
+
+
+# ---------------------------------------------------------------- explicit ids for combined entries
+
+@register("J1", W() + """SELECT d.run_id, d.strategy_name, count(*) AS n_rows, count(DISTINCT tv.variant_id) AS n_variants
+FROM b_top_variant tv JOIN dims d ON tv.round_id = d.round_id GROUP BY d.run_id, d.strategy_name""")
+def q_j1(spark, d):
+    """Five-way log join (top_variant ⋈ round ⋈ simulation ⋈ sub_run ⋈ run)."""
+    log, runs = _log(spark, d)
+    j = R.log_join(log, runs=runs)
+    return finish(j.groupBy("run_id", "strategy_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("variant_id").alias("n_variants")))
+
+
+@register("W5", rounded(f"SELECT run_id, sub_run_id, end_round_num, total_rank, final_rank FROM ({ORACLE_C9})",
+                        "total_rank"))
+def q_w5(spark, d):
+    """Final place by weighted total rank within each end round."""
+    log, runs = _log(spark, d)
+    return finish(R.run_metrics(log, runs).select("run_id", "sub_run_id", "end_round_num", "total_rank",
+                                                  "final_rank"))

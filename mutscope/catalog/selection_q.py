@@ -281,3 +281,25 @@ def q_c10(spark, d):
         F.count(F.lit(1)).alias("n_remaining"))
     out = best.join(stats, "sim_key").join(rem, "sim_key", "left")
     return finish(out.withColumn("n_remaining", F.coalesce("n_remaining", F.lit(0)).cast("long")))
+
+
+# ---------------------------------------------------------------- explicit ids for combined entries
+
+@register("Q3", rounded(PRED_SQL + "SELECT id, score + 2.0 * uncertainty AS ucb FROM pr", "ucb"))
+def q_q3(spark, d):
+    """Q3: UCB = score + w·uncertainty (w = 2)."""
+    return finish(pred(spark, d).select("id", SEL.acq_ucb(2.0).alias("ucb")))
+
+
+@register("Q4", rounded(PRED_SQL + "SELECT id, uncertainty AS variance FROM pr", "variance"))
+def q_q4(spark, d):
+    """Q4: variance acquisition = ensemble uncertainty."""
+    return finish(pred(spark, d).select("id", SEL.acq_variance().alias("variance")))
+
+
+@register("U3", rounded(PRED_SQL + _T2_SQL + """SELECT sim_key, id, score FROM pr
+WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.sim_key = pr.sim_key AND c.id = pr.id)""", "score"))
+def q_u3(spark, d):
+    """Difference by id (pool minus batch) — the anti join of J9."""
+    p = pred(spark, d).select("sim_key", "id", "score")
+    return finish(SEL.remaining(p, _t2(spark, d), ["sim_key", "id"]))
