@@ -96,8 +96,7 @@ def label_by_fdr(df: DataFrame, keys, value: str, uncertainty: str | None = None
     j = j.filter(F.col("p_value_lof").isNotNull()).withColumn("p_value_gof", 1 - F.col("p_value_lof"))
     # the two BH passes each read the per-row table twice: write it once
     j = materialize(j, "fdr")
-    j = S.bh_fdr(j, keys, "p_value_gof", "q_value_gof")
-    j = S.bh_fdr(j, keys, "p_value_lof", "q_value_lof")
+    j = S.bh_fdr_many(j, keys, {"p_value_gof": "q_value_gof", "p_value_lof": "q_value_lof"})
     j = j.withColumn("log2fc_baseline", E.log2_fold_change(value, "median"))
     enough = F.lit(True) if count_col is None else (F.col(count_col) >= min_count)
     gain = (F.col("log2fc_baseline") >= log2fc_threshold) & (F.col("q_value_gof") < q_threshold) & enough

@@ -28,10 +28,28 @@ def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
 
 def rank_table(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """Distinct (keys, value) with its average rank: rows below + (ties + 1)/2."""
+    return rank_tables(df, keys, {value: out})[value]
+
+
+def _tagged_counts(df: DataFrame, keys, cols) -> DataFrame:
+    """Distinct values of several columns with counts, stacked with a tag
+    column so one ordered scan serves all of them."""
     k = _keys(keys)
-    vc = value_counts(df, k, value)
-    scanned = ordered_scan(vc, k, F.col(value), {"_cum": ("sum", "_cnt")})
-    return scanned.select(*k, value, (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
+    parts = [value_counts(df, k, c).select(*k, F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"), "_cnt")
+             for c in cols]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rank_tables(df: DataFrame, keys, cols: dict[str, str]) -> dict[str, DataFrame]:
+    """Average-rank tables for several columns from a single ordered scan."""
+    k = _keys(keys)
+    s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
+    r = (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0)
+    return {c: s.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c), r.alias(out))
+            for c, out in cols.items()}
 
 
 def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
@@ -52,8 +70,8 @@ def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> Data
     """
     k = _keys(keys)
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = (base.join(rank_table(base, k, x, "_rx"), k + [x])
-         .join(rank_table(base, k, y, "_ry"), k + [y]))
+    rt = rank_tables(base, k, {x: "_rx", y: "_ry"})
+    r = base.join(rt[x], k + [x]).join(rt[y], k + [y])
     return r.groupBy(*k).agg(F.try_divide(
         F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias(out))
 
@@ -145,15 +163,25 @@ def bh_fdr(df: DataFrame, keys, p: str = "p", out: str = "q") -> DataFrame:
     Per distinct p with count k: rank r = cumulative k, m = Σk;
     q = min(1, min over p' ≥ p of p'·m/r').  NULL p → NULL q.
     """
+    return bh_fdr_many(df, keys, {p: out})
+
+
+def bh_fdr_many(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
+    """BH q-values for several p-value columns, sharing two ordered scans
+    (ascending running counts, then a descending running minimum)."""
     k = _keys(keys)
-    vc = value_counts(df, k, p)
-    s = ordered_scan(vc, k, F.col(p), {"_r": ("sum", "_cnt")})
-    m = vc.groupBy(*k).agg(F.sum("_cnt").alias("_m"))
-    s = s.join(bounded_broadcast(m), k) if k else s.crossJoin(m)
-    s = s.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_r"))
-    s = ordered_scan(s.select(*k, p, "_raw"), k, -F.col(p), {"_qmin": ("min", "_raw")})
-    q = s.select(*k, p, F.least(F.lit(1.0), F.col("_qmin")).alias(out))
-    return df.join(q, k + [p], "left")
+    s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_r": ("sum", "_cnt")})
+    m = s.groupBy(*k, "_col").agg(F.max("_r").alias("_m"))
+    s = s.join(bounded_broadcast(m), k + ["_col"])
+    s = s.select(*k, "_col", "_v", (F.col("_v") * F.col("_m") / F.col("_r")).alias("_raw"))
+    s = ordered_scan(s, k + ["_col"], -F.col("_v"), {"_qmin": ("min", "_raw")})
+    q = s.select(*k, "_col", "_v", F.least(F.lit(1.0), F.col("_qmin")).alias("_q"))
+    out = df
+    for c, name in cols.items():
+        qc = q.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c),
+                                                 F.col("_q").alias(name))
+        out = out.join(qc, k + [c], "left")
+    return out
 
 
 # ---------------------------------------------------------------- order statistics
@@ -167,7 +195,7 @@ def percentiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> Dat
     k = _keys(keys)
     vc = value_counts(df, k, value)
     s = ordered_scan(vc, k, F.col(value), {"_cum": ("sum", "_cnt")})
-    n = vc.groupBy(*k).agg(F.sum("_cnt").alias("_n"))
+    n = s.groupBy(*k).agg(F.max("_cum").alias("_n"))
     s = s.join(bounded_broadcast(n), k) if k else s.crossJoin(n)
     aggs = []
     for name, pr in probs.items():
