@@ -65,16 +65,16 @@ def q_s3(spark, d):
     return finish(IO.read_fasta(spark, path))
 
 
-@register("S4", rounded(WV(m=_MUT_SQL) + """SELECT DISTINCT variant_id AS id, sequence, NULL::DOUBLE AS score FROM m
-WHERE dataset_name = 'Brand#1'""", "score"))
+@register("S4", rounded(WV(m=_MUT_SQL) + """SELECT DISTINCT dataset_name, variant_id AS id, sequence, NULL::DOUBLE AS score
+FROM m""", "score"))
 def q_s4(spark, d):
-    """FASTA-only dataset: one WT record plus variants; WT split out."""
+    """FASTA-only datasets: per dataset one WT record plus its variants, written
+    as one folder per dataset; WT split out on read."""
     path = scratch(spark, "fasta-only")
-    m = _mutants(spark, d).filter(F.col("dataset_name") == "Brand#1")
-    wt = B.datasets(spark, d).filter(F.col("dataset_name") == "Brand#1").select(
-        F.lit("WT").alias("id"), F.col("wt_sequence").alias("sequence"))
-    IO.write_fasta(m.select(F.col("variant_id").alias("id"), "sequence").unionByName(wt), path)
-    variants, _wt = IO.read_fasta_variants(spark, path)
+    m = _mutants(spark, d).select("dataset_name", F.col("variant_id").alias("id"), "sequence")
+    wt = B.datasets(spark, d).select("dataset_name", F.lit("WT").alias("id"), F.col("wt_sequence").alias("sequence"))
+    IO.write_fasta(m.unionByName(wt), path, partition_by=["dataset_name"])
+    variants, _wt = IO.read_fasta_variants(spark, path, partition_cols=["dataset_name"])
     return finish(variants)
 
 
@@ -146,29 +146,34 @@ def q_s9(spark, d):
                               F.col("label").cast("int").alias("label"), F.col("doc_id").cast("long").alias("doc_id")))
 
 
-@register("S10", rounded(with_("b_variant") + """SELECT dataset_name, part_id, assay_score FROM b_variant
-WHERE dataset_name IN ('Brand#1', 'Brand#2')""", "assay_score"))
+@register("S10", rounded(with_("b_variant") + """SELECT dataset_name, part_id, assay_score FROM b_variant""",
+                         "assay_score"))
 def q_s10(spark, d):
-    """Analysis export partitioned by dataset; reading two partitions back prunes the rest."""
+    """Analysis export of all datasets in one frame, partitioned by dataset, read back whole."""
     path = scratch(spark, "export")
     IO.write_table(B.variants(spark, d).select("dataset_name", "part_id", "assay_score"), path,
                    partition_by=["dataset_name"])
-    back = spark.read.parquet(path).filter(F.col("dataset_name").isin("Brand#1", "Brand#2"))
-    return finish(back.select("dataset_name", "part_id", "assay_score"))
+    return finish(spark.read.parquet(path).select("dataset_name", "part_id", "assay_score"))
 
 
 @register("S11", rounded(with_("b_run", "b_sub_run", "b_simulation", "b_round", "b_top_variant") + """
 SELECT sr.run_id, tv.round_id, tv.variant_id, tv.assay_score FROM b_top_variant tv
 JOIN b_round r ON tv.round_id = r.round_id JOIN b_simulation s ON r.simulation_id = s.simulation_id
-JOIN b_sub_run sr ON s.sub_run_id = sr.sub_run_id WHERE sr.run_id = 4""", "assay_score"))
+JOIN b_sub_run sr ON s.sub_run_id = sr.sub_run_id
+WHERE sr.run_id IN (SELECT max(run_id) FROM b_run WHERE end_ts IS NOT NULL GROUP BY config_id, dataset_name, name)""",
+                         "assay_score"))
 def q_s11(spark, d):
-    """Run-log append in two batches (partitioned by run_id), read one run back."""
+    """Run-log append in two batches (partitioned by run_id); the latest
+    completed runs are read back through a semi join, so Spark prunes the
+    other run partitions at run time (dynamic partition pruning)."""
     store = RS.RunLogStore(spark, scratch(spark, "runlog"))
     log = R.RunLog.bound(spark, d)
     tv = R.log_join(log, with_run=False).select("run_id", "round_id", "variant_id", "assay_score")
     store.append("round_top_variant", tv.filter(F.col("run_id") < 3))
     store.append("round_top_variant", tv.filter(F.col("run_id") >= 3))
-    return finish(store.read("round_top_variant", run_ids=[4]).select("run_id", "round_id", "variant_id", "assay_score"))
+    latest = R.latest_completed_runs(log.run).select("run_id")
+    back = store.read_runs("round_top_variant", latest)
+    return finish(back.select("run_id", "round_id", "variant_id", "assay_score"))
 
 
 _DIM_SQL = """dim AS (SELECT dataset_name AS name, 'G' || regexp_extract(dataset_name, '#(\\d+)', 1) AS gene_symbol,

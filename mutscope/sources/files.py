@@ -72,33 +72,45 @@ def clean_record_id(col) -> F.Column:
     return F.regexp_extract(c, r"^\s*(\S+)", 1)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, partition_cols=()) -> DataFrame:
     """S3: (record_id = first header token, sequence = wrapped lines joined).
 
-    A duplicated id keeps the record read last (file order within the read).
+    ``partition_cols`` are folder partitions (e.g. one FASTA set per dataset
+    written with ``partitionBy``); ids are unique within them.  A duplicated
+    id keeps the record read last (file order within the read).
     """
     raw = spark.read.option("lineSep", ">").text(path)
+    keys = list(partition_cols)
     rec = raw.filter(F.length(F.trim("value")) > 0).select(
+        *keys,
         clean_record_id(F.regexp_extract("value", r"^([^\n]*)", 1)).alias("record_id"),
         F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"),
         F.monotonically_increasing_id().alias("_ord"))
-    return rec.groupBy("record_id").agg(F.max_by("sequence", "_ord").alias("sequence"))
+    return rec.groupBy(*keys, "record_id").agg(F.max_by("sequence", "_ord").alias("sequence"))
 
 
-def read_fasta_variants(spark: SparkSession, path: str, wt_id: str = "WT") -> tuple[DataFrame, DataFrame]:
-    """FASTA-only dataset — variants without assay (score NULL) and the WT
-    record split out."""
-    rec = read_fasta(spark, path)
+def read_fasta_variants(spark: SparkSession, path: str, wt_id: str = "WT",
+                        partition_cols=()) -> tuple[DataFrame, DataFrame]:
+    """FASTA-only datasets — variants without assay (score NULL) and the
+    WT record of each dataset split out."""
+    keys = list(partition_cols)
+    rec = read_fasta(spark, path, keys)
     variants = (rec.filter(F.col("record_id") != wt_id)
-                .select(F.col("record_id").alias("id"), "sequence", F.lit(None).cast("double").alias("score")))
+                .select(*keys, F.col("record_id").alias("id"), "sequence",
+                        F.lit(None).cast("double").alias("score")))
     return variants, rec.filter(F.col("record_id") == wt_id)
 
 
-def write_fasta(df: DataFrame, path: str, id_col: str = "id", seq_col: str = "sequence", width: int = 60):
-    """FASTA export, sequence lines wrapped at ``width`` characters."""
+def write_fasta(df: DataFrame, path: str, id_col: str = "id", seq_col: str = "sequence", width: int = 60,
+                partition_by=()):
+    """FASTA export, sequence lines wrapped at ``width`` characters
+    (optionally one folder per ``partition_by`` value, e.g. per dataset)."""
     wrapped = F.regexp_replace(F.col(seq_col), f"(.{{{width}}})(?=.)", "$1\n")
-    df.select(F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), wrapped).alias("value")) \
-        .write.mode("overwrite").text(path)
+    w = df.select(*partition_by, F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), wrapped)
+                  .alias("value")).write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.text(path)
 
 
 def read_embeddings(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:

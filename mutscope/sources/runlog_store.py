@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..util import bounded_broadcast
+
 TABLES = ("run", "sub_run", "simulation", "round", "round_acquired_variant",
           "round_top_variant", "last_round_score")
 
@@ -32,6 +34,12 @@ class RunLogStore:
             w = w.partitionBy(partition_by)
         w.parquet(self.path(name))
 
+    def read_runs(self, name: str, runs: DataFrame) -> DataFrame:
+        """Rows of the given runs (a DataFrame of run ids): a semi join on the
+        partition column, which Spark turns into runtime partition pruning."""
+        return self.spark.read.parquet(self.path(name)).join(bounded_broadcast(runs.select("run_id").distinct()),
+                                                            "run_id", "left_semi")
+
     def read(self, name: str, run_ids=None) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
         if run_ids is not None:
