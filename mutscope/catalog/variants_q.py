@@ -89,7 +89,7 @@ def q_e2(spark, d):
 @register("E3", rounded(WV(k=f"""SELECT part_id, variant_id,
   TRY_CAST(substr(variant_id, 2, length(variant_id) - 2) AS INTEGER) - 1 AS mutation_position,
   CASE WHEN instr('{E.LANDSCAPE_ORDER}', substr(variant_id, -1, 1)) > 0
-       THEN instr('{E.LANDSCAPE_ORDER}', substr(variant_id, -1, 1)) - 1 END AS mutation_aa_index
+       THEN CAST(instr('{E.LANDSCAPE_ORDER}', substr(variant_id, -1, 1)) - 1 AS INTEGER) END AS mutation_aa_index
   FROM b_variant""") + """SELECT *, round_even((mutation_position * 25 + mutation_aa_index) / 25.0::DOUBLE, 2)
   AS mutation_position_aa_index FROM k""", "mutation_position_aa_index"))
 def q_e3(spark, d):
