@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
-from ..util import bounded_broadcast, materialize
+from ..util import attach_group_stats, materialize
 from . import expr as E
 
 
 def _join_keys(df: DataFrame, other: DataFrame, keys) -> DataFrame:
-    keys = list(keys or [])
-    return df.join(bounded_broadcast(other), keys) if keys else df.crossJoin(other)
+    return attach_group_stats(df, other, keys)
 
 
 def _finish(df: DataFrame, out: str, keep_unlabeled: bool) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..util import bounded_broadcast
+from ..util import attach_group_stats, bounded_broadcast
 from .ordered import ordered_scan
 
 
@@ -73,7 +73,7 @@ def landscape_by_bin(df: DataFrame, keys, num_bins: int = 50) -> DataFrame:
                               F.count(F.lit(1)).alias("_rows"))
     st = st.select(*keys, (F.col("_lo0") - 1).alias("_lo"), "_rows",
                    F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo0") + 1) / num_bins)).cast("int").alias("_w"))
-    j = d.join(bounded_broadcast(st), keys) if keys else d.crossJoin(st)
+    j = attach_group_stats(d, st, keys)
     i = F.ceil((F.col("mutation_position") - F.col("_lo")) / F.col("_w"))
     label = F.floor((2 * F.col("_lo") + (2 * i - 1) * F.col("_w")) / 2)
     j = j.withColumn("position_bin", F.when(F.col("_rows") < num_bins, F.col("mutation_position_aa_index"))

@@ -87,21 +87,28 @@ def pool_windows(tokens: DataFrame, segments: int = 8, overlap: float = 0.5, how
 
 def pool_windows_fixed(tokens: DataFrame, segments: int = 8, overlap: float = 0.5, how: str = "mean") -> DataFrame:
     """Older fixed-length windows — same sizes, but a window running past
-    the end is shifted back inside the sequence: end = L, start = max(0, L − w)."""
+    the end is shifted back inside the sequence: end = L, start = max(0, L − w).
+
+    Windows s < s_c = ⌊(L − w)/stride⌋ + 1 are [s·stride, s·stride + w); all
+    later ones are the shifted last window [L − w, L).  Each token explodes
+    into the windows covering it (two index ranges), so tokens are never
+    paired with every window of their sequence.
+    """
     lens = _lengths(tokens)
     w = F.greatest(F.lit(1), F.floor(F.col("len") / segments)).cast("long")
     ov = F.floor(w * F.lit(float(overlap))).cast("long")
     stride = F.greatest(F.lit(1).cast("long"), w - ov)
     geo = lens.select("seq_id", "len", w.alias("w"), stride.alias("stride"))
-    wins = geo.select("seq_id", "len", "w", "stride",
-                      F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("seg"))
-    st = F.col("seg") * F.col("stride")
-    past = st + F.col("w") > F.col("len")
-    wins = wins.select("seq_id", "seg",
-                       F.when(past, F.greatest(F.lit(0).cast("long"), F.col("len") - F.col("w"))).otherwise(st).alias("start"),
-                       F.when(past, F.col("len")).otherwise(st + F.col("w")).alias("end"))
-    # at most S windows per sequence: equi join on seq_id, then the range filter
-    t = tokens.join(wins, "seq_id").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    geo = geo.withColumn("s_c", F.least(F.lit(segments).cast("long"),
+                                        F.floor((F.col("len") - F.col("w")) / F.col("stride")).cast("long") + 1))
+    t = tokens.join(geo, "seq_id")
+    lo1 = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("pos") - F.col("w") + 1) / F.col("stride")).cast("long"))
+    hi1 = F.least(F.col("s_c") - 1, F.floor(F.col("pos") / F.col("stride")).cast("long"))
+    empty = F.array().cast("array<long>")
+    first = F.when(lo1 <= hi1, F.sequence(lo1, hi1)).otherwise(empty)
+    shifted = F.when((F.col("pos") >= F.col("len") - F.col("w")) & (F.col("s_c") <= segments - 1),
+                     F.sequence(F.col("s_c"), F.lit(segments - 1).cast("long"))).otherwise(empty)
+    t = t.select("seq_id", "dim", "value", F.explode(F.array_union(first, shifted)).alias("seg"))
     agg = F.avg("value") if how == "mean" else F.max("value")
     pooled = t.groupBy("seq_id", "seg", "dim").agg(agg.alias("value"))
     return _assemble(pooled, ["seq_id"], ["seg", "dim"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..util import bounded_broadcast
+from ..util import attach_group_stats, bounded_broadcast
 from .ordered import ordered_scan
 
 
@@ -152,8 +152,8 @@ def seeded_split(df: DataFrame, test_fraction: float, seed: int, keys, id_col: s
     d = df.withColumn("_h", seeded_hash(F.lit(seed), id_col))
     vc = d.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
     s = ordered_scan(vc, keys, F.col("_h"), {"_cum": ("sum", "_cnt")})
-    n = vc.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-    s = s.join(bounded_broadcast(n), keys) if keys else s.crossJoin(n)
+    n = s.groupBy(*keys).agg(F.max("_cum").alias("_n"))
+    s = attach_group_stats(s, n, keys)
     s = s.withColumn("_cut", F.floor(F.col("_n") * (1 - test_fraction)))
     j = d.join(s.select(*keys, "_h", "_cum", "_cnt", "_cut"), keys + ["_h"])
     tie = F.row_number().over(Window.partitionBy(*keys, "_h").orderBy(F.col(id_col)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util import bounded_broadcast
+from ..util import attach_group_stats, bounded_broadcast
 from .ordered import ordered_scan
 
 
@@ -92,7 +92,7 @@ def _roc_scan(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     cc = _class_counts(df, k, score, label)
     s = ordered_scan(cc, k, F.col(score), {"_cp": ("sum", "_p"), "_cn": ("sum", "_n")})
     tot = s.groupBy(*k).agg(F.sum("_p").alias("_pos_total"), F.sum("_n").alias("_neg_total"))
-    return s.join(bounded_broadcast(tot), k) if k else s.crossJoin(tot)
+    return attach_group_stats(s, tot, k)
 
 
 def _auc_from_scan(s: DataFrame, keys, out: str = "auc") -> DataFrame:
@@ -196,7 +196,7 @@ def percentiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> Dat
     vc = value_counts(df, k, value)
     s = ordered_scan(vc, k, F.col(value), {"_cum": ("sum", "_cnt")})
     n = s.groupBy(*k).agg(F.max("_cum").alias("_n"))
-    s = s.join(bounded_broadcast(n), k) if k else s.crossJoin(n)
+    s = attach_group_stats(s, n, k)
     aggs = []
     for name, pr in probs.items():
         pos = F.lit(float(pr)) * (F.col("_n") - 1)
@@ -215,9 +215,9 @@ def robust_baseline(df: DataFrame, keys, value: str) -> DataFrame:
     k = _keys(keys)
     med = percentiles(df, k, value, {"median": 0.5})
     mean = df.groupBy(*k).agg(F.avg(value).alias("_mean"))
-    j = df.join(bounded_broadcast(mean), k) if k else df.crossJoin(mean)
+    j = attach_group_stats(df, mean, k)
     mad = j.groupBy(*k).agg((F.avg(F.abs(F.col(value) - F.col("_mean"))) * 1.4826).alias("mad"))
-    return med.join(mad, k) if k else med.crossJoin(mad)
+    return attach_group_stats(med, mad, k)
 
 
 def standardise(df: DataFrame, cols, keys) -> DataFrame:
@@ -225,7 +225,7 @@ def standardise(df: DataFrame, cols, keys) -> DataFrame:
     k = _keys(keys)
     st = df.groupBy(*k).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                             *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    j = df.join(bounded_broadcast(st), k) if k else df.crossJoin(st)
+    j = attach_group_stats(df, st, k)
     for c in cols:
         j = j.withColumn(c, F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")))
     return j.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])

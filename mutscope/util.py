@@ -77,3 +77,16 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     path = f"{base}/mutscope-{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def attach_group_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
+    """Join per-group statistics (one row per group) back to rows.
+
+    Without grouping keys the statistics are one row; a constant key turns
+    the attachment into an equi join (broadcast hash) instead of a cross join.
+    """
+    keys = list(keys or [])
+    if keys:
+        return df.join(bounded_broadcast(stats), keys)
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one"))

@@ -112,6 +112,31 @@ def test_window_pooling(spark, length, overlap, how):
     assert got == pytest.approx(_pool_brute(tok, 8, overlap, how))
 
 
+def _pool_fixed_brute(tokens, S, f):
+    L_, dim = tokens.shape
+    w = max(1, L_ // S)
+    stride = max(1, w - int(w * f))
+    out = []
+    for s in range(S):
+        st, en = s * stride, s * stride + w
+        if en > L_:
+            en = L_
+            st = max(0, en - w)
+        out.extend(tokens[st:en].mean(axis=0))
+    return out
+
+
+@pytest.mark.parametrize("length", [1, 7, 16, 23])
+@pytest.mark.parametrize("overlap", [0.0, 0.5])
+def test_window_pooling_fixed(spark, length, overlap):
+    rng = np.random.default_rng(length + 100)
+    tok = rng.normal(size=(length, 2))
+    rows = [(1, p, d, float(tok[p, d])) for p in range(length) for d in range(2)]
+    df = spark.createDataFrame(rows, "seq_id long, pos int, dim int, value double")
+    got = FT.pool_windows_fixed(df, 8, overlap, "mean").first().vector
+    assert got == pytest.approx(_pool_fixed_brute(tok, 8, overlap))
+
+
 def test_forest_components_mean_equals_ensemble(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).tolist(), float(rng.normal())) for i in range(80)]
