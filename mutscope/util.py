@@ -82,11 +82,11 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Join per-group statistics (one row per group) back to rows.
 
-    Without grouping keys the statistics are one row; a constant key turns
-    the attachment into an equi join (broadcast hash) instead of a cross join.
+    Without grouping keys the statistics are a single row, attached as a
+    scalar subquery (computed once, no join at all).
     """
     keys = list(keys or [])
     if keys:
         return df.join(bounded_broadcast(stats), keys)
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    packed = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("_s")).scalar()
+    return df.withColumn("_s", packed).select("*", "_s.*").drop("_s")
