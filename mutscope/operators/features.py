@@ -16,7 +16,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import bounded_broadcast
 
 # Value of an empty max-pooling window: the most negative float32 (fixed value).
 EMPTY_MAX = -3.4028234663852886e38
