@@ -65,8 +65,12 @@ def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str,
     d = materialize(df.withColumn("_o", order), "scan")
     frame_end = Window.currentRow if inclusive else -1
 
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    # the written table's row count bounds every group; only when it is
+    # larger is the per-group maximum computed (one small aggregation job)
+    largest = d.count()
+    if largest > hot_rows:
+        sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= hot_rows:
         # no hot group: one window per group is bounded by hot_rows rows
         w = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, frame_end)
