@@ -43,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    scratch = tempfile.mkdtemp(prefix="mutscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    scratch = tempfile.mkdtemp(prefix="mutscope-ckpt-", dir=os.environ.get("TMPDIR") or "/tmp")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch
 
