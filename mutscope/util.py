@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import stage_folder
+
 # A side is broadcast only when the optimizer's size estimate is below this.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -72,11 +74,8 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     recompute nor re-plan the upstream) and survives executor loss, unlike a
     cache.  One job, unlike ``Dataset.checkpoint`` which computes twice.
     """
-    from .session import ensure_checkpoint_dir
-
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/mutscope-{tag}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
