@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutscope.llm.bottomk_dedup import near_duplicates
+from mutscope.llm.hilbert_shards import hilbert_shards
+from mutscope.llm.lang_fusion import fit_text_model, identify
+from mutscope.llm.qgram_decontam import decontaminate
+from mutscope.llm.temperature_mix import mix
 from mutscope.session import stage_folder, table
 from mutscope.util import bounded_broadcast, materialize
 
+ENTROPY_SHARE = 0.92          # of the greatest possible entropy of the source weights
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
@@ -27,8 +33,40 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(once, ids, "left_semi").union(repeated.dropDuplicates(["doc_id", "_t"]).drop("_t"))
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go.
+
+    The declared language is ``lang``, the host is ``source``; the text model
+    is fitted on a bounded sample of the same documents.
+    """
+    model = fit_text_model(docs, "text", "lang", "doc_id")
+    return identify(docs, model, "text", "source", "lang").where("kept").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out as the source weights ask."""
+    return mix(docs, entropy_share=ENTROPY_SHARE).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in Hilbert order, with shard and slot."""
+    sized = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    sized = sized.withColumn("text_hash", F.xxhash64("text"))
+    out = hilbert_shards(sized, ["source", "lang", "size"], ["doc_id", "text_hash"])
+    return out.select(*docs.columns, "shard", "slot")
+
+
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
 ]
 
 ORACLE_SQL = None

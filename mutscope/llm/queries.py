@@ -2,10 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .bottomk_dedup import near_duplicates
+from .hilbert_shards import hilbert_shards
+from .lang_fusion import fit_text_model, identify, page_evidence
+from .qgram_decontam import find_leaks
+from .temperature_mix import mix
+
+
+def _size(text: str) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
+def _crc32(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", _size("text").alias("size"), _crc32("text").alias("text_crc32"))
+    out = hilbert_shards(docs, ["source", "lang", "size"], ["doc_id", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_text_model(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    pages = page_evidence(table(spark, sf_dir, "pages"))
+    return identify(pages, model, "text", "host", "declared").drop("text")
+
+
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, entropy_share=0.92).drop("text")
 
 
 def op10_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +49,10 @@ def op10_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_qgram_decontamination": op2_qgram_decontamination,
+    "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_language_fusion": op7_language_fusion,
+    "op9_temperature_mix": op9_temperature_mix,
     "op10_bottomk_near_dedup": op10_bottomk_near_dedup,
 }
 ORACLES: dict[str, str] = {}
