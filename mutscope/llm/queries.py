@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stage_folder, table
 from .bottomk_dedup import near_duplicates
 from .hilbert_shards import hilbert_shards
+from .huffman_ids import decode, encode
 from .lang_fusion import fit_text_model, identify, page_evidence
 from .qgram_decontam import find_leaks
 from .temperature_mix import mix
@@ -25,6 +28,14 @@ def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{stage_folder(spark)}/huffman-{uuid.uuid4().hex}"
+    encode(table(spark, sf_dir, "documents"), path, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+    return decode(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", _size("text").alias("size"), _crc32("text").alias("text_crc32"))
@@ -50,6 +61,7 @@ def op10_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_qgram_decontamination": op2_qgram_decontamination,
+    "op3_huffman_ids": op3_huffman_ids,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_language_fusion": op7_language_fusion,
     "op9_temperature_mix": op9_temperature_mix,
