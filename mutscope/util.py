@@ -67,7 +67,7 @@ def nan_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(float("nan")))
 
 
-def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "stage", **options: str) -> DataFrame:
     """Write ``df`` once under the shared ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage (later steps that read the result several times neither
@@ -76,7 +76,7 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, **options)
     return spark.read.parquet(path)
 
 
