@@ -143,7 +143,9 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     rank[[ord(c) for c in ".,;!?"]] = 1
     rank[(_KIND == 3) & (rank == 0)] = 4
     mark = np.zeros(n, np.int64)
-    np.maximum.at(mark, mark_of, rank[data[at_mark]])
+    told = rank[data[at_mark]]
+    for r in (1, 2, 3, 4):
+        mark[mark_of[told == r]] = r
     long = np.flatnonzero((size >= 16) & (digits > 0))
     hexa = np.zeros(n, np.int64)
     for w in long:
@@ -236,6 +238,20 @@ call me at +1 (743) 555-3824 in the evening
 mail hein.19@mail5.example.com for more at once
 the server 172.242.194.228 is down, and 10.0.0.1 too
 phone +49 30 901820 or write to a.b@c.de today
+innt innt innt innt innt innt innt innt innt
+the the the the du du du du un un un un
+at at at at at at at at at at at at
+dot dot dot dot dot dot dot dot token token token token
+Release release release notes notes notes notes notes
+éch éch éch éch éch euxçç euxçç euxçç euxçç
+they went home early when rain came down from the hills
+all day long we sat near the water with our books
+wer das liest hat mehr vom leben als man denkt
+nous avons vu la mer et les bateaux dans le port
+los perros corren por la playa cuando sale el sol
+write more letters when you can and send them soon
+contact between both sides was lost for years
+it rained at night and snow fell at dawn in the north
 """
 
 
@@ -272,15 +288,19 @@ class Crf:
 
     def scores(self, shape: np.ndarray, cue: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """(words, labels) emission scores; neighbours outside the document count as none."""
-        n = len(shape)
-        out = np.zeros((n, len(LABELS)), np.float32)
+        n, reach = len(shape), max(_OFFSETS)
+        at = np.arange(n) + reach * (doc + 1)             # with a gap before each document
+        padded = np.full(n + reach * (int(doc[-1]) + 2 if n else 1), _NONE)
+        padded[at] = shape
+        out = np.tile(self.cue[:, 0].sum(axis=0), (n, 1))
         for k, o in enumerate(_OFFSETS):
-            at = np.arange(n) + o
-            ok = (at >= 0) & (at < n)
-            at = np.clip(at, 0, max(n - 1, 0))
-            ok &= doc[at] == doc
-            out += self.shape[k][np.where(ok, shape[at], _NONE)]
-            out += self.cue[k][np.where(ok, cue[at], 0)]
+            out += self.shape[k][padded[at + o]]
+        have = np.flatnonzero(cue)                        # few words are cues
+        for k, o in enumerate(_OFFSETS):
+            to = have - o
+            ok = (to >= 0) & (to < n)
+            ok[ok] = doc[to[ok]] == doc[have[ok]]
+            out[to[ok]] += self.cue[k][cue[have[ok]]] - self.cue[k][0]
         return out
 
     def decode(self, score: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..session import stage_folder, table
 from .bottomk_dedup import near_duplicates
+from .chat_repair import repair_roles
 from .hilbert_shards import hilbert_shards
 from .huffman_ids import decode, encode
 from .lang_fusion import fit_text_model, identify, page_evidence
+from .pii_crf import PATTERN_KINDS, find_pii
+from .qalsh import nearest
 from .qgram_decontam import find_leaks
 from .temperature_mix import mix
+from .window_lm import score, train
 
 
 def _size(text: str) -> Column:
@@ -24,6 +28,10 @@ def _crc32(text: str) -> Column:
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
+def op1_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(table(spark, sf_dir, "conversations"))
+
+
 def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,16 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return decode(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_masked_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", _size("text").alias("size"), _crc32("text").alias("text_crc32"))
@@ -50,6 +68,16 @@ def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(pages, model, "text", "host", "declared").drop("text")
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, PATTERN_KINDS), F.sha2(told(base), 256).alias("base_sha256"),
+                        told(F.col("spans")).alias("spans"))
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs, entropy_share=0.92).drop("text")
@@ -60,10 +88,14 @@ def op10_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_role_repair": op1_chat_role_repair,
     "op2_qgram_decontamination": op2_qgram_decontamination,
     "op3_huffman_ids": op3_huffman_ids,
+    "op4_masked_window_lm": op4_masked_window_lm,
+    "op5_collision_counting": op5_collision_counting,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_language_fusion": op7_language_fusion,
+    "op8_pii_crf": op8_pii_crf,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_bottomk_near_dedup": op10_bottomk_near_dedup,
 }
