@@ -108,8 +108,10 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int
     """``df`` with hilbert, shard (0 to shards - 1) and slot (0, 1, ... in each shard).
 
     ``ties`` orders the rows of a cell. A cell with a large part of all rows
-    is split by them like any other run.
+    is split by them like any other run. Columns of ``df`` with the added
+    columns' names are replaced.
     """
+    df = df.drop("hilbert", "shard", "slot")
     rows = hilbert_order(df, dims, bits)
     rows = global_running_total(rows, ["hilbert", *ties], F.lit(1), "_rank")
     n = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
