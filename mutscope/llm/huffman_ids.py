@@ -271,7 +271,7 @@ def _block(book, shard, at, docs, counts, ids):
     return (shard, at, docs, counts, bits, marks)
 
 
-def _block_batches(shared, kind, batches):
+def _block_batches(shared, kind, block_ids, batches):
     book = shared.value
     schema = pa.schema([("shard", pa.int32()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                         ("counts", pa.list_(pa.int64())), ("bits", pa.binary()), ("checkpoints", pa.list_(pa.int64()))])
@@ -288,7 +288,7 @@ def _block_batches(shared, kind, batches):
         off = np.concatenate(([0], np.cumsum(n)))
         ids = _numbers(b.column(4), kind)
         for i in range(len(n)):
-            if held and (size >= BLOCK_IDS or due != (shard[i], at[i])):
+            if held and (size >= block_ids or due != (shard[i], at[i])):
                 yield flush()
                 held, size = [], 0
             held.append((shard[i], at[i], doc[i], n[i], ids[off[i]:off[i + 1]]))
@@ -299,7 +299,7 @@ def _block_batches(shared, kind, batches):
 
 
 def encode(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           end_id: int = END_ID, limit: int = LIMIT) -> None:
+           end_id: int = END_ID, limit: int = LIMIT, block_ids: int = BLOCK_IDS) -> None:
     """Write all texts of ``docs`` as token ids to the folder ``path``."""
     from tokenizers import Tokenizer
 
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_i
     book = spark.sparkContext.broadcast(Codebook(ids, lengths))
     table = pa.table({"id": pa.array(ids, pa.int64()), "length": pa.array(lengths, pa.int64())})
     spark.createDataFrame(table, "id long, length long").coalesce(1).write.parquet(f"{path}/codebook")
-    made.mapInArrow(lambda it: _block_batches(book, kind, it), BLOCK).write.parquet(f"{path}/blocks")
+    made.mapInArrow(lambda it: _block_batches(book, kind, block_ids, it), BLOCK).write.parquet(f"{path}/blocks")
 
 
 def _decode_batches(shared, batches):

@@ -11,9 +11,10 @@ own projection starts narrow and widens by ``GROWTH`` a round in all arrays
 (virtual rehashing: the window is the bucket, whatever its width). A vector
 that lies in the windows of ``THRESHOLD`` of the projections is verified,
 that is, its inner product is computed on the original components in double
-precision. A query ends when ``VERIFY_SHARE`` of the block has been verified,
-or when the windows hold everything; every vector that passed the threshold
-by then has been verified, however many (equal vectors pass together).
+precision. A query ends when ``VERIFY_SHARE`` of the block and
+``VERIFY_TIMES`` the neighbours asked for have been verified, or when the
+windows hold everything; every vector that passed the threshold by then has
+been verified, however many (equal vectors pass together).
 
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component, and rows without id, take no part; of rows with one id
@@ -32,7 +33,8 @@ BLOCK_ROWS = 16384
 BLOCK_QUERIES = 1024
 PROJECTIONS = 96
 THRESHOLD = 0.6           # share of the projections
-VERIFY_SHARE = 0.15
+VERIFY_SHARE = 0.15       # of a block's vectors
+VERIFY_TIMES = 12         # and so many times the neighbours asked for
 START = 0.4               # first half-width, in units of the projections' spread
 GROWTH = 1.3
 SEED = 7
@@ -65,7 +67,7 @@ class Block:
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """For each query (ids, scores) of the k best verified vectors, best first."""
         n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
-        goal = min(n, int(VERIFY_SHARE * n) + k + 1)
+        goal = min(n, int(VERIFY_SHARE * n) + VERIFY_TIMES * k)
         centre = queries @ self.axes[:-1]
         lo = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centre.T)], axis=1)
         hi = lo.copy()

@@ -64,11 +64,10 @@ def test_a_full_cache_starts_again(monkeypatch):
         assert len(ids) == sum(count) == sum(len(x) - 1 for x in _library_ids(ODD))
 
 
-def test_round_trip_of_odd_and_many_documents(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(H, "BLOCK_IDS", 50)
+def test_round_trip_of_odd_and_many_documents(spark, tmp_path):
     rows = [(i * 3 % 50, t) for i, t in enumerate(ODD)] + [(100 + i, "word " * i) for i in range(60)] + [(70, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(5)
-    H.encode(df, str(tmp_path / "f"), PATH)
+    H.encode(df, str(tmp_path / "f"), PATH, block_ids=50)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], zlib.crc32(bytes(r["ids"]))) for r in H.decode(spark, str(tmp_path / "f")).collect()}
     assert got == _expected(sorted(rows))
     assert spark.read.parquet(str(tmp_path / "f" / "blocks")).count() > 5
