@@ -49,7 +49,7 @@ def q_m5(spark, d):
     return finish(pred(spark, d).select("id", "ens_mean", "uncertainty"))
 
 
-@register("Q1", rounded(PRED_SQL + f"SELECT id, {_h('7', 'id', 8)} / 4294967296.0 AS acquisition_score FROM pr",
+@register("Q1", rounded(PRED_SQL + f"SELECT id, {_h('7', 'id', 13)} / 4503599627370496.0 AS acquisition_score FROM pr",
                         "acquisition_score"))
 def q_q1(spark, d):
     return finish(pred(spark, d).select("id", SEL.acq_random(7).alias("acquisition_score")))
@@ -82,7 +82,7 @@ def q_q7(spark, d):
   FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
 z AS (SELECT p.id, p.score, p.uncertainty, b.best_score, p.score - b.best_score AS imp,
              CASE WHEN p.uncertainty <> 0 THEN (p.score - b.best_score) / p.uncertainty END AS zz
-      FROM pr p JOIN best b ON p.sim_key = b.sim_key)
+      FROM pr p LEFT JOIN best b ON p.sim_key = b.sim_key)
 SELECT id, CASE WHEN uncertainty IS NULL OR uncertainty = 0 THEN 0.0::DOUBLE
   ELSE imp * {_cdf_sql('zz')} + uncertainty * (exp(-zz * zz / 2) / {(2 * 3.141592653589793) ** 0.5!r}) END AS ei
 FROM z""", "ei"))
@@ -90,16 +90,18 @@ def q_q5(spark, d):
     p = pred(spark, d)
     train = table(spark, d, "orders").filter(F.col("o_orderstatus") == "F").select(
         F.col("o_custkey").alias("sim_key"), (F.col("o_totalprice") / 100003.0).alias("assay_score"))
+    # a group without a training score has no best, and no improvement over it
     best = SEL.best_observed(train, ["sim_key"])
-    return finish(p.join(best, "sim_key").select("id", SEL.acq_expected_improvement().alias("ei")))
+    return finish(p.join(best, "sim_key", "left").select("id", SEL.acq_expected_improvement().alias("ei")))
 
 
 @register("Q6", rounded(PRED_SQL + f""", t AS (SELECT id, components, sim_key,
+  max(coalesce(len(components), 0)) OVER (PARTITION BY sim_key) AS members,
   {_h('(sim_key + 3) * (sim_key + 3 + 1) // 2 + 3', "'thompson'", 8)} AS h FROM pr)
-SELECT id, CASE WHEN len(components) > 0 THEN components[CAST(h % len(components) + 1 AS INTEGER)] END AS thompson
+SELECT id, CASE WHEN members > 0 THEN components[CAST(h % members + 1 AS INTEGER)] END AS thompson
 FROM t""", "thompson"))
 def q_q6(spark, d):
-    p = pred(spark, d).withColumn("round_num", F.lit(3))
+    p = SEL.ensemble_size(pred(spark, d).withColumn("round_num", F.lit(3)), ["sim_key", "round_num"])
     return finish(p.select("id", SEL.acq_thompson("sim_key", "round_num").alias("thompson")))
 
 

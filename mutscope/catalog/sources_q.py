@@ -97,13 +97,14 @@ def _emb_roundtrip(spark, d):
 
 
 @register("S6", rounded("""SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d
-JOIN embeddings e ON d.doc_id = e.vec_id""", arrays=("embedding",)))
+LEFT JOIN embeddings e ON d.doc_id = e.vec_id""", arrays=("embedding",)))
 def q_s6(spark, d):
-    """Wide embedding CSV → array column, attached to variants (documents)."""
+    """Wide embedding CSV → array column, attached to variants (documents);
+    a variant without one keeps NULL (``strict`` fails on it)."""
     emb = _emb_roundtrip(spark, d)
     variants = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     joined, _missing = IO.attach_embeddings(variants, emb)
-    return finish(joined.filter(F.col("embedding").isNotNull()))
+    return finish(joined)
 
 
 @register("S6_missing", """SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")

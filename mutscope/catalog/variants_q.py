@@ -19,7 +19,7 @@ from .registry import register
 
 AA = V.AMINO_ACIDS
 ONE_TO_THREE = {v: k for k, v in E.THREE_TO_ONE.items()}
-VRE = r"^([A-Za-z]+)(\d+)([A-Za-z]+)$"
+VRE = E.VARIANT_PATTERN
 
 
 def _case(expr: str, mapping: dict) -> str:

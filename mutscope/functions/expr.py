@@ -34,9 +34,11 @@ CDF_DEN = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029
 CDF_SPLIT = 7.07106781186547
 CDF_TAIL_CUTOFF = 37.0
 SQRT_2PI = 2.506628274631
+# Variant notation: reference residue, position, alternative residue.
+VARIANT_PATTERN = r"^([A-Za-z]+)(\d+)([A-Za-z]+)$"
 # -----------------------------------------------------------------------------
 
-_VARIANT_RE = r"^([A-Za-z]+)(\d+)([A-Za-z]+)$"
+_VARIANT_RE = VARIANT_PATTERN
 
 
 def _c(x) -> Column:
@@ -58,14 +60,14 @@ def hgvs_to_variant_id(col) -> Column:
     alt3 = F.regexp_extract(part, _VARIANT_RE, 3)
     m = three_to_one_map()
     ref1, alt1 = F.try_element_at(m, ref3), F.try_element_at(m, alt3)
-    out = F.concat(ref1, pos.cast("int").cast("string"), alt1)
+    out = F.concat(ref1, pos.try_cast("int").cast("string"), alt1)
     return F.when(ok & (alt3 != "Ter"), out)
 
 
 def variant_position(col) -> Column:
-    """Integer position of ``L9Q``-style ids (NULL when unparsable)."""
+    """Integer position of ``L9Q``-style ids (NULL when unparsable or too large)."""
     return F.when(_c(col).rlike(_VARIANT_RE),
-                  F.regexp_extract(_c(col), _VARIANT_RE, 2).cast("int"))
+                  F.regexp_extract(_c(col), _VARIANT_RE, 2).try_cast("int"))
 
 
 def variant_alt(col) -> Column:
@@ -112,18 +114,19 @@ def apply_substitution(seq, pos, aa) -> Column:
 
 def first_difference(wt, mut) -> Column:
     """First 1-based position where the sequences differ over their common
-    length; NULL when they agree (``sequence(1, 0)`` would count down, so
-    empty inputs are guarded)."""
+    length; NULL when they agree.  One pass over both: beyond the shorter one
+    the comparison is NULL, which is no difference."""
     n = F.least(F.length(_c(wt)), F.length(_c(mut)))
-    diff = F.filter(F.sequence(F.lit(1), n),
-                    lambda i: F.substring(_c(wt), i, 1) != F.substring(_c(mut), i, 1))
-    return F.when(n >= 1, F.get(diff, 0))
+    unequal = F.zip_with(F.split(_c(wt), ""), F.split(_c(mut), ""), lambda a, b: a != b)
+    return F.when(n >= 1, F.nullif(F.array_position(unequal, True), F.lit(0)).cast("int"))
 
 
 def cantor_pair(a, b) -> Column:
-    """(a+b)(a+b+1)/2 + b."""
-    s = _c(a) + _c(b)
-    return F.floor(s * (s + 1) / 2).cast("long") + _c(b)
+    """(a+b)(a+b+1)/2 + b, in long arithmetic (the even factor is halved)."""
+    s = _c(a).cast("long") + _c(b).cast("long")
+    even = F.pmod(s, F.lit(2)) == 0
+    half = F.shiftright(F.when(even, s).otherwise(s + 1), 1)
+    return half * F.when(even, s + 1).otherwise(s) + _c(b).cast("long")
 
 
 def collapse_ss(col) -> Column:

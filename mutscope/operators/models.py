@@ -119,8 +119,8 @@ def group_ridge(df: DataFrame, keys: list[str], features: str, label: str, alpha
 
     Returns keys + ``coef`` (intercept first) — one small row per group.
     """
-    dim = len(df.select(features).first()[0])
-    p = dim + 1
+    # the width comes with the data: the statistics of p features and an
+    # intercept are p·p + p numbers
     kfields = [df.schema[k] for k in keys]
     cols = keys + [features, label] + ([weight] if weight else [])
 
@@ -151,6 +151,7 @@ def group_ridge(df: DataFrame, keys: list[str], features: str, label: str, alpha
             coefs = []
             for s in pdf["stats"]:
                 s = np.asarray(s, dtype=float)
+                p = (math.isqrt(1 + 4 * len(s)) - 1) // 2
                 g, b = s[:p * p].reshape(p, p), s[p * p:]
                 pen = np.eye(p) * alpha
                 pen[0, 0] = 0.0
@@ -166,6 +167,6 @@ def group_ridge(df: DataFrame, keys: list[str], features: str, label: str, alpha
 def predict_group_ridge(df: DataFrame, coefs: DataFrame, keys: list[str], features: str) -> DataFrame:
     """Apply per-group coefficients (joined by key; one row per group)."""
     j = df.join(bounded_broadcast(coefs), keys)
-    dot = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.slice("coef", 2, 1 << 20),
+    dot = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.slice("coef", F.lit(2), F.size("coef") - 1),
                                  lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
     return j.withColumn("prediction", F.element_at("coef", 1) + dot).drop("coef")

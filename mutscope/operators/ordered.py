@@ -1,40 +1,34 @@
 """Skew-safe running aggregates over an ordered value within groups.
 
 Rank-type statistics (average ranks, ROC steps, AUC, Benjamini–Hochberg,
-exact order statistics) all need a running sum/min/max over the distinct
-values of a group in sorted order.  A plain ``Window.partitionBy(keys)
-.orderBy(v)`` sends each group to one task, so a group holding a third of
-the data becomes a single straggler task.
-
-``ordered_scan`` splits such *hot* groups into value-range buckets:
-
-0. the reduced input is written once (lineage cut); one small job reads the
-   largest group size — without a hot group a plain window per group is used;
-1. group sizes (one partial aggregation);
-2. for hot groups only, a deterministic hash sample of values (about
-   ``SAMPLE_PER_BUCKET`` per bucket) is sorted into bucket boundaries —
-   hash sampling keeps recomputation after an executor loss identical;
-3. every row gets its bucket (number of boundaries below its value; equal
-   values always share a bucket);
-4. bucket totals → exclusive running offsets over at most ``n_buckets`` rows
-   per group; local running aggregates inside each (group, bucket) window;
-   the two are combined by a join on (group, bucket).
-
-Input must hold one row per (keys, order value): callers first aggregate
-duplicates (ties) into counts, which is itself a big reduction.
+exact order statistics) all need a running sum/min/max over the values of a
+group in sorted order.  A plain ``Window.partitionBy(keys).orderBy(v)`` sends
+each group to one task, so a group holding a third of the data becomes a
+single straggler task.
+
+``ordered_scan`` has one path for every size:
+
+1. rows are dealt out by ranges of (keys, value) and written once with their
+   range number (lineage cut); a large group covers several ranges, rows with
+   equal (keys, value) never part;
+2. a window inside each (group, range) gives the running aggregate so far;
+3. only the first group of a range can have begun in an earlier one, so there
+   is at most one group a range that needs an offset.  The groups that go on
+   are found from each range's first and last key, their totals per range are
+   aggregated, and the offsets (at most one row a range) are broadcast.
+
+NULL keys are a group like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import materialize
 
-HOT_ROWS = 200_000        # groups with more distinct values are split
-N_BUCKETS = 256
-SAMPLE_PER_BUCKET = 32
-
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -46,8 +40,11 @@ def _combine(op: str, off: Column, loc: Column) -> Column:
     return F.greatest(off, loc)
 
 
+def _same(a: DataFrame, b: DataFrame, keys, prefix: str) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[prefix + k]) for k in keys], F.lit(True))
+
+
 def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str, str]],
-                 hot_rows: int = HOT_ROWS, n_buckets: int = N_BUCKETS,
                  inclusive: bool = True) -> DataFrame:
     """Add running aggregates in ascending ``order`` within ``keys``.
 
@@ -56,56 +53,27 @@ def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str,
     sums, NULL for min/max).
     """
     keys = list(keys)
-    tmp_key = not keys
-    if tmp_key:
+    names = df.columns
+    if not keys:
         df = df.withColumn("_g", F.lit(0))
         keys = ["_g"]
-    # One materialisation of the (already reduced) input: every later step
-    # reads it, and chained scans would otherwise multiply the upstream plan.
-    d = materialize(df.withColumn("_o", order), "scan")
-    frame_end = Window.currentRow if inclusive else -1
+    d = df.withColumn("_o", order)
+    d = materialize(d.repartitionByRange(*keys, "_o").withColumn("_part", F.spark_partition_id()), "scan")
 
-    # the written table's row count bounds every group; only when it is
-    # larger is the per-group maximum computed (one small aggregation job)
-    largest = d.count()
-    if largest > hot_rows:
-        sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= hot_rows:
-        # no hot group: one window per group is bounded by hot_rows rows
-        w = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, frame_end)
-        out = d.select("*", *[_OPS[op](c).over(w).alias(f"_loc_{o}") for o, (op, c) in aggs.items()])
-        out = out.select(*[c for c in out.columns if not c.startswith("_loc_") and c != "_o"],
-                         *[_combine(op, F.lit(None), F.col(f"_loc_{o}")).alias(o) for o, (op, _) in aggs.items()])
-        return out.drop("_g") if tmp_key else out
-
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows)
-    target = n_buckets * SAMPLE_PER_BUCKET
-    rate = F.least(F.lit(1.0), F.lit(float(target)) / F.col("_n"))
-    u = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col("_o")), F.lit(1 << 30)) / float(1 << 30)
-    sample = d.select(*keys, "_o").join(hot, keys).filter(u < rate)
-    s = F.sort_array(F.collect_list("_o"))
-    bounds = (sample.groupBy(*keys).agg(s.alias("_s"))
-              .select(*keys, F.transform(
-                  F.sequence(F.lit(1), F.lit(n_buckets - 1)),
-                  lambda i: F.element_at("_s", (i * F.size("_s") / n_buckets).cast("int") + 1)
-              ).alias("_b")))
-    d = d.join(bounds, keys, "left").withColumn(
-        "_k", F.when(F.col("_b").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("_b", lambda x: x < F.col("_o"))))).drop("_b")
-
-    totals = d.groupBy(*keys, "_k").agg(
-        *[_OPS[op](c).alias(f"_t_{out}") for out, (op, c) in aggs.items()])
-    w_off = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_k", *[
-        _OPS[op](f"_t_{out}").over(w_off).alias(f"_off_{out}") for out, (op, _) in aggs.items()])
-
-    w_loc = Window.partitionBy(*keys, "_k").orderBy("_o").rowsBetween(Window.unboundedPreceding, frame_end)
-    d = d.select("*", *[_OPS[op](c).over(w_loc).alias(f"_loc_{out}") for out, (op, c) in aggs.items()])
-    d = d.join(offsets, keys + ["_k"])
-    d = d.select(*[c for c in d.columns if not c.startswith(("_off_", "_loc_"))
-                   and c not in ("_k", "_o")],
-                 *[_combine(op, F.col(f"_off_{out}"), F.col(f"_loc_{out}")).alias(out)
-                   for out, (op, _) in aggs.items()])
-    return d.drop("_g") if tmp_key else d
+    frame_end = Window.currentRow if inclusive else -1
+    inside = Window.partitionBy(*keys, "_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, frame_end)
+    rows = d.select("*", *[_OPS[op](c).over(inside).alias(f"_loc_{o}") for o, (op, c) in aggs.items()])
+
+    key = F.struct(*keys)
+    ends = d.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    before = F.lag("_last").over(Window.orderBy("_part"))          # one row a range
+    going = (ends.withColumn("_prev", before).where(F.col("_prev").isNotNull() & F.col("_prev").eqNullSafe(F.col("_first")))
+             .select(*[F.col(f"_first.{k}").alias(f"_k_{k}") for k in keys]).distinct())
+    totals = (d.join(F.broadcast(going), _same(d, going, keys, "_k_"), "left_semi").groupBy(*keys, "_part")
+              .agg(*[_OPS[op](c).alias(f"_t_{o}") for o, (op, c) in aggs.items()]))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k__part"),
+                            *[_OPS[op](f"_t_{o}").over(earlier).alias(f"_off_{o}") for o, (op, _) in aggs.items()])
+    rows = rows.join(F.broadcast(offsets), _same(rows, offsets, [*keys, "_part"], "_k_"), "left")
+    return rows.select(*names, *[_combine(op, F.col(f"_off_{o}"), F.col(f"_loc_{o}")).alias(o)
+                                 for o, (op, _) in aggs.items()])

@@ -127,12 +127,13 @@ def _per_round(detail: DataFrame, aggs: list[Column]) -> DataFrame:
     return detail.groupBy("round_id").agg(*aggs)
 
 
-def mean_activity_by_round(log: RunLog, runs: DataFrame, strategy: str | None = None) -> DataFrame:
-    """A1: avg assay per round row, then mean and sample σ over simulations."""
+def mean_activity_by_round(log: RunLog, runs: DataFrame, strategy: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """A1: avg assay per round row, then mean and sample σ over simulations
+    (also apart by the sub-run columns ``by``)."""
     per_round = _per_round(log.top_variant, [F.avg("assay_score").alias("mean_score")])
     dims = optional_eq(round_dimension(log, runs), strategy_name=strategy)
     rs = per_round.join(dims, "round_id")
-    return (rs.groupBy("run_id", "strategy_name", "round_num", "num_variants")
+    return (rs.groupBy("run_id", "strategy_name", *by, "round_num", "num_variants")
             .agg(F.avg("mean_score").alias("mean_score"),
                  F.stddev_samp("mean_score").alias("stddev")))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..util import attach_group_stats, bounded_broadcast
+from ..util import attach_group_stats, null_safe_join
 from .ordered import ordered_scan
 
 
@@ -33,8 +33,8 @@ def seeded_hash(seed, id_col, digits: int = 15) -> Column:
 
 
 def seeded_uniform(seed, id_col) -> Column:
-    """Q1 helper: uniform [0, 1) from md5(seed|id) (8 hex digits)."""
-    return seeded_hash(seed, id_col, 8) / F.lit(4294967296.0)
+    """Q1 helper: uniform [0, 1) from md5(seed|id) (13 hex digits, a double's 52 bits)."""
+    return seeded_hash(seed, id_col, 13) / F.lit(float(1 << 52))
 
 
 # ---------------------------------------------------------------- acquisition (Q)
@@ -74,13 +74,21 @@ def acq_expected_improvement(best: str = "best_score", score: str = "score",
     return F.when(sigma.isNull() | (sigma == 0), F.lit(0.0)).otherwise(ei)
 
 
-def acq_thompson(sim_col: str, round_col: str, components: str = "components") -> Column:
+def acq_thompson(sim_col: str, round_col: str, components: str = "components", members: str = "members") -> Column:
     """Q6: one ensemble member per (simulation, round), chosen by a seeded
-    hash of cantor(simulation, round); the score is that member's prediction."""
+    hash of cantor(simulation, round) among ``members`` (a column that is the
+    same in all rows of the round, see ``ensemble_size``); the score is that
+    member's prediction, NULL where a row lacks it."""
     seed = E.cantor_pair(sim_col, round_col)
     h = seeded_hash(seed, F.lit("thompson"), 8)
-    n = F.size(components)
-    return F.when(n > 0, F.element_at(components, (F.pmod(h, n) + 1).cast("int")))
+    n = F.col(members)
+    return F.when(n > 0, F.get(components, F.pmod(h, n).cast("int")))
+
+
+def ensemble_size(df: DataFrame, keys, components: str = "components", out: str = "members") -> DataFrame:
+    """``df`` with the largest number of ensemble members of its key group."""
+    n = df.groupBy(*keys).agg(F.max(F.coalesce(F.size(components), F.lit(0))).alias(out))
+    return attach_group_stats(df, n, keys)
 
 
 # Q7: registry name → builder(**params) → Column
@@ -155,7 +163,7 @@ def seeded_split(df: DataFrame, test_fraction: float, seed: int, keys, id_col: s
     n = s.groupBy(*keys).agg(F.max("_cum").alias("_n"))
     s = attach_group_stats(s, n, keys)
     s = s.withColumn("_cut", F.floor(F.col("_n") * (1 - test_fraction)))
-    j = d.join(s.select(*keys, "_h", "_cum", "_cnt", "_cut"), keys + ["_h"])
+    j = null_safe_join(d, s.select(*keys, "_h", "_cum", "_cnt", "_cut"), keys + ["_h"])
     tie = F.row_number().over(Window.partitionBy(*keys, "_h").orderBy(F.col(id_col)))
     pos = F.col("_cum") - F.col("_cnt") + tie
     return (j.withColumn("split", F.when(pos <= F.col("_cut"), "simulation").otherwise("test"))

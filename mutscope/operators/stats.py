@@ -8,10 +8,12 @@ are aggregates joined back, never collected to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util import attach_group_stats, bounded_broadcast
+from ..util import attach_group_stats, materialize, null_safe_join
 from .ordered import ordered_scan
 
 
@@ -52,28 +54,43 @@ def rank_tables(df: DataFrame, keys, cols: dict[str, str]) -> dict[str, DataFram
             for c, out in cols.items()}
 
 
+def _ranks_from_counts(pairs: DataFrame, keys, cols: dict[str, str]) -> dict[str, DataFrame]:
+    """Average-rank tables of columns of a counted table (count ``_c``)."""
+    parts = [pairs.groupBy(*keys, c).agg(F.sum("_c").alias("_cnt"))
+             .select(*keys, F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"), "_cnt") for c in cols]
+    s = ordered_scan(reduce(DataFrame.unionByName, parts), [*keys, "_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
+    r = F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0
+    return {c: s.filter(F.col("_col") == c).select(*keys, F.col("_v").cast(pairs.schema[c].dataType).alias(c), r.alias(out))
+            for c, out in cols.items()}
+
+
 def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """1-based rank of ``value`` within ``keys``, ties get the mean rank.
 
     rank = (rows below) + (ties + 1) / 2; NULL values get a NULL rank.
     """
     k = _keys(keys)
-    return df.join(rank_table(df, k, value, out), k + [value], "left")
+    return null_safe_join(df, rank_table(df, k, value, out), k + [value], "left")
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> DataFrame:
     """Spearman correlation per group: Pearson on average ranks.
 
-    Both rank tables are computed from the same rows independently and joined
-    back once.  NULL when either side is constant (``try_divide``; ANSI
-    ``corr`` raises).
+    Rows are first counted by (x, y); ranks are attached to these counts, not
+    to rows.  The mean rank of n rows is (n + 1) / 2, so the moments are
+    weighted sums around a known centre.  NULL when either side is constant
+    (``try_divide``; ANSI ``corr`` raises).
     """
     k = _keys(keys)
-    base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rt = rank_tables(base, k, {x: "_rx", y: "_ry"})
-    r = base.join(rt[x], k + [x]).join(rt[y], k + [y])
+    pairs = materialize(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+                        .groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_c")), "pairs")
+    tables = _ranks_from_counts(pairs, k, {x: "_rx", y: "_ry"})
+    total = pairs.groupBy(*k).agg((F.sum("_c") + 1).alias("_n1"))
+    r = null_safe_join(null_safe_join(pairs, tables[x], k + [x]), tables[y], k + [y])
+    r = attach_group_stats(r, total, k)
+    dx, dy, c = F.col("_rx") - F.col("_n1") / 2.0, F.col("_ry") - F.col("_n1") / 2.0, F.col("_c")
     return r.groupBy(*k).agg(F.try_divide(
-        F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias(out))
+        F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))).alias(out))
 
 
 # ---------------------------------------------------------------- ROC / AUC
@@ -172,7 +189,7 @@ def bh_fdr_many(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
     k = _keys(keys)
     s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_r": ("sum", "_cnt")})
     m = s.groupBy(*k, "_col").agg(F.max("_r").alias("_m"))
-    s = s.join(bounded_broadcast(m), k + ["_col"])
+    s = attach_group_stats(s, m, [*k, "_col"])
     s = s.select(*k, "_col", "_v", (F.col("_v") * F.col("_m") / F.col("_r")).alias("_raw"))
     s = ordered_scan(s, k + ["_col"], -F.col("_v"), {"_qmin": ("min", "_raw")})
     q = s.select(*k, "_col", "_v", F.least(F.lit(1.0), F.col("_qmin")).alias("_q"))
@@ -180,7 +197,7 @@ def bh_fdr_many(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
     for c, name in cols.items():
         qc = q.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c),
                                                  F.col("_q").alias(name))
-        out = out.join(qc, k + [c], "left")
+        out = null_safe_join(out, qc, k + [c], "left")
     return out
 
 
@@ -236,11 +253,15 @@ def standardise(df: DataFrame, cols, keys) -> DataFrame:
 def regression_metrics(df: DataFrame, keys, split: str = "split", pred: str = "prediction",
                        actual: str = "assay_score",
                        pooled: tuple[str, str, str] | None = ("train", "validation",
-                                                              "train_validation")) -> DataFrame:
-    """RMSE, R² and Spearman per (keys, split); a pooled split of two
-    named splits is added when ``pooled`` is given.  Empty splits have no row."""
+                                                              "train_validation"),
+                       splits: tuple[str, ...] | None = None) -> DataFrame:
+    """RMSE, R² and Spearman per (keys, split) over the rows that have
+    both values; a pooled split of two named splits is added when ``pooled``
+    is given.  With ``splits`` every group has a row for each of these splits,
+    NULL metrics where it holds no such row."""
     k = _keys(keys)
-    base = df.select(*k, split, pred, actual)
+    groups = df.select(*k).distinct() if k else df.sparkSession.range(1).select()
+    base = df.select(*k, split, pred, actual).filter(F.col(pred).isNotNull() & F.col(actual).isNotNull())
     if pooled:
         a, b, name = pooled
         base = base.unionByName(base.filter(F.col(split).isin(a, b))
@@ -251,8 +272,11 @@ def regression_metrics(df: DataFrame, keys, split: str = "split", pred: str = "p
         F.sum(err * err).alias("_ss_res"),
         (F.var_pop(actual) * F.count(F.lit(1))).alias("_ss_tot"))
     g = g.select(*k, split, "rmse", (1 - F.try_divide(F.col("_ss_res"), F.col("_ss_tot"))).alias("r2"))
-    rho = spearman(base, k + [split], pred, actual)
-    return g.join(rho, k + [split], "left")
+    g = null_safe_join(g, spearman(base, k + [split], pred, actual), k + [split], "left")
+    if splits is None:
+        return g
+    asked = groups.withColumn(split, F.explode(F.array(*map(F.lit, splits))))
+    return null_safe_join(asked, g, k + [split], "left")
 
 
 def squared_error(pred: str = "prediction", actual: str = "assay_score") -> Column:

@@ -112,9 +112,9 @@ def mean_activity_vs_baseline(log: R.RunLog, runs: DataFrame, baseline_model: st
                               baseline_round: int = 2) -> DataFrame:
     """A1 per strategy of every run next to the run's zero-shot reference
     (mean over ``baseline_model`` strategies at ``baseline_round``)."""
-    a1 = R.mean_activity_by_round(log, runs)
-    models = log.sub_run.select("strategy_name", "model_name")
-    a1 = a1.join(bounded_broadcast(models), "strategy_name")
+    # the model comes with each round's own sub-run: one strategy name may
+    # occur under several models and runs
+    a1 = R.mean_activity_by_round(log, runs, by=("model_name",))
     base = (a1.filter((F.col("model_name") == baseline_model) & (F.col("round_num") == baseline_round))
             .groupBy("run_id").agg(F.avg("mean_score").alias("baseline_score")))
     return (a1.join(base, "run_id", "left")
@@ -123,8 +123,9 @@ def mean_activity_vs_baseline(log: R.RunLog, runs: DataFrame, baseline_model: st
 
 def calibration(results: DataFrame, clinical: DataFrame, gene_map: DataFrame) -> DataFrame:
     """Results ⋈ clinical labels of the dataset's gene (default gene =
-    dataset name), prediction sign flipped, class counts and AUC per run."""
-    genes = gene_map.select("dataset_name", "gene_symbol")
+    dataset name), prediction sign flipped, class counts and AUC per run.
+    A dataset named several times in the map has the first gene by name."""
+    genes = gene_map.groupBy("dataset_name").agg(F.min("gene_symbol").alias("gene_symbol"))
     r = results.join(bounded_broadcast(genes), "dataset_name", "left").withColumn(
         "gene_symbol", F.coalesce("gene_symbol", "dataset_name"))
     j = r.join(clinical.select("gene_symbol", "variant_id", "label"), ["gene_symbol", "variant_id"])

@@ -1,8 +1,9 @@
 """File sources and sinks (S1–S10, S15): assay CSV/TSV, FASTA, wide embeddings.
 
 All readers are splittable Spark readers with explicit column handling; no
-file is parsed on the driver.  FASTA is read with '>' as the record
-separator, so each record (header + wrapped sequence lines) is one row.
+file is parsed on the driver.  FASTA is read with a '>' at a line's start as
+the record separator, so each record (header + wrapped sequence lines) is one
+row.
 """
 
 from __future__ import annotations
@@ -43,11 +44,12 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def surrogate_ids(df: DataFrame, order_col: str, out: str = "id") -> DataFrame:
-    """1-based row number in ``order_col`` order (unique values), computed as a
-    distributed running count — no single-partition window."""
-    vc = df.select(order_col).groupBy(order_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    s = ordered_scan(vc, [], F.col(order_col), {"_cum": ("sum", "_cnt")})
-    return df.join(s.select(order_col, F.col("_cum").cast("long").alias(out)), order_col)
+    """1-based row number in ``order_col`` order (NULL first; rows with one
+    order value by a hash of the row), computed as a distributed running count
+    — no single-partition window.  Every row gets a number of its own."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    s = ordered_scan(one, [], F.struct(F.col(order_col), F.xxhash64(*df.columns)), {out: ("sum", "_one")})
+    return s.drop("_one")
 
 
 def canonicalise(df: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -76,16 +78,21 @@ def read_fasta(spark: SparkSession, path: str, partition_cols=()) -> DataFrame:
     """S3: (record_id = first header token, sequence = wrapped lines joined).
 
     ``partition_cols`` are folder partitions (e.g. one FASTA set per dataset
-    written with ``partitionBy``); ids are unique within them.  A duplicated
-    id keeps the record read last (file order within the read).
+    written with ``partitionBy``); ids are unique within them.  A record
+    begins at a ``>`` that begins a line; one inside a header is text.  Of a
+    duplicated id the last record counts: by file name, then by its place in
+    the file, however the files are split or dealt out.
     """
-    raw = spark.read.option("lineSep", ">").text(path)
+    raw = spark.read.option("lineSep", "\n>").text(path)
     keys = list(partition_cols)
-    rec = raw.filter(F.length(F.trim("value")) > 0).select(
+    # only a file's first record still has its mark; the splits of a file are in block order
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                     F.monotonically_increasing_id().alias("i"))
+    rec = raw.select(*keys, F.regexp_replace("value", r"^>", "").alias("value"), place.alias("_ord"))
+    rec = rec.filter(F.length(F.trim("value")) > 0).select(
         *keys,
         clean_record_id(F.regexp_extract("value", r"^([^\n]*)", 1)).alias("record_id"),
-        F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"),
-        F.monotonically_increasing_id().alias("_ord"))
+        F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"), "_ord")
     return rec.groupBy(*keys, "record_id").agg(F.max_by("sequence", "_ord").alias("sequence"))
 
 
@@ -121,10 +128,16 @@ def read_embeddings(spark: SparkSession, path: str, id_col: str = "id") -> DataF
                       F.array(*[F.col(c).cast("double") for c in dims]).alias("embedding"))
 
 
-def attach_embeddings(variants: DataFrame, emb: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+def attach_embeddings(variants: DataFrame, emb: DataFrame, id_col: str = "id",
+                      strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Left join of embeddings to variants; the second frame lists
-    variants with no embedding (the caller fails when it is non-empty)."""
+    variants with no embedding.  With ``strict`` the job fails at the first
+    variant without one and names it."""
     joined = variants.join(emb, id_col, "left")
+    if strict:
+        gap = F.raise_error(F.concat(F.lit("no embedding for variant "), F.col(id_col).cast("string")))
+        joined = joined.withColumn("embedding", F.when(F.col("embedding").isNull(), gap.cast("array<double>"))
+                                   .otherwise(F.col("embedding")))
     missing = variants.join(emb.select(id_col), id_col, "left_anti")
     return joined, missing
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,10 @@ ROUND_LIMIT = 1e15  # beyond this magnitude a double has no 6th decimal to round
 def _round_expr(c: Column, digits: int) -> Column:
     x = c.cast("double")
     scale = float(10 ** digits)
-    return F.when(F.abs(x) < ROUND_LIMIT, F.floor(x * scale + 0.5) / scale).otherwise(x)
+    y = x * scale + 0.5
+    # beyond 2**53 a double is whole already, and ``floor`` would squeeze it into a long
+    whole = F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    return F.when(F.abs(x) < ROUND_LIMIT, whole / scale).otherwise(x)
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -80,14 +84,21 @@ def materialize(df: DataFrame, tag: str = "stage", **options: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other`` on ``keys``, NULL equal to NULL; key columns come from ``df``."""
+    other = other.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"_r_{k}"]) for k in keys])
+    return df.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Join per-group statistics (one row per group) back to rows.
 
-    Without grouping keys the statistics are a single row, attached as a
-    scalar subquery (computed once, no join at all).
+    NULL keys find their group's row. Without grouping keys the statistics
+    are a single row, attached as a scalar subquery (computed once, no join).
     """
     keys = list(keys or [])
     if keys:
-        return df.join(bounded_broadcast(stats), keys)
+        return null_safe_join(df, bounded_broadcast(stats), keys)
     packed = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("_s")).scalar()
     return df.withColumn("_s", packed).select("*", "_s.*").drop("_s")

@@ -35,7 +35,7 @@ def test_bucketed_scan_property(spark, rows):
     df = (spark.createDataFrame([(k, float(v)) for k, v in rows], "k string, v double")
           .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
     got = {(r.k, r.v): r.cum for r in ordered.ordered_scan(
-        df, ["k"], F.col("v"), {"cum": ("sum", "c")}, hot_rows=5, n_buckets=4).collect()}
+        df, ["k"], F.col("v"), {"cum": ("sum", "c")}).collect()}
     want = {}
     for k in "ab":
         run = 0

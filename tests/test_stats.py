@@ -80,19 +80,29 @@ def test_percentiles_match_numpy(spark):
         assert getattr(got, name) == pytest.approx(np.percentile(vals, p))
 
 
-def test_ordered_scan_hot_path_matches_window(spark):
-    """Force the bucketed path (tiny hot threshold) and compare with brute force."""
+@pytest.fixture
+def many_ranges(spark):
+    """Keep small ranges apart, so that groups go on from range to range."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_ordered_scan_over_several_ranges_matches_brute_force(spark, many_ranges):
+    """A group in all ranges, small ones, and NULL keys."""
     rnd = random.Random(7)
     rows = [("hot", float(rnd.randint(0, 500)), rnd.randint(1, 3)) for _ in range(3000)]
-    rows += [("cold", float(i), 1) for i in range(20)]
+    rows += [("cold", float(i), 1) for i in range(20)] + [(None, float(i), 2) for i in range(400)] + [(None, None, 7)]
     df = spark.createDataFrame(rows, "k string, v double, c int").groupBy("k", "v").agg(F.sum("c").alias("c"))
-    got = ordered.ordered_scan(df, ["k"], F.col("v"), {"cum": ("sum", "c"), "mx": ("max", "c")},
-                               hot_rows=50, n_buckets=8)
+    got = ordered.ordered_scan(df, ["k"], F.col("v"), {"cum": ("sum", "c"), "mx": ("max", "c")})
     got = {(r.k, r.v): (r.cum, r.mx) for r in got.collect()}
     want = {}
-    for k in ("hot", "cold"):
-        pts = sorted((v, c) for (kk, v), c in ((key, val) for key, val in
-                     {(r.k, r.v): r.c for r in df.collect()}.items()) if kk == k)
+    for k in ("hot", "cold", None):
+        pts = sorted(((v, c) for (kk, v), c in ((key, val) for key, val in
+                      {(r.k, r.v): r.c for r in df.collect()}.items()) if kk == k),
+                     key=lambda p: (p[0] is not None, p))
         run, mx = 0, None
         for v, c in pts:
             run += c
@@ -101,6 +111,25 @@ def test_ordered_scan_hot_path_matches_window(spark):
     assert got == want
 
 
+def test_null_keys_keep_their_rows(spark, many_ranges):
+    rows = [(None if i % 2 else "a", float(i % 40), i % 2 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, label boolean")
+    assert S.average_ranks(df, ["k"], "v").filter("avg_rank is not null").count() == 400
+    assert S.standardise(df, ["v"], ["k"]).count() == 400
+    assert S.bh_fdr(df.withColumn("p", F.col("v") / 40), ["k"]).filter("q is not null").count() == 400
+    assert {r.k for r in S.percentiles(df, ["k"], "v", {"m": 0.5}).collect()} == {None, "a"}
+
+
+def test_regression_metrics_of_null_values_and_empty_splits(spark):
+    rows = [("g", "train", 1.0, 2.0), ("g", "train", 2.0, 2.5), ("g", "train", 3.0, 5.0), ("g", "train", 9.0, None)]
+    df = spark.createDataFrame(rows, "k string, split string, prediction double, assay_score double")
+    got = {r.split: r for r in S.regression_metrics(df, ["k"], splits=("train", "test")).collect()}
+    p, a = np.array([1.0, 2.0, 3.0]), np.array([2.0, 2.5, 5.0])
+    assert got["train"].r2 == pytest.approx(1 - ((p - a) ** 2).sum() / ((a - a.mean()) ** 2).sum())
+    assert got["train"].spearman == pytest.approx(1.0)
+    assert (got["test"].rmse, got["test"].r2, got["test"].spearman) == (None, None, None)
+
+
 def test_ordered_scan_exclusive(spark):
     df = spark.createDataFrame([(1.0, 5), (2.0, 7), (3.0, 1)], "v double, c int")
     got = sorted((r.v, r.prev) for r in ordered.ordered_scan(df, [], F.col("v"), {"prev": ("max", "c")},
