@@ -111,12 +111,14 @@ def q_j5(spark, d):
     return finish(r)
 
 
-@register("J4_check", WR() + """SELECT run_id, part_id, assay_score, count(*) AS n FROM lab
+@register("J4_check", WR() + """SELECT run_id, part_id, assay_score, count(*) AS n
+FROM (SELECT * FROM lab WHERE label IS NOT NULL UNION ALL SELECT * FROM lab WHERE label IS NOT NULL AND part_id % 50 = 0)
 GROUP BY run_id, part_id, assay_score HAVING count(*) > 1""")
 def q_j4c(spark, d):
-    """J4 uniqueness check of the label side (empty when valid)."""
+    """J4 uniqueness check of the label side; some labels occur twice here."""
     res, _ = _results(spark, d)
     lab = EV.quantile_labels(res, ["run_id"])
+    lab = lab.unionByName(lab.filter(F.col("part_id") % 50 == 0))
     return finish(D.duplicate_labels(lab, ["run_id", "part_id", "assay_score"]))
 
 

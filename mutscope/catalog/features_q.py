@@ -1,7 +1,8 @@
 """Catalog entries for feature and model jobs.
 
-Binding ``b_tokens``: each embedding row (64 floats) is 16 tokens × 4 dims;
-the sequence length is 1 + vec_id mod 16 so short and full sequences occur.
+Binding ``b_tokens``: each embedding row (64 floats) is 16 tokens × 4 dims, all
+of which are used; sequence s goes on over the rows s² … (s+1)² − 1, so
+sequences of many lengths occur.
 ``b_features``: the embedding vector with ``label`` as regression target.
 MLlib fits (forest, ridge, PCA, mixtures) are rows-only entries; their
 invariants are checked in tests.
@@ -28,16 +29,16 @@ GMM_W = (0.4, 0.6)
 GMM_MU = ((-0.1,) * 4, (0.1,) * 4)
 GMM_VAR = ((0.01,) * 4, (0.02,) * 4)
 
-TOK_SQL = """WITH tok AS (SELECT vec_id AS seq_id, CAST(t AS INTEGER) AS pos, CAST(dm AS INTEGER) AS dim,
+TOK_SQL = """WITH tok AS (SELECT s AS seq_id, CAST((vec_id - s * s) * 16 + t AS INTEGER) AS pos, CAST(dm AS INTEGER) AS dim,
     CAST(embedding[t * 4 + dm + 1] AS DOUBLE) AS value
-  FROM (SELECT vec_id, embedding, unnest(range(0, 16)) AS t FROM embeddings) a, range(0, 4) r(dm)
-  WHERE t < 1 + vec_id % 16)
+  FROM (SELECT vec_id, CAST(floor(sqrt(vec_id)) AS BIGINT) AS s, embedding, unnest(range(0, 16)) AS t FROM embeddings) a,
+       range(0, 4) r(dm))
 """
 
 
 def tokens(spark, d):
-    e = table(spark, d, "embeddings")
-    return FT.tokens_from_flat(e, "vec_id", "embedding", 16, 4, length=F.col("vec_id") % 16 + 1)
+    s = F.floor(F.sqrt("vec_id")).cast("long")
+    return FT.tokens_from_flat(table(spark, d, "embeddings"), s, (F.col("vec_id") - s * s) * 16, "embedding", 16, 4)
 
 
 @register("M8", rounded(TOK_SQL + """, m AS (SELECT seq_id, dim, avg(value) AS v FROM tok GROUP BY seq_id, dim)
@@ -149,8 +150,8 @@ def _features(spark, d):
 @register("M1")
 def q_m1(spark, d):
     """PCA to 8 dims of centred embeddings (rows-only: component signs are arbitrary)."""
-    out = FT.pca_features(_features(spark, d), "embedding", 8)
-    return out.select("vec_id", "pca")
+    f = _features(spark, d)
+    return FT.fit_pca(f, "embedding", 8).transform(f).select("vec_id", "pca")
 
 
 @register("M3")
@@ -180,9 +181,8 @@ def q_m7(spark, d):
 
 @register("M12")
 def q_m12(spark, d):
-    """Gaussian mixture (K = 2) over residue vectors: weights and means."""
-    model = FT.fit_gmm(tokens(spark, d), 2)
-    w, mu, var = FT.diag_params(model)
+    """Diagonal Gaussian mixture (K = 2) over residue vectors: weights, means, variances."""
+    w, mu, var = FT.fit_gmm(tokens(spark, d), 2)
     rows = [(k, w[k], mu[k], var[k]) for k in range(len(w))]
     return spark.createDataFrame(rows, "k int, weight double, mean array<double>, var array<double>")
 

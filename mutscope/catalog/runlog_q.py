@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runlog as R
 from ..session import table
+from ..sources.runlog_store import RUN_TABLES
 from ..util import finish
 from .bind_sql import rounded, with_
 from .registry import register
@@ -400,10 +401,14 @@ UNION ALL SELECT 'last_round_score', count(*) FROM b_last_round WHERE simulation
 
 @register("U4", _PURGE_SQL)
 def q_u4(spark, d):
-    log = R.RunLog.bound(spark, d)
-    kept = R.purge(log)
+    """Written, purged and read back: rows left in each stored table."""
+    from .sources_q import stored_log
+
+    store = stored_log(spark, R.RunLog.bound(spark, d))
+    store.purge(R.latest_completed_runs(store.read("run")))
     out = None
-    for name, df in kept.items():
+    for name in RUN_TABLES:
+        df = store.read(name)
         c = df.agg(F.count(F.lit(1)).alias("kept_rows")).select(F.lit(name).alias("table_name"), "kept_rows")
         out = c if out is None else out.unionByName(c)
     return finish(out)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import selection as SEL
 from ..operators import stats as S
+from ..plans.acquisition import acquisition_step
 from ..session import table
 from ..sources import bindings as B
 from ..util import finish
@@ -206,15 +207,30 @@ def q_t3(spark, d):
     """Top-5 predicted over train ∪ remaining with their assay scores."""
     sp = _t4(spark, d)
     u = SEL.attach_assay(sp, assay(spark, d).select("id", "assay_score"))
-    return finish(SEL.top_k(u, 5, ["sim_key"], "score").select("sim_key", "id", "score", "assay_score", "split"))
+    return finish(SEL.top_predicted(u, 5, ["sim_key"]).select("sim_key", "id", "score", "assay_score", "split"))
 
 
-@register("U1", rounded(PRED_SQL + _T4_SQL + """SELECT sim_key, id, score, 'train' AS split FROM sp WHERE split = 'simulation'
-UNION ALL SELECT sim_key, id, score, 'test' FROM sp WHERE split = 'test'""", "score"))
-def q_u1(spark, d):
+@register("T3_all", rounded(PRED_SQL + _T4_SQL + """SELECT s.sim_key, s.id, s.score, a.assay_score, s.split
+FROM sp s JOIN asy a ON s.id = a.id""", "score", "assay_score"))
+def q_t3_all(spark, d):
+    """T3 for runs that keep all predictions."""
+    u = SEL.attach_assay(_t4(spark, d), assay(spark, d).select("id", "assay_score"))
+    return finish(SEL.top_predicted(u, 5, ["sim_key"], keep_all=True).select("sim_key", "id", "score", "assay_score", "split"))
+
+
+_U1_SPLIT = "CASE WHEN split = 'test' THEN 'test' WHEN id % 5 = 0 THEN 'validation' ELSE 'train' END"
+
+
+def _three_splits(spark, d):
     sp = _t4(spark, d)
-    return finish(SEL.stack_splits(train=sp.filter("split = 'simulation'").drop("split"),
-                                   test=sp.filter("split = 'test'").drop("split")))
+    held = F.col("id") % 5 == 0
+    sim = sp.filter("split = 'simulation'").drop("split")
+    return SEL.stack_splits(train=sim.filter(~held), validation=sim.filter(held), test=sp.filter("split = 'test'").drop("split"))
+
+
+@register("U1", rounded(PRED_SQL + _T4_SQL + f"""SELECT sim_key, id, score, {_U1_SPLIT} AS split FROM sp""", "score"))
+def q_u1(spark, d):
+    return finish(_three_splits(spark, d).select("sim_key", "id", "score", "split"))
 
 
 @register("A27", PRED_SQL + _T4_SQL + """, rows AS (
@@ -253,11 +269,12 @@ def q_j12(spark, d):
 
 
 @register("J14", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders
-  WHERE o_custkey IS NOT NULL)""")
+  WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')""")
 def q_j14(spark, d):
-    """Coverage gap — rows of the left side with no match (left anti)."""
+    """Coverage gap — rows of the left side with no match (left anti):
+    customers without an order of status P."""
     c = table(spark, d, "customer").select("c_custkey")
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    o = table(spark, d, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return finish(c.join(o, "c_custkey", "left_anti"))
 
 
@@ -272,17 +289,33 @@ SELECT b.*, coalesce(r.n_remaining, 0) AS n_remaining FROM best b LEFT JOIN rem
 def q_c10(spark, d):
     """One acquisition step — score (UCB) → select batch → attach assays →
     best variant and batch RMSE → remaining pool size, per simulation."""
-    p = pred(spark, d).select("sim_key", "id", "score")
-    batch = _t2(spark, d)
-    ch = SEL.attach_assay(batch, assay(spark, d).select("id", "assay_score"))
-    best = SEL.best_result(ch, ["sim_key"])
-    err = F.col("score") - F.col("assay_score")
-    stats = ch.groupBy("sim_key").agg(F.sqrt(F.avg(err * err)).alias("batch_rmse"),
-                                      F.count(F.lit(1)).alias("n_chosen"))
-    rem = SEL.remaining(p, batch, ["sim_key", "id"]).groupBy("sim_key").agg(
-        F.count(F.lit(1)).alias("n_remaining"))
-    out = best.join(stats, "sim_key").join(rem, "sim_key", "left")
-    return finish(out.withColumn("n_remaining", F.coalesce("n_remaining", F.lit(0)).cast("long")))
+    return finish(_step(spark, d).best)
+
+
+def _step(spark, d):
+    p = pred(spark, d).withColumn("acquisition_score", SEL.acq_ucb(1.0))
+    p = p.select("sim_key", "id", "score", "acquisition_score",
+                 F.when(F.col("id") % 4 == 0, "test").when(F.col("id") % 4 == 1, "validation").otherwise("train").alias("split"))
+    return acquisition_step(p, assay(spark, d), 2, 2, ["sim_key"])
+
+
+@register("C10_batch", rounded(PRED_SQL + _T2_SQL + """SELECT c.sim_key, c.id, c.score, c.acquisition_score,
+  c.top_acquisition_score, c.top_prediction, a.assay_score FROM chosen c JOIN asy a ON c.id = a.id""",
+                               "score", "acquisition_score", "assay_score"))
+def q_c10_batch(spark, d):
+    """The chosen rows of the step."""
+    return finish(_step(spark, d).batch.drop("split"))
+
+
+@register("C10_metrics", rounded(PRED_SQL + """, j AS (SELECT p.sim_key, p.score, a.assay_score,
+  CASE WHEN p.id % 4 = 0 THEN 'test' WHEN p.id % 4 = 1 THEN 'validation' ELSE 'train' END AS split
+  FROM pr p JOIN asy a ON p.id = a.id),
+u AS (SELECT * FROM j UNION ALL SELECT sim_key, score, assay_score, 'train_validation' FROM j WHERE split <> 'test'),
+g AS (SELECT sim_key, split, sqrt(avg((score - assay_score) * (score - assay_score))) AS rmse, count(*) AS n FROM u GROUP BY sim_key, split)
+SELECT sim_key, split, rmse FROM g""", "rmse"))
+def q_c10_metrics(spark, d):
+    """RMSE of every split and of the pooled one (R² and Spearman are A18's)."""
+    return finish(_step(spark, d).metrics.select("sim_key", "split", "rmse"))
 
 
 # ---------------------------------------------------------------- explicit ids for combined entries

@@ -164,19 +164,34 @@ JOIN b_sub_run sr ON s.sub_run_id = sr.sub_run_id
 WHERE sr.run_id IN (SELECT max(run_id) FROM b_run WHERE end_ts IS NOT NULL GROUP BY config_id, dataset_name, name)""",
                          "assay_score"))
 def q_s11(spark, d):
-    """Run-log append in two batches (partitioned by run_id); the latest
-    completed runs are read back through a semi join, so Spark prunes the
-    other run partitions at run time (dynamic partition pruning)."""
-    store = RS.RunLogStore(spark, scratch(spark, "runlog"))
-    log = R.RunLog.bound(spark, d)
-    tv = R.log_join(log, with_run=False).select("run_id", "round_id", "variant_id", "assay_score")
-    store.append("round_top_variant", tv.filter(F.col("run_id") < 3))
-    store.append("round_top_variant", tv.filter(F.col("run_id") >= 3))
-    latest = R.latest_completed_runs(log.run).select("run_id")
+    """All run-log tables appended (the variants in two batches, one of them
+    twice) and read back: the stored log is joined up its key chain for the
+    latest completed runs, whose partitions alone are read."""
+    store = stored_log(spark, R.RunLog.bound(spark, d))
+    latest = R.latest_completed_runs(store.read("run")).select("run_id")
     back = store.read_runs("round_top_variant", latest)
+    for name, key in (("round", "round_id"), ("simulation", "simulation_id"), ("sub_run", "sub_run_id")):
+        cols = {"round": ["round_id", "simulation_id"], "simulation": ["simulation_id", "sub_run_id"], "sub_run": ["sub_run_id"]}
+        back = back.join(store.read_runs(name, latest).select(*cols[name]), key)
     return finish(back.select("run_id", "round_id", "variant_id", "assay_score"))
 
 
+def stored_log(spark, log) -> RS.RunLogStore:
+    """The bound run log, written to a new store with ``run_id`` in every table."""
+    store = RS.RunLogStore(spark, scratch(spark, "runlog"))
+    sim = log.simulation.join(log.sub_run.select("sub_run_id", "run_id"), "sub_run_id")
+    rnd = log.round.join(sim.select("simulation_id", "run_id"), "simulation_id")
+    of_round = lambda t: t.join(rnd.select("round_id", "run_id"), "round_id")
+    for name, df in (("run", log.run), ("sub_run", log.sub_run), ("simulation", sim), ("round", rnd),
+                     ("round_acquired_variant", of_round(log.acquired_variant)),
+                     ("last_round_score", log.last_round_score.join(sim.select("simulation_id", "run_id"), "simulation_id"))):
+        store.append(name, df, "all")
+    top = of_round(log.top_variant)
+    for batch, part in (("low", F.col("run_id") < 3), ("high", F.col("run_id") >= 3), ("high", F.col("run_id") >= 3)):
+        store.append("round_top_variant", top.filter(part), batch)
+    return store
+
+
 _DIM_SQL = """dim AS (SELECT dataset_name AS name, 'G' || regexp_extract(dataset_name, '#(\\d+)', 1) AS gene_symbol,
                  wt_sequence, 1.0::DOUBLE AS wt_assay_score FROM b_dataset
           WHERE CAST(regexp_extract(dataset_name, '#(\\d+)', 1) AS INTEGER) % 2 = 0),
@@ -200,11 +215,16 @@ def _dim_frames(spark, d):
 
 @register("S12", rounded(with_("b_dataset", extra={}) + ", " + _DIM_SQL + """
 SELECT coalesce(dim.name, upd.name) AS name, coalesce(dim.gene_symbol, upd.gene_symbol, coalesce(dim.name, upd.name)) AS gene_symbol,
-       coalesce(upd.wt_sequence, dim.wt_sequence) AS wt_sequence, coalesce(upd.wt_assay_score, dim.wt_assay_score) AS wt_assay_score
+       CASE WHEN upd.name IS NULL THEN dim.wt_sequence ELSE upd.wt_sequence END AS wt_sequence,
+       CASE WHEN upd.name IS NULL THEN dim.wt_assay_score ELSE upd.wt_assay_score END AS wt_assay_score
 FROM dim FULL OUTER JOIN upd ON dim.name = upd.name""", "wt_assay_score"))
 def q_s12(spark, d):
+    """The stored dimension is updated in place and read back."""
     dim, upd = _dim_frames(spark, d)
-    return finish(RS.upsert_dataset(dim, upd))
+    store = RS.RunLogStore(spark, scratch(spark, "dim"))
+    store.append("dataset", dim, "first")
+    store.replace("dataset", RS.upsert_dataset(store.read("dataset"), upd))
+    return finish(store.read("dataset"))
 
 
 @register("S13", rounded(with_("b_variant") + """SELECT dataset_name AS assay_source, variant_id, assay_score,
@@ -216,7 +236,10 @@ def q_s13(spark, d):
     a = v.filter(F.col("part_id") % 2 == 0).select(F.col("dataset_name").alias("assay_source"), "variant_id",
                                                    "assay_score", (F.col("part_id") % 2).cast("int").alias("class_label"))
     b = v.filter(F.col("part_id") % 2 == 1).select(F.col("dataset_name").alias("assay_source"), "variant_id", "assay_score")
-    return finish(RS.append_activity(a, b))
+    store = RS.RunLogStore(spark, scratch(spark, "activity"))
+    store.append("variant_assay_activity", RS.append_activity(a.limit(0), a), "1")
+    store.append("variant_assay_activity", RS.append_activity(a.limit(0), b), "2")
+    return finish(store.read("variant_assay_activity"))
 
 
 def _headers(spark, d):
@@ -232,7 +255,9 @@ def q_s14(spark, d):
     """Header append with default insert time (checked as present, not by value)."""
     h = _headers(spark, d)
     empty = h.limit(0).withColumn("insert_ts", F.lit(None).cast("timestamp"))
-    out = RS.append_assay_header(empty, h)
+    store = RS.RunLogStore(spark, scratch(spark, "header"))
+    store.append("variant_assay", RS.append_assay_header(empty, h), "1")
+    out = store.read("variant_assay")
     return finish(out.select("assay_source", "protein_symbol", F.col("insert_ts").isNotNull().alias("has_insert_ts")))
 
 

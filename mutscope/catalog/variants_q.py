@@ -376,17 +376,16 @@ def q_p13(spark, d):
     return finish(lab.filter(F.col("gene_symbol") == "EN").select("variant_id", "label"))
 
 
-@register("P14", """SELECT n_name AS dataset_name, coalesce(s.gene, n_name) AS gene_symbol FROM nation
-LEFT JOIN (SELECT n_nationkey AS k, 'GENE' || CAST(n_nationkey AS VARCHAR) AS gene FROM nation
-           WHERE n_nationkey % 2 = 0) s ON n_nationkey = s.k""")
+@register("P14", with_("b_dataset") + """SELECT dataset_name,
+  CASE WHEN CAST(regexp_extract(dataset_name, '#(\\d+)', 1) AS INTEGER) % 2 = 0
+       THEN 'GENE' || regexp_extract(dataset_name, '#(\\d+)', 1) ELSE dataset_name END AS gene_symbol FROM b_dataset""")
 def q_p14(spark, d):
-    """Gene symbol per dataset, defaulting to the dataset name (left join + coalesce)."""
-    n = table(spark, d, "nation")
-    genes = n.filter(F.col("n_nationkey") % 2 == 0).select(
-        F.col("n_nationkey").alias("k"), F.concat(F.lit("GENE"), F.col("n_nationkey").cast("string")).alias("gene"))
-    j = n.join(genes, n.n_nationkey == genes.k, "left")
-    return finish(j.select(F.col("n_name").alias("dataset_name"),
-                           F.coalesce("gene", "n_name").alias("gene_symbol")))
+    """Gene symbol per dataset; every second one is in the map, twice."""
+    ds = B.datasets(spark, d)
+    no = F.regexp_extract("dataset_name", r"#(\d+)", 1)
+    genes = ds.filter(no.cast("int") % 2 == 0).select("dataset_name", F.concat(F.lit("GENE"), no).alias("gene_symbol"))
+    again = genes.withColumn("gene_symbol", F.concat("gene_symbol", F.lit("b")))
+    return finish(V.gene_symbol(ds, genes.unionByName(again)))
 
 
 @register("P16", rounded(WV() + "SELECT part_id, -assay_score AS clinical_score FROM b_variant", "clinical_score"))

@@ -1,87 +1,94 @@
-"""Feature jobs on token embeddings (M8–M11, M13) and embedding tables.
+"""Feature jobs on token embeddings (M8–M13) and embedding tables.
 
-Token embeddings are a *long* table ``(seq_id, pos, dim, value)`` — no
-padding exists, so masks are unnecessary; every pooling is a keyed
-aggregation.  Window membership is computed per token (which windows cover
-position p) and exploded, so no token × window join is needed.
+Token embeddings are rows ``(seq_id, pos, vec ARRAY<DOUBLE>)`` — no padding
+exists, so masks are unnecessary.  Pooling and statistics sum whole vectors
+(``Summarizer``), never one row per number.  Window membership is computed
+per token (which windows cover position p) and exploded, so no token × window
+join is needed.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..util import materialize
+from .selection import seeded_hash
 
 # Value of an empty max-pooling window: the most negative float32 (fixed value).
 EMPTY_MAX = -3.4028234663852886e38
 
 
-def tokens_from_flat(df: DataFrame, id_col: str, vec_col: str, n_tokens: int, dim: int,
-                     length=None) -> DataFrame:
-    """Reshape a flat vector (n_tokens·dim) into the long token table; an
-    optional ``length`` column keeps only the first ``length`` tokens."""
-    t = df.select(F.col(id_col).alias("seq_id"), vec_col,
-                  *([length.alias("_len")] if length is not None else []),
-                  F.explode(F.sequence(F.lit(0), F.lit(n_tokens - 1))).alias("pos"))
-    if length is not None:
-        t = t.filter(F.col("pos") < F.col("_len"))
-    t = t.select("seq_id", "pos", F.posexplode(
-        F.slice(vec_col, F.col("pos") * dim + 1, dim)).alias("dim", "value"))
-    return t.withColumn("value", F.col("value").cast("double"))
+def tokens_from_flat(df: DataFrame, seq: Column, first_pos: Column, vec_col: str, n_tokens: int, dim: int) -> DataFrame:
+    """Reshape flat vectors (n_tokens·dim numbers) into token rows; a sequence
+    may go on over several rows, ``first_pos`` is a row's first position."""
+    t = df.select(seq.alias("seq_id"), first_pos.alias("_p"), F.col(vec_col).alias("_v"),
+                  F.explode(F.sequence(F.lit(0), F.lit(n_tokens - 1))).alias("_t"))
+    vec = F.slice("_v", F.col("_t") * dim + 1, F.lit(dim)).cast("array<double>")
+    return t.select("seq_id", (F.col("_p") + F.col("_t")).cast("int").alias("pos"), vec.alias("vec"))
 
 
-def _assemble(df: DataFrame, keys, order_cols, value: str = "value", out: str = "vector") -> DataFrame:
-    """Collect (order…, value) per key into an array sorted by the order
-    columns (bounded: one vector per key)."""
-    s = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col(value).alias("_v"))))
-    return df.groupBy(*keys).agg(F.transform(s, lambda x: x["_v"]).alias(out))
+def tokens_from_long(df: DataFrame) -> DataFrame:
+    """Token rows from a table of single numbers (seq_id, pos, dim, value)."""
+    s = F.array_sort(F.collect_list(F.struct("dim", "value")))
+    return df.groupBy("seq_id", "pos").agg(F.transform(s, lambda x: x["value"]).alias("vec"))
+
+
+def _pooled(how: str) -> Column:
+    return vector_to_array((Summarizer.mean if how == "mean" else Summarizer.max)(array_to_vector("vec")))
 
 
 def pool_mean(tokens: DataFrame) -> DataFrame:
     """M8: mean over a sequence's tokens, per dimension."""
-    m = tokens.groupBy("seq_id", "dim").agg(F.avg("value").alias("value"))
-    return _assemble(m, ["seq_id"], ["dim"])
+    return tokens.groupBy("seq_id").agg(_pooled("mean").alias("vector"))
 
 
 def pool_first(tokens: DataFrame) -> DataFrame:
     """M9: the first token's vector."""
-    return _assemble(tokens.filter(F.col("pos") == 0), ["seq_id"], ["dim"])
+    return tokens.filter(F.col("pos") == 0).select("seq_id", F.col("vec").alias("vector"))
 
 
 def _lengths(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("seq_id").agg((F.max("pos") + 1).alias("len"),
-                                        F.countDistinct("dim").alias("n_dim"))
+    return tokens.groupBy("seq_id").agg((F.max("pos") + 1).alias("len"))
+
+
+def _pool_segments(t: DataFrame, segments: int, how: str) -> DataFrame:
+    """One vector per (seq_id, seg), then the segments of a sequence in order;
+    a segment without tokens reads 0 (mean) or ``EMPTY_MAX`` (max)."""
+    pooled = t.groupBy("seq_id", "seg").agg(_pooled(how).alias("v"))
+    by_seg = F.map_from_entries(F.collect_list(F.struct(F.col("seg").cast("int"), "v")))
+    out = pooled.groupBy("seq_id").agg(by_seg.alias("m"), F.max(F.size("v")).alias("d"))
+    empty = F.array_repeat(F.lit(0.0 if how == "mean" else EMPTY_MAX), F.col("d"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)),
+                         lambda s: F.coalesce(F.try_element_at("m", s), empty))
+    return out.select("seq_id", F.flatten(vector).alias("vector"))
+
+
+def _windows(tokens: DataFrame, segments: int, overlap: float) -> DataFrame:
+    """Tokens with their sequence's length, window width and stride."""
+    w = F.greatest(F.lit(1), F.floor(F.col("len") / segments)).cast("long")
+    stride = F.greatest(F.lit(1).cast("long"), w - F.floor(w * F.lit(float(overlap))).cast("long"))
+    geo = _lengths(tokens).select("seq_id", "len", w.alias("w"), stride.alias("stride"))
+    return tokens.join(geo, "seq_id")
 
 
 def pool_windows(tokens: DataFrame, segments: int = 8, overlap: float = 0.5, how: str = "mean") -> DataFrame:
     """Adaptive windows per sequence length L — w = max(1, L div S),
     stride = max(1, w − trunc(w·f)), window s = [s·stride, min(s·stride+w, L)).
-    Output: S·D values, segment-major.  Empty windows read 0 (mean) or
-    ``EMPTY_MAX`` (max); with overlap the tail beyond the last window is not
-    covered (as in the reference)."""
-    lens = _lengths(tokens)
-    w = F.greatest(F.lit(1), F.floor(F.col("len") / segments)).cast("long")
-    ov = F.floor(w * F.lit(float(overlap))).cast("long")
-    stride = F.greatest(F.lit(1).cast("long"), w - ov)
-    geo = lens.select("seq_id", "len", "n_dim", w.alias("w"), stride.alias("stride"))
-    t = tokens.join(geo, "seq_id")
+    Output: S·D values, segment-major.  With overlap the tail beyond the last
+    window is not covered (as in the reference)."""
+    t = _windows(tokens, segments, overlap)
     s_lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("w") + 1) / F.col("stride")))
     s_hi = F.least(F.lit(segments - 1), F.floor(F.col("pos") / F.col("stride")))
-    t = t.filter(s_lo <= s_hi).select("seq_id", "dim", "value",
-                                      F.explode(F.sequence(s_lo.cast("int"), s_hi.cast("int"))).alias("seg"))
-    agg = F.avg("value") if how == "mean" else F.max("value")
-    pooled = t.groupBy("seq_id", "seg", "dim").agg(agg.alias("value"))
-    grid = geo.select("seq_id", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("seg"),
-                      F.explode(F.sequence(F.lit(0), F.col("n_dim") - 1)).alias("dim"))
-    empty = F.lit(0.0) if how == "mean" else F.lit(EMPTY_MAX)
-    full = grid.join(pooled, ["seq_id", "seg", "dim"], "left").withColumn(
-        "value", F.coalesce("value", empty))
-    return _assemble(full, ["seq_id"], ["seg", "dim"])
+    t = t.filter(s_lo <= s_hi).select("seq_id", "vec", F.explode(F.sequence(s_lo.cast("int"), s_hi.cast("int"))).alias("seg"))
+    return _pool_segments(t, segments, how)
 
 
 def pool_windows_fixed(tokens: DataFrame, segments: int = 8, overlap: float = 0.5, how: str = "mean") -> DataFrame:
@@ -93,72 +100,103 @@ def pool_windows_fixed(tokens: DataFrame, segments: int = 8, overlap: float = 0.
     into the windows covering it (two index ranges), so tokens are never
     paired with every window of their sequence.
     """
-    lens = _lengths(tokens)
-    w = F.greatest(F.lit(1), F.floor(F.col("len") / segments)).cast("long")
-    ov = F.floor(w * F.lit(float(overlap))).cast("long")
-    stride = F.greatest(F.lit(1).cast("long"), w - ov)
-    geo = lens.select("seq_id", "len", w.alias("w"), stride.alias("stride"))
-    geo = geo.withColumn("s_c", F.least(F.lit(segments).cast("long"),
-                                        F.floor((F.col("len") - F.col("w")) / F.col("stride")).cast("long") + 1))
-    t = tokens.join(geo, "seq_id")
+    t = _windows(tokens, segments, overlap)
+    t = t.withColumn("s_c", F.least(F.lit(segments).cast("long"),
+                                    F.floor((F.col("len") - F.col("w")) / F.col("stride")).cast("long") + 1))
     lo1 = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("pos") - F.col("w") + 1) / F.col("stride")).cast("long"))
     hi1 = F.least(F.col("s_c") - 1, F.floor(F.col("pos") / F.col("stride")).cast("long"))
-    empty = F.array().cast("array<long>")
-    first = F.when(lo1 <= hi1, F.sequence(lo1, hi1)).otherwise(empty)
+    none = F.array().cast("array<long>")
+    first = F.when(lo1 <= hi1, F.sequence(lo1, hi1)).otherwise(none)
     shifted = F.when((F.col("pos") >= F.col("len") - F.col("w")) & (F.col("s_c") <= segments - 1),
-                     F.sequence(F.col("s_c"), F.lit(segments - 1).cast("long"))).otherwise(empty)
-    t = t.select("seq_id", "dim", "value", F.explode(F.array_union(first, shifted)).alias("seg"))
-    agg = F.avg("value") if how == "mean" else F.max("value")
-    pooled = t.groupBy("seq_id", "seg", "dim").agg(agg.alias("value"))
-    return _assemble(pooled, ["seq_id"], ["seg", "dim"])
+                     F.sequence(F.col("s_c"), F.lit(segments - 1).cast("long"))).otherwise(none)
+    t = t.select("seq_id", "vec", F.explode(F.array_union(first, shifted)).alias("seg"))
+    return _pool_segments(t, segments, how)
+
+
+# ---------------------------------------------------------------- mixtures and Fisher vectors
 
+def _components(weights, means, variances) -> Column:
+    """The mixture's components as one array literal."""
+    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    return F.array(*[F.struct(F.lit(float(w)).alias("w"), arr(m).alias("mu"), arr(v).alias("var"))
+                     for w, m, v in zip(weights, means, variances)])
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def with_posteriors(tokens: DataFrame, weights, means, variances) -> DataFrame:
+    """Tokens with ``gamma`` (posterior of each component) and ``ll``
+    (log-likelihood), by log-sum-exp within the row."""
+    quad = lambda p: _total(F.zip_with("vec", F.arrays_zip(p["mu"].alias("mu"), p["var"].alias("var")),
+                                       lambda x, q: F.log(2 * math.pi * q["var"]) + (x - q["mu"]) * (x - q["mu"]) / q["var"]))
+    t = tokens.withColumn("_logp", F.transform(_components(weights, means, variances), lambda p: F.log(p["w"]) - 0.5 * quad(p)))
+    t = t.withColumn("_m", F.array_max("_logp"))
+    t = t.withColumn("ll", F.col("_m") + F.log(_total(F.transform("_logp", lambda v: F.exp(v - F.col("_m"))))))
+    return t.withColumn("gamma", F.transform("_logp", lambda v: F.exp(v - F.col("ll")))).drop("_logp", "_m")
 
-# ---------------------------------------------------------------- Fisher vectors
 
 def fisher_vectors(tokens: DataFrame, weights, means, variances, normalize: bool = True) -> DataFrame:
     """Fisher-vector encoding against a diagonal mixture (K components).
 
-    Posteriors use log-sum-exp per token; first/second-order statistics are
-    summed per (sequence, component, dim), divided by L·√π_k; then signed
-    square root and L2 normalisation.  Output length 2·K·D
-    (first-order block, then second-order block; component-major).
+    Each token gives one vector of its first- and second-order statistics;
+    these are summed per sequence, divided by L·√π_k; then signed square root
+    and L2 normalisation.  Output length 2·K·D (first-order block, then
+    second-order block; component-major).
+    """
+    t = with_posteriors(tokens, weights, means, variances)
+    comps = _components(weights, means, variances)
+
+    def block(stat):
+        per = F.zip_with("gamma", comps, lambda g, p: F.zip_with(
+            "vec", F.arrays_zip(p["mu"].alias("mu"), p["var"].alias("var")), lambda x, q: g * stat(x - q["mu"], q["var"])))
+        return F.flatten(per)
+
+    stats = F.concat(block(lambda d, v: d / v), block(lambda d, v: d * d / v - 1))
+    sums = (t.select("seq_id", array_to_vector(stats).alias("_s")).groupBy("seq_id")
+            .agg(vector_to_array(Summarizer.sum(F.col("_s"))).alias("_s"), F.count(F.lit(1)).alias("L")))
+    scale = [math.sqrt(w) for w in weights for _ in range(len(means[0]))] * 2
+    fv = F.zip_with("_s", F.array(*[F.lit(x) for x in scale]), lambda s, r: s / (F.col("L") * r))
+    if not normalize:
+        return sums.select("seq_id", fv.alias("fisher_vector"))
+    out = sums.select("seq_id", F.transform(fv, lambda v: F.signum(v) * F.sqrt(F.abs(v))).alias("_f"))
+    norm = F.sqrt(_total(F.transform("_f", lambda v: v * v)))
+    return (out.withColumn("_n", norm).select("seq_id", F.transform(
+        "_f", lambda v: F.when(F.col("_n") > 0, v / F.col("_n")).otherwise(v)).alias("fisher_vector")))
+
+
+def fit_gmm(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 50, tolerance: float = 1e-4,
+            floor: float = 1e-6) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """Diagonal Gaussian mixture over token vectors by EM; (weights, means, variances).
+
+    Each iteration is one aggregation: a token's posterior-weighted moments
+    form one vector, and their sum (K·(1 + 2D) numbers) comes to the driver.
+    Starts from the k tokens that come first by a seeded hash, with the
+    overall variances; ends when the mean log-likelihood rises by less than
+    ``tolerance``.  Reduce the vectors first (``fit_pca``) for a mixture in
+    fewer dimensions.
     """
-    K = len(weights)
-    params = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(weights[k])).alias("w"),
-                                F.array(*[F.lit(float(v)) for v in means[k]]).alias("mu"),
-                                F.array(*[F.lit(float(v)) for v in variances[k]]).alias("var"))
-                       for k in range(K)])
-    vec = _assemble(tokens, ["seq_id", "pos"], ["dim"], out="x")
-    comp = vec.select("seq_id", "pos", "x", F.inline(params))
-    quad = F.aggregate(F.zip_with("x", F.arrays_zip("mu", "var"),
-                                  lambda xi, mv: F.log(F.lit(2 * math.pi) * mv["var"])
-                                  + (xi - mv["mu"]) * (xi - mv["mu"]) / mv["var"]),
-                       F.lit(0.0), lambda a, b: a + b)
-    comp = comp.withColumn("logp", F.log("w") - 0.5 * quad)
-    wtok = Window.partitionBy("seq_id", "pos")
-    mx = F.max("logp").over(wtok)
-    comp = comp.withColumn("_m", mx)
-    comp = comp.withColumn("_lse", F.col("_m") + F.log(F.sum(F.exp(F.col("logp") - F.col("_m"))).over(wtok)))
-    comp = comp.withColumn("gamma", F.exp(F.col("logp") - F.col("_lse")))
-    per_dim = comp.select("seq_id", "pos", "k", "w", "gamma",
-                          F.posexplode(F.arrays_zip("x", "mu", "var")).alias("dim", "xm"))
-    diff = F.col("xm.x") - F.col("xm.mu")
-    per_dim = per_dim.select("seq_id", "k", "w", "dim",
-                             (F.col("gamma") * diff / F.col("xm.var")).alias("t1"),
-                             (F.col("gamma") * (diff * diff / F.col("xm.var") - 1)).alias("t2"))
-    lens = tokens.groupBy("seq_id").agg(F.countDistinct("pos").alias("L"))
-    sums = per_dim.groupBy("seq_id", "k", "w", "dim").agg(F.sum("t1").alias("s1"), F.sum("t2").alias("s2"))
-    sums = sums.join(lens, "seq_id")
-    scale = F.col("L") * F.sqrt("w")
-    long = (sums.select("seq_id", "k", "dim", F.lit(0).alias("order"), (F.col("s1") / scale).alias("value"))
-            .unionByName(sums.select("seq_id", "k", "dim", F.lit(1).alias("order"),
-                                     (F.col("s2") / scale).alias("value"))))
-    if normalize:
-        long = long.withColumn("value", F.signum("value") * F.sqrt(F.abs("value")))
-        norm = long.groupBy("seq_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n"))
-        long = long.join(norm, "seq_id").withColumn(
-            "value", F.when(F.col("_n") > 0, F.col("value") / F.col("_n")).otherwise(F.col("value")))
-    return _assemble(long, ["seq_id"], ["order", "k", "dim"], out="fisher_vector")
+    t = materialize(tokens.select("seq_id", "pos", "vec"), "tokens")
+    whole = t.agg(Summarizer.variance(array_to_vector("vec")).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    n, var = whole["n"], np.maximum(whole["v"].toArray(), floor)
+    order = seeded_hash(F.lit(seed), F.concat_ws(":", "seq_id", "pos"))
+    first = t.select("vec", order.alias("h"), "seq_id", "pos").orderBy("h", "seq_id", "pos").limit(k).collect()
+    w, mu, s2 = np.full(k, 1 / k), np.array([r["vec"] for r in first]), np.tile(var, (k, 1))
+    last = -math.inf
+    for _ in range(max_iter):
+        p = with_posteriors(t, w.tolist(), mu.tolist(), s2.tolist())
+        moments = F.flatten(F.transform("gamma", lambda g: F.concat(
+            F.array(g), F.transform("vec", lambda x: g * x), F.transform("vec", lambda x: g * x * x))))
+        r = p.agg(Summarizer.sum(array_to_vector(moments)).alias("s"), F.avg("ll").alias("ll")).first()
+        m = r["s"].toArray().reshape(k, -1)
+        g, d = np.maximum(m[:, :1], 1e-300), mu.shape[1]
+        w, mu = m[:, 0] / n, m[:, 1:1 + d] / g
+        s2 = np.maximum(m[:, 1 + d:] / g - mu * mu, floor)
+        if r["ll"] - last < tolerance:
+            break
+        last = r["ll"]
+    return w.tolist(), mu.tolist(), s2.tolist()
 
 
 # ---------------------------------------------------------------- MLlib-backed jobs
@@ -180,25 +218,28 @@ def scale_features(df: DataFrame, array_col: str, with_mean: bool = True) -> Dat
     return out.drop("_f", "_s")
 
 
-def pca_features(df: DataFrame, array_col: str, k: int) -> DataFrame | None:
-    """M1: PCA to k dimensions on centred features (MLlib's PCA does not
-    centre at transform); skipped (None) when k > n − 1.  The fitted model
-    is reusable on any later frame through ``transform``."""
-    n = df.count()
-    if k > n - 1:
-        return None
-    v = to_vector(df, array_col, "_f")
-    centred = StandardScaler(inputCol="_f", outputCol="_c", withMean=True, withStd=False).fit(v).transform(v)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    return model.transform(centred).withColumn("pca", vector_to_array("_p")).drop("_f", "_c", "_p")
+class FittedPca:
+    """M1: centring and projection fitted once, applied to any later frame."""
+
+    def __init__(self, centre, model, array_col: str):
+        self.centre, self.model, self.array_col = centre, model, array_col
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``pca``; the unchanged vector where the fit was skipped."""
+        if self.model is None:
+            return df.withColumn("pca", F.col(self.array_col).cast("array<double>"))
+        out = self.model.transform(self.centre.transform(to_vector(df, self.array_col, "_f")))
+        return out.withColumn("pca", vector_to_array("_p")).drop("_f", "_c", "_p")
 
-def fit_gmm(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 100):
-    """Gaussian mixture over residue vectors (MLlib, full covariance;
-    ``diag_params`` extracts the diagonal for Fisher vectors)."""
-    vec = _assemble(tokens, ["seq_id", "pos"], ["dim"], out="x")
-    v = vec.withColumn("features", array_to_vector("x"))
-    return GaussianMixture(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(v)
+
+def fit_pca(df: DataFrame, array_col: str, k: int) -> FittedPca:
+    """M1: PCA to k dimensions on centred features (MLlib's PCA does not centre
+    at transform); skipped when k > n − 1."""
+    if k > df.count() - 1:
+        return FittedPca(None, None, array_col)
+    v = to_vector(df, array_col, "_f")
+    centre = StandardScaler(inputCol="_f", outputCol="_c", withMean=True, withStd=False).fit(v)
+    return FittedPca(centre, PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(v)), array_col)
 
 
 def diag_params(model) -> tuple[list[float], list[list[float]], list[list[float]]]:

@@ -74,14 +74,20 @@ def fit_bagged_ridge(df: DataFrame, features: str, label: str, id_col: str, memb
     """M4: ``members`` ridge models on Poisson(1) bootstrap weights.
 
     MLlib's objective is 1/(2n)·Σw(y−ŷ)² + λ/2·‖β‖² with the label scaled by
-    its σ; ``regParam = α·σ_pop(y)/n`` reproduces scikit-learn's α‖β‖².
+    its σ; ``regParam = α·σ_pop(y)/n`` reproduces scikit-learn's α‖β‖², with
+    n and σ weighted as the member is (one pass for all members).
     """
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
-    n, sd = st["n"], st["sd"] or 1.0
+    weight = [poisson1(seeded_uniform(F.lit(seed * 1000 + m), id_col)) for m in range(members)]
+    y = F.col(label).cast("double")
+    mean = df.agg(F.avg(y)).first()[0] or 0.0
+    st = df.agg(*[F.sum(x).alias(f"{n}{m}") for m, w in enumerate(weight)
+                  for n, x in (("w", w), ("y", w * (y - mean)), ("q", w * (y - mean) * (y - mean)))]).first()
     v = df.withColumn("_f", array_to_vector(F.col(features).cast("array<double>")))
     models = []
     for m in range(members):
-        w = v.withColumn("_w", poisson1(seeded_uniform(F.lit(seed * 1000 + m), id_col)))
+        n = st[f"w{m}"] or 1.0
+        sd = math.sqrt(max((st[f"q{m}"] or 0.0) / n - ((st[f"y{m}"] or 0.0) / n) ** 2, 0.0)) or 1.0
+        w = v.withColumn("_w", weight[m])
         lr = LinearRegression(featuresCol="_f", labelCol=label, weightCol="_w", elasticNetParam=0.0,
                               regParam=alpha * sd / n, standardization=False, solver="normal")
         models.append(lr.fit(w))

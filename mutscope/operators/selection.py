@@ -123,6 +123,13 @@ def top_k(df: DataFrame, k: int, keys, score: str, id_col: str = "id", out: str
     return r if out else r.drop(rn)
 
 
+def top_predicted(df: DataFrame, n: int, keys, score: str = "score", id_col: str = "id",
+                  keep_all: bool = False) -> DataFrame:
+    """The n best predicted rows per group (train and remaining alike), or
+    every row with ``keep_all`` (runs that save all predictions)."""
+    return df if keep_all else top_k(df, n, keys, score, id_col)
+
+
 def select_batch(df: DataFrame, n_acq: int, n_pred: int, keys, acq: str = "acquisition_score",
                  pred: str = "score", id_col: str = "id") -> DataFrame:
     """Top-``n_acq`` by acquisition; then the top-(n_acq+n_pred) by

@@ -189,3 +189,14 @@ def ensure_wt(records: DataFrame, wt: DataFrame, key: str = "dataset_name") -> D
     has = records.filter(F.col("record_id") == "WT").select(key)
     missing = wt.join(has, key, "left_anti")
     return records.unionByName(missing, allowMissingColumns=True)
+
+
+def gene_symbol(datasets: DataFrame, genes: DataFrame) -> DataFrame:
+    """Gene symbol of every dataset, by default the dataset's name.
+
+    ``genes`` holds dataset_name and gene_symbol; of several symbols the first
+    by name counts.
+    """
+    g = genes.groupBy("dataset_name").agg(F.min("gene_symbol").alias("_gene"))
+    return (datasets.select("dataset_name").join(g, "dataset_name", "left")
+            .select("dataset_name", F.coalesce("_gene", "dataset_name").alias("gene_symbol")))

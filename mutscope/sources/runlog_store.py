@@ -1,8 +1,11 @@
 """Run-log storage and dimension maintenance.
 
-The run log is a set of Parquet tables; detail tables carry ``run_id`` and
-are partitioned by it, so per-run reads prune partitions.  Appends are
-batch writes (the reference commits one row at a time).
+The store is a set of Parquet tables.  A table with ``run_id`` is partitioned
+by it, so per-run reads prune partitions and a purge removes whole folders.
+Every append is one batch (the reference commits one row at a time) under a
+batch name, which is the innermost partition: writing a batch again replaces
+its own files and nothing else, so a failed or retried append leaves no
+second copy.  Streaming micro-batches use the same layout.
 """
 
 from __future__ import annotations
@@ -11,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..util import bounded_broadcast
+from ..util import bounded_broadcast, materialize
 
-TABLES = ("run", "sub_run", "simulation", "round", "round_acquired_variant",
-          "round_top_variant", "last_round_score")
+RUN_TABLES = ("run", "sub_run", "simulation", "round", "round_acquired_variant",
+              "round_top_variant", "last_round_score")
+TABLES = (*RUN_TABLES, "dataset", "variant_assay", "variant_assay_activity")
+BATCH = "batch"
 
 
 class RunLogStore:
-    """Read / append the run-log tables under one root folder."""
+    """The stored tables under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -28,20 +33,44 @@ class RunLogStore:
             raise KeyError(name)
         return f"{self.root}/{name}"
 
-    def append(self, name: str, df: DataFrame, partition_by: str | None = "run_id"):
-        w = df.write.mode("append")
-        if partition_by and partition_by in df.columns:
-            w = w.partitionBy(partition_by)
-        w.parquet(self.path(name))
+    def append(self, name: str, df: DataFrame, batch: str):
+        """Add rows as batch ``batch``; the same batch written again replaces itself.
+
+        A batch written again must cover the runs it covered before.
+        """
+        by = [c for c in ("run_id",) if c in df.columns]
+        (df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*by, BATCH).parquet(self.path(name)))
+
+    def replace(self, name: str, df: DataFrame):
+        """The table's new content, which may be computed from its present one."""
+        new = materialize(df, f"store-{name}")
+        self._drop(self.path(name))
+        self.append(name, new, "all")
+
+    def _drop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def purge(self, keep: DataFrame):
+        """U4: remove all rows of runs that are not in ``keep`` (run_id), by
+        deleting the runs' folders; a purge that broke off is just run again.
+        Runs are a configuration table, so their ids fit the driver."""
+        keep_ids = {r["run_id"] for r in keep.select("run_id").distinct().collect()}
+        for name in RUN_TABLES:
+            stored = self.spark.read.parquet(self.path(name)).select("run_id").distinct().collect()
+            for r in stored:
+                if r["run_id"] not in keep_ids:
+                    value = "__HIVE_DEFAULT_PARTITION__" if r["run_id"] is None else r["run_id"]
+                    self._drop(f"{self.path(name)}/run_id={value}")
 
     def read_runs(self, name: str, runs: DataFrame) -> DataFrame:
         """Rows of the given runs (a DataFrame of run ids): a semi join on the
         partition column, which Spark turns into runtime partition pruning."""
-        return self.spark.read.parquet(self.path(name)).join(bounded_broadcast(runs.select("run_id").distinct()),
-                                                            "run_id", "left_semi")
+        return self.read(name).join(bounded_broadcast(runs.select("run_id").distinct()), "run_id", "left_semi")
 
     def read(self, name: str, run_ids=None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name)).drop(BATCH)
         if run_ids is not None:
             df = df.filter(F.col("run_id").isin(list(run_ids)))
         return df
@@ -49,16 +78,14 @@ class RunLogStore:
 
 def upsert_dataset(dim: DataFrame, updates: DataFrame) -> DataFrame:
     """Dataset dimension upsert by name — new names are inserted with
-    gene_symbol defaulting to the name; existing rows get the new WT fields
-    (a NULL in the update keeps the old value)."""
+    gene_symbol defaulting to the name; existing rows get the update's WT
+    fields, NULLs included."""
     u = updates.select("name", F.col("gene_symbol").alias("u_gene"), F.col("wt_sequence").alias("u_seq"),
-                       F.col("wt_assay_score").alias("u_score"))
+                       F.col("wt_assay_score").alias("u_score"), F.lit(True).alias("u"))
     j = dim.join(u, "name", "full")
-    return j.select(
-        "name",
-        F.coalesce("gene_symbol", "u_gene", "name").alias("gene_symbol"),
-        F.coalesce("u_seq", "wt_sequence").alias("wt_sequence"),
-        F.coalesce("u_score", "wt_assay_score").alias("wt_assay_score"))
+    new = lambda value, old: F.when(F.col("u"), F.col(value)).otherwise(F.col(old)).alias(old)
+    return j.select("name", F.coalesce("gene_symbol", "u_gene", "name").alias("gene_symbol"),
+                    new("u_seq", "wt_sequence"), new("u_score", "wt_assay_score"))
 
 
 def append_activity(existing: DataFrame, new_rows: DataFrame) -> DataFrame:

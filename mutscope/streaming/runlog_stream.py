@@ -5,9 +5,9 @@ that a running simulation appends rows to the run log as rounds finish and
 updates the run row when it ends.  These two helpers express exactly that
 on a stream of log rows:
 
-* ``sink_to_store`` — each micro-batch is written to its own batch folder
-  (overwrite by batch id, so a retried batch replaces itself: idempotent),
-  partitioned by ``run_id`` like the batch store.
+* ``sink_to_store`` — each micro-batch is a batch of the run-log store, named
+  by its id, so a retried one replaces itself; batch and streaming writes share
+  one table.
 * ``run_state_stream`` — the U5 last-state fold as a streaming aggregation
   (``max_by`` per run id, update mode); state is one row per run.
 """
@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.runlog_store import RunLogStore
 
-def sink_to_store(stream: DataFrame, root: str, table: str, checkpoint: str,
-                  partition_by: str = "run_id", trigger_once: bool = False) -> StreamingQuery:
+
+def sink_to_store(stream: DataFrame, root: str, table: str, checkpoint: str, name: str = "stream",
+                  trigger_once: bool = False) -> StreamingQuery:
+    """``name`` tells the batches of several streams into one table apart."""
     def write_batch(batch: DataFrame, batch_id: int):
-        w = batch.write.mode("overwrite")
-        if partition_by in batch.columns:
-            w = w.partitionBy(partition_by)
-        w.parquet(f"{root.rstrip('/')}/{table}/batch_id={batch_id}")
+        RunLogStore(batch.sparkSession, root).append(table, batch, f"{name}-{batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if trigger_once:

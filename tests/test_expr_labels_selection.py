@@ -107,7 +107,7 @@ def test_window_pooling(spark, length, overlap, how):
     rng = np.random.default_rng(length)
     tok = rng.normal(size=(length, 3))
     rows = [(1, p, d, float(tok[p, d])) for p in range(length) for d in range(3)]
-    df = spark.createDataFrame(rows, "seq_id long, pos int, dim int, value double")
+    df = FT.tokens_from_long(spark.createDataFrame(rows, "seq_id long, pos int, dim int, value double"))
     got = FT.pool_windows(df, 8, overlap, how).first().vector
     assert got == pytest.approx(_pool_brute(tok, 8, overlap, how))
 
@@ -132,7 +132,7 @@ def test_window_pooling_fixed(spark, length, overlap):
     rng = np.random.default_rng(length + 100)
     tok = rng.normal(size=(length, 2))
     rows = [(1, p, d, float(tok[p, d])) for p in range(length) for d in range(2)]
-    df = spark.createDataFrame(rows, "seq_id long, pos int, dim int, value double")
+    df = FT.tokens_from_long(spark.createDataFrame(rows, "seq_id long, pos int, dim int, value double"))
     got = FT.pool_windows_fixed(df, 8, overlap, "mean").first().vector
     assert got == pytest.approx(_pool_fixed_brute(tok, 8, overlap))
 
