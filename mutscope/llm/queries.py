@@ -63,9 +63,13 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_text_model(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
-    pages = page_evidence(table(spark, sf_dir, "pages"))
-    return identify(pages, model, "text", "host", "declared").drop("text")
+    """Documents (host: the source, declaration: ``lang``) and web pages, judged together."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_text_model(docs, "text", "lang", "doc_id")
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("source").alias("host"),
+                       F.col("lang").alias("declared"))
+    pages = page_evidence(table(spark, sf_dir, "pages")).withColumn("doc_id", F.lit(None).cast("long"))
+    return identify(rows.unionByName(pages), model, "text", "host", "declared").drop("text")
 
 
 def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,10 +252,14 @@ def test_held_out_accuracy_and_op7_query(spark):
     out = L.identify(docs.where("doc_id % 2 = 1"), model, "text", "source", "source").collect()
     assert np.mean([r["language"] == r["lang"] for r in out]) >= 0.95
     pages = {p["page_id"]: p for p in spark.read.parquet(f"{SF001}/pages.parquet").collect()}
-    rows = queries.op7_language_fusion(spark, SF001).collect()
-    assert {r["page_id"] for r in rows} == set(pages) and len(rows) == len(pages)
+    found = queries.op7_language_fusion(spark, SF001).collect()
+    told = {d["doc_id"]: d["lang"] for d in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["language"] for r in found if r["page_id"] is None}.keys() == told.keys()
+    assert np.mean([r["language"] == told[r["doc_id"]] for r in found if r["page_id"] is None]) >= 0.95
+    rows = [r for r in found if r["page_id"] is not None]
+    assert {r["page_id"] for r in rows} == set(pages) and len(rows) == len(pages) == len(found) - len(told)
     assert np.mean([f'lang="{r["language"]}"' in pages[r["page_id"]]["html"] for r in rows]) >= 0.95
-    assert np.mean([r["kept"] for r in rows]) >= 0.95
+    assert np.mean([r["kept"] for r in found]) >= 0.95
 
 
 def test_model_without_labels_rejects_everything(spark):
