@@ -189,6 +189,6 @@ def q_m12(spark, d):
 
 @register("M14")
 def q_m14(spark, d):
-    """Bimodal threshold of document lengths (log scale)."""
-    docs = table(spark, d, "documents").select(F.log1p("n_chars").alias("v"))
-    return finish(FT.bimodal_threshold(docs, "v"))
+    """Bimodal threshold of document lengths (log scale) in each language."""
+    docs = table(spark, d, "documents").select("lang", F.log1p("n_chars").alias("v"))
+    return finish(FT.bimodal_threshold(docs, "v", ["lang"]))

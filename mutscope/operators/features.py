@@ -12,14 +12,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util import materialize
+from ..util import bounded_broadcast, materialize, null_safe_join
 from .selection import seeded_hash
 
 # Value of an empty max-pooling window: the most negative float32 (fixed value).
@@ -242,29 +241,56 @@ def fit_pca(df: DataFrame, array_col: str, k: int) -> FittedPca:
     return FittedPca(centre, PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(v)), array_col)
 
 
-def diag_params(model) -> tuple[list[float], list[list[float]], list[list[float]]]:
-    """Weights, means and covariance diagonals of a fitted mixture (K×D, small)."""
-    g = model.gaussians
-    means = [list(map(float, x.mean.toArray())) for x in g]
-    var = [[float(x.cov.toArray()[i, i]) for i in range(len(x.mean))] for x in g]
-    return list(map(float, model.weights)), means, var
-
-
-def bimodal_threshold(df: DataFrame, value: str, seed: int = 42, grid: int = 1000):
-    """Two-component 1-D mixture; the threshold is the density minimum
-    between the two means on a ``grid``-point grid over [min−1, max+1].
-    The grid is a generated DataFrame (sequence + explode), evaluated in Spark."""
-    v = VectorAssembler(inputCols=[value], outputCol="features").transform(df.select(value))
-    model = GaussianMixture(k=2, seed=seed, featuresCol="features").fit(v)
-    w, mu, var = diag_params(model)
-    lo_hi = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    pts = lo_hi.select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"), "lo", "hi").select(
-        ((F.col("lo") - 1) + F.col("i") * ((F.col("hi") + 1) - (F.col("lo") - 1)) / (grid - 1)).alias("x"))
-    dens = None
-    for k in range(2):
-        term = F.lit(w[k]) * F.exp(-(F.col("x") - mu[k][0]) ** 2 / (2 * var[k][0])) / math.sqrt(2 * math.pi * var[k][0])
-        dens = term if dens is None else dens + term
-    m0, m1 = sorted([mu[0][0], mu[1][0]])
-    between = pts.filter((F.col("x") > m0) & (F.col("x") < m1)).withColumn("pdf", dens)
-    return between.agg(F.min_by("x", "pdf").alias("threshold"), F.lit(m0).alias("mean_low"),
-                       F.lit(m1).alias("mean_high"))
+def bimodal_threshold(df: DataFrame, value: str, keys=(), starts: int = 10, iterations: int = 30,
+                      grid: int = 1000, floor: float = 1e-9) -> DataFrame:
+    """Per key a two-component 1-D mixture; the threshold is the density
+    minimum between the two means on a ``grid``-point grid over [min−1, max+1].
+
+    EM runs on counted values for all keys and ``starts`` at once: one
+    aggregation an iteration gives every start's new parameters, the best
+    log-likelihood per key is kept (ties: the first start).  Start s places
+    the means (s + 1)/4 deviations below and above the mean.  A key whose
+    values are all equal has a NULL threshold.
+    """
+    keys = list(keys)
+    g = keys or ["_g"]
+    base = df if keys else df.withColumn("_g", F.lit(0))
+    counts = materialize(base.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("v"))
+                         .agg(F.count(F.lit(1)).alias("n")), "values")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("v")) / F.sum("n")
+    st = counts.groupBy(*g).agg(n.alias("total"), mean.alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    dev = null_safe_join(counts, bounded_broadcast(st), g)
+    spread = dev.groupBy(*g).agg(F.sqrt(F.sum(F.col("n") * (F.col("v") - F.col("m")) ** 2) / F.first("total")).alias("sd"))
+    st = materialize(null_safe_join(st, spread, g).filter("sd > 0"), "moments")
+    away = F.col("sd") * (F.col("s") + 1) / 4
+    p = st.select(*g, "sd", "m", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("s")).select(
+        *g, "s", F.lit(0.5).alias("w"), (F.col("m") - away).alias("a"), (F.col("m") + away).alias("b"),
+        (F.col("sd") ** 2).alias("x"), (F.col("sd") ** 2).alias("y"), F.lit(0.0).alias("ll"))
+    normal = lambda v, mu, var: F.exp(-(v - mu) * (v - mu) / (2 * var)) / F.sqrt(2 * math.pi * var)
+    v, c = F.col("v"), F.col("n")
+    for _ in range(iterations):
+        j = null_safe_join(counts, bounded_broadcast(p), g)
+        j = j.withColumn("fa", F.col("w") * normal(v, F.col("a"), F.col("x")) + 1e-300)
+        j = j.withColumn("fb", (1 - F.col("w")) * normal(v, F.col("b"), F.col("y")) + 1e-300)
+        j = j.withColumn("ra", F.col("fa") / (F.col("fa") + F.col("fb"))).withColumn("rb", 1 - F.col("ra"))
+        t = j.groupBy(*g, "s").agg(
+            F.sum(c * F.col("ra")).alias("na"), F.sum(c * F.col("rb")).alias("nb"),
+            F.sum(c * F.col("ra") * v).alias("sa"), F.sum(c * F.col("rb") * v).alias("sb"),
+            F.sum(c * F.col("ra") * v * v).alias("qa"), F.sum(c * F.col("rb") * v * v).alias("qb"),
+            F.sum(c * F.log(F.col("fa") + F.col("fb"))).alias("ll"))
+        t = t.withColumn("na", F.greatest("na", F.lit(1e-12))).withColumn("nb", F.greatest("nb", F.lit(1e-12)))
+        a, b = F.col("sa") / F.col("na"), F.col("sb") / F.col("nb")
+        p = materialize(t.select(
+            *g, "s", (F.col("na") / (F.col("na") + F.col("nb"))).alias("w"), a.alias("a"), b.alias("b"),
+            F.greatest(F.col("qa") / F.col("na") - a * a, F.lit(floor)).alias("x"),
+            F.greatest(F.col("qb") / F.col("nb") - b * b, F.lit(floor)).alias("y"), "ll"), "mixture")
+    best = p.groupBy(*g).agg(F.max_by(F.struct("w", "a", "b", "x", "y"), F.struct("ll", -F.col("s"))).alias("p")).select(*g, "p.*")
+    best = null_safe_join(best, st.select(*g, "lo", "hi"), g)
+    pts = best.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    pts = pts.withColumn("at", (F.col("lo") - 1) + F.col("i") * (F.col("hi") - F.col("lo") + 2) / (grid - 1))
+    between = (F.col("at") > F.least("a", "b")) & (F.col("at") < F.greatest("a", "b"))
+    at = F.col("at")
+    pdf = F.col("w") * normal(at, F.col("a"), F.col("x")) + (1 - F.col("w")) * normal(at, F.col("b"), F.col("y"))
+    out = pts.groupBy(*g).agg(F.min_by(F.when(between, at), F.when(between, pdf)).alias("threshold"),
+                              F.first(F.least("a", "b")).alias("mean_low"), F.first(F.greatest("a", "b")).alias("mean_high"))
+    return out.select(*keys, "threshold", "mean_low", "mean_high")

@@ -177,3 +177,14 @@ def test_mixture_is_diagonal_and_finds_two_groups(spark):
     assert mean_ll(w, mu, var) > mean_ll([0.5, 0.5], [[-2, 0], [2, 0]], [[1, 1], [1, 1]])
     got = FT.with_posteriors(df, w, mu, var).agg(F.avg("ll")).first()[0]
     assert got == pytest.approx(mean_ll(w, mu, var), abs=1e-9)
+
+
+def test_bimodal_threshold_of_every_key(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", v) for v in np.concatenate([rng.normal(0, 0.5, 200), rng.normal(6, 1, 300)])]
+    rows += [(None, v) for v in np.concatenate([rng.normal(-10, 1, 100), rng.normal(10, 1, 100)])] + [("flat", 1.0)] * 5
+    got = {r.k: r for r in FT.bimodal_threshold(spark.createDataFrame([(k, float(v)) for k, v in rows], "k string, v double"), "v", ["k"],
+                                               starts=4).collect()}
+    assert set(got) == {"a", None}
+    assert (got["a"].mean_low, got["a"].mean_high) == (pytest.approx(0, abs=0.2), pytest.approx(6, abs=0.3))
+    assert 1 < got["a"].threshold < 4 and -7 < got[None].threshold < 7
