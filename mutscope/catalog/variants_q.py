@@ -28,12 +28,11 @@ def _case(expr: str, mapping: dict) -> str:
 
 RESIDUE_SQL = """SELECT dataset_name, CAST(i AS INTEGER) AS position, substr(wt_sequence, i, 1) AS aa
 FROM (SELECT dataset_name, wt_sequence, unnest(range(1, length(wt_sequence) + 1)) AS i FROM b_dataset)"""
-LOGPROB_SQL = f"""SELECT dataset_name, position, aa,
+LOGPROB_SQL = f"""SELECT dataset_name, position, substr('{AA}', i + 1, 1) AS aa,
        -((position * 31 + i * 17 + b * 7) % 97) / 10.0::DOUBLE - 0.5 AS logp
-FROM (SELECT dataset_name, CAST(regexp_extract(dataset_name, '#(\\d+)', 1) AS INTEGER) AS b,
-             CAST(unnest(range(1, length(wt_sequence) + 1)) AS INTEGER) AS position FROM b_dataset) d
-JOIN (SELECT CAST(i - 1 AS INTEGER) AS i, substr('{AA}', CAST(i AS INTEGER), 1) AS aa
-      FROM range(1, 21) t(i)) r ON TRUE"""
+FROM (SELECT dataset_name, b, position, CAST(unnest(range(0, 20)) AS INTEGER) AS i
+      FROM (SELECT dataset_name, CAST(regexp_extract(dataset_name, '#(\\d+)', 1) AS INTEGER) AS b,
+                   CAST(unnest(range(1, 51)) AS INTEGER) AS position FROM b_dataset))"""
 
 
 def WV(**extra):
