@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import bindings
-from ..util import bounded_broadcast
+from ..util import bounded_broadcast, materialize
 
 RUN_KEYS = ("config_id", "dataset_name", "name")
 
@@ -172,6 +172,7 @@ def last_round_ensemble(log: RunLog, runs: DataFrame) -> DataFrame:
     pred = (a.unionByName(b)
             .groupBy("run_id", "variant_id", "assay_score", "num_variants")
             .agg(F.avg("prediction_score").alias("prediction_score")))
+    pred = materialize(pred, "ensemble")         # the statistics and the z-scores both read it
     pred = with_group_stats(pred, "prediction_score", ["run_id"], "avg_prediction_score",
                             "std_prediction_score")
     z = F.round(F.try_divide(F.col("prediction_score") - F.col("avg_prediction_score"),

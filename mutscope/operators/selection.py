@@ -138,21 +138,24 @@ def select_batch(df: DataFrame, n_acq: int, n_pred: int, keys, acq: str = "acqui
     Flags: ``top_acquisition_score`` = chosen by acquisition;
     ``top_prediction`` = chosen and within the top-(n_acq+n_pred) predictions.
     Only the two top-k candidate sets (≤ 2·n_acq + n_pred rows per group) are
-    ever ranked together.
+    ever ranked together; they carry their rows, so ``df`` is not joined again.
+    A repeated id of a group is one candidate.
     """
     keys = list(keys)
     total = n_acq + n_pred
-    a = top_k(df, n_acq, keys, acq, id_col, "_ra").select(*keys, id_col, "_ra")
-    p = top_k(df, total, keys, pred, id_col, "_rp").select(*keys, id_col, "_rp")
-    cand = a.join(p, keys + [id_col], "full")
+    rest = [c for c in df.columns if c not in (*keys, id_col)]
+    none = F.lit(None).cast("int")
+    a = top_k(df, n_acq, keys, acq, id_col, "_ra").withColumn("_rp", none)
+    p = top_k(df, total, keys, pred, id_col, "_rp").withColumn("_ra", none)
+    cand = a.unionByName(p).groupBy(*keys, id_col).agg(
+        F.min("_ra").alias("_ra"), F.min("_rp").alias("_rp"), F.min_by(F.struct(*rest), F.coalesce("_ra", "_rp")).alias("_row"))
     in_a = F.col("_ra").isNotNull()
     n_a = F.sum(in_a.cast("int")).over(Window.partitionBy(*keys))
     fill_w = Window.partitionBy(*keys).orderBy(F.when(in_a, F.lit(None)).otherwise(F.col("_rp")).asc_nulls_last())
     cand = cand.withColumn("_na", n_a).withColumn("_rf", F.when(~in_a, F.row_number().over(fill_w)))
     chosen = cand.filter(in_a | (F.col("_rf") <= F.lit(total) - F.col("_na")))
-    chosen = chosen.select(*keys, id_col, in_a.alias("top_acquisition_score"),
-                           F.col("_rp").isNotNull().alias("top_prediction"))
-    return df.join(chosen, keys + [id_col])
+    return chosen.select(*keys, id_col, *[F.col(f"_row.{c}").alias(c) for c in rest],
+                         in_a.alias("top_acquisition_score"), F.col("_rp").isNotNull().alias("top_prediction"))
 
 
 def seeded_split(df: DataFrame, test_fraction: float, seed: int, keys, id_col: str = "id") -> DataFrame:

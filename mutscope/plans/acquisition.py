@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import selection as SEL
 from ..operators import stats as S
-from ..util import null_safe_join
+from ..util import materialize, null_safe_join
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ def acquisition_step(pred: DataFrame, assay: DataFrame, n_acq: int, n_pred: int,
     predictions, remaining pool."""
     keys = list(keys)
     known = assay.select(id_col, "assay_score")
-    batch = SEL.attach_assay(SEL.select_batch(pred, n_acq, n_pred, keys, acq, score, id_col), known, id_col)
+    # the batch feeds three results: written once
+    batch = materialize(SEL.attach_assay(SEL.select_batch(pred, n_acq, n_pred, keys, acq, score, id_col), known, id_col), "batch")
     err = F.col(score) - F.col("assay_score")
     sizes = batch.groupBy(*keys).agg(F.sqrt(F.avg(err * err)).alias("batch_rmse"), F.count(F.lit(1)).alias("n_chosen"))
     remaining = SEL.remaining(pred, batch, [*keys, id_col])

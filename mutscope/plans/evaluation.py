@@ -92,6 +92,7 @@ def auc_by_round(log: R.RunLog, runs: DataFrame, baseline_model: str = "llr",
     dims = R.round_dimension(log, runs)
     trace = log.top_variant.join(dims, "round_id").select(
         "run_id", "variant_id", "model_name", "round_num", "simulation_num", "prediction_score", "assay_score")
+    trace = materialize(trace, "trace")          # labels and curves both read it
     per_var = trace.groupBy("run_id", "variant_id").agg(F.avg("assay_score").alias("assay_score"))
     lab = L.label_strategy("quantile", lof_q=0.3, gof_q=0.7)(per_var, ["run_id"], "assay_score")
     # the labelled trace feeds four aggregates: write it once
