@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_running_total
+from . import textops as T
+from .ordering import global_rank
 
 SEGMENT = 4096
 ROLES = ("system", "user", "assistant")
@@ -228,6 +229,7 @@ def repair_roles(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     ``inserted`` and ``appended`` are the roles of empty messages put before
     the turn and, on a conversation's last turn, after it.
     """
+    T.bound_batches(df.sparkSession)
     kinds = {c: df.schema[c].dataType for c in (conv_col, turn_col)}
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
                      F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
@@ -256,7 +258,7 @@ def _repair_long(rows: DataFrame, segment: int, order, names, types, out) -> Dat
     kind = rows.schema["conv"].dataType
     # a null id becomes a string of its own, so that segments of one conversation find each other
     key = F.when(F.col("conv").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("conv").cast("string")))
-    numbered = global_running_total(rows.withColumn("key", key), ["key", *order], F.lit(1), "rank")
+    numbered = global_rank(rows.withColumn("key", key), ["key", *order], "rank")
     first = numbered.groupBy("key").agg(F.min("rank").alias("first")).withColumnRenamed("key", "k")
     cut = (numbered.join(first, F.col("key") == F.col("k"))
            .withColumn("seg", F.floor((F.col("rank") - F.col("first")) / segment)).drop("first", "k", "rank"))

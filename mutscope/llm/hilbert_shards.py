@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_running_total
+from .ordering import global_rank, global_running_total
 
 BITS = 5
 SHARDS = 16
@@ -113,7 +113,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int
     """
     df = df.drop("hilbert", "shard", "slot")
     rows = hilbert_order(df, dims, bits)
-    rows = global_running_total(rows, ["hilbert", *ties], F.lit(1), "_rank")
+    rows = global_rank(rows, ["hilbert", *ties], "_rank")
     n = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not n:
         return rows.select(*df.columns, "hilbert", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))

@@ -220,6 +220,7 @@ def identify(df: DataFrame, model: TextModel, text_col: str, host_col: str, decl
     ``df`` with the result columns' names are replaced.
     """
     spark = df.sparkSession
+    T.bound_batches(spark)
     df = df.drop("language", "posterior", "text_language", "kept")
     shared = spark.sparkContext.broadcast(model)
     k = len(model.labels)

@@ -49,6 +49,24 @@ def global_running_total(df: DataFrame, order: list[str], weight: Column, name:
             .drop("_w", "_part", "_before", "_offset"))
 
 
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: how many rows come before, in ``order`` (0, 1, ...).
+
+    Like ``global_running_total`` with weight 1, but without Python: a sorted
+    range's rows are numbered by ``monotonically_increasing_id``, whose upper
+    bits are the range and whose lower 33 bits count its rows.
+    """
+    rows = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_row", F.monotonically_increasing_id()))
+    rows = materialize(rows, "ranges").withColumn("_part", F.shiftright("_row", 33))
+    totals = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    return (rows.join(bounded_broadcast(offsets), "_part")
+            .withColumn(name, F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset"))
+            .drop("_part", "_row", "_offset"))
+
+
 def hot_keys(counts: DataFrame, key: str, n: str) -> list:
     """Keys with more than 1/HOT_SHARE of all rows (fewer than HOT_SHARE of them)."""
     total = counts.agg(F.sum(n)).first()[0] or 0

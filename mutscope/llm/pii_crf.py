@@ -470,6 +470,7 @@ def _span_batches(shared, batches):
 
 def find_pii(df: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id and ``spans``, by kind and start; ``base`` marks the patterns' spans."""
+    T.bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model or train())
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -270,6 +270,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """The benchmark as broadcast search structures, one for each block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
     items = items.where("item is not null and text is not null")
+    T.bound_batches(benchmark.sparkSession)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = chars // BLOCK_CHARS + 1
     spark = benchmark.sparkSession

@@ -10,7 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20     # texts handled at a time; a longer text makes a slice of its own
+SLICE_BYTES = 1 << 20     # texts handled at a time; a longer text makes a slice of its own
+
+BATCH_BYTES = 16 << 20    # of an Arrow batch; long texts would otherwise fill memory by row count
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -20,6 +23,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def bound_batches(spark) -> None:
+    """Lower the session's limit for the bytes of an Arrow batch to BATCH_BYTES, if it is higher."""
+    now = spark.conf.get(_BATCH_KEY, None)
+    if not (now or "").isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as the empty text."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

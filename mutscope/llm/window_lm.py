@@ -173,6 +173,7 @@ def _train_batches(shared, turn, batches):
 def train(df: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
     """Counts and weights from all rows of ``df``."""
     spark = df.sparkSession
+    T.bound_batches(spark)
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     counts = np.zeros(BUCKETS, np.int64)
     rows = (texts.mapInArrow(_count_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -223,6 +224,7 @@ def _score_batches(shared, batches):
 def score(df: DataFrame, model: tuple[Vocabulary, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_words, log_likelihood and mean_log_likelihood of every row."""
     vocabulary, net = model
+    T.bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((vocabulary, net.flat))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
