@@ -21,6 +21,8 @@ of blocks and no rows.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -49,77 +51,122 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-class WordIds(dict):
+class _Numbers(dict):
+    """Numbers new keys in turn and notes them."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Ragged:
+    """Arrays of different lengths, one after another."""
+
+    def __init__(self):
+        self.flat, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+        self.off = np.concatenate((self.off, self.off[-1] + np.cumsum(sizes)))
+
+    def take(self, at: np.ndarray):
+        """(items of the arrays ``at``, where each begins)."""
+        size = self.off[at + 1] - self.off[at]
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[np.repeat(self.off[at] - total[:-1], size) + np.arange(total[-1])], total
+
+
+class WordIds:
     """Ids of each white-space-separated word, found once and kept for later batches.
 
-    Words of Latin-1 letters go to the library's model piece by piece; other
-    words, and those that may hold a special token, through the library whole.
+    Words of Latin-1 letters are split by the tokenizer's pattern, and new
+    pieces go to the library's model together; other words, and those that
+    may hold a special token, go through the whole library tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = dict(enumerate(_byte_letters())) | {32: " "}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)        # ids that end a piece
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.pieces: dict[str, list[int]] = {}
-        self.ids: list[int] = []
-        self.ends: list[int] = [0]
-        self.flat, self.off = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            word = "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(word)]
-        return ids
-
-    def __missing__(self, word: str) -> int:
-        if max(word) < "Ā" and "<|" not in word:
-            low = word.lower()
-            if low.isalpha():
-                self.ids += self._piece(low)
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                self.ids += self._piece(low[:-1]) + self._piece(low[-1])
-            else:
-                for piece in _PIECES.findall(low):
-                    self.ids += self._piece(piece)
-        else:
-            self.ids += self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = len(self.ends) - 1
-        self.ends.append(len(self.ids))
-        return self[word]
+        self.words, self.pieces = _Numbers(), _Numbers()
+        self.word_ids, self.piece_ids = _Ragged(), _Ragged()
+
+    def _split(self, word: str) -> list[str]:
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return ["\x1c" + word]
+        if "<|" in word:
+            return ["\x1c" + word]
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return _PIECES.findall(low)
+
+    def _learn(self) -> None:
+        """Ids of the words that were new."""
+        if not self.words.new:
+            return
+        split = [self._split(w) for w in self.words.new]
+        sizes = np.array([len(x) for x in split])
+        at = np.fromiter(map(self.pieces.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        new = self.pieces.new
+        plain = [p for p in new if p[0] != "\x1c"]
+        ids = np.zeros(0, np.int64)
+        if plain:
+            joined = " ".join(plain).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode(joined, add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("the vocabulary does not mark where words end")
+        size = np.diff(ends, prepend=0)
+        if len(plain) != len(new):
+            parts = iter(np.split(ids, ends[:-1]))
+            found = [next(parts) if p[0] != "\x1c" else
+                     np.array(self.tokenizer.encode(p[1:], add_special_tokens=False).ids, np.int64) for p in new]
+            ids, size = np.concatenate(found), np.array([len(f) for f in found])
+        self.piece_ids.add(ids, size)
+        flat, total = self.piece_ids.take(at)
+        self.word_ids.add(flat, np.diff(total[np.concatenate(([0], np.cumsum(sizes)))]))
+        self.words.new, self.pieces.new = [], []
 
     def encode(self, texts: list[str]):
         """(ids, count for each text), the ids without end ids."""
-        if len(self) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self.reset()
         words: list[str] = []
         n_words, whole = [], {}
         for i, t in enumerate(texts):
             if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:    # white space to Python only
-                whole[i] = self.tokenizer.encode(t, add_special_tokens=False).ids
+                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int64)
                 n_words.append(0)
                 continue
             w = t.split()
             words += w
             n_words.append(len(w))
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.ends) != len(self.off):
-            new = np.array(self.ids[len(self.flat):], np.int64)
-            self.flat, self.off = np.concatenate((self.flat, new)), np.array(self.ends, np.int64)
-        size = self.off[at + 1] - self.off[at]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.off[at] - total[:-1], size) + np.arange(total[-1])]
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        self._learn()
+        ids, total = self.word_ids.take(at)
         bounds = total[np.concatenate(([0], np.cumsum(n_words)))]
         count = np.diff(bounds)
         if whole:
-            parts = [np.array(whole[i], np.int64) if i in whole else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
+            parts = [whole[i] if i in whole else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
             ids, count = np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, count
 
@@ -220,8 +267,9 @@ class Codebook:
         first = np.cumsum(width) - width
         self.length[ids] = lengths
         self.code[ids] = (first >> (self.longest - lengths)).astype(np.uint64)
-        self.table = np.zeros(1 << self.longest, np.uint64)
-        entry = (ids.astype(np.uint64) << np.uint64(6)) | lengths.astype(np.uint64)
+        kind = np.uint32 if self.longest <= 17 else np.uint64
+        self.table = np.zeros(1 << self.longest, kind)
+        entry = (ids.astype(kind) << kind(6)) | lengths.astype(kind)
         self.table[:int(width.sum())] = np.repeat(entry, width)
 
     def pack(self, ids: np.ndarray):
@@ -244,23 +292,26 @@ class Codebook:
             base.append(at * 8)
             joined += [p, b"\0" * 8]
             at += len(p) + 8
-        data = np.frombuffer(b"".join(joined), np.uint8).astype(np.uint64)
-        window = data[:-4] << np.uint64(32)
-        for i, s in ((1, 24), (2, 16), (3, 8), (4, 0)):
-            window |= data[i:len(data) - 4 + i] << np.uint64(s)
+        # each byte with the bytes after it: enough for the longest code from any bit of it
+        kind, n_bytes = (np.uint32, 3) if self.longest <= 17 else (np.uint64, 5)
+        data = np.frombuffer(b"".join(joined), np.uint8).astype(kind)
+        window = np.zeros(len(data) - n_bytes + 1, kind)
+        for i in range(n_bytes):
+            window = (window << kind(8)) | data[i:len(window) + i]
         pos = np.concatenate([c + b for c, b in zip(checkpoints, base)]).astype(np.int64)
         last = (len(window) - 1) * 8
-        mask, top = np.uint64((1 << self.longest) - 1), 40 - self.longest
-        out = np.empty((len(pos), CHECKPOINT), np.int64)
+        mask, top = kind((1 << self.longest) - 1), 8 * n_bytes - self.longest
+        out = np.empty((CHECKPOINT, len(pos)), kind)
         for i in range(CHECKPOINT):
-            entry = self.table[(window[pos >> 3] >> (top - (pos & 7)).astype(np.uint64)) & mask]
-            out[:, i] = entry >> np.uint64(6)
-            pos = np.minimum(pos + (entry & np.uint64(63)).astype(np.int64), last)
+            entry = self.table[(window[pos >> 3] >> (top - (pos & 7)).astype(kind)) & mask]
+            out[i] = entry >> kind(6)
+            pos += (entry & kind(63)).astype(np.int64)
+            np.minimum(pos, last, out=pos)
         # the last checkpoint of a block may hold fewer ids
         full = np.full(len(pos), CHECKPOINT)
         ends = np.cumsum([len(c) for c in checkpoints]) - 1
         full[ends] = [n - (len(c) - 1) * CHECKPOINT for n, c in zip(counts, checkpoints)]
-        return out[np.arange(CHECKPOINT) < full[:, None]]
+        return out.T[np.arange(CHECKPOINT) < full[:, None]]
 
 
 BLOCK = "shard int, at long, doc_ids array<long>, counts array<long>, bits binary, checkpoints array<long>"
@@ -304,6 +355,7 @@ def encode(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_i
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    T.bound_batches(spark)
     kind = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # texts are dealt out once, by ranges of the id; from here on order is kept by (shard, at)
@@ -351,6 +403,7 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
 
     ids are little-endian unsigned 32-bit integers in one binary value.
     """
+    T.bound_batches(spark)
     book = spark.read.parquet(f"{path}/codebook").toPandas()         # a row for each id of the vocabulary
     shared = spark.sparkContext.broadcast(Codebook(book["id"].to_numpy(np.int64), book["length"].to_numpy(np.int64)))
     blocks = spark.read.parquet(f"{path}/blocks")
