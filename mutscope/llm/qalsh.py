@@ -60,38 +60,37 @@ class Block:
         more = np.sqrt(np.maximum(top_norm ** 2 - (self.vectors ** 2).sum(axis=1), 0))
         self.axes = np.random.default_rng(SEED).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
         place = np.hstack((self.vectors, more[:, None])) @ self.axes
-        self.order = np.argsort(place, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(place, self.order.T, axis=0).T.copy()
+        order = np.argsort(place, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(place, order.T, axis=0).T.copy()
+        # where each vector stands in each sorted array
+        self.rank = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=self.rank.dtype)[None, :], axis=1)
         self.spread = float(place.std()) or 1.0
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """For each query (ids, scores) of the k best verified vectors, best first."""
         n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
         goal = min(n, int(VERIFY_SHARE * n) + VERIFY_TIMES * k)
-        centre = queries @ self.axes[:-1]
-        lo = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centre.T)], axis=1)
-        hi = lo.copy()
-        hits = np.zeros(centre.shape[:1] + (n,), np.int16)
+        centre, kind = queries @ self.axes[:-1], self.rank.dtype
+        counts = np.uint8 if PROJECTIONS < 256 else np.uint16
         found: list = [None] * len(queries)
         left, width = np.arange(len(queries)), START * self.spread
         while len(left):
             edges = [(np.searchsorted(s, c - width, "left"), np.searchsorted(s, c + width, "right"))
                      for s, c in zip(self.sorted, centre[left].T)]
-            new_lo, new_hi = (np.stack(e, axis=1) for e in zip(*edges))
+            lo, hi = (np.stack(e, axis=1) for e in zip(*edges))
             more = []
             for i, q in enumerate(left):
-                met = [o[a:b] for o, a, b in zip(self.order, new_lo[i], lo[q])]
-                met += [o[a:b] for o, a, b in zip(self.order, hi[q], new_hi[i])]
-                hits[q] += np.bincount(np.concatenate(met), minlength=n).astype(np.int16)
-                passed = hits[q] >= need
-                if np.count_nonzero(passed) >= goal or (new_hi[i] - new_lo[i]).min() == n:
+                # ranks below the window wrap around and fall outside
+                inside = self.rank - lo[i, :, None].astype(kind) < (hi[i] - lo[i])[:, None].astype(kind)
+                passed = inside.view(np.uint8).sum(axis=0, dtype=counts) >= need
+                if np.count_nonzero(passed) >= goal or (hi[i] - lo[i]).min() == n:
                     at = np.flatnonzero(passed & (self.ids != query_ids[q]))
                     score = (self.vectors[at] * queries[q]).sum(axis=1)
                     best = np.lexsort((self.ids[at], -score))[:k]
                     found[q] = self.ids[at][best], score[best]
                 else:
                     more.append(q)
-            lo[left], hi[left] = new_lo, new_hi
             left, width = np.array(more, np.int64), width * GROWTH
         return found
 
