@@ -12,7 +12,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20     # texts handled at a time; a longer text makes a slice of its own
 
-BATCH_BYTES = 16 << 20    # of an Arrow batch; long texts would otherwise fill memory by row count
+BATCH_BYTES = 4 << 20     # of an Arrow batch; long texts would otherwise fill memory by row count
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SPACE = np.zeros(256, bool)
