@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mutscope.llm.bottomk_dedup import near_duplicates
 from mutscope.llm.hilbert_shards import hilbert_shards
 from mutscope.llm.lang_fusion import fit_text_model, identify
+from mutscope.llm.ordering import LIST_BYTES
 from mutscope.llm.qgram_decontam import decontaminate
 from mutscope.llm.temperature_mix import mix
 from mutscope.session import stage_folder, table
@@ -27,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = materialize(kept, "kept")
     ids = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    once = bounded_broadcast(kept.where("n = 1").select(F.col("doc_id").alias("keep_id")))
-    more = bounded_broadcast(kept.where("n > 1").select(F.col("doc_id").alias("keep_id")))
+    once = bounded_broadcast(kept.where("n = 1").select(F.col("doc_id").alias("keep_id")), LIST_BYTES)
+    more = bounded_broadcast(kept.where("n > 1").select(F.col("doc_id").alias("keep_id")), LIST_BYTES)
     repeated = docs.join(more, ids, "left_semi").withColumn("_t", F.xxhash64("text"))
     return docs.join(once, ids, "left_semi").union(repeated.dropDuplicates(["doc_id", "_t"]).drop("_t"))
 

@@ -13,6 +13,8 @@ from ..util import bounded_broadcast, materialize
 
 HOT_SHARE = 64       # a key with more than 1/64 of the rows is hot, so 63 at most
 SALTS = 64
+LIST_BYTES = 4 << 20  # of a list that is broadcast: the estimate of a written table is its compressed
+                      # size, and sorted ids are ten times larger in memory
 
 
 def _numbered(batches, names):
@@ -80,7 +82,7 @@ def hot_key_join(rows: DataFrame, table: DataFrame, key: str, hot: list, spread:
     key's, are spread over ``SALTS`` partitions by ``spread``, and their few
     rows of ``table`` are repeated for each.
     """
-    if bounded_broadcast(table) is not table:
+    if bounded_broadcast(table, LIST_BYTES) is not table:
         t = table.withColumnRenamed(key, "_key")
         return rows.join(F.broadcast(t), rows[key].eqNullSafe(t["_key"]), "left").drop("_key")
     is_hot = lambda c: c.isNull() | (c.isin(hot) if hot else F.lit(False))

@@ -110,7 +110,7 @@ def test_running_total_and_hot_join(spark):
     import mutscope.llm.ordering as O
     want = sorted([("a", i, 10) for i in range(50)] + [("b", 1, 20), ("c", 3, None)], key=str) + [(None, 2, 30)]
     old = O.bounded_broadcast
-    for cast in (old, lambda d: d):                             # broadcast, and spread over salts
+    for cast in (old, lambda d, *_: d):                            # broadcast, and spread over salts
         O.bounded_broadcast = cast
         try:
             out = [tuple(r) for r in hot_key_join(rows, table, "k", ["a"], F.col("i")).select("k", "i", "v").collect()]
