@@ -1,30 +1,34 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are folded to lower-case letters and digits with single spaces between
-words. A benchmark item is cut into windows of ``WINDOW`` folded characters,
-one every ``STRIDE`` (a shorter item is one window). A document leaks an item
-if one of the item's windows occurs in it with at most ``EDITS`` of
-``WINDOW`` characters inserted, deleted or replaced.
+words. A document leaks an item if it holds one of these passages of it:
+
+* ``WINDOW`` folded characters in a row (a shorter item: all of it), from any
+  character on, with at most ``EDITS`` of ``WINDOW`` characters inserted,
+  deleted or replaced;
+* ``WORDS`` whole words in a row, unchanged: the shortest passage that is
+  found wherever it begins.
 
 If a window of m characters occurs with k edits, the occurrence shares at
 least ``m + 1 - Q * (k + 1)`` q-grams with it, on diagonals at most k apart.
 So, for a slice of documents at a time:
 
 1. q-gram codes of all positions are looked up in a bit table of the
-   benchmark's codes; stretches with too few hits for any window go;
-2. hits that are left are counted per window in diagonal bands of width 2k,
-   overlapping by k; bands that meet the bound are candidate regions;
-3. a banded alignment of the window with each region, free at both ends of
-   the region, decides.
+   benchmark's codes; stretches with too few hits for any passage go;
+2. hits that follow each other on one diagonal are runs of unchanged text,
+   which give the whole words and the windows without an edit;
+3. the other hits are counted in diagonal bands of width 2k, overlapping by k,
+   for every place of the window in the item; where the bound is met, a banded
+   alignment, free at both ends of the region, decides.
 
 The benchmark goes to the tasks in blocks of ``BLOCK_CHARS`` characters, so
 what is broadcast is bounded whatever its size; each block is one pass over
 the documents, which are neither shuffled nor joined.
 
 Defined results: null, empty or blank texts leak nothing; items with fewer
-than ``MIN_CHARS`` folded characters are not searched (they occur by
-chance); repeated rows are judged one by one; an item leaked several times is
-one row spanning them; empty tables give no leaks.
+than ``MIN_CHARS`` folded characters, and items without id, are not searched;
+repeated rows are judged one by one; an item leaked several times is one row
+spanning them; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ from . import textops as T
 
 Q = 8
 WINDOW = 80
-STRIDE = 40
+STRIDE = 1                    # windows begin at every folded character
+WORDS = 13
 EDITS = 6
 MIN_CHARS = 24
 BLOCK_CHARS = 1 << 19
@@ -106,48 +111,80 @@ def edit_budget(m: int) -> int:
     return m * EDITS // WINDOW
 
 
+def _between(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether no letter or digit of ``c`` is at these places (beyond its ends, none is)."""
+    x = c[np.clip(at, 0, len(c) - 1)]
+    return (at < 0) | (at >= len(c)) | (x == 32) | (x == _SEPARATOR)
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray):
+    """(index, value) of every whole number in each of the ranges [lo, hi)."""
+    n = np.maximum(hi - lo, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
+
+
 class Windows:
-    """The search structures of one block of benchmark items."""
+    """The search structures of one block of benchmark items.
+
+    The items' folded characters stand one after another in ``text``; a window
+    is named by its place there.
+    """
 
     def __init__(self, items: list[tuple]):
-        self.item, self.chars, grams, self.budget = [], [], [], []
-        for item_id, text in items:
+        self.item = [i for i, _ in items]
+        chars, words, at = [np.zeros(0, np.uint32)], [], 0
+        first, size = [], []
+        for i, (_, text) in enumerate(items):
             c = fold(text or "")
+            first.append(at)
+            size.append(len(c) if len(c) >= MIN_CHARS else 0)
             if len(c) < MIN_CHARS:
                 continue
-            last = max(0, len(c) - WINDOW)
-            for at in sorted({*range(0, last + 1, STRIDE), last}):
-                self.item.append(item_id)
-                self.chars.append(c[at:at + WINDOW])
-                self.budget.append(edit_budget(len(self.chars[-1])))
-                grams.append(codes(self.chars[-1]))
-        self.length = np.array([len(c) for c in self.chars], np.int64)
-        self.budget = np.array(self.budget, np.int64)
+            chars += [c, np.full(_GAP, _SEPARATOR, np.uint32)]
+            space = np.flatnonzero(c == 32)
+            begin, end = np.concatenate(([0], space + 1)), np.append(space, len(c))
+            words.append(np.stack((begin[:len(begin) - WORDS + 1], end[WORDS - 1:])) + at if len(begin) >= WORDS
+                         else np.zeros((2, 0), np.int64))
+            at += len(c) + _GAP
+        self.first, self.size = np.array(first, np.int64), np.array(size, np.int64)
+        self.length = np.minimum(self.size, WINDOW)
+        self.budget = self.length * EDITS // WINDOW
         self.bound = self.length + 1 - Q * (self.budget + 1)
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else window
-        order = np.argsort(flat, kind="stable")
-        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int32)
-        self.grams, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
+        self.text = np.concatenate(chars)
+        # (first, end) of each passage of WORDS words, both in increasing order
+        self.words = np.concatenate(words, axis=1) if words else np.zeros((2, 0), np.int64)
+        self.long = np.flatnonzero(self.size)            # items searched by q-grams
+        here = np.zeros(len(self.text), bool)
+        for f, n in zip(self.first[self.long], self.size[self.long]):
+            here[f:f + n - Q + 1] = True
+        place = np.flatnonzero(here)
+        grams = codes(self.text)[place] if len(place) else np.zeros(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.place = place[order]
+        self.grams, self.at, self.times = np.unique(grams[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << BITS, bool)
         self.table[self.grams >> np.uint64(64 - BITS)] = True
-        self.padded = np.zeros((len(grams), WINDOW), np.uint32)
-        for i, c in enumerate(self.chars):
-            self.padded[i, :len(c)] = c
+        if len(self.long):
+            runs = self.words[1] - self.words[0] - Q + 1
+            self.least = int(min(self.bound[self.long].min(), runs.min(initial=1 << 30)))
+            self.span = int(max((self.length + self.budget).max(), (self.words[1] - self.words[0]).max(initial=0)))
+
+    def owner(self, place: np.ndarray) -> np.ndarray:
+        """The item of each place in ``text``."""
+        return self.long[np.searchsorted(self.first[self.long], place, "right") - 1]
 
-    def candidates(self, c: np.ndarray):
-        """(window, first diagonal) of each band that meets its window's bound."""
+    def hits(self, c: np.ndarray):
+        """(position in ``c``, place in ``text``) of shared q-grams, where there are enough of them."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.item):
+        if not len(self.long):
             return none
         h = codes(c)
         hit = self.table[h >> np.uint64(64 - BITS)]
-        span = int((self.length + self.budget).max())
-        total = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
-        n = len(h)
+        span, n = self.span, len(h)
         if n > span:
-            dense = total[span:] - total[:n + 1 - span] >= self.bound.min()
+            total = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
+            dense = total[span:] - total[:n + 1 - span] >= self.least
             # a position stays if one of the dense stretches of ``span`` positions holds it
             before = np.zeros(n + span, np.int32)
             np.cumsum(dense, out=before[span:n + 1])
@@ -161,19 +198,45 @@ class Windows:
         k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         real = self.grams[k] == h[at]
         at, k = at[real], k[real]
-        times = self.times[k]
-        pos = np.repeat(at, times)
-        row = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(pos))
-        window = self.window[row].astype(np.int64)
-        diagonal = pos - self.place[row] + WINDOW            # never negative
-        step = np.maximum(self.budget[window], 1)
-        band = diagonal // step
-        wide = np.int64(1) << 40
-        key, count = np.unique(np.concatenate((window * wide + band + 1, window * wide + band)), return_counts=True)
-        window, band = key // wide, key % wide - 1
-        ok = count >= self.bound[window]
-        window, band = window[ok], band[ok]
-        return window, band * np.maximum(self.budget[window], 1) - WINDOW
+        i, row = _spans(self.at[k], self.at[k] + self.times[k])
+        return at[i], self.place[row]
+
+    def runs(self, pos: np.ndarray, place: np.ndarray):
+        """(diagonal, first place, end) of the stretches of unchanged text."""
+        diagonal = pos - place
+        order = np.lexsort((place, diagonal))
+        d, p = diagonal[order], place[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(d)) - 1
+        return d[start], p[start], p[last] + Q
+
+    def _bands(self, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A key (band, place) for both bands of each diagonal."""
+        band = (diagonal + len(self.text)) // np.maximum(self.budget[item], 1)
+        return np.concatenate(((band + 1) << 32 | place, band << 32 | place))
+
+    def candidates(self, pos: np.ndarray, place: np.ndarray, same: np.ndarray):
+        """(window, first diagonal) where a band meets the window's bound; ``same``: bands known already."""
+        hits = key = np.sort(self._bands(self.owner(place), pos - place, place))
+        p = key & 0xFFFFFFFF
+        item = self.owner(p)
+        reach, bound = self.length[item] - Q, self.bound[item]
+        nth = np.arange(len(key)) + bound - 1
+        ok = (nth < len(key)) & (key[np.minimum(nth, len(key) - 1)] <= key + reach)
+        key, p, item, nth = key[ok], p[ok], item[ok], nth[ok]
+        if not len(key):
+            return key, key
+        # windows whose first hit can be this one: they hold the hit ``bound`` on as well
+        low = np.maximum(hits[nth] - (self.length[item] - Q), (key - p) + self.first[item])
+        high = np.minimum(key, (key - p) + self.first[item] + self.size[item] - self.length[item])
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        _, at = _spans(low, high + 1)
+        at = np.setdiff1d(at, same)
+        window = at & 0xFFFFFFFF
+        step = np.maximum(self.budget[self.owner(window)], 1)
+        return window, ((at >> 32) - 1) * step - len(self.text) + window
 
     def verify(self, c: np.ndarray, window: np.ndarray, diagonal: np.ndarray):
         """(edits, end): best alignment of each window in its band, and where it ends in ``c``."""
@@ -181,46 +244,67 @@ class Windows:
         width = 2 * max(k, 1) + 2 * k + 1
         low = diagonal - k
         n = len(window)
+        length = self.length[self.owner(window)]
         d = np.zeros((n, width), np.int32)
         step = np.arange(width, dtype=np.int32)
         best = np.full(n, 1 << 20, np.int32)
         end = np.zeros(n, np.int64)
-        for i in range(1, int(self.length[window].max()) + 1):
+        for i in range(1, int(length.max()) + 1):
             at = low[:, None] + (i - 1) + step
             inside = (at >= 0) & (at < len(c))
             text = np.where(inside, c[np.clip(at, 0, len(c) - 1)], np.uint32(_SEPARATOR))
-            x = d + (text != self.padded[window, i - 1][:, None])
+            mine = self.text[np.minimum(window + i - 1, len(self.text) - 1)]
+            x = d + (text != mine[:, None])
             x[:, :-1] = np.minimum(x[:, :-1], d[:, 1:] + 1)
             x = np.minimum.accumulate(x - step, axis=1) + step
             d = x.astype(np.int32)
-            done = self.length[window] == i
+            done = length == i
             if done.any():
                 j = d[done].argmin(axis=1)
                 best[done] = d[done][np.arange(len(j)), j]
                 end[done] = low[done] + i + j
         return best, end
 
+    def _long_leaks(self, c: np.ndarray):
+        """Lists of (passage, item, first, end, edits) arrays; first and end are places in ``c``."""
+        pos, place = self.hits(c)
+        if not len(pos):
+            return
+        diagonal, p, q = self.runs(pos, place)
+        item = self.owner(p)
+        run, at = _spans(p, q - self.length[item] + 1)
+        known = np.zeros(0, np.int64)
+        if len(at):
+            first = diagonal[run] + at
+            yield at, item[run], first, first + self.length[item[run]], np.zeros(len(at), np.int64)
+            known = self._bands(item[run], diagonal[run], at)
+        begin, end = self.words
+        run, w = _spans(np.searchsorted(begin, p), np.searchsorted(end, q, "right"))
+        first, last = diagonal[run] + begin[w], diagonal[run] + end[w]
+        ok = _between(c, first - 1) & _between(c, last)
+        yield -1 - w[ok], item[run[ok]], first[ok], last[ok], np.zeros(ok.sum(), np.int64)
+        window, start = self.candidates(pos, place, known)
+        for lo in range(0, len(window), 4096):
+            w = window[lo:lo + 4096]
+            edits, end = self.verify(c, w, start[lo:lo + 4096])
+            own = self.owner(w)
+            ok = edits <= self.budget[own]
+            yield w[ok], own[ok], (end - self.length[own])[ok], end[ok], edits[ok]
+
     def leaks(self, texts: list[str]):
-        """(document, item, start, end, edits) arrays; document is the text's index."""
+        """(document, passage, item, start, end, edits) arrays; document and item are indexes."""
         c, source = folded(texts)
-        window, diagonal = self.candidates(c)
-        if not len(window):
-            return None
-        found = []
-        for lo in range(0, len(window), 4096):
-            w, g = window[lo:lo + 4096], diagonal[lo:lo + 4096]
-            edits, end = self.verify(c, w, g)
-            ok = edits <= self.budget[w]
-            found.append((w[ok], end[ok], edits[ok]))
-        w, end, edits = (np.concatenate(x) for x in zip(*found))
-        if not len(w):
+        found = list(self._long_leaks(c))
+        if not sum(len(f[0]) for f in found):
             return None
+        passage, item, first, end, edits = (np.concatenate(x) for x in zip(*found))
         starts = np.concatenate(([0], np.cumsum([len(t) + _GAP for t in texts])))
         last = source[np.minimum(end, len(source)) - 1]
         doc = np.searchsorted(starts, last, "right") - 1
         size = np.array([len(t) for t in texts])
-        first = source[np.clip(end - self.length[w], 0, len(source) - 1)]
-        return doc, w, np.clip(first - starts[doc], 0, size[doc]), np.clip(last + 1 - starts[doc], 0, size[doc]), edits
+        first = source[np.clip(first, 0, len(source) - 1)]
+        return (doc, passage, item, np.clip(first - starts[doc], 0, size[doc]),
+                np.clip(last + 1 - starts[doc], 0, size[doc]), edits)
 
 
 LEAK = "item_id long, start long, end long, edits int, windows int"
@@ -239,8 +323,8 @@ def _leak_batches(search, batches):
             if found is None:
                 continue
             rows: dict[tuple, list] = {}
-            for doc, w, start, end, edits in zip(*(x.tolist() for x in found)):
-                r = rows.setdefault((doc, windows.item[w]), [start, end, edits, set()])
+            for doc, w, i, start, end, edits in zip(*(x.tolist() for x in found)):
+                r = rows.setdefault((doc, windows.item[i]), [start, end, edits, set()])
                 r[:3] = min(r[0], start), max(r[1], end), min(r[2], edits)
                 r[3].add(w)
             keys = sorted(rows)
@@ -284,8 +368,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row for each document and benchmark item that it leaks.
 
     doc id, item_id, start and end (code points of the text, end exclusive;
-    from the first to the last leaked window), the fewest edits of a window,
-    and the number of windows.
+    from the first to the last leaked passage), the fewest edits of a passage,
+    and the number of passages (places in the item) that were found.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()

@@ -196,3 +196,42 @@ def test_decontamination_keeps_columns_with_clashing_names(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert Q.decontaminate(df, empty).where(F.lit(True)).collect() == df.collect()
     assert Q.find_leaks(df.withColumn("doc_id", F.lit(1)), empty).collect() == []
+
+
+def brute_quotes(docs, items, words=13):
+    """Leaks by whole words in a row, without windows; short items by all of their words."""
+    told = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for item, t in items:
+        w = told(t)
+        n = len(w) if len(" ".join(w)) < 24 else words
+        parts = {" " + " ".join(w[i:i + n]) + " " for i in range(len(w) - n + 1)} if w else set()
+        out |= {(d, item) for d, x in docs if any(p in " " + " ".join(told(x)) + " " for p in parts)}
+    return out
+
+
+def test_quotes_are_found_at_every_offset(spark):
+    rnd = random.Random(8)
+    items = [(1, _sentence(rnd, 36)), (2, " ".join(rnd.choice("abcdefgh") for _ in range(40)))]
+    docs, n = [], 0
+    for item, text in items:
+        words = text.split()
+        for size in (12, 13, 17):
+            for at in range(len(words) - size + 1):
+                n += 1
+                docs.append((n, _sentence(rnd, n % 7) + " " + " ".join(words[at:at + size]).title() + ", " + _sentence(rnd, 9)))
+    docs.append((0, "x" + " ".join(items[0][1].split()[:13])))            # the first word is not whole
+    text = items[0][1]
+    for at in range(0, len(text) - 80, 3):                                # a window's length from any character on
+        n += 1
+        part = list(text[at:at + 80])
+        for k in range(5, 80, 13):
+            part[k] = "q"
+        docs.append((n, _sentence(rnd, 9) + "".join(part) + _sentence(rnd, 9)))
+    found = {(r["doc_id"], r["item_id"]) for r in Q.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                               spark.createDataFrame(items, "item_id long, text string")).collect()}
+    edited = {(i, 1) for i, _ in docs[-len(range(0, len(text) - 80, 3)):]}
+    want = brute_quotes(docs, items)
+    assert want | edited <= found
+    more = {i for i, _ in found - want - edited}                          # fewer words, but a window with edits
+    assert found - want - edited <= brute_leaks([d for d in docs if d[0] in more], items)
