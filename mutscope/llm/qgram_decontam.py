@@ -7,7 +7,8 @@ words. A document leaks an item if it holds one of these passages of it:
   character on, with at most ``EDITS`` of ``WINDOW`` characters inserted,
   deleted or replaced;
 * ``WORDS`` whole words in a row, unchanged: the shortest passage that is
-  found wherever it begins.
+  found wherever it begins;
+* an item of fewer than ``MIN_CHARS`` characters: all of its words, unchanged.
 
 If a window of m characters occurs with k edits, the occurrence shares at
 least ``m + 1 - Q * (k + 1)`` q-grams with it, on diagonals at most k apart.
@@ -25,10 +26,10 @@ The benchmark goes to the tasks in blocks of ``BLOCK_CHARS`` characters, so
 what is broadcast is bounded whatever its size; each block is one pass over
 the documents, which are neither shuffled nor joined.
 
-Defined results: null, empty or blank texts leak nothing; items with fewer
-than ``MIN_CHARS`` folded characters, and items without id, are not searched;
-repeated rows are judged one by one; an item leaked several times is one row
-spanning them; empty tables give no leaks.
+Defined results: null, empty or blank texts leak nothing; repeated rows are
+judged one by one; an item leaked several times is one row spanning them; an
+item without id (or whose id is no long) has a row of its own with a null
+item_id; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -111,6 +112,15 @@ def edit_budget(m: int) -> int:
     return m * EDITS // WINDOW
 
 
+def _prefix_codes(chars: np.ndarray, n: int) -> np.ndarray:
+    """Code of the first ``n`` characters of each row."""
+    code = np.zeros(len(chars), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            code = (code + chars[:, j].astype(np.uint64)) * _MULT
+    return code
+
+
 def _between(c: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether no letter or digit of ``c`` is at these places (beyond its ends, none is)."""
     x = c[np.clip(at, 0, len(c) - 1)]
@@ -133,12 +143,14 @@ class Windows:
 
     def __init__(self, items: list[tuple]):
         self.item = [i for i, _ in items]
-        chars, words, at = [np.zeros(0, np.uint32)], [], 0
+        chars, short, words, at = [np.zeros(0, np.uint32)], {}, [], 0
         first, size = [], []
         for i, (_, text) in enumerate(items):
             c = fold(text or "")
             first.append(at)
             size.append(len(c) if len(c) >= MIN_CHARS else 0)
+            if 0 < len(c) < MIN_CHARS:
+                short.setdefault(len(c), []).append((c, i))
             if len(c) < MIN_CHARS:
                 continue
             chars += [c, np.full(_GAP, _SEPARATOR, np.uint32)]
@@ -169,6 +181,11 @@ class Windows:
             runs = self.words[1] - self.words[0] - Q + 1
             self.least = int(min(self.bound[self.long].min(), runs.min(initial=1 << 30)))
             self.span = int(max((self.length + self.budget).max(), (self.words[1] - self.words[0]).max(initial=0)))
+        self.short = {}                                  # by length: sorted codes, and their items
+        for n, x in short.items():
+            code = _prefix_codes(np.array([c for c, _ in x]), n)
+            order = np.argsort(code, kind="stable")
+            self.short[n] = code[order], np.array([i for _, i in x])[order]
 
     def owner(self, place: np.ndarray) -> np.ndarray:
         """The item of each place in ``text``."""
@@ -291,10 +308,29 @@ class Windows:
             ok = edits <= self.budget[own]
             yield w[ok], own[ok], (end - self.length[own])[ok], end[ok], edits[ok]
 
+    def _short_leaks(self, c: np.ndarray):
+        """The same of the items of fewer than MIN_CHARS characters, found as whole words."""
+        word = (c != 32) & (c != _SEPARATOR)
+        begin = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+        code = np.zeros(len(begin), np.uint64)
+        for n in range(1, max(self.short) + 1):
+            begin, code = begin[begin + n <= len(c)], code[begin + n <= len(c)]
+            with np.errstate(over="ignore"):
+                code = (code + c[begin + n - 1].astype(np.uint64)) * _MULT
+            if n not in self.short or not len(begin):
+                continue
+            grams, owner = self.short[n]
+            at, row = _spans(np.searchsorted(grams, code), np.searchsorted(grams, code, "right"))
+            ok = _between(c, begin[at] + n)
+            first, item = begin[at[ok]], owner[row[ok]]
+            yield len(self.text) + item, item, first, first + n, np.zeros(len(item), np.int64)
+
     def leaks(self, texts: list[str]):
         """(document, passage, item, start, end, edits) arrays; document and item are indexes."""
         c, source = folded(texts)
         found = list(self._long_leaks(c))
+        if self.short:
+            found += self._short_leaks(c)
         if not sum(len(f[0]) for f in found):
             return None
         passage, item, first, end, edits = (np.concatenate(x) for x in zip(*found))
@@ -324,13 +360,14 @@ def _leak_batches(search, batches):
                 continue
             rows: dict[tuple, list] = {}
             for doc, w, i, start, end, edits in zip(*(x.tolist() for x in found)):
-                r = rows.setdefault((doc, windows.item[i]), [start, end, edits, set()])
+                name = windows.item[i]
+                r = rows.setdefault((doc, name is None, i if name is None else name), [start, end, edits, set()])
                 r[:3] = min(r[0], start), max(r[1], end), min(r[2], edits)
                 r[3].add(w)
             keys = sorted(rows)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, hi - lo).take(pa.array([k[0] for k in keys], pa.int64())),
-                 pa.array([k[1] for k in keys], pa.int64()), pa.array([rows[k][0] for k in keys], pa.int64()),
+                 pa.array([None if k[1] else k[2] for k in keys], pa.int64()), pa.array([rows[k][0] for k in keys], pa.int64()),
                  pa.array([rows[k][1] for k in keys], pa.int64()), pa.array([rows[k][2] for k in keys], pa.int32()),
                  pa.array([len(rows[k][3]) for k in keys], pa.int32())],
                 names=["id", "item_id", "start", "end", "edits", "windows"])
@@ -352,8 +389,8 @@ def _clean_batches(search, place, batches):
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """The benchmark as broadcast search structures, one for each block."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    items = items.where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).try_cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    items = items.where("text is not null")
     T.bound_batches(benchmark.sparkSession)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = chars // BLOCK_CHARS + 1

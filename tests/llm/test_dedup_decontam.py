@@ -235,3 +235,18 @@ def test_quotes_are_found_at_every_offset(spark):
     assert want | edited <= found
     more = {i for i, _ in found - want - edited}                          # fewer words, but a window with edits
     assert found - want - edited <= brute_leaks([d for d in docs if d[0] in more], items)
+
+
+def test_short_items_and_items_without_id_are_searched(spark):
+    rnd = random.Random(9)
+    items = [(1, "Who wrote Hamlet?"), (2, "yes"), (None, _sentence(rnd, 20)), (None, "Pi is 3"), (3, "  "), (4, "who  wrote")]
+    docs = [(1, "Who wrote Hamlet?"), (2, "so, WHO wrote\nhamlet"), (3, "who wrote hamlets"), (4, "yesterday"), (5, "Yes!"),
+            (6, "see " + items[2][1]), (7, "(pi is 3)"), (8, "pi is 31"), (9, None), (10, "no answer")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in Q.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+                  .collect()), key=str)
+    assert got == sorted([(1, 1), (1, 4), (2, 1), (2, 4), (3, 4), (5, 2), (6, None), (7, None)], key=str)
+    assert [r["doc_id"] for r in Q.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+            .orderBy("doc_id").collect()] == [4, 8, 9, 10]
+    named = spark.createDataFrame([("q1", "Who wrote Hamlet?")], "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in Q.find_leaks(docs, named).collect()} == {(1, None), (2, None)}
