@@ -1,20 +1,25 @@
 """Nearest neighbours by collision counting over single random projections.
 
-Largest inner product is nearest distance after one more component: with M
-the greatest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query q
-becomes (q, 0). Vectors are dealt into blocks of about ``BLOCK_ROWS`` and
-queries into blocks of about ``BLOCK_QUERIES``; each pair of blocks is a task
-of its own, so no task or broadcast grows with the table.
-
-In a block every projection is one sorted array. A query's window around its
+Vectors are dealt into blocks of about ``BLOCK_ROWS`` and queries into blocks
+of about ``BLOCK_QUERIES``; each pair of blocks is a task of its own, so no
+task or broadcast grows with the table. In a block, equal vectors are one, and
+the distinct ones are cut into ranges by norm: in a range of more than
+``RANGE_TIMES`` the neighbours asked for, the norms differ by a factor of
+``NORM_RATIO`` at most. Largest inner product is nearest distance after one
+more component: with M the greatest norm of the range, a vector x becomes
+(x, sqrt(M^2 - |x|^2)) and a query q, scaled to norm M, becomes (q, 0). Ranges
+come with falling norms; one whose M times the query's norm is below the
+scores found already is left out, since nothing in it can be better.
+
+In a range every projection is one sorted array. A query's window around its
 own projection starts narrow and widens by ``GROWTH`` a round in all arrays
 (virtual rehashing: the window is the bucket, whatever its width). A vector
 that lies in the windows of ``THRESHOLD`` of the projections is verified,
 that is, its inner product is computed on the original components in double
-precision. A query ends when ``VERIFY_SHARE`` of the block and
+precision. A range ends when ``VERIFY_SHARE`` of its vectors and
 ``VERIFY_TIMES`` the neighbours asked for have been verified, or when the
 windows hold everything; every vector that passed the threshold by then has
-been verified, however many (equal vectors pass together).
+been verified, however many. A range of so few vectors is verified whole.
 
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component, and rows without id, take no part; of rows with one id
@@ -33,8 +38,10 @@ BLOCK_ROWS = 16384
 BLOCK_QUERIES = 1024
 PROJECTIONS = 96
 THRESHOLD = 0.6           # share of the projections
-VERIFY_SHARE = 0.15       # of a block's vectors
+VERIFY_SHARE = 0.15       # of a range's vectors
 VERIFY_TIMES = 12         # and so many times the neighbours asked for
+RANGE_TIMES = 12          # a range has at least so many times the neighbours asked for
+NORM_RATIO = 1.1          # between a larger range's greatest and least norm
 START = 0.4               # first half-width, in units of the projections' spread
 GROWTH = 1.3
 SEED = 7
@@ -51,29 +58,36 @@ def _matrix(column) -> np.ndarray:
     return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1)
 
 
-class Block:
-    """Sorted projections of one block of vectors."""
+class Range:
+    """Sorted projections of distinct vectors of like norm."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top_norm: float):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        more = np.sqrt(np.maximum(top_norm ** 2 - (self.vectors ** 2).sum(axis=1), 0))
+    def __init__(self, vectors: np.ndarray, norms: np.ndarray, at: int):
+        self.vectors, self.at, self.top = vectors, at, float(norms.max())
+        self.order = None
+
+    def _project(self) -> None:
+        more = np.sqrt(np.maximum(self.top ** 2 - (self.vectors ** 2).sum(axis=1), 0))
         self.axes = np.random.default_rng(SEED).standard_normal((self.vectors.shape[1] + 1, PROJECTIONS))
         place = np.hstack((self.vectors, more[:, None])) @ self.axes
-        order = np.argsort(place, axis=0, kind="stable").T
+        self.order = order = np.argsort(place, axis=0, kind="stable").T
         self.sorted = np.take_along_axis(place, order.T, axis=0).T.copy()
         # where each vector stands in each sorted array
-        self.rank = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=self.rank.dtype)[None, :], axis=1)
+        self.rank = np.empty(order.shape, np.uint16 if len(place) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(len(place), dtype=self.rank.dtype)[None, :], axis=1)
         self.spread = float(place.std()) or 1.0
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """For each query (ids, scores) of the k best verified vectors, best first."""
-        n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
+    def passed(self, queries: np.ndarray, k: int):
+        """(query, indexes of the vectors to verify) for each query, in any order."""
+        n, need = len(self.vectors), int(np.ceil(THRESHOLD * PROJECTIONS))
         goal = min(n, int(VERIFY_SHARE * n) + VERIFY_TIMES * k)
-        centre, kind = queries @ self.axes[:-1], self.rank.dtype
+        if goal == n:
+            yield from ((i, np.arange(n)) for i in range(len(queries)))
+            return
+        if self.order is None:
+            self._project()
+        scaled = queries * (self.top / np.sqrt((queries ** 2).sum(axis=1)))[:, None]
+        centre, kind = scaled @ self.axes[:-1], self.rank.dtype
         counts = np.uint8 if PROJECTIONS < 256 else np.uint16
-        found: list = [None] * len(queries)
         left, width = np.arange(len(queries)), START * self.spread
         while len(left):
             edges = [(np.searchsorted(s, c - width, "left"), np.searchsorted(s, c + width, "right"))
@@ -83,28 +97,78 @@ class Block:
             for i, q in enumerate(left):
                 # ranks below the window wrap around and fall outside
                 inside = self.rank - lo[i, :, None].astype(kind) < (hi[i] - lo[i])[:, None].astype(kind)
-                passed = inside.view(np.uint8).sum(axis=0, dtype=counts) >= need
-                if np.count_nonzero(passed) >= goal or (hi[i] - lo[i]).min() == n:
-                    at = np.flatnonzero(passed & (self.ids != query_ids[q]))
-                    score = (self.vectors[at] * queries[q]).sum(axis=1)
-                    best = np.lexsort((self.ids[at], -score))[:k]
-                    found[q] = self.ids[at][best], score[best]
+                ok = inside.view(np.uint8).sum(axis=0, dtype=counts) >= need
+                if np.count_nonzero(ok) >= goal or (hi[i] - lo[i]).min() == n:
+                    yield q, np.flatnonzero(ok)
                 else:
                     more.append(q)
             left, width = np.array(more, np.int64), width * GROWTH
+
+
+class Block:
+    """The ranges of one block of vectors, in the order of falling norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], np.ascontiguousarray(vectors[order] + 0.0)
+        row = vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
+        _, first, copy = np.unique(row, return_index=True, return_inverse=True)
+        norms = np.sqrt((vectors[first] ** 2).sum(axis=1))
+        fall = np.lexsort((first, -norms))
+        self.vectors, norms = vectors[first[fall]], norms[fall]
+        # the ids of each distinct vector, in increasing order; more than k + 1 of them are never asked for
+        turn = np.empty(len(fall), np.int64)
+        turn[fall] = np.arange(len(fall))
+        copy = turn[copy]
+        by = np.argsort(copy, kind="stable")
+        start = np.concatenate(([0], np.cumsum(np.bincount(copy))))
+        few = np.arange(len(by)) - start[copy[by]] <= k
+        self.ids, self.k = ids[by][few], k
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(copy[by][few]))))
+        self.ranges, at, n = [], 0, len(norms)
+        while at < n:
+            end = int(np.searchsorted(-norms, -norms[at] / NORM_RATIO, "right"))
+            end = min(n, max(end, at + RANGE_TIMES * k))
+            self.ranges.append(Range(self.vectors[at:end], norms[at:end], at))
+            at = end
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray):
+        """For each query (ids, scores) of the k best verified vectors, best first."""
+        k = self.k
+        size = np.sqrt((queries ** 2).sum(axis=1))
+        least = np.full(len(queries), -np.inf)           # the (k + 1)th best score so far
+        held = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        for part in self.ranges:
+            asked = np.flatnonzero(size * part.top * (1 + 1e-9) >= least)
+            for i, at in part.passed(queries[asked], k) if len(asked) else ():
+                q = asked[i]
+                score = np.concatenate((held[q][1], (part.vectors[at] * queries[q]).sum(axis=1)))
+                at = np.concatenate((held[q][0], at + part.at))
+                if len(score) > k:
+                    least[q] = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                    at, score = at[score >= least[q]], score[score >= least[q]]
+                held[q] = at, score
+        found = []
+        for q, (at, score) in enumerate(held):
+            n = self.start[at + 1] - self.start[at]
+            ids = self.ids[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            score = np.repeat(score, n)
+            ids, score = ids[ids != query_ids[q]], score[ids != query_ids[q]]
+            best = np.lexsort((ids, -score))[:k]
+            found.append((ids[best], score[best]))
         return found
 
 
-def _search(top_norm: float, k: int):
+def _search(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
-        block = Block(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")), top_norm)
+        block = Block(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")), k)
         q = _matrix(queries.column("v"))
         ids = queries.column("vec_id").to_numpy()
-        found = block.nearest(ids, q, k)
+        found = block.nearest(ids, q)
         return pa.table([pa.array(np.repeat(ids, [len(f[0]) for f in found]), pa.int64()),
                          pa.array(np.concatenate([f[0] for f in found]), pa.int64()),
                          pa.array(np.concatenate([f[1] for f in found]), pa.float64())], schema=schema)
@@ -125,16 +189,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         return v.withColumn("dim", F.size("v"))
 
     vectors, asked = sound(df), sound(queries)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
+    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     groups = max(1, -(-asked.count() // BLOCK_QUERIES))
     rows = (vectors.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
             .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
     asks = (asked.withColumn("g", F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(groups)).cast("int"))
             .withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
     found = (rows.groupBy("b", "g", "dim").cogroup(asks.groupBy("b", "g", "dim"))
-             .applyInArrow(_search(float(size["norm"] or 0.0), k), "query_id long, vec_id long, score double"))
+             .applyInArrow(_search(k), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -247,3 +247,18 @@ def test_neighbour_edge_cases(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert got == _brute_neighbours(rows, 20, [0, 20, 40, 60, 80, 100, 120, 140])
     assert N.nearest(df.limit(0), asked, 20).collect() == [] == N.nearest(df, asked.limit(0), 20).collect()
+
+
+@pytest.mark.parametrize("sigma, hot", [(0.0, 0), (0.3, 0), (0.6, 0), (0.3, 6000)])
+def test_recall_of_a_full_block_with_unequal_norms_and_a_hot_vector(sigma, hot):
+    rng, n, k = np.random.default_rng(0), N.BLOCK_ROWS, 20
+    v = rng.standard_normal((n, 64))
+    v *= np.exp(sigma * rng.standard_normal((n, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    v[rng.permutation(n)[:hot]] = v[17]
+    asked = np.arange(0, n, 400)
+    product = v[asked] @ v.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    worst = np.partition(product, n - k, axis=1)[:, n - k]                # the k-th best score
+    found = N.Block(np.arange(n), v, k).nearest(asked, v[asked])
+    assert all(len(set(ids.tolist()) - {q}) == k for q, (ids, _) in zip(asked, found))
+    assert np.mean([(score >= w - 1e-12).mean() for w, (_, score) in zip(worst, found)]) >= 0.95
