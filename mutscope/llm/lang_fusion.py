@@ -23,8 +23,10 @@ Defined results: null, empty or letterless text is "und" and rejected; null
 host or declaration, no evidence from it (a null host shares the null hosts'
 prior); repeated rows count as often as they occur; an empty table, no rows.
 
-The text model is fitted on at most ``SAMPLE_ROWS`` labelled rows a label, the
-first by hash, and at most ``MAX_LANGUAGES`` labels, the most frequent.
+Every label of the labelled rows is a language, however rare; its spellings
+are folded as declarations are ("EN" and "en-US" are "en"; "und" is no label). The text model is
+fitted on at most ``SAMPLE_ROWS`` rows a label, the first by hash; it takes
+``BUCKETS`` numbers a label.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -42,7 +45,7 @@ from . import textops as T
 from .ordering import hot_key_join, hot_keys
 
 SAMPLE_ROWS = 500
-MAX_LANGUAGES = 64
+BROADCAST_ROWS = 1 << 17  # of the sample's ids
 BUCKETS = 1 << 14
 TEXT_WEIGHT = 200        # trigrams at most that a text's evidence counts as
 ADD = 0.1
@@ -51,6 +54,7 @@ PSEUDO_ROWS = 50.0
 MIN_POSTERIOR = 0.5
 UNIT = 1_000_000
 UNKNOWN = "und"
+_TAG = r"^\s*([A-Za-z]{2,3})\s*(?:[-_].*)?$"
 
 
 @lru_cache(maxsize=1)
@@ -133,26 +137,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def language_code(c):
+    """Lower-case language of a tag of two or three letters and subtags; else null."""
+    return F.lower(F.regexp_extract(F.when(c.rlike(_TAG), c), _TAG, 1))
+
+
 def fit_text_model(rows: DataFrame, text_col: str, label_col: str, id_col: str) -> TextModel:
     """Trigram counts of a bounded labelled sample; rows without id, label or text are not in it."""
-    named = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
-                        F.col(text_col).cast("string").alias("text")).where("id is not null and label is not null")
+    said = F.col(label_col).cast("string")
+    label = F.coalesce(language_code(said), F.lower(F.trim(said)))
+    named = rows.select(F.col(id_col).alias("id"), label.alias("label"), F.col(text_col).cast("string").alias("text"))
+    named = named.where(F.col("id").isNotNull() & ~F.col("label").isin("", UNKNOWN))
     labels = [r["label"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()]
+              .orderBy(F.desc("n"), "label").collect()]
     if not labels:
         return TextModel([], np.zeros((BUCKETS, 0)))
-    ids = named.select("id", "label").where(F.col("label").isin(labels)).withColumn("h", F.xxhash64("id"))
+    ids = named.select("id", "label").withColumn("h", F.xxhash64("id"))
     first = Window.partitionBy("label").orderBy("h", "id")
     # a window limit: each task keeps SAMPLE_ROWS rows a label at most
     chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS).select("id", "label")
-    chosen = F.broadcast(chosen.distinct())         # MAX_LANGUAGES * SAMPLE_ROWS rows at most
+    chosen = chosen.distinct()
+    if len(labels) * SAMPLE_ROWS <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     sample = named.join(chosen, ["id", "label"], "left_semi").select("label", "text")
     counts = (sample.mapInArrow(_count_batches, "label string, bucket long, n long")
-              .groupBy("label", "bucket").agg(F.sum("n").alias("n"))).collect()
+              .groupBy("label", "bucket").agg(F.sum("n").alias("n"))).toArrow()
     table = np.zeros((BUCKETS, len(labels)))
-    place = {x: i for i, x in enumerate(labels)}
-    for r in counts:
-        table[r["bucket"], place[r["label"]]] = r["n"]
+    if counts.num_rows:
+        at = pc.index_in(counts.column("label"), pa.array(labels, pa.string()))
+        table[counts.column("bucket").to_numpy(), at.to_numpy()] = counts.column("n").to_numpy()
     return TextModel(labels, table)
 
 
@@ -216,7 +229,7 @@ def _fuse_batches(shared, names, text_at, declared_at, batches):
 def identify(df: DataFrame, model: TextModel, text_col: str, host_col: str, declared_col: str) -> DataFrame:
     """``df`` with language, posterior, text_language (of the text alone) and kept.
 
-    ``declared_col`` holds two-letter codes or other short labels; columns of
+    ``declared_col`` holds language tags; columns of
     ``df`` with the result columns' names are replaced.
     """
     spark = df.sparkSession
@@ -224,8 +237,7 @@ def identify(df: DataFrame, model: TextModel, text_col: str, host_col: str, decl
     df = df.drop("language", "posterior", "text_language", "kept")
     shared = spark.sparkContext.broadcast(model)
     k = len(model.labels)
-    code = F.when(F.col(declared_col).rlike("^[A-Za-z]{2}([-_].*)?$"), F.lower(F.substring(declared_col, 1, 2)))
-    df = df.withColumn("_host", F.col(host_col).cast("string")).withColumn("_declared", code)
+    df = df.withColumn("_host", F.col(host_col).cast("string")).withColumn("_declared", language_code(F.col(declared_col)))
     sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
     shares = (df.select(F.col(text_col).cast("string").alias("text"), "_host", "_declared")
               .mapInArrow(lambda it: _share_batches(shared, it),
@@ -245,9 +257,10 @@ def identify(df: DataFrame, model: TextModel, text_col: str, host_col: str, decl
         .join(bounded_broadcast(suffixes), F.col("suffix") == F.col("_suffix"), "left")
         .select("host", "rows", "host_n", "domain_n", "suffix_n"), "hosts")
 
-    # two-letter codes: 676 rows at most
-    said = shares.where("declared is not null").groupBy("declared").agg(*sums).collect()
-    declared = {r["declared"]: np.array([r[f"s{i}"] for i in range(k)]) / UNIT for r in said}
+    # codes of two or three letters: 18,252 rows at most
+    said = shares.where("declared is not null").groupBy("declared").agg(*sums).toArrow()
+    counts = np.stack([said.column(f"s{i}").to_numpy() for i in range(k)], axis=1) / UNIT
+    declared = dict(zip(said.column("declared").to_pylist(), counts))
     total = shares.agg(*sums).first()
     everywhere = np.array([total[f"s{i}"] or 0 for i in range(k)]) / UNIT
 
@@ -266,7 +279,7 @@ def identify(df: DataFrame, model: TextModel, text_col: str, host_col: str, decl
 def page_evidence(pages: DataFrame) -> DataFrame:
     """page_id, text, host and declared language of raw web pages."""
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1)
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{3}(?![A-Za-z])|[A-Za-z]{2})", 1)
     host = F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     blank = lambda c: F.when(c != "", c)
     return pages.select("page_id", text.alias("text"), blank(host).alias("host"), blank(declared).alias("declared"))

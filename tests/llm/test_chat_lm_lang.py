@@ -277,3 +277,19 @@ def test_page_evidence(spark):
     assert got[0][1].split() == ["Bonjour", "le"] and got[0][2:] == ("www.ex.com", "FR")
     assert got[1] == (2, None, None, None) and got[2] == (3, "plain", None, None)
     assert F is not None
+
+
+def test_every_label_is_a_language_in_all_its_spellings(spark):
+    rnd, rows = random.Random(12), []
+    codes = [a + b for a in "abcdefgh" for b in "abcdefghij"] + ["yue"]
+    for k, code in enumerate(codes):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]           # a script of its own
+        for i in range(4):
+            told = [code, code.upper(), f"{code}-XX", f" {code}_yy"][i]
+            text = " ".join("".join(rnd.choice(letters[:8]) for _ in range(4)) for _ in range(60))
+            rows.append((len(rows), text, told, code))
+    df = spark.createDataFrame(rows, "id long, text string, lang string, code string")
+    model = L.fit_text_model(df, "text", "lang", "id")
+    assert sorted(model.labels) == sorted([*codes, L.UNKNOWN])
+    out = L.identify(df.withColumn("host", F.lit("h")), model, "text", "host", "lang").collect()
+    assert len(out) == len(rows) and all(r["language"] == r["code"] and r["kept"] for r in out)
