@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutscope.llm.bottomk_dedup import near_duplicates
+from mutscope.llm.bottomk_dedup import grouped
 from mutscope.llm.hilbert_shards import hilbert_shards
 from mutscope.llm.lang_fusion import fit_text_model, identify
 from mutscope.llm.ordering import LIST_BYTES
@@ -22,16 +22,22 @@ ENTROPY_SHARE = 0.92          # of the greatest possible entropy of the source w
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
-    Of repeated rows (same doc_id and text) one stays; documents without an id
-    stay unless a document with an id is in their group.
+    Of repeated rows (same doc_id and text) one stays; of a group's rows that
+    share its smallest doc_id, or of a group without any id, the one whose text
+    has the smallest hash. Documents without words stay.
     """
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = grouped(docs).where("kept").groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     kept = materialize(kept, "kept")
-    ids = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    once = bounded_broadcast(kept.where("n = 1").select(F.col("doc_id").alias("keep_id")), LIST_BYTES)
-    more = bounded_broadcast(kept.where("n > 1").select(F.col("doc_id").alias("keep_id")), LIST_BYTES)
-    repeated = docs.join(more, ids, "left_semi").withColumn("_t", F.xxhash64("text"))
-    return docs.join(once, ids, "left_semi").union(repeated.dropDuplicates(["doc_id", "_t"]).drop("_t"))
+    one = (kept.where("group is not null").groupBy("group")
+           .agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("k")).select("k.doc_id", "k.text_hash", "k.n"))
+    chosen = one.union(kept.where("group is null").select("doc_id", "text_hash", "n"))
+    chosen = materialize(chosen.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "chosen")
+    hashed = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_hash"))
+    once = bounded_broadcast(chosen.where("n = 1").drop("n"), LIST_BYTES)
+    more = bounded_broadcast(chosen.where("n > 1").drop("n"), LIST_BYTES)
+    repeated = hashed.join(more, same, "left_semi").dropDuplicates(["doc_id", "_t"])
+    return hashed.join(once, same, "left_semi").union(repeated).drop("_t")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows_and_those_without_id(spark)
     assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"]) == [(1, text), (3, None)] and len(got) == 4
 
 
+def test_near_dedup_stage_decides_by_text_where_ids_repeat_or_are_missing(spark):
+    copied, alone = "one two three four five six seven", "a text that has no copy in this table"
+    near = [f"{' '.join(f'w{i}' for i in range(60))} {end}" for end in ("x", "y", "z")]
+    twice = [f"{' '.join(f'v{i}' for i in range(60))} {end}" for end in ("x", "y")]
+    rows = [(1, copied), (None, copied), (None, alone), (5, copied), (5, "the second text of document five"),
+            *((None, t) for t in near), *((7, t) for t in twice), (None, ""), (None, " "), (8, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_dedup(spark, df, SF001)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == df.columns
+    assert sum(t in near for _, t in got) == 1 and sum(t in twice for _, t in got) == 1
+    assert sorted((r for r in got if r[1] not in near + twice), key=str) == sorted(
+        [(1, copied), (None, alone), (5, "the second text of document five"), (None, ""), (None, " "), (8, None)], key=str)
+
+
 def test_an_empty_table_passes_through(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
