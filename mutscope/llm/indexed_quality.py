@@ -338,7 +338,7 @@ def _pool_batches(shared, batches):
 def _score_batches(shared, names, at, batches):
     vectors, net = shared.value
     for piece in _pieces(batches, at):
-        s = net.score(vectors.pooled(piece.column(at)))
+        s = np.round(net.score(vectors.pooled(piece.column(at))), 9)      # below, matrix products vary with the batch
         yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
                                          names=[*names, "score", "predicted"])
 
