@@ -15,11 +15,14 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import features as FT
+from ..operators import forest as FO
+from ..operators import learners as LR
 from ..operators import models as M
+from ..operators import ridge as RG
 from ..operators import variants as V
 from ..session import table
 from ..sources import bindings as B
-from ..util import finish
+from ..util import finish, materialize
 from .bind_sql import rounded
 from .registry import register
 from .variants_q import _LLR_SQL
@@ -154,12 +157,23 @@ def q_m1(spark, d):
     return FT.fit_pca(f, "embedding", 8).transform(f).select("vec_id", "pca")
 
 
+@register("M1_wide", rounded("""WITH x AS (SELECT vec_id, d, CAST(embedding[d + 1] AS DOUBLE) AS v
+  FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS d FROM embeddings)),
+m AS (SELECT d, avg(v) AS m FROM x GROUP BY d)
+SELECT vec_id, sum((v - m) * (v - m)) AS square FROM x JOIN m USING (d) GROUP BY vec_id""", "square"))
+def q_m1w(spark, d):
+    """Randomised axes, all 64 of them: without sign, the squared length of every projected vector."""
+    f = _features(spark, d)
+    p = FT.fit_wide_pca(f, "embedding", 64, max_passes=2).transform(f)
+    return finish(p.select("vec_id", F.aggregate("pca", F.lit(0.0), lambda a, v: a + v * v).alias("square")))
+
+
 @register("M3")
 def q_m3(spark, d):
-    """Random forest on embeddings; components per tree, mean, population σ."""
-    f = _features(spark, d)
-    model = M.fit_forest(f, "embedding", "y", num_trees=10, max_depth=6)
-    return finish(M.predict_forest(model, f, "embedding").select("vec_id", "components", "prediction", "uncertainty"))
+    """Random forest on embeddings, 100 trees grown until leaves are pure; components per tree, mean, population σ."""
+    f = _features(spark, d).withColumn("g", F.lit(0))
+    model = FO.fit_forests(f, ["g"], "embedding", "y", "vec_id")
+    return finish(FO.predict_forests(model, f, "embedding").select("vec_id", "components", "prediction", "uncertainty"))
 
 
 @register("M4")
@@ -170,21 +184,81 @@ def q_m4(spark, d):
     return finish(M.predict_bagged(models, f, "embedding").select("vec_id", "components", "prediction", "uncertainty"))
 
 
+def _poisson_sql(u: str) -> str:
+    """The Poisson(1) count of a uniform number, as in ``poisson_draw``."""
+    steps, cdf, p = [], 0.0, math.exp(-1.0)
+    while cdf + p > cdf:
+        cdf += p
+        steps.append(f"({u} >= {cdf!r}::DOUBLE)::INTEGER")
+        p /= len(steps)
+    return " + ".join(steps)
+
+
+@register("M4_line", rounded(f"""WITH f AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(label AS DOUBLE) AS y, m,
+    ('0x' || substr(md5(CAST(42000 + m AS VARCHAR) || '|' || CAST(vec_id AS VARCHAR)), 1, 13))::BIGINT / {float(1 << 52)!r} AS u
+  FROM (SELECT *, unnest(range(0, 10)) AS m FROM embeddings)),
+w AS (SELECT *, {_poisson_sql("u")} AS w FROM f),
+a AS (SELECT m, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY m),
+c AS (SELECT a.m, any_value(mx) AS mx, any_value(my) AS my,
+    sum(w * (x - mx) * (y - my)) / (sum(w * (x - mx) * (x - mx)) + 1.0) AS slope FROM w JOIN a USING (m) GROUP BY a.m),
+p AS (SELECT vec_id, m, my + slope * (x - mx) AS p FROM w JOIN c USING (m))
+SELECT vec_id, list(p ORDER BY m) AS components, avg(p) AS prediction, stddev_pop(p) AS uncertainty FROM p GROUP BY vec_id""",
+                             "prediction", "uncertainty", arrays=("components",)))
+def q_m4_line(spark, d):
+    """Bagged ridge on one feature, where every member has a closed form."""
+    f = _features(spark, d).withColumn("x", F.slice("embedding", 1, 1))
+    coefs = RG.fit_ridges(f, [], "x", "y", M.bootstrap_weights(10, 42, "vec_id"), alpha=1.0)
+    return finish(RG.predict_ridges(f, coefs, [], "x").select("vec_id", "components", "prediction", "uncertainty"))
+
+
+def _group_features(spark, d):
+    return _features(spark, d).withColumn("grp", (F.col("vec_id") % 5).cast("int")).withColumn(
+        "x", F.col("embedding").cast("array<double>"))
+
+
 @register("M7")
 def q_m7(spark, d):
     """Ridge per group (vec_id mod 5) in one job: Gram sums → small solves."""
-    f = _features(spark, d).withColumn("grp", (F.col("vec_id") % 5).cast("int")).withColumn(
-        "x", F.col("embedding").cast("array<double>"))
+    f = _group_features(spark, d)
     coefs = M.group_ridge(f, ["grp"], "x", "y", alpha=1.0)
     return finish(M.predict_group_ridge(f, coefs, ["grp"], "x").select("vec_id", "grp", "prediction"))
 
 
+@register("M7_line", rounded("""WITH f AS (SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS grp, CAST(embedding[1] AS DOUBLE) AS x,
+  CAST(label AS DOUBLE) AS y FROM embeddings),
+a AS (SELECT grp, avg(x) AS mx, avg(y) AS my FROM f GROUP BY grp),
+c AS (SELECT grp, any_value(mx) AS mx, any_value(my) AS my,
+  sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 0.5) AS slope FROM f JOIN a USING (grp) GROUP BY grp)
+SELECT vec_id, grp, my + slope * (x - mx) AS prediction FROM f JOIN c USING (grp)""", "prediction"))
+def q_m7_line(spark, d):
+    """Ridge per group on one feature, in closed form."""
+    f = _group_features(spark, d).withColumn("x", F.slice("x", 1, 1))
+    coefs = M.group_ridge(f, ["grp"], "x", "y", alpha=0.5)
+    return finish(M.predict_group_ridge(f, coefs, ["grp"], "x").select("vec_id", "grp", "prediction"))
+
+
+@register("M7_forest")
+def q_m7_forest(spark, d):
+    """A training job by name: forests of all (simulation, round) groups at once, seeded by both."""
+    f = _features(spark, d).withColumn("simulation_num", (F.col("vec_id") % 3).cast("int")).withColumn(
+        "round_num", (F.col("vec_id") % 2).cast("int"))
+    out = LR.train_job(f, f, "RandomForestRegression", ["simulation_num", "round_num"], "embedding", "y", "vec_id",
+                       F.col("simulation_num"), F.col("round_num"), n_estimators=20)
+    return finish(out.select("vec_id", "simulation_num", "round_num", "components", "prediction", "uncertainty"))
+
+
 @register("M12")
 def q_m12(spark, d):
     """Diagonal Gaussian mixture (K = 2) over residue vectors: weights, means, variances."""
-    w, mu, var = FT.fit_gmm(tokens(spark, d), 2)
-    rows = [(k, w[k], mu[k], var[k]) for k in range(len(w))]
-    return spark.createDataFrame(rows, "k int, weight double, mean array<double>, var array<double>")
+    return FT.fit_mixture(tokens(spark, d), 2).table(spark)
+
+
+@register("M13_fitted")
+def q_m13_fitted(spark, d):
+    """Fisher vectors against the mixture that M12 fits to the same tokens, stored as a table and read again."""
+    t = tokens(spark, d)
+    mix = FT.Mixture.read(materialize(FT.fit_mixture(t, 8).table(spark), "mixture"))
+    return finish(FT.fisher_vectors(t, mix.weights, mix.means, mix.variances))
 
 
 @register("M14")

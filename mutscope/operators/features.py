@@ -10,20 +10,30 @@ join is needed.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..util import bounded_broadcast, materialize, null_safe_join
+from .ridge import add_tiles
 from .selection import seeded_hash
 
 # Value of an empty max-pooling window: the most negative float32 (fixed value).
 EMPTY_MAX = -3.4028234663852886e38
 
+MIXTURE_BYTES = 32 << 20
+VECTORS_AT_ONCE = 4096
+EXACT_WIDTH = 1024            # features up to which a principal component analysis forms the d x d matrix
+OVERSAMPLING = 10
+BASIS_ROWS = 1024             # rows of a basis that travel together
+
 
 def tokens_from_flat(df: DataFrame, seq: Column, first_pos: Column, vec_col: str, n_tokens: int, dim: int) -> DataFrame:
     """Reshape flat vectors (n_tokens·dim numbers) into token rows; a sequence
@@ -114,88 +124,180 @@ def pool_windows_fixed(tokens: DataFrame, segments: int = 8, overlap: float = 0.
 
 # ---------------------------------------------------------------- mixtures and Fisher vectors
 
-def _components(weights, means, variances) -> Column:
-    """The mixture's components as one array literal."""
-    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    return F.array(*[F.struct(F.lit(float(w)).alias("w"), arr(m).alias("mu"), arr(v).alias("var"))
-                     for w, m, v in zip(weights, means, variances)])
+@dataclass
+class Mixture:
+    """A diagonal Gaussian mixture: weights (K), means and variances (K x D).
+
+    Tasks get it as a broadcast value of K·(2D + 1) numbers, at most
+    ``MIXTURE_BYTES``, so that plans do not grow with it.
+    """
+    weights: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+
+    @classmethod
+    def of(cls, weights, means, variances) -> "Mixture":
+        m = cls(*(np.asarray(v, float) for v in (weights, means, variances)))
+        if m.means.nbytes > MIXTURE_BYTES:
+            raise ValueError("a mixture of this size is not sent to tasks; reduce the vectors first (fit_pca)")
+        return m
+
+    @classmethod
+    def read(cls, table: DataFrame) -> "Mixture":
+        """From a stored table (k, weight, mean, var) of K rows."""
+        rows = table.orderBy("k").collect()
+        return cls.of([r["weight"] for r in rows], [r["mean"] for r in rows], [r["var"] for r in rows])
+
+    def table(self, spark) -> DataFrame:
+        rows = [(k, float(w), m.tolist(), v.tolist()) for k, (w, m, v) in enumerate(zip(self.weights, self.means, self.variances))]
+        return spark.createDataFrame(rows, "k int, weight double, mean array<double>, var array<double>")
 
+    def posteriors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(posterior of each component, log-likelihood) of the rows of ``x``.
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+        A log-density is linear in (x, x²), measured from the mixture's middle, by log-sum-exp over components.
+        """
+        middle = self.weights @ self.means
+        x, mu = x - middle, self.means - middle
+        constant = np.log(self.weights) - 0.5 * (np.log(2 * np.pi * self.variances) + mu * mu / self.variances).sum(axis=1)
+        logp = x @ (mu / self.variances).T - 0.5 * (x * x) @ (1 / self.variances).T + constant
+        top = logp.max(axis=1, keepdims=True)
+        ll = top + np.log(np.exp(logp - top).sum(axis=1, keepdims=True))
+        return np.exp(logp - ll), ll[:, 0]
+
+
+def _vectors(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _posterior_batches(shared, at, names, batches):
+    for b in batches:
+        if b.num_rows:
+            gamma, ll = shared.value.posteriors(_vectors(b.column(at)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ll), pa.array(list(gamma), pa.list_(pa.float64()))],
+                                             names=[*names, "ll", "gamma"])
 
 
 def with_posteriors(tokens: DataFrame, weights, means, variances) -> DataFrame:
-    """Tokens with ``gamma`` (posterior of each component) and ``ll``
-    (log-likelihood), by log-sum-exp within the row."""
-    quad = lambda p: _total(F.zip_with("vec", F.arrays_zip(p["mu"].alias("mu"), p["var"].alias("var")),
-                                       lambda x, q: F.log(2 * math.pi * q["var"]) + (x - q["mu"]) * (x - q["mu"]) / q["var"]))
-    t = tokens.withColumn("_logp", F.transform(_components(weights, means, variances), lambda p: F.log(p["w"]) - 0.5 * quad(p)))
-    t = t.withColumn("_m", F.array_max("_logp"))
-    t = t.withColumn("ll", F.col("_m") + F.log(_total(F.transform("_logp", lambda v: F.exp(v - F.col("_m"))))))
-    return t.withColumn("gamma", F.transform("_logp", lambda v: F.exp(v - F.col("ll")))).drop("_logp", "_m")
+    """Tokens with ``ll`` (log-likelihood) and ``gamma`` (posterior of each component)."""
+    shared = tokens.sparkSession.sparkContext.broadcast(Mixture.of(weights, means, variances))
+    schema = T.StructType([*tokens.schema.fields, *T.StructType.fromDDL("ll double, gamma array<double>").fields])
+    names, at = tokens.columns, tokens.columns.index("vec")
+    return tokens.mapInArrow(lambda it: _posterior_batches(shared, at, names, it), schema)
+
+
+def _component_sums(mix: Mixture, x: np.ndarray):
+    """(K, 2 + 2D): sums of posterior, of log-likelihood (in the first component), of posterior · x and · x²."""
+    gamma, ll = mix.posteriors(x)
+    told = np.zeros((len(mix.weights), 1))
+    told[0] = ll.sum()
+    return np.hstack((gamma.sum(axis=0)[:, None], told, gamma.T @ x, gamma.T @ (x * x)))
+
+
+def _moment_batches(shared, batches):
+    """(k, tile): a task's sums, a row a component."""
+    total = None
+    for b in batches:
+        for at in range(0, b.num_rows, VECTORS_AT_ONCE):
+            s = _component_sums(shared.value, _vectors(b.column(0).slice(at, VECTORS_AT_ONCE)))
+            total = s if total is None else total + s
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())],
+                                         names=["k", "tile"])
+
+
+def _fisher_batches(shared, batches):
+    """(seq_id, stats, n): a batch's sums of first- and second-order statistics of each sequence."""
+    mix = shared.value
+    for b in batches:
+        for at in range(0, b.num_rows, VECTORS_AT_ONCE):
+            part = b.slice(at, VECTORS_AT_ONCE)
+            x = _vectors(part.column(1))
+            gamma, _ = mix.posteriors(x)
+            code = part.column(0).dictionary_encode("encode")
+            seq = code.indices.to_numpy()
+            stats = []
+            for s in range(len(code.dictionary)):
+                g, v = gamma[seq == s], x[seq == s]
+                n, first, second = g.sum(axis=0)[:, None], g.T @ v, g.T @ (v * v)
+                d1 = (first - n * mix.means) / mix.variances
+                d2 = (second - 2 * mix.means * first + n * mix.means ** 2) / mix.variances - n
+                stats.append(np.concatenate((d1.ravel(), d2.ravel())))
+            yield pa.RecordBatch.from_arrays(
+                [code.dictionary, pa.array(stats, pa.list_(pa.float64())), pa.array(np.bincount(seq, minlength=len(stats)), pa.int64())],
+                names=["seq_id", "stats", "n"])
 
 
 def fisher_vectors(tokens: DataFrame, weights, means, variances, normalize: bool = True) -> DataFrame:
     """Fisher-vector encoding against a diagonal mixture (K components).
 
-    Each token gives one vector of its first- and second-order statistics;
-    these are summed per sequence, divided by L·√π_k; then signed square root
-    and L2 normalisation.  Output length 2·K·D (first-order block, then
-    second-order block; component-major).
+    Tasks sum each sequence's first- and second-order statistics, Spark adds
+    the sums up per sequence; they are divided by L·√π_k; then signed square
+    root and L2 normalisation.  Output length 2·K·D (first-order block, then
+    second-order block; component-major).  ``fisher_vectors(tokens,
+    *astuple(mixture))`` encodes with a fitted one.
     """
-    t = with_posteriors(tokens, weights, means, variances)
-    comps = _components(weights, means, variances)
-
-    def block(stat):
-        per = F.zip_with("gamma", comps, lambda g, p: F.zip_with(
-            "vec", F.arrays_zip(p["mu"].alias("mu"), p["var"].alias("var")), lambda x, q: g * stat(x - q["mu"], q["var"])))
-        return F.flatten(per)
-
-    stats = F.concat(block(lambda d, v: d / v), block(lambda d, v: d * d / v - 1))
-    sums = (t.select("seq_id", array_to_vector(stats).alias("_s")).groupBy("seq_id")
-            .agg(vector_to_array(Summarizer.sum(F.col("_s"))).alias("_s"), F.count(F.lit(1)).alias("L")))
-    scale = [math.sqrt(w) for w in weights for _ in range(len(means[0]))] * 2
-    fv = F.zip_with("_s", F.array(*[F.lit(x) for x in scale]), lambda s, r: s / (F.col("L") * r))
-    if not normalize:
-        return sums.select("seq_id", fv.alias("fisher_vector"))
-    out = sums.select("seq_id", F.transform(fv, lambda v: F.signum(v) * F.sqrt(F.abs(v))).alias("_f"))
-    norm = F.sqrt(_total(F.transform("_f", lambda v: v * v)))
-    return (out.withColumn("_n", norm).select("seq_id", F.transform(
-        "_f", lambda v: F.when(F.col("_n") > 0, v / F.col("_n")).otherwise(v)).alias("fisher_vector")))
-
-
-def fit_gmm(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 50, tolerance: float = 1e-4,
-            floor: float = 1e-6) -> tuple[list[float], list[list[float]], list[list[float]]]:
-    """Diagonal Gaussian mixture over token vectors by EM; (weights, means, variances).
-
-    Each iteration is one aggregation: a token's posterior-weighted moments
-    form one vector, and their sum (K·(1 + 2D) numbers) comes to the driver.
-    Starts from the k tokens that come first by a seeded hash, with the
-    overall variances; ends when the mean log-likelihood rises by less than
-    ``tolerance``.  Reduce the vectors first (``fit_pca``) for a mixture in
-    fewer dimensions.
+    spark = tokens.sparkSession
+    mix = Mixture.of(weights, means, variances)
+    shared = spark.sparkContext.broadcast(mix)
+    kind = tokens.schema["seq_id"].dataType.simpleString()
+    parts = tokens.select("seq_id", "vec").mapInArrow(lambda it: _fisher_batches(shared, it), f"seq_id {kind}, stats array<double>, n long")
+    sums = (parts.groupBy("seq_id")
+            .agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("_s"), F.sum("n").alias("n")))
+    scaled = spark.sparkContext.broadcast(np.tile(np.repeat(np.sqrt(mix.weights), mix.means.shape[1]), 2))
+
+    def finished(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fv = _vectors(b.column(1)) / (b.column(2).to_numpy()[:, None] * scaled.value)
+            if normalize:
+                fv = np.sign(fv) * np.sqrt(np.abs(fv))
+                norm = np.sqrt((fv * fv).sum(axis=1, keepdims=True))
+                fv = fv / np.where(norm > 0, norm, 1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(fv), pa.list_(pa.float64()))], names=["seq_id", "fisher_vector"])
+
+    return sums.mapInArrow(finished, f"seq_id {kind}, fisher_vector array<double>")
+
+
+def fit_mixture(tokens: DataFrame, k: int, seed: int = 42, max_iter: int = 50, tolerance: float = 1e-4,
+                floor: float = 1e-6) -> Mixture:
+    """Diagonal Gaussian mixture over token vectors by EM.
+
+    Each iteration reads the vectors once: tasks sum posterior-weighted
+    moments (K·(2 + 2D) numbers each), which are added component by component
+    before they reach the driver.  Starts from the k tokens that come first by
+    a seeded hash, with the overall variances; ends when the mean
+    log-likelihood rises by less than ``tolerance``.  Reduce the vectors first
+    (``fit_pca``) for a mixture in fewer dimensions.
     """
+    context = tokens.sparkSession.sparkContext
     t = materialize(tokens.select("seq_id", "pos", "vec"), "tokens")
     whole = t.agg(Summarizer.variance(array_to_vector("vec")).alias("v"), F.count(F.lit(1)).alias("n")).first()
     n, var = whole["n"], np.maximum(whole["v"].toArray(), floor)
     order = seeded_hash(F.lit(seed), F.concat_ws(":", "seq_id", "pos"))
     first = t.select("vec", order.alias("h"), "seq_id", "pos").orderBy("h", "seq_id", "pos").limit(k).collect()
-    w, mu, s2 = np.full(k, 1 / k), np.array([r["vec"] for r in first]), np.tile(var, (k, 1))
-    last = -math.inf
+    mix = Mixture.of(np.full(len(first), 1 / len(first)), [r["vec"] for r in first], np.tile(var, (len(first), 1)))
+    last, d = -math.inf, len(var)
     for _ in range(max_iter):
-        p = with_posteriors(t, w.tolist(), mu.tolist(), s2.tolist())
-        moments = F.flatten(F.transform("gamma", lambda g: F.concat(
-            F.array(g), F.transform("vec", lambda x: g * x), F.transform("vec", lambda x: g * x * x))))
-        r = p.agg(Summarizer.sum(array_to_vector(moments)).alias("s"), F.avg("ll").alias("ll")).first()
-        m = r["s"].toArray().reshape(k, -1)
-        g, d = np.maximum(m[:, :1], 1e-300), mu.shape[1]
-        w, mu = m[:, 0] / n, m[:, 1:1 + d] / g
-        s2 = np.maximum(m[:, 1 + d:] / g - mu * mu, floor)
-        if r["ll"] - last < tolerance:
+        shared = context.broadcast(mix)
+        parts = t.select("vec").mapInArrow(lambda it, s=shared: _moment_batches(s, it), "k int, tile binary")
+        added = parts.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: add_tiles(["k"], it), "k int, tile binary")
+        m = np.stack([np.frombuffer(r["tile"]) for r in added.orderBy("k").collect()])
+        shared.destroy()
+        g, ll = np.maximum(m[:, :1], 1e-300), m[0, 1] / n
+        mu = m[:, 2:2 + d] / g
+        mix = Mixture(np.maximum(m[:, 0] / n, 1e-300), mu, np.maximum(m[:, 2 + d:] / g - mu * mu, floor))
+        if ll - last < tolerance:
             break
-        last = r["ll"]
-    return w.tolist(), mu.tolist(), s2.tolist()
+        last = ll
+    return mix
+
+
+def fit_gmm(tokens: DataFrame, k: int, **parameters) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """M12 as plain lists: weights, means, variances."""
+    m = fit_mixture(tokens, k, **parameters)
+    return m.weights.tolist(), m.means.tolist(), m.variances.tolist()
 
 
 # ---------------------------------------------------------------- MLlib-backed jobs
@@ -231,11 +333,83 @@ class FittedPca:
         return out.withColumn("pca", vector_to_array("_p")).drop("_f", "_c", "_p")
 
 
-def fit_pca(df: DataFrame, array_col: str, k: int) -> FittedPca:
+class WidePca:
+    """M1 for wide vectors: the mean, the axes (d x k, orthonormal) and the variance along each."""
+
+    def __init__(self, mean: np.ndarray, axes: np.ndarray, variance: np.ndarray, array_col: str):
+        self.mean, self.axes, self.variance, self.array_col = mean, axes, variance, array_col
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``pca``; NULL where the vector is."""
+        df = df.drop("pca")
+        shared = df.sparkSession.sparkContext.broadcast((self.mean, self.axes))
+        names = df.columns
+
+        def projected(batches):
+            mean, axes = shared.value
+            for b in batches:
+                column = b.column(len(names))
+                p = iter((_vectors(column.drop_null()) - mean) @ axes if column.null_count < len(column) else ())
+                out = [next(p) if v else None for v in column.is_valid().to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*names, "pca"])
+
+        schema = T.StructType([*df.schema.fields, T.StructField("pca", T.ArrayType(T.DoubleType()))])
+        return df.withColumn("_x", F.col(self.array_col).cast("array<double>")).mapInArrow(projected, schema)
+
+
+def _scatter_batches(shared, batches):
+    """(k, tile): a task's sums of (x - mean) (x - mean)ᵀ times the basis, in blocks of rows of the product."""
+    mean, basis = shared.value
+    total = np.zeros(basis.shape)
+    for b in batches:
+        for at in range(0, b.num_rows, VECTORS_AT_ONCE):
+            x = _vectors(b.column(0).slice(at, VECTORS_AT_ONCE)) - mean
+            total += x.T @ (x @ basis)
+    blocks = range(0, len(total), BASIS_ROWS)
+    yield pa.RecordBatch.from_arrays([pa.array(list(range(len(blocks))), pa.int32()),
+                                      pa.array([total[i:i + BASIS_ROWS].tobytes() for i in blocks], pa.binary())], names=["k", "tile"])
+
+
+def fit_wide_pca(df: DataFrame, array_col: str, k: int, seed: int = 42, max_passes: int = 40, tolerance: float = 1e-9) -> WidePca:
+    """M1: principal axes by a randomised range finder, without a d x d matrix anywhere.
+
+    A seeded random basis of k + ``OVERSAMPLING`` columns is multiplied by the
+    scatter matrix, a pass over the rows at a time (tasks sum xxᵀ·basis, d x
+    (k + ``OVERSAMPLING``) numbers), and made orthonormal again; the small
+    matrix basisᵀ·scatter·basis gives axes and variances. Ends when the
+    leading variances rise by less than ``tolerance`` of their sum.
+    """
+    context = df.sparkSession.sparkContext
+    rows = materialize(df.select(F.col(array_col).cast("array<double>").alias("x")).where("x is not null"), "vectors")
+    whole = rows.agg(Summarizer.mean(array_to_vector("x")).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    mean, n = whole["m"].toArray(), whole["n"]
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), min(len(mean), k + OVERSAMPLING))))[0]
+    last = -math.inf
+    for _ in range(max_passes):
+        shared = context.broadcast((mean, basis))
+        parts = rows.mapInArrow(lambda it, s=shared: _scatter_batches(s, it), "k int, tile binary")
+        added = parts.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: add_tiles(["k"], it), "k int, tile binary")
+        product = np.concatenate([np.frombuffer(r["tile"]) for r in added.orderBy("k").collect()]).reshape(basis.shape)
+        shared.destroy()
+        small = basis.T @ product
+        value, turn = np.linalg.eigh((small + small.T) / 2)
+        by = np.argsort(-value)
+        value, axes = value[by][:k], (basis @ turn[:, by])[:, :k]
+        if value.sum() - last <= tolerance * max(value.sum(), 1e-300):
+            break
+        last = value.sum()
+        basis = np.linalg.qr(product)[0]
+    return WidePca(mean, axes, value / max(1, n - 1), array_col)
+
+
+def fit_pca(df: DataFrame, array_col: str, k: int) -> FittedPca | WidePca:
     """M1: PCA to k dimensions on centred features (MLlib's PCA does not centre
-    at transform); skipped when k > n − 1."""
+    at transform); skipped when k > n − 1.  Vectors of more than
+    ``EXACT_WIDTH`` numbers go the way of ``fit_wide_pca``."""
     if k > df.count() - 1:
         return FittedPca(None, None, array_col)
+    if (df.agg(F.max(F.size(array_col))).first()[0] or 0) > EXACT_WIDTH:
+        return fit_wide_pca(df, array_col, k)
     v = to_vector(df, array_col, "_f")
     centre = StandardScaler(inputCol="_f", outputCol="_c", withMean=True, withStd=False).fit(v)
     return FittedPca(centre, PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(v)), array_col)

@@ -23,6 +23,7 @@ subtrees in a cogroup, at most about ``PREDICT_ROWS`` rows of a group in each.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
@@ -132,24 +133,20 @@ def _matrix(column) -> np.ndarray:
 
 # ---------------------------------------------------------------- weights and units
 
-def poisson_weights(members: int, seed: Column, row: Column) -> Column:
-    """array<int>: a Poisson(1) draw for each member, from a hash of (seed, member, row).
-
-    Inverse distribution function in doubles, up to the count at which it reaches 1.
-    """
-    steps, cdf, p, k = [], 0.0, float(np.exp(-1.0)), 0
+def poisson_draw(u: Column) -> Column:
+    """A Poisson(1) count from a uniform number: the inverse distribution function in doubles, up to where it reaches 1."""
+    steps, cdf, p = [], 0.0, math.exp(-1.0)
     while cdf + p > cdf:
         cdf += p
-        steps.append(cdf)
-        k += 1
-        p /= k
-    levels = F.array(*[F.lit(s) for s in steps])
+        steps.append(F.lit(cdf))
+        p /= len(steps)
+    return F.size(F.filter(F.array(*steps), lambda s: s <= u))
 
-    def draw(m):
-        u = F.shiftrightunsigned(F.xxhash64(seed, m, row), 11) / F.lit(float(1 << 53))
-        return F.size(F.filter(levels, lambda s: s <= u))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(members - 1)), draw)
+def poisson_weights(members: int, seed: Column, row: Column) -> Column:
+    """array<int>: a Poisson(1) draw for each member, from a hash of (seed, member, row)."""
+    uniform = lambda m: F.shiftrightunsigned(F.xxhash64(seed, m, row), 11) / F.lit(float(1 << 53))
+    return F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda m: poisson_draw(uniform(m)))
 
 
 @dataclass

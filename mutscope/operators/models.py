@@ -1,29 +1,25 @@
 """Model jobs (M3, M4, M6, M7): ensembles whose members' predictions are kept.
 
-* Forest: MLlib ``RandomForestRegressor``; each tree's prediction is added
-  as a column by chaining the tree models' ``transform`` (one narrow pass),
-  so prediction = mean of trees and uncertainty = population σ over trees.
-* Bagged ridge: Poisson(1) bootstrap weights from a seeded hash, one
-  weighted ``LinearRegression`` per member.
-* Many-group ridge (M7): per-partition Gram sums (numpy inside
-  ``mapInPandas``), summed across partitions by Spark, then one small
-  (d+1)×(d+1) solve per group — the cost of the solve does not grow with
-  the number of rows and no group is ever gathered into one task.
+* Forests of all groups, grown until leaves are pure: ``forest.py``. The
+  bounded MLlib forest stays for trees of a given depth.
+* Ridge for many groups and bootstrap members from one read: ``ridge.py``;
+  here the single bagged ridge (M4) and the plain ridge of each group (M7).
+* Learners by name, with seeds: ``learners.py``.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..util import bounded_broadcast
+from ..util import bounded_broadcast, null_safe_join
+from .forest import poisson_draw
+from .ridge import fit_ridges, predict_ridges
 from .selection import seeded_uniform
 
 
@@ -57,54 +53,33 @@ def predict_forest(model, df: DataFrame, features: str) -> DataFrame:
                       sd.alias("uncertainty"))
 
 
-def poisson1(u: Column, kmax: int = 12) -> Column:
-    """Inverse-CDF Poisson(1) draw from a uniform column (bootstrap weight)."""
-    cdf, p = 0.0, math.exp(-1.0)
-    expr = None
-    for k in range(kmax + 1):
-        cdf += p
-        p /= (k + 1)
-        cond = u < F.lit(cdf)
-        expr = F.when(cond, F.lit(float(k))) if expr is None else expr.when(cond, F.lit(float(k)))
-    return expr.otherwise(F.lit(float(kmax + 1)))
+def poisson1(u: Column) -> Column:
+    """Poisson(1) bootstrap weight of a uniform column."""
+    return poisson_draw(u).cast("double")
+
+
+@dataclass
+class RidgeMember:
+    intercept: float
+    coefficients: DenseVector
+
+
+def bootstrap_weights(members: int, seed: int, id_col: str) -> Column:
+    """array<double>: every member's md5-seeded weight of a row, equal in any engine with md5."""
+    return F.array(*[poisson1(seeded_uniform(F.lit(seed * 1000 + m), id_col)) for m in range(members)])
 
 
 def fit_bagged_ridge(df: DataFrame, features: str, label: str, id_col: str, members: int = 10,
-                     alpha: float = 1.0, seed: int = 42):
-    """M4: ``members`` ridge models on Poisson(1) bootstrap weights.
+                     alpha: float = 1.0, seed: int = 42) -> list[RidgeMember]:
+    """M4: ``members`` ridge models (penalty α‖β‖², free intercept) on Poisson(1) bootstrap weights, from one read."""
+    fitted = fit_ridges(df, [], features, label, bootstrap_weights(members, seed, id_col), alpha)
+    return [RidgeMember(r["coef"][0], DenseVector(r["coef"][1:])) for r in fitted.orderBy("member").collect()]
 
-    MLlib's objective is 1/(2n)·Σw(y−ŷ)² + λ/2·‖β‖² with the label scaled by
-    its σ; ``regParam = α·σ_pop(y)/n`` reproduces scikit-learn's α‖β‖², with
-    n and σ weighted as the member is (one pass for all members).
-    """
-    weight = [poisson1(seeded_uniform(F.lit(seed * 1000 + m), id_col)) for m in range(members)]
-    y = F.col(label).cast("double")
-    mean = df.agg(F.avg(y)).first()[0] or 0.0
-    st = df.agg(*[F.sum(x).alias(f"{n}{m}") for m, w in enumerate(weight)
-                  for n, x in (("w", w), ("y", w * (y - mean)), ("q", w * (y - mean) * (y - mean)))]).first()
-    v = df.withColumn("_f", array_to_vector(F.col(features).cast("array<double>")))
-    models = []
-    for m in range(members):
-        n = st[f"w{m}"] or 1.0
-        sd = math.sqrt(max((st[f"q{m}"] or 0.0) / n - ((st[f"y{m}"] or 0.0) / n) ** 2, 0.0)) or 1.0
-        w = v.withColumn("_w", weight[m])
-        lr = LinearRegression(featuresCol="_f", labelCol=label, weightCol="_w", elasticNetParam=0.0,
-                              regParam=alpha * sd / n, standardization=False, solver="normal")
-        models.append(lr.fit(w))
-    return models
-
-
-def predict_bagged(models, df: DataFrame, features: str) -> DataFrame:
+
+def predict_bagged(models: list[RidgeMember], df: DataFrame, features: str) -> DataFrame:
     """M4/M5: member predictions, mean and population σ."""
-    out = df.withColumn("_f", array_to_vector(F.col(features).cast("array<double>")))
-    cols = []
-    for i, m in enumerate(models):
-        c = f"_m{i}"
-        out = m.copy().setFeaturesCol("_f").setPredictionCol(c).transform(out)
-        cols.append(c)
-    comps, mean, sd = _summary(cols)
-    return out.select(*df.columns, comps.alias("components"), mean.alias("prediction"),
-                      sd.alias("uncertainty"))
+    rows = [(m, [x.intercept, *x.coefficients.toArray().tolist()]) for m, x in enumerate(models)]
+    return predict_ridges(df, df.sparkSession.createDataFrame(rows, "member int, coef array<double>"), [], features)
 
 
 def predict_llr(df: DataFrame, llr_col: str = "llr") -> DataFrame:
@@ -114,65 +89,19 @@ def predict_llr(df: DataFrame, llr_col: str = "llr") -> DataFrame:
 
 # ---------------------------------------------------------------- M7: ridge for many groups
 
-def _gram_schema(keys_schema: list[T.StructField]) -> T.StructType:
-    return T.StructType(keys_schema + [
-        T.StructField("idx", T.IntegerType()), T.StructField("value", T.DoubleType())])
-
-
 def group_ridge(df: DataFrame, keys: list[str], features: str, label: str, alpha: float = 1.0,
                 weight: str | None = None) -> DataFrame:
     """M7: one ridge (intercept unpenalised) per group in a single job.
 
     Returns keys + ``coef`` (intercept first) — one small row per group.
     """
-    # the width comes with the data: the statistics of p features and an
-    # intercept are p·p + p numbers
-    kfields = [df.schema[k] for k in keys]
-    cols = keys + [features, label] + ([weight] if weight else [])
-
-    def partial(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            for key, g in pdf.groupby(keys, sort=False, dropna=False):
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.vstack(g[features].to_numpy())
-                x = np.hstack([np.ones((len(x), 1)), x])
-                y = g[label].to_numpy(dtype=float)
-                w = g[weight].to_numpy(dtype=float) if weight else np.ones(len(y))
-                xtw = x.T * w
-                stats = np.concatenate([(xtw @ x).ravel(), xtw @ y])
-                out = pd.DataFrame({"idx": np.arange(len(stats), dtype=np.int32), "value": stats})
-                for k, val in zip(keys, key):
-                    out[k] = val
-                yield out[keys + ["idx", "value"]]
-
-    parts = df.select(*cols).mapInPandas(partial, _gram_schema(kfields))
-    sums = parts.groupBy(*keys, "idx").agg(F.sum("value").alias("value"))
-    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_s"))
-    packed = packed.select(*keys, F.transform("_s", lambda s: s["value"]).alias("stats"))
-
-    def solve(batches):
-        for pdf in batches:
-            coefs = []
-            for s in pdf["stats"]:
-                s = np.asarray(s, dtype=float)
-                p = (math.isqrt(1 + 4 * len(s)) - 1) // 2
-                g, b = s[:p * p].reshape(p, p), s[p * p:]
-                pen = np.eye(p) * alpha
-                pen[0, 0] = 0.0
-                coefs.append(np.linalg.solve(g + pen, b).tolist())
-            out = pdf[keys].copy()
-            out["coef"] = coefs
-            yield out
-
-    schema = T.StructType(kfields + [T.StructField("coef", T.ArrayType(T.DoubleType()))])
-    return packed.mapInPandas(solve, schema)
+    w = F.array(F.col(weight) if weight else F.lit(1.0))
+    return fit_ridges(df, keys, features, label, w, alpha).select(*keys, "coef")
 
 
 def predict_group_ridge(df: DataFrame, coefs: DataFrame, keys: list[str], features: str) -> DataFrame:
     """Apply per-group coefficients (joined by key; one row per group)."""
-    j = df.join(bounded_broadcast(coefs), keys)
+    j = null_safe_join(df, bounded_broadcast(coefs), keys)
     dot = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.slice("coef", F.lit(2), F.size("coef") - 1),
                                  lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
     return j.withColumn("prediction", F.element_at("coef", 1) + dot).drop("coef")
