@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..util import attach_group_stats, null_safe_join
-from .ordered import ordered_scan
+from ..util import attach_group_stats, attach_written, bounded_broadcast, materialize, null_safe_join
+from .select_rank import bracketed, counted_ranks
 
 
 def _c(x) -> Column:
@@ -162,22 +162,28 @@ def seeded_split(df: DataFrame, test_fraction: float, seed: int, keys, id_col: s
     """T4: reproducible shuffle by md5(seed|id); the first ⌊n(1−f)⌋ rows of
     each group are 'simulation', the rest 'test'.
 
-    Exact and skew-safe: positions come from a running count over distinct
-    hash values (``ordered_scan``); only rows sharing a hash value are ordered
-    by id.
+    The hash of the last 'simulation' row is found by selection
+    (``select_rank``); rows are compared with it, and only those that share
+    it are ordered by id.
     """
     keys = list(keys)
     d = df.withColumn("_h", seeded_hash(F.lit(seed), id_col))
-    vc = d.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
-    s = ordered_scan(vc, keys, F.col("_h"), {"_cum": ("sum", "_cnt")})
-    n = s.groupBy(*keys).agg(F.max("_cum").alias("_n"))
-    s = attach_group_stats(s, n, keys)
-    s = s.withColumn("_cut", F.floor(F.col("_n") * (1 - test_fraction)))
-    j = null_safe_join(d, s.select(*keys, "_h", "_cum", "_cnt", "_cut"), keys + ["_h"])
-    tie = F.row_number().over(Window.partitionBy(*keys, "_h").orderBy(F.col(id_col)))
-    pos = F.col("_cum") - F.col("_cnt") + tie
-    return (j.withColumn("split", F.when(pos <= F.col("_cut"), "simulation").otherwise("test"))
-            .drop("_h", "_cum", "_cnt", "_cut"))
+    # 60 bits: without the last eight the hash is a double, and rises with it
+    coarse = F.shiftright(F.col("_h"), 8).cast("double")
+    rows = d.select(*keys, "_h")
+    brackets = bracketed(rows, keys, coarse, [1 - test_fraction])
+    cut = F.floor(F.col("_n") * (1 - test_fraction))
+    ranks = attach_written(counted_ranks(rows, keys, F.col("_h"), coarse, brackets), brackets.select(*keys, "_n"), keys)
+    # the value at the cut, and how many of its rows are still 'simulation'
+    at = (F.col("_cum") - F.col("_cnt") <= cut) & (cut < F.col("_cum"))
+    found = ranks.where(at).select(*keys, F.col("_v").alias("_at"), (cut - F.col("_cum") + F.col("_cnt")).alias("_more"))
+    j = null_safe_join(d, bounded_broadcast(materialize(found, "cuts")), keys, "left")
+    other = j.where("_at is null or _h <> _at").withColumn("split", F.when(
+        F.col("_at").isNull() | (F.col("_h") < F.col("_at")), "simulation").otherwise("test"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_h").orderBy(F.col(id_col)))
+    equal = j.where("_h = _at").withColumn("_nth", nth)
+    equal = equal.withColumn("split", F.when(F.col("_nth") <= F.col("_more"), "simulation").otherwise("test")).drop("_nth")
+    return other.unionByName(equal).drop("_h", "_at", "_more")
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, keys, id_col: str = "id") -> DataFrame:

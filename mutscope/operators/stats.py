@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..util import attach_group_stats, materialize, null_safe_join
 from .ordered import ordered_scan
+from .select_rank import percentiles_of
 
 
 def _keys(keys) -> list[str]:
@@ -206,35 +207,18 @@ def bh_fdr_many(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
 def percentiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy 'linear').
 
-    The k-th order statistic (0-based) is the distinct value whose cumulative
-    count range [cum − cnt, cum) contains k; no value list is ever gathered.
+    Found by selection (``select_rank``): two aggregations over the rows, no
+    sort of them; no value list is ever gathered.
     """
     k = _keys(keys)
-    vc = value_counts(df, k, value)
-    s = ordered_scan(vc, k, F.col(value), {"_cum": ("sum", "_cnt")})
-    n = s.groupBy(*k).agg(F.max("_cum").alias("_n"))
-    s = attach_group_stats(s, n, k)
-    aggs = []
-    for name, pr in probs.items():
-        pos = F.lit(float(pr)) * (F.col("_n") - 1)
-        for side, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("_cum") - F.col("_cnt") <= idx) & (idx < F.col("_cum"))
-            aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
-        aggs.append(F.first(pos - F.floor(pos)).alias(f"_{name}_frac"))
-    g = s.groupBy(*k).agg(*aggs)
-    return g.select(*k, *[
-        (F.col(f"_{nm}_lo") + F.col(f"_{nm}_frac") * (F.col(f"_{nm}_hi") - F.col(f"_{nm}_lo"))).alias(nm)
-        for nm in probs])
+    return percentiles_of(df, k, [value], probs).select(*k, *probs)
 
 
 def robust_baseline(df: DataFrame, keys, value: str) -> DataFrame:
-    """Median and 1.4826 × mean absolute deviation around the mean."""
+    """Median and 1.4826 × mean absolute deviation around the mean, from the same two passes."""
     k = _keys(keys)
-    med = percentiles(df, k, value, {"median": 0.5})
-    mean = df.groupBy(*k).agg(F.avg(value).alias("_mean"))
-    j = attach_group_stats(df, mean, k)
-    mad = j.groupBy(*k).agg((F.avg(F.abs(F.col(value) - F.col("_mean"))) * 1.4826).alias("mad"))
-    return attach_group_stats(med, mad, k)
+    g = percentiles_of(df, k, [value], {"median": 0.5}, deviation=True)
+    return g.select(*k, "median", (F.col("_away") * 1.4826).alias("mad"))
 
 
 def standardise(df: DataFrame, cols, keys) -> DataFrame:

@@ -99,6 +99,17 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """
     keys = list(keys or [])
     if keys:
-        return null_safe_join(df, bounded_broadcast(stats), keys)
+        if (estimated_bytes(stats) or BROADCAST_LIMIT_BYTES + 1) > BROADCAST_LIMIT_BYTES:
+            # a row a group, but an estimate of the aggregate's input: the written table tells
+            stats = materialize(stats, "group-stats")
+        return attach_written(df, stats, keys)
     packed = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("_s")).scalar()
     return df.withColumn("_s", packed).select("*", "_s.*").drop("_s")
+
+
+def attach_written(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
+    """``df`` with the per-group rows of ``stats``, a written table, so that its size on disk decides on a broadcast.
+
+    The estimate of an aggregate that is not written yet is its input's size.
+    """
+    return null_safe_join(df, bounded_broadcast(stats), list(keys))
