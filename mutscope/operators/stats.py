@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..util import attach_group_stats, materialize, null_safe_join
+from .attach import attach_by_value
 from .ordered import ordered_scan
 from .select_rank import percentiles_of
 
@@ -31,7 +32,7 @@ def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
 
 def rank_table(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """Distinct (keys, value) with its average rank: rows below + (ties + 1)/2."""
-    return rank_tables(df, keys, {value: out})[value]
+    return rank_tables(df, keys, {value: out})[value].drop("_cnt")
 
 
 def _tagged_counts(df: DataFrame, keys, cols) -> DataFrame:
@@ -47,11 +48,11 @@ def _tagged_counts(df: DataFrame, keys, cols) -> DataFrame:
 
 
 def rank_tables(df: DataFrame, keys, cols: dict[str, str]) -> dict[str, DataFrame]:
-    """Average-rank tables for several columns from a single ordered scan."""
+    """Average-rank tables for several columns, with the values' counts (``_cnt``), from a single ordered scan."""
     k = _keys(keys)
     s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
     r = (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0)
-    return {c: s.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c), r.alias(out))
+    return {c: s.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c), r.alias(out), "_cnt")
             for c, out in cols.items()}
 
 
@@ -61,7 +62,7 @@ def _ranks_from_counts(pairs: DataFrame, keys, cols: dict[str, str]) -> dict[str
              .select(*keys, F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"), "_cnt") for c in cols]
     s = ordered_scan(reduce(DataFrame.unionByName, parts), [*keys, "_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
     r = F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0
-    return {c: s.filter(F.col("_col") == c).select(*keys, F.col("_v").cast(pairs.schema[c].dataType).alias(c), r.alias(out))
+    return {c: s.filter(F.col("_col") == c).select(*keys, F.col("_v").cast(pairs.schema[c].dataType).alias(c), r.alias(out), "_cnt")
             for c, out in cols.items()}
 
 
@@ -71,7 +72,7 @@ def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> Dat
     rank = (rows below) + (ties + 1) / 2; NULL values get a NULL rank.
     """
     k = _keys(keys)
-    return null_safe_join(df, rank_table(df, k, value, out), k + [value], "left")
+    return attach_by_value(df, rank_tables(df, k, {value: out})[value], k, value)
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> DataFrame:
@@ -87,7 +88,7 @@ def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> Data
                         .groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_c")), "pairs")
     tables = _ranks_from_counts(pairs, k, {x: "_rx", y: "_ry"})
     total = pairs.groupBy(*k).agg((F.sum("_c") + 1).alias("_n1"))
-    r = null_safe_join(null_safe_join(pairs, tables[x], k + [x]), tables[y], k + [y])
+    r = attach_by_value(attach_by_value(pairs, tables[x], k, x), tables[y], k, y)
     r = attach_group_stats(r, total, k)
     dx, dy, c = F.col("_rx") - F.col("_n1") / 2.0, F.col("_ry") - F.col("_n1") / 2.0, F.col("_c")
     return r.groupBy(*k).agg(F.try_divide(
@@ -191,14 +192,14 @@ def bh_fdr_many(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
     s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_r": ("sum", "_cnt")})
     m = s.groupBy(*k, "_col").agg(F.max("_r").alias("_m"))
     s = attach_group_stats(s, m, [*k, "_col"])
-    s = s.select(*k, "_col", "_v", (F.col("_v") * F.col("_m") / F.col("_r")).alias("_raw"))
+    s = s.select(*k, "_col", "_v", "_cnt", (F.col("_v") * F.col("_m") / F.col("_r")).alias("_raw"))
     s = ordered_scan(s, k + ["_col"], -F.col("_v"), {"_qmin": ("min", "_raw")})
-    q = s.select(*k, "_col", "_v", F.least(F.lit(1.0), F.col("_qmin")).alias("_q"))
+    q = materialize(s.select(*k, "_col", "_v", "_cnt", F.least(F.lit(1.0), F.col("_qmin")).alias("_q")), "q-values")
     out = df
     for c, name in cols.items():
         qc = q.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c),
-                                                 F.col("_q").alias(name))
-        out = null_safe_join(out, qc, k + [c], "left")
+                                                 F.col("_q").alias(name), "_cnt")
+        out = attach_by_value(out, qc, k, c)
     return out
 
 
