@@ -324,7 +324,8 @@ def q_w6g(spark, d):
 
 
 _C2_SQL = with_(*BASE, extra={"latest": LATEST, "dims": DIMS}) + f"""
-, trace AS (SELECT d.run_id, tv.variant_id, d.model_name, d.round_num, d.simulation_num, tv.prediction_score,
+, zs AS (SELECT run_id, dataset_name FROM b_run WHERE run_id < 2),
+trace AS (SELECT d.run_id, tv.variant_id, d.model_name, d.round_num, d.simulation_num, tv.prediction_score,
                    tv.assay_score FROM b_top_variant tv JOIN dims d ON tv.round_id = d.round_id),
 pv AS (SELECT run_id, variant_id, avg(assay_score) AS assay_score FROM trace GROUP BY run_id, variant_id),
 q AS (SELECT run_id, quantile_cont(assay_score, 0.7) AS gof, quantile_cont(assay_score, 0.3) AS lof FROM pv GROUP BY run_id),
@@ -337,7 +338,10 @@ ens AS (SELECT run_id, variant_id, round_num, avg(prediction_score) AS mean_pred
 auc AS ({sql_auc('ens', 'run_id, round_num', 'mean_prediction')}),
 roc AS ({sql_roc('ens', 'run_id, round_num', 'mean_prediction')}),
 yj AS ({sql_youden('roc', 'run_id, round_num')}),
-base AS (SELECT * FROM t WHERE model_name = 'llr' AND round_num = 2),
+base AS (SELECT lab.run_id, tv.prediction_score, lab.label FROM b_top_variant tv JOIN b_round r ON tv.round_id = r.round_id
+  JOIN b_simulation s ON r.simulation_id = s.simulation_id JOIN b_sub_run sr ON s.sub_run_id = sr.sub_run_id
+  JOIN zs ON sr.run_id = zs.run_id JOIN latest ON latest.dataset_name = zs.dataset_name
+  JOIN lab ON lab.run_id = latest.run_id AND lab.variant_id = tv.variant_id WHERE r.round_num = 2 AND lab.label IS NOT NULL),
 bauc AS ({sql_auc('base', 'run_id', 'prediction_score')}),
 cnt AS (SELECT run_id, CAST(sum(label) AS BIGINT) AS num_positive, CAST(sum(1 - label) AS BIGINT) AS num_negative
         FROM t WHERE simulation_num = 1 AND round_num = 1 GROUP BY run_id)
@@ -348,8 +352,9 @@ LEFT JOIN bauc ON auc.run_id = bauc.run_id LEFT JOIN cnt ON auc.run_id = cnt.run
 
 @register("C2", rounded(_C2_SQL, "auc", "optimal_threshold", "llr_auc"))
 def q_c2(spark, d):
+    """AUC by round, next to a baseline of another configuration's run on the same dataset."""
     log, runs = _ctx(spark, d)
-    return finish(EV.auc_by_round(log, runs))
+    return finish(EV.auc_by_round(log, runs, B.zero_shot_runs(spark, d)))
 
 
 @register("C7", rounded(with_(*BASE, extra={"latest": LATEST, "dims": DIMS}) + """

@@ -1,9 +1,9 @@
 """Position-level analytics: domain interval join, interval merge, landscapes,
 class summaries (J4, J5, J7, W6, A10–A14, A19, A22–A24, A26).
 
-Domain tables hold a few intervals per dataset; the interval join is an equi
-join on the dataset key plus a range predicate, so it plans as a broadcast
-hash join with a filter rather than a nested loop over all pairs.
+The interval join is an equi join: on the dataset key with a range predicate
+where a dataset has a few intervals, on dyadic blocks of positions where it
+has many.
 """
 
 from __future__ import annotations
@@ -12,19 +12,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..util import attach_group_stats, bounded_broadcast
+from ..util import attach_group_stats, bounded_broadcast, materialize
 from .ordered import ordered_scan
 
 
+FEW_DOMAINS = 64             # of a dataset, up to which each row is compared with all of them
+
+
 def join_domains(df: DataFrame, domains: DataFrame, key: str = "dataset_name",
                  pos: str = "position") -> DataFrame:
     """Variant ⋈ domain where start ≤ position ≤ end (inclusive); a variant
-    lands in 0..n domains (overlapping domains repeat it)."""
+    lands in 0..n domains (overlapping domains repeat it).
+
+    With few domains a dataset: an equi join on the dataset and a range
+    condition.  With many: an equi join on blocks (``dyadic_blocks``), whose
+    work grows with the result.
+    """
+    most = domains.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > FEW_DOMAINS:
+        return _join_blocks(df, domains, key, pos)
     d = bounded_broadcast(domains.withColumnRenamed(key, "_dk"))
     cond = (F.col(key) == F.col("_dk")) & F.col(pos).between(F.col("start_pos"), F.col("end_pos"))
     return df.join(d, cond).drop("_dk")
 
 
+def dyadic_blocks(intervals: DataFrame, levels: int, start: str = "start_pos", end: str = "end_pos") -> DataFrame:
+    """Every interval as disjoint blocks: ``_level`` l and ``_block`` i stand for the positions i·2^l … (i + 1)·2^l − 1.
+
+    At each level the blocks inside the interval whose parent is not: the
+    first one if its number is odd, the last one if its number is even.
+    """
+    lo = lambda l: F.expr(f"shiftright(cast({start} as bigint) + shiftleft(1L, {l}) - 1L, {l})")  # noqa: E731,E741
+    hi = lambda l: F.expr(f"shiftright(cast({end} as bigint) + 1L, {l})")  # noqa: E731,E741
+    d = intervals.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    d = d.withColumn("_a", lo("_level")).withColumn("_b", hi("_level")).where("_a < _b")
+    ends = F.array(F.when(F.col("_a").bitwiseAND(F.lit(1)) == 1, F.col("_a")),
+                   F.when(F.col("_b").bitwiseAND(F.lit(1)) == 1, F.col("_b") - 1))
+    return d.withColumn("_block", F.explode(F.array_distinct(F.array_compact(ends)))).drop("_a", "_b")
+
+
+def _join_blocks(df: DataFrame, domains: DataFrame, key: str, pos: str) -> DataFrame:
+    length = F.col("end_pos").cast("long") - F.col("start_pos").cast("long") + 1
+    levels = int(domains.agg(F.max(F.floor(F.log2(F.greatest(length, F.lit(1)))))).first()[0] or 0) + 1
+    blocks = materialize(dyadic_blocks(domains, levels).withColumnRenamed(key, "_dk"), "blocks")
+    used = [r[0] for r in blocks.select("_level").distinct().collect()]
+    blocks = blocks.withColumnsRenamed({"_level": "_l", "_block": "_b"})
+    rows = df.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in sorted(used)]))) if used else df.withColumn("_level", F.lit(-1))
+    rows = rows.withColumn("_at", F.expr(f"shiftright(cast({pos} as bigint), _level)"))
+    on = (F.col(key) == F.col("_dk")) & (F.col("_level") == F.col("_l")) & (F.col("_at") == F.col("_b"))
+    return rows.join(bounded_broadcast(blocks), on).drop("_dk", "_level", "_at", "_l", "_b")
+
+
 def merge_intervals(df: DataFrame, keys, start: str = "start_pos", end: str = "end_pos",
                     gap: int = 1) -> DataFrame:
     """Gaps-and-islands merge — sorted by start, an interval opens a new

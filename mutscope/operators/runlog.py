@@ -93,13 +93,14 @@ def run_display_name() -> Column:
 def round_dimension(log: RunLog, runs: DataFrame | None = None, with_run: bool = True) -> DataFrame:
     """Round rows enriched with simulation, sub-run and (optionally) run columns.
 
-    ``runs`` restricts the chain to a run subset before the large joins.
+    ``runs`` restricts the chain to a run subset before the large joins; their
+    columns are added unless they are run ids only.
     """
     sub = log.sub_run
     if runs is not None:
         sub = sub.join(bounded_broadcast(runs.select("run_id")), "run_id", "left_semi")
     dims = log.simulation.join(bounded_broadcast(sub), "sub_run_id")
-    if with_run:
+    if with_run and (runs is None or runs.columns != ["run_id"]):
         run = log.run if runs is None else runs
         dims = dims.join(bounded_broadcast(run), "run_id")
     return log.round.join(dims, "simulation_id")

@@ -84,29 +84,43 @@ def landscape_with_thresholds(results: DataFrame) -> DataFrame:
     return land.join(D.class_thresholds(r, ["run_id"]), "run_id")
 
 
-def auc_by_round(log: R.RunLog, runs: DataFrame, baseline_model: str = "llr",
-                 baseline_round: int = 2) -> DataFrame:
+def auc_by_round(log: R.RunLog, runs: DataFrame, baseline_runs: DataFrame, baseline_round: int = 2) -> DataFrame:
     """Per (run, round) AUC of the variant-level mean prediction, with the
-    zero-shot baseline AUC (``baseline_model`` sub-runs at ``baseline_round``)
-    and class counts of simulation 1, round 1."""
-    dims = R.round_dimension(log, runs)
+    AUC of a baseline and the class counts of simulation 1, round 1.
+
+    The baseline is every prediction of round ``baseline_round`` of
+    ``baseline_runs`` (another configuration and run) on the same dataset,
+    judged by the run's own class labels; NULL where no baseline run of the
+    dataset has a labelled variant.
+    """
+    roles = runs.select("run_id", "dataset_name", F.lit(False).alias("is_base")).union(
+        baseline_runs.select("run_id", "dataset_name", F.lit(True)))
+    roles = materialize(roles, "roles")
+    wanted = roles.select("run_id").distinct()
+    dims = R.round_dimension(log, wanted).select("round_id", "run_id", "round_num", "simulation_num")
     trace = log.top_variant.join(dims, "round_id").select(
-        "run_id", "variant_id", "model_name", "round_num", "simulation_num", "prediction_score", "assay_score")
-    trace = materialize(trace, "trace")          # labels and curves both read it
-    per_var = trace.groupBy("run_id", "variant_id").agg(F.avg("assay_score").alias("assay_score"))
-    lab = L.label_strategy("quantile", lof_q=0.3, gof_q=0.7)(per_var, ["run_id"], "assay_score")
-    # the labelled trace feeds four aggregates: write it once
-    t = materialize(D.attach_label(trace.drop("assay_score"), lab, ["run_id", "variant_id"]), "trace")
-    ens = D.round_ensemble(t, ["run_id"])
+        "run_id", "variant_id", "round_num", "simulation_num", "prediction_score", "assay_score")
+    # labels, curves and the baseline read it
+    trace = materialize(trace, "trace").join(bounded_broadcast(roles), "run_id")
+    main = trace.where("not is_base")
+    per_var = main.groupBy("run_id", "dataset_name", "variant_id").agg(F.avg("assay_score").alias("assay_score"))
+    lab = materialize(per_var, "variants")
+    lab = L.label_strategy("quantile", lof_q=0.3, gof_q=0.7)(lab, ["run_id"], "assay_score")
+    lab = materialize(lab.select("run_id", "dataset_name", "variant_id", "label"), "labels")
+    t = D.attach_label(main, lab, ["run_id", "variant_id"])
     keys = ["run_id", "round_num"]
-    auc, curve = S.roc_summary(ens, keys, "mean_prediction", "label")
-    auc = auc.select(*keys, "auc")
-    yj = S.youden_point(curve, keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
-    base = t.filter((F.col("model_name") == baseline_model) & (F.col("round_num") == baseline_round))
-    base_auc = S.roc_auc(base, ["run_id"], "prediction_score", "label").select(
-        "run_id", F.col("auc").alias("llr_auc"))
+    ens = D.round_ensemble(t, ["run_id"]).select(*keys, F.col("mean_prediction").alias("score"), "label")
+    base = (trace.where(F.col("is_base") & (F.col("round_num") == baseline_round)).select("dataset_name", "variant_id", "prediction_score")
+            .join(lab, ["dataset_name", "variant_id"])
+            .select("run_id", F.lit(None).cast("int").alias("round_num"), F.col("prediction_score").alias("score"), "label"))
+    # the baseline is one more curve of the run, without a round: one ordered scan for all
+    auc, curve = S.roc_summary(ens.unionByName(base), keys, "score", "label")
+    auc = materialize(auc.select(*keys, "auc"), "auc")
+    yj = S.youden_point(curve.where("round_num is not null"), keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
+    base_auc = auc.where("round_num is null").select("run_id", F.col("auc").alias("llr_auc"))
     counts = D.class_counts(t.filter((F.col("simulation_num") == 1) & (F.col("round_num") == 1)), ["run_id"])
-    return (auc.join(yj, keys, "left").join(base_auc, "run_id", "left").join(counts, "run_id", "left"))
+    rounds = auc.where("round_num is not null")
+    return rounds.join(yj, keys, "left").join(base_auc, "run_id", "left").join(counts, "run_id", "left")
 
 
 def mean_activity_vs_baseline(log: R.RunLog, runs: DataFrame, baseline_model: str = "llr",

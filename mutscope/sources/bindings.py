@@ -48,6 +48,11 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def zero_shot_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of another configuration over the same datasets, for analyses that compare with one: the two oldest runs."""
+    return runs(spark, d).where("run_id < 2").withColumn("config_id", F.lit("zs")).withColumn("name", F.lit("zero_shot"))
+
+
 def sub_runs(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey")
     return table(spark, d, "nation").select(

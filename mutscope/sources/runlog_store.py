@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..util import bounded_broadcast, materialize
+from ..util import bounded_broadcast
 
 RUN_TABLES = ("run", "sub_run", "simulation", "round", "round_acquired_variant",
               "round_top_variant", "last_round_score")
@@ -36,21 +36,66 @@ class RunLogStore:
     def append(self, name: str, df: DataFrame, batch: str):
         """Add rows as batch ``batch``; the same batch written again replaces itself.
 
-        A batch written again must cover the runs it covered before.
+        A batch written again must cover the runs it covered before: where a
+        stored run of the batch is missing in ``df``, nothing is written.
         """
         by = [c for c in ("run_id",) if c in df.columns]
+        if by and self._exists(self.path(name)):
+            # partition columns only; runs are a configuration table, so their ids fit the driver
+            stored = self.spark.read.parquet(self.path(name)).where(F.col(BATCH) == batch).select("run_id").distinct()
+            before = {r["run_id"] for r in stored.collect()}
+            left_out = before - {r["run_id"] for r in df.select("run_id").distinct().collect()} if before else set()
+            if left_out:
+                raise ValueError(f"batch {batch!r} of {name} already holds runs that the new rows leave out: {sorted(map(str, left_out))}")
+        self._write(df, self.path(name), by, batch)
+
+    @staticmethod
+    def _write(df: DataFrame, path: str, by: list[str], batch: str):
         (df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*by, BATCH).parquet(self.path(name)))
+         .partitionBy(*by, BATCH).parquet(path))
 
     def replace(self, name: str, df: DataFrame):
-        """The table's new content, which may be computed from its present one."""
-        new = materialize(df, f"store-{name}")
-        self._drop(self.path(name))
-        self.append(name, new, "all")
+        """The table's new content, which may be computed from its present one.
 
-    def _drop(self, path: str):
+        It is written beside the table first; only then do two renames put it
+        in the table's place.  A write that fails leaves the table as it was;
+        a break between the renames leaves it beside its place, from where the
+        next reader or writer puts it back.
+        """
+        path = self.path(name)
+        self._restore(path)
+        by = [c for c in ("run_id",) if c in df.columns]
+        self._drop(f"{path}.new")
+        self._write(df, f"{path}.new", by, "all")
+        if self._exists(path):
+            self._rename(path, f"{path}.old")
+        self._rename(f"{path}.new", path)
+        self._drop(f"{path}.old")
+
+    def _restore(self, path: str):
+        """Puts back what a broken ``replace`` set aside."""
+        if self._exists(f"{path}.old"):
+            if self._exists(path):
+                self._drop(f"{path}.old")
+            else:
+                self._rename(f"{path}.old", path)
+
+    def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def _rename(self, path: str, to: str):
+        p, fs = self._fs(path)
+        if not fs.rename(p, self._fs(to)[0]):
+            raise OSError(f"could not rename {path} to {to}")
+
+    def _drop(self, path: str):
+        p, fs = self._fs(path)
+        fs.delete(p, True)
 
     def purge(self, keep: DataFrame):
         """U4: remove all rows of runs that are not in ``keep`` (run_id), by
@@ -70,6 +115,7 @@ class RunLogStore:
         return self.read(name).join(bounded_broadcast(runs.select("run_id").distinct()), "run_id", "left_semi")
 
     def read(self, name: str, run_ids=None) -> DataFrame:
+        self._restore(self.path(name))
         df = self.spark.read.parquet(self.path(name)).drop(BATCH)
         if run_ids is not None:
             df = df.filter(F.col("run_id").isin(list(run_ids)))
