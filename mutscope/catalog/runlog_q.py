@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import runlog as R
-from ..session import table
-from ..sources.runlog_store import RUN_TABLES
-from ..util import finish
+from ..plans import metrics_store as MS
+from ..session import stage_folder, table
+from ..sources.runlog_store import RUN_TABLES, RunLogStore
+from ..util import bounded_broadcast, finish
 from .bind_sql import rounded, with_
 from .registry import register
 
@@ -216,6 +220,29 @@ def q_c9(spark, d):
     return finish(R.run_metrics(log, runs))
 
 
+_STORED_RUN = ("embedder_model_name", "num_rounds", "num_variants", "num_variants_first_round", "num_top_acq_var_per_round",
+               "num_top_pred_var_per_round", "num_top_n_pred_per_round")
+_STORED_SUB = ("model_name", "model_parameters", "first_round_strategy_name")
+
+
+@register("C9_stored", rounded(ORACLE_C9.replace("r.dataset_name, sr.strategy_name,", "r.dataset_name, sr.strategy_name, "
+                                                 + "".join(f"r.{c}, " for c in _STORED_RUN) + "".join(f"sr.{c}, " for c in _STORED_SUB)),
+                               *_PERF_COLS, "total_rank"))
+def q_c9_stored(spark, d):
+    """C9 read from the stored table after two appended batches, some rounds split between them."""
+    log, runs = _log(spark, d)
+    # configured runs that are not ranked stay out of the log that is stored
+    sub = log.sub_run.join(bounded_broadcast(runs.select("run_id")), "run_id", "left_semi")
+    log = replace(log, run=runs, sub_run=sub)
+    early = F.pmod(F.xxhash64("round_id", "variant_id"), F.lit(3)) > 0
+    store = RunLogStore(spark, f"{stage_folder(spark)}/metrics-{uuid.uuid4().hex}")
+    MS.append_batch(store, replace(log, top_variant=log.top_variant.where(early)), "b1")
+    MS.append_batch(store, replace(log, top_variant=log.top_variant.where(~early)), "b2")
+    kept = ["run_id", "sub_run_id", "name", "run_name", "run_descrip", "config_id", "dataset_name", "strategy_name", *_STORED_RUN, *_STORED_SUB,
+            "end_round_num", *[c for m, _, _ in R.LEADERBOARD for c in (m, f"{m}_rank")], "total_rank", "final_rank"]
+    return finish(store.read("run_metrics").select(kept))
+
+
 @register("P12", rounded(W() + _A7_CTE.format(keys="run_id, sub_run_id") + f"""
 , ranked AS (SELECT *, {_RANKS} FROM perf),
 tot AS (SELECT *, round(CAST({_TOTAL} AS DOUBLE), 3) AS total_rank FROM ranked),

@@ -18,7 +18,8 @@ from ..util import bounded_broadcast
 
 RUN_TABLES = ("run", "sub_run", "simulation", "round", "round_acquired_variant",
               "round_top_variant", "last_round_score")
-TABLES = (*RUN_TABLES, "dataset", "variant_assay", "variant_assay_activity")
+DERIVED_TABLES = ("round_moments", "run_metrics")      # of a run as well, kept by ``plans.metrics_store``
+TABLES = (*RUN_TABLES, *DERIVED_TABLES, "dataset", "variant_assay", "variant_assay_activity")
 BATCH = "batch"
 
 
@@ -102,7 +103,9 @@ class RunLogStore:
         deleting the runs' folders; a purge that broke off is just run again.
         Runs are a configuration table, so their ids fit the driver."""
         keep_ids = {r["run_id"] for r in keep.select("run_id").distinct().collect()}
-        for name in RUN_TABLES:
+        for name in (*RUN_TABLES, *DERIVED_TABLES):
+            if not self._exists(self.path(name)):
+                continue
             stored = self.spark.read.parquet(self.path(name)).select("run_id").distinct().collect()
             for r in stored:
                 if r["run_id"] not in keep_ids:
