@@ -33,14 +33,18 @@ def spread(df: DataFrame, table: DataFrame, keys: list[str], value: str, counts:
 
 
 def attach_by_value(df: DataFrame, table: DataFrame, keys: list[str], value: str, counts: str = "_cnt",
-                    limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                    size: int | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Left join of ``df`` with ``table`` (a line for each ``keys`` and ``value``, its number of rows in ``counts``).
 
-    NULL keys find their group's lines; a NULL value finds none.
+    NULL keys find their group's lines; a NULL value finds none. ``size`` is a
+    known bound of the table in bytes, such as the size of the written rows it
+    is computed from; without one within ``limit`` the table is written.
     """
     keys = list(keys)
-    table = materialize(table, "values")
-    if (estimated_bytes(table) or limit + 1) <= limit:
+    if size is None or size > limit:
+        table = materialize(table, "values")
+        size = estimated_bytes(table)
+    if size is not None and size <= limit:
         return null_safe_join(df, F.broadcast(table.drop(counts)), [*keys, value], "left")
     rows, lines = spread(df, table, keys, value, counts)
     return null_safe_join(rows, lines.drop(counts), [*keys, value, "_salt"], "left").drop("_salt")

@@ -119,7 +119,16 @@ def _run_batches(keys, names, aggs, inclusive, schema, batches):
 
 def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str, str]],
                  inclusive: bool = True) -> DataFrame:
-    """Add running aggregates in ascending ``order`` within ``keys``.
+    """Add running aggregates in ascending ``order`` within ``keys``; see ``scan_and_rows``."""
+    return scan_and_rows(df, keys, order, aggs, inclusive)[0]
+
+
+def scan_and_rows(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str, str]],
+                  inclusive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows with running aggregates, the written rows without them).
+
+    Totals of a group are best summed from the written rows: their size, and
+    so a bound for anything summed from them, is known.
 
     ``aggs`` maps output column → (op, input column), op in sum/min/max, over
     numbers, dates or timestamps (sums: numbers).  ``inclusive=False``
@@ -149,5 +158,6 @@ def ordered_scan(df: DataFrame, keys, order: Column, aggs: dict[str, tuple[str,
     offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k__part"),
                             *[_OPS[op](f"_t_{o}").over(earlier).alias(f"_off_{o}") for o, (op, _) in aggs.items()])
     rows = d.join(F.broadcast(offsets), _same(d, offsets, [*keys, "_part"], "_k_"), "left")
-    return rows.select(*names, *[_combine(op, F.col(f"_off_{o}"), F.col(f"_loc_{o}")).alias(o)
+    rows = rows.select(*names, *[_combine(op, F.col(f"_off_{o}"), F.col(f"_loc_{o}")).alias(o)
                                  for o, (op, _) in aggs.items()])
+    return rows, d.select(*names)

@@ -23,7 +23,7 @@ from .ordered import ordered_scan
 
 ACCURACY = 10_000
 MARGIN = 4
-WINDOW_ROWS = 1 << 20        # counted values of a group beyond which positions come from the ordered scan
+WINDOW_ROWS = 1 << 20        # values of a group within brackets, beyond which positions come from the ordered scan
 
 
 def bracketed(rows: DataFrame, keys: list[str], coarse: Column, shares: list[float], extra: list[Column] = ()) -> DataFrame:
@@ -58,10 +58,11 @@ def counted_ranks(rows: DataFrame, keys: list[str], value: Column, coarse: Colum
     region = F.size(F.filter("_lo", lambda e: e <= coarse)) + F.size(F.filter("_hi", lambda e: e < coarse))
     c = (j.withColumn("_region", region).withColumn("_v", F.when(within, value))
          .groupBy(*keys, "_region", "_v").agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(e).alias(n) for n, e in extra.items()]))
-    c = materialize(c, "counted")
     order = F.struct("_region", "_v")
-    largest = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    if largest > WINDOW_ROWS:
+    # values within brackets: all of a small group's, else a rank error's worth on both sides of each share
+    k = F.size("_lo")
+    values = F.when(F.col("_n") <= ACCURACY, F.col("_n")).otherwise(F.col("_n") * (2 * MARGIN + 2) / ACCURACY * k)
+    if (brackets.agg(F.max(values)).first()[0] or 0) > WINDOW_ROWS:
         return ordered_scan(c, keys, order, {"_cum": ("sum", "_cnt")})
     running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return c.withColumn("_cum", F.sum("_cnt").over(running))

@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util import attach_group_stats, materialize, null_safe_join
+from ..util import attach_group_stats, estimated_bytes, materialize, null_safe_join
 from .attach import attach_by_value
-from .ordered import ordered_scan
+from .ordered import scan_and_rows
 from .select_rank import percentiles_of
 
 
@@ -32,7 +32,7 @@ def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
 
 def rank_table(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """Distinct (keys, value) with its average rank: rows below + (ties + 1)/2."""
-    return rank_tables(df, keys, {value: out})[value].drop("_cnt")
+    return rank_tables(df, keys, {value: out})[0][value].drop("_cnt")
 
 
 def _tagged_counts(df: DataFrame, keys, cols) -> DataFrame:
@@ -47,23 +47,24 @@ def _tagged_counts(df: DataFrame, keys, cols) -> DataFrame:
     return out
 
 
-def rank_tables(df: DataFrame, keys, cols: dict[str, str]) -> dict[str, DataFrame]:
-    """Average-rank tables for several columns, with the values' counts (``_cnt``), from a single ordered scan."""
+def rank_tables(df: DataFrame, keys, cols: dict[str, str]) -> tuple[dict[str, DataFrame], int | None]:
+    """Average-rank tables for several columns, with the values' counts (``_cnt``), from a single ordered scan; a bound of their size."""
+    return _ranked(_tagged_counts(df, _keys(keys), list(cols)), df, keys, cols)
+
+
+def _ranked(counts: DataFrame, df: DataFrame, keys, cols: dict[str, str]):
     k = _keys(keys)
-    s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
-    r = (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0)
+    s, written = scan_and_rows(counts, [*k, "_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
+    r = F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0
     return {c: s.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c), r.alias(out), "_cnt")
-            for c, out in cols.items()}
+            for c, out in cols.items()}, estimated_bytes(written)
 
 
-def _ranks_from_counts(pairs: DataFrame, keys, cols: dict[str, str]) -> dict[str, DataFrame]:
-    """Average-rank tables of columns of a counted table (count ``_c``)."""
+def _ranks_from_counts(pairs: DataFrame, keys, cols: dict[str, str]):
+    """Average-rank tables of columns of a counted table (count ``_c``), and a bound of their size."""
     parts = [pairs.groupBy(*keys, c).agg(F.sum("_c").alias("_cnt"))
              .select(*keys, F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"), "_cnt") for c in cols]
-    s = ordered_scan(reduce(DataFrame.unionByName, parts), [*keys, "_col"], F.col("_v"), {"_cum": ("sum", "_cnt")})
-    r = F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0
-    return {c: s.filter(F.col("_col") == c).select(*keys, F.col("_v").cast(pairs.schema[c].dataType).alias(c), r.alias(out), "_cnt")
-            for c, out in cols.items()}
+    return _ranked(reduce(DataFrame.unionByName, parts), pairs, keys, cols)
 
 
 def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
@@ -72,7 +73,8 @@ def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> Dat
     rank = (rows below) + (ties + 1) / 2; NULL values get a NULL rank.
     """
     k = _keys(keys)
-    return attach_by_value(df, rank_tables(df, k, {value: out})[value], k, value)
+    tables, size = rank_tables(df, k, {value: out})
+    return attach_by_value(df, tables[value], k, value, size=size)
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> DataFrame:
@@ -86,9 +88,9 @@ def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> Data
     k = _keys(keys)
     pairs = materialize(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
                         .groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_c")), "pairs")
-    tables = _ranks_from_counts(pairs, k, {x: "_rx", y: "_ry"})
+    tables, size = _ranks_from_counts(pairs, k, {x: "_rx", y: "_ry"})
     total = pairs.groupBy(*k).agg((F.sum("_c") + 1).alias("_n1"))
-    r = attach_by_value(attach_by_value(pairs, tables[x], k, x), tables[y], k, y)
+    r = attach_by_value(attach_by_value(pairs, tables[x], k, x, size=size), tables[y], k, y, size=size)
     r = attach_group_stats(r, total, k)
     dx, dy, c = F.col("_rx") - F.col("_n1") / 2.0, F.col("_ry") - F.col("_n1") / 2.0, F.col("_c")
     return r.groupBy(*k).agg(F.try_divide(
@@ -109,8 +111,8 @@ def _roc_scan(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     """Distinct scores with class counts, running counts (ascending) and totals."""
     k = _keys(keys)
     cc = _class_counts(df, k, score, label)
-    s = ordered_scan(cc, k, F.col(score), {"_cp": ("sum", "_p"), "_cn": ("sum", "_n")})
-    tot = s.groupBy(*k).agg(F.sum("_p").alias("_pos_total"), F.sum("_n").alias("_neg_total"))
+    s, written = scan_and_rows(cc, k, F.col(score), {"_cp": ("sum", "_p"), "_cn": ("sum", "_n")})
+    tot = written.groupBy(*k).agg(F.sum("_p").alias("_pos_total"), F.sum("_n").alias("_neg_total"))
     return attach_group_stats(s, tot, k)
 
 
@@ -189,17 +191,18 @@ def bh_fdr_many(df: DataFrame, keys, cols: dict[str, str]) -> DataFrame:
     """BH q-values for several p-value columns, sharing two ordered scans
     (ascending running counts, then a descending running minimum)."""
     k = _keys(keys)
-    s = ordered_scan(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_r": ("sum", "_cnt")})
-    m = s.groupBy(*k, "_col").agg(F.max("_r").alias("_m"))
+    s, written = scan_and_rows(_tagged_counts(df, k, list(cols)), k + ["_col"], F.col("_v"), {"_r": ("sum", "_cnt")})
+    m = written.groupBy(*k, "_col").agg(F.sum("_cnt").alias("_m"))
     s = attach_group_stats(s, m, [*k, "_col"])
     s = s.select(*k, "_col", "_v", "_cnt", (F.col("_v") * F.col("_m") / F.col("_r")).alias("_raw"))
-    s = ordered_scan(s, k + ["_col"], -F.col("_v"), {"_qmin": ("min", "_raw")})
-    q = materialize(s.select(*k, "_col", "_v", "_cnt", F.least(F.lit(1.0), F.col("_qmin")).alias("_q")), "q-values")
+    s, written = scan_and_rows(s, k + ["_col"], -F.col("_v"), {"_qmin": ("min", "_raw")})
+    size = estimated_bytes(written)
+    q = s.select(*k, "_col", "_v", "_cnt", F.least(F.lit(1.0), F.col("_qmin")).alias("_q"))
     out = df
     for c, name in cols.items():
         qc = q.filter(F.col("_col") == c).select(*k, F.col("_v").cast(df.schema[c].dataType).alias(c),
                                                  F.col("_q").alias(name), "_cnt")
-        out = attach_by_value(out, qc, k, c)
+        out = attach_by_value(out, qc, k, c, size=size)
     return out
 
 

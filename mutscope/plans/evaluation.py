@@ -95,7 +95,6 @@ def auc_by_round(log: R.RunLog, runs: DataFrame, baseline_runs: DataFrame, basel
     """
     roles = runs.select("run_id", "dataset_name", F.lit(False).alias("is_base")).union(
         baseline_runs.select("run_id", "dataset_name", F.lit(True)))
-    roles = materialize(roles, "roles")
     wanted = roles.select("run_id").distinct()
     dims = R.round_dimension(log, wanted).select("round_id", "run_id", "round_num", "simulation_num")
     trace = log.top_variant.join(dims, "round_id").select(
@@ -115,11 +114,10 @@ def auc_by_round(log: R.RunLog, runs: DataFrame, baseline_runs: DataFrame, basel
             .select("run_id", F.lit(None).cast("int").alias("round_num"), F.col("prediction_score").alias("score"), "label"))
     # the baseline is one more curve of the run, without a round: one ordered scan for all
     auc, curve = S.roc_summary(ens.unionByName(base), keys, "score", "label")
-    auc = materialize(auc.select(*keys, "auc"), "auc")
     yj = S.youden_point(curve.where("round_num is not null"), keys).select(*keys, F.col("threshold").alias("optimal_threshold"))
     base_auc = auc.where("round_num is null").select("run_id", F.col("auc").alias("llr_auc"))
     counts = D.class_counts(t.filter((F.col("simulation_num") == 1) & (F.col("round_num") == 1)), ["run_id"])
-    rounds = auc.where("round_num is not null")
+    rounds = auc.where("round_num is not null").select(*keys, "auc")
     return rounds.join(yj, keys, "left").join(base_auc, "run_id", "left").join(counts, "run_id", "left")
 
 

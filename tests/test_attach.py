@@ -43,6 +43,6 @@ def test_ranks_and_q_values_with_heavy_ties(spark, monkeypatch):
     df = frame(spark)
     plain = {r.id: r for r in S.bh_fdr(S.average_ranks(df, ["g"], "p"), ["g"], "p").collect()}
     original = A.attach_by_value
-    monkeypatch.setattr(S, "attach_by_value", lambda *a, **k: original(*a, **k, limit=0))
+    monkeypatch.setattr(S, "attach_by_value", lambda *a, size, **k: original(*a, **k, limit=0))
     spreadout = {r.id: r for r in S.bh_fdr(S.average_ranks(df, ["g"], "p"), ["g"], "p").collect()}
     assert plain == spreadout and all((r.q is None) == (r.p is None) == (r.avg_rank is None) for r in plain.values())
