@@ -13,7 +13,8 @@ scores found already is left out, since nothing in it can be better.
 
 In a range every projection is one sorted array. A query's window around its
 own projection starts narrow and widens by ``GROWTH`` a round in all arrays
-(virtual rehashing: the window is the bucket, whatever its width). A vector
+(virtual rehashing: the window is the bucket, whatever its width; the search
+for the last round begins at the last query's, with the same result). A vector
 that lies in the windows of ``THRESHOLD`` of the projections is verified,
 that is, its inner product is computed on the original components in double
 precision. A range ends when ``VERIFY_SHARE`` of its vectors and
@@ -38,12 +39,12 @@ BLOCK_ROWS = 16384
 BLOCK_QUERIES = 1024
 PROJECTIONS = 96
 THRESHOLD = 0.6           # share of the projections
-VERIFY_SHARE = 0.15       # of a range's vectors
+VERIFY_SHARE = 0.2        # of a range's vectors
 VERIFY_TIMES = 12         # and so many times the neighbours asked for
 RANGE_TIMES = 12          # a range has at least so many times the neighbours asked for
 NORM_RATIO = 1.1          # between a larger range's greatest and least norm
 START = 0.4               # first half-width, in units of the projections' spread
-GROWTH = 1.3
+GROWTH = 1.1
 SEED = 7
 
 
@@ -76,33 +77,47 @@ class Range:
         np.put_along_axis(self.rank, order, np.arange(len(place), dtype=self.rank.dtype)[None, :], axis=1)
         self.spread = float(place.std()) or 1.0
 
+    def _counted(self, centre: np.ndarray, turn: int):
+        """(whether each vector lies in enough of the windows, whether the windows hold everything)."""
+        n, width = len(self.vectors), START * self.spread * GROWTH ** turn
+        lo = np.array([s.searchsorted(c, "left") for s, c in zip(self.sorted, centre - width)])
+        span = np.array([s.searchsorted(c, "right") for s, c in zip(self.sorted, centre + width)]) - lo
+        kind = self.rank.dtype
+        # ranks below the window wrap around and fall outside
+        np.subtract(self.rank, lo[:, None].astype(kind), out=self.place)
+        np.less(self.place, span[:, None].astype(kind), out=self.inside)
+        counts = self.inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if PROJECTIONS < 256 else np.uint16)
+        return counts >= int(np.ceil(THRESHOLD * PROJECTIONS)), span.min() == n
+
     def passed(self, queries: np.ndarray, k: int):
-        """(query, indexes of the vectors to verify) for each query, in any order."""
-        n, need = len(self.vectors), int(np.ceil(THRESHOLD * PROJECTIONS))
+        """(query, indexes of the vectors to verify) for each query, in any order.
+
+        The last width is the first of the series at which enough vectors
+        pass. Wider windows never hold less, so the search for it begins at
+        the last query's width and goes down or up from there.
+        """
+        n = len(self.vectors)
         goal = min(n, int(VERIFY_SHARE * n) + VERIFY_TIMES * k)
         if goal == n:
             yield from ((i, np.arange(n)) for i in range(len(queries)))
             return
         if self.order is None:
             self._project()
+            self.place, self.inside = np.empty_like(self.rank), np.empty(self.rank.shape, bool)
+            self.turn = 0
         scaled = queries * (self.top / np.sqrt((queries ** 2).sum(axis=1)))[:, None]
-        centre, kind = scaled @ self.axes[:-1], self.rank.dtype
-        counts = np.uint8 if PROJECTIONS < 256 else np.uint16
-        left, width = np.arange(len(queries)), START * self.spread
-        while len(left):
-            edges = [(np.searchsorted(s, c - width, "left"), np.searchsorted(s, c + width, "right"))
-                     for s, c in zip(self.sorted, centre[left].T)]
-            lo, hi = (np.stack(e, axis=1) for e in zip(*edges))
-            more = []
-            for i, q in enumerate(left):
-                # ranks below the window wrap around and fall outside
-                inside = self.rank - lo[i, :, None].astype(kind) < (hi[i] - lo[i])[:, None].astype(kind)
-                ok = inside.view(np.uint8).sum(axis=0, dtype=counts) >= need
-                if np.count_nonzero(ok) >= goal or (hi[i] - lo[i]).min() == n:
-                    yield q, np.flatnonzero(ok)
+        for q, centre in enumerate(scaled @ self.axes[:-1]):
+            found, low, turn = None, -1, self.turn        # ``low``: a width known to be too narrow
+            while found is None or turn > low:
+                ok, whole = self._counted(centre, turn)
+                if whole or np.count_nonzero(ok) >= goal:
+                    found, self.turn = ok, turn
+                    turn -= 1
                 else:
-                    more.append(q)
-            left, width = np.array(more, np.int64), width * GROWTH
+                    low, turn = turn, turn + 1
+                    if found is not None:
+                        break
+            yield q, np.flatnonzero(found)
 
 
 class Block:
@@ -135,13 +150,18 @@ class Block:
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray):
         """For each query (ids, scores) of the k best verified vectors, best first."""
         k = self.k
-        size = np.sqrt((queries ** 2).sum(axis=1))
+        size, slack = np.sqrt((queries ** 2).sum(axis=1)), 1e-15 * (16 + queries.shape[1])
         least = np.full(len(queries), -np.inf)           # the (k + 1)th best score so far
         held = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         for part in self.ranges:
             asked = np.flatnonzero(size * part.top * (1 + 1e-9) >= least)
             for i, at in part.passed(queries[asked], k) if len(asked) else ():
                 q = asked[i]
+                score = part.vectors[at] @ queries[q]
+                if len(score) > k:
+                    # a product's last digits depend on its place in the matrix: those in reach are summed alike
+                    least_here = max(least[q], np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                    at = at[score >= least_here - slack * part.top * size[q]]
                 score = np.concatenate((held[q][1], (part.vectors[at] * queries[q]).sum(axis=1)))
                 at = np.concatenate((held[q][0], at + part.at))
                 if len(score) > k:

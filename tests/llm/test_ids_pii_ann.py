@@ -262,3 +262,22 @@ def test_recall_of_a_full_block_with_unequal_norms_and_a_hot_vector(sigma, hot):
     found = N.Block(np.arange(n), v, k).nearest(asked, v[asked])
     assert all(len(set(ids.tolist()) - {q}) == k for q, (ids, _) in zip(asked, found))
     assert np.mean([(score >= w - 1e-12).mean() for w, (_, score) in zip(worst, found)]) >= 0.95
+
+
+def test_windows_found_from_any_width_are_those_of_the_plain_search():
+    rng, k = np.random.default_rng(3), 5
+    v = rng.standard_normal((2000, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    part, asked = N.Range(v, np.linalg.norm(v, axis=1), 0), v[:40] * rng.uniform(0.1, 9, (40, 1))
+    forth = {q: at.tolist() for q, at in part.passed(asked, k)}
+    place = np.hstack((v, np.sqrt(np.maximum(part.top ** 2 - (v ** 2).sum(axis=1), 0))[:, None])) @ part.axes
+    centre = asked / np.linalg.norm(asked, axis=1, keepdims=True) * part.top @ part.axes[:-1]
+    goal, need = int(N.VERIFY_SHARE * len(v)) + N.VERIFY_TIMES * k, int(np.ceil(N.THRESHOLD * N.PROJECTIONS))
+    for q, c in enumerate(centre):
+        width = N.START * part.spread
+        while (ok := (np.abs(place - c) <= width).sum(axis=1) >= need).sum() < goal:
+            width *= N.GROWTH
+        assert forth[q] == np.flatnonzero(ok).tolist()
+    for turn in (0, 40):
+        part.turn = turn
+        assert {q: at.tolist() for q, at in part.passed(asked, k)} == forth
