@@ -1,8 +1,15 @@
-"""Corpus pipeline: stages over the documents table, each written and read again."""
+"""Corpus pipeline: stages over the documents table, each written and read again.
+
+Columns beyond those of ``documents`` go through every stage unread and
+unchanged, whatever their names; only ``shard`` and ``slot`` are replaced, by
+the last stage's own.
+"""
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +26,23 @@ from mutscope.util import bounded_broadcast, materialize
 ENTROPY_SHARE = 0.92          # of the greatest possible entropy of the source weights
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``work`` with the further columns under names that no operator uses, and their own names again after it."""
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = {c if c in COLUMNS else f"_beside{i}": c for i, c in enumerate(docs.columns)}
+        out = work(spark, docs.toDF(*held), sf_dir)
+        added = [c for c in out.columns if c not in held]
+        out = out.drop(*[h for h, c in held.items() if c in added])
+        return out.toDF(*[held.get(c, c) for c in out.columns])
+
+    return run_stage
+
+
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
@@ -40,28 +64,48 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return hashed.join(once, same, "left_semi").union(repeated).drop("_t")
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go.
 
     The declared language is ``lang``, the host is ``source``; the text model
-    is fitted on a bounded sample of the same documents.
+    is fitted on a bounded sample of the same documents. Null, empty and blank
+    texts have no language and go; a null language or source is no evidence;
+    repeated rows are judged alike, and all stay or go; of languages that are
+    equally likely the first in the model's order counts.
     """
     model = fit_text_model(docs, "text", "lang", "doc_id")
     return identify(docs, model, "text", "source", "lang").where("kept").select(docs.columns)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows all stay or go;
+    without benchmark items all documents stay.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out as the source weights ask."""
+    """Documents repeated or left out as the source weights ask.
+
+    A null source is a source of its own; texts without words cost nothing;
+    rows alike in id and text are taken or left together.
+    """
     return mix(docs, entropy_share=ENTROPY_SHARE).select(docs.columns)
 
 
+@_stage
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in Hilbert order, with shard and slot."""
+    """The documents in Hilbert order, with shard and slot.
+
+    Null source or language comes before all others, a null text has size 1;
+    rows alike in cell, id and text are interchangeable, and each has a slot
+    of its own.
+    """
     sized = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     sized = sized.withColumn("text_hash", F.xxhash64("text"))
     out = hilbert_shards(sized, ["source", "lang", "size"], ["doc_id", "text_hash"])
