@@ -61,12 +61,34 @@ def hilbert_index(bins: list[str], bits: int = BITS) -> Column:
         f"'s', element_at({lit(nxt)}, {at}), 'h', a.h * {1 << n} + element_at({lit(digit)}, {at})), a -> a.h)")
 
 
+def _complement(digits: Column) -> Column:
+    return F.translate(digits, "0123456789", "9876543210")
+
+
+def _sortable_double(x: Column) -> Column:
+    """Sign, exponent and 17 digits, each so that text order is value order; NaN last, as Spark sorts it."""
+    told = F.format_string("%.16e", F.abs(x))
+    power = F.substring_index(told, "e", -1).try_cast("int")
+    digits = F.substring_index(told, "e", 1)
+    key = lambda exponent: F.lpad((exponent + 500).cast("string"), 4, "0")
+    endless = F.abs(x) == float("inf")
+    return (F.when(F.isnan(x), F.lit("3")).when(x == 0, F.lit("1"))
+            .when(x > 0, F.when(endless, F.lit("29")).otherwise(F.concat(F.lit("2"), key(power), digits)))
+            .when(x < 0, F.when(endless, F.lit("00")).otherwise(F.concat(F.lit("00"), key(-power), _complement(digits)))))
+
+
 def _sortable(df: DataFrame, dim: str) -> Column:
     """The dimension as a string that sorts as its values do, null first."""
     kind = df.schema[dim].dataType.simpleString()
     if kind in ("tinyint", "smallint", "int", "bigint"):
         c = F.col(dim).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
         return F.coalesce(F.concat(F.lit("+"), F.lpad(c.cast("string"), 20, "0")), F.lit(""))
+    if kind in ("float", "double"):
+        return F.coalesce(F.concat(F.lit("+"), _sortable_double(F.col(dim).cast("double"))), F.lit(""))
+    if kind.startswith("decimal"):
+        size = F.lpad(F.abs(F.col(dim)).cast("string"), 40, "0")
+        return F.coalesce(F.concat(F.lit("+"), F.when(F.col(dim) < 0, F.concat(F.lit("0"), _complement(size)))
+                                   .otherwise(F.concat(F.lit("1"), size))), F.lit(""))
     return F.coalesce(F.concat(F.lit("+"), F.col(dim).cast("string")), F.lit(""))
 
 

@@ -396,7 +396,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     n = chars // BLOCK_CHARS + 1
     spark = benchmark.sparkSession
     for i in range(n):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).orderBy("item", "text")
+        # the texts of one id are searched together, so that a document and an id give one row
+        at = F.coalesce(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(0))
+        block = items.where(F.pmod(at, F.lit(n)) == i).orderBy("item", "text")
         yield spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in block.collect()]))
 
 

@@ -250,3 +250,13 @@ def test_short_items_and_items_without_id_are_searched(spark):
             .orderBy("doc_id").collect()] == [4, 8, 9, 10]
     named = spark.createDataFrame([("q1", "Who wrote Hamlet?")], "item_id string, text string")
     assert {(r["doc_id"], r["item_id"]) for r in Q.find_leaks(docs, named).collect()} == {(1, None), (2, None)}
+
+
+def test_texts_of_one_item_id_give_one_row(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK_CHARS", 50)
+    first, second = (" ".join(f"{c}{i}word" for i in range(20)) for c in "pq")
+    items = spark.createDataFrame([(5, first), (5, second), (None, first), (None, second), (6, second)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{first} and between them {second}")], "doc_id long, text string")
+    got = [(r["item_id"], r["start"], r["end"]) for r in Q.find_leaks(docs, items).collect()]
+    size, at = len(first), len(first) + len(" and between them ")
+    assert sorted(got, key=str) == sorted([(5, 0, at + len(second)), (6, at, at + len(second)), (None, 0, size), (None, at, at + len(second))], key=str)

@@ -198,3 +198,15 @@ def test_op9_query(spark):
     longest = max(len((d["text"] or "").split()) for d in docs.values())
     for s in totals:
         assert 0 <= want[s] * sum(totals.values()) - spent[s] + 2 <= longest + 2
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("double", [float("-inf"), -1e300, -10.0, -1.5, -1e-300, 0.0, 5e-324, 0.1, 2.0, 9.0, 10.0, 100.0, 1e17, float("inf"), float("nan")]),
+    ("float", [-10.0, -1.5, 0.0, 2.0, 9.0, 10.0, 100.0]),
+    ("decimal(20,3)", [-100, -10, -2, 0, 2, 9, 10, 100]),
+    ("bigint", [-100, -10, -2, 0, 2, 9, 10, 100])])
+def test_sort_keys_of_numbers_follow_their_values(spark, kind, values):
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").withColumn("v", F.col("v").cast(kind))
+    rows = rows.union(spark.range(1).select(F.lit(-1), F.lit(None).cast(kind)))
+    got = rows.select("i", H._sortable(rows, "v").alias("key")).collect()
+    assert [r["i"] for r in sorted(got, key=lambda r: r["key"])] == list(range(-1, len(values)))

@@ -3,6 +3,9 @@
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from mutscope.llm import queries
 from tests.conftest import SF001
@@ -73,3 +76,31 @@ def test_an_empty_table_passes_through(spark):
     for _, stage in P.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, SF001).toArrow())
         assert docs.count() == 0
+
+
+BESIDE = ("kept", "language", "posterior", "weight", "pass", "block", "_t", "_hash", "size", "text_hash", "hilbert", "_beside3", "group")
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stages_carry_columns_of_any_name_nulls_and_repeated_rows(spark, name, stage):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    some = docs.where("doc_id = 1").select("doc_id", "text", F.lit(None).cast("string").alias("lang"),
+                                           F.lit(None).cast("string").alias("source"), "n_chars")
+    odd = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "", 0), (900002, None, "", None, None)], docs.schema)
+    docs = docs.union(some).union(docs.where("doc_id = 2")).union(odd)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in BESIDE} | {"shard": F.lit(77), "slot": F.lit("x")})
+    rows = Counter(str(r) for r in docs.collect()) if name != "sharding" else None
+    docs = spark.createDataFrame(docs.toArrow(), docs.schema)
+    out = stage(spark, docs, SF001)
+    got = out.collect()
+    if name == "sharding":
+        assert out.columns == [*docs.columns[:-2], "shard", "slot"]
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in got for c in BESIDE)
+        assert len(got) == docs.count() and {r["shard"] for r in got} == set(range(16))
+        return
+    assert out.columns == docs.columns and got
+    assert set(map(str, got)) <= set(rows)
+    if name in ("language_id", "decontamination"):
+        assert all(rows[r] == n for r, n in Counter(map(str, got)).items())
+    blank = sum(not (r["text"] or "").strip() for r in got)
+    assert blank == 0 if name == "language_id" else blank >= 3
