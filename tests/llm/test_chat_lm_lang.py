@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -100,40 +102,75 @@ def test_long_conversations_are_repaired_as_if_whole(spark):
 
 # ---- language model -------------------------------------------------------
 
-def _brute_scores(model, texts):
+def _brute_scores(model, texts, counts):
     """Every word from its four neighbours, one at a time."""
-    vocabulary, net = model
-    out = []
+    vocabulary, net, _ = model
+    side, out = vocabulary.side, []
+    place = {int(h): i for i, h in enumerate(vocabulary.words)}
+    seen = sum(counts.values())
+    assert seen == vocabulary.counts[:side * side].sum() + vocabulary.rest.sum()
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
     for t in texts:
-        bucket, _ = W._words(pa.array([t]))
-        klass = [int(vocabulary.klass[b]) for b in bucket]
+        words = [int(h) for h in W._words(pa.array([t]))[0]]
+        ranks = [place.get(h, -1) for h in words]
+        codes = [r if 0 <= r < vocabulary.own else vocabulary.own + (h >> 32) % (side - vocabulary.own) for h, r in zip(words, ranks)]
         total = 0.0
-        for i, b in enumerate(bucket):
-            near = [klass[i + o] if 0 <= i + o < len(klass) else W.CLASSES for o in (-2, -1, 1, 2)]
-            e = np.concatenate([net.embed[k] for k in near])
-            z = (np.tanh(e @ net.w1 + net.b1) @ net.w2 + net.b2).astype(float)
-            total += z[klass[i]] - np.log(np.exp(z - z.max()).sum()) - z.max() + vocabulary.share[b]
-        out.append((len(bucket), total))
+        for i, (h, r) in enumerate(zip(words, ranks)):
+            near = [codes[i + o] if 0 <= i + o < len(codes) else side for o in (-2, -1, 1, 2)]
+            hid = np.tanh(np.concatenate([net.embed[k] for k in near]) @ net.w1 + net.b1)
+            own = 0 <= r < side * side
+            k = r % side if own else (h - (1 << 64) if h >> 63 else h) % side
+            inner = soft((hid @ net.w3[k] + net.b3[k]).astype(float))
+            total += soft((hid @ net.w2 + net.b2).astype(float))[k] + inner[r // side if own else side]
+            if not own:
+                total += np.log((counts.get(h, 0) + W.ADD) / (vocabulary.rest[k] + W.ADD * (vocabulary.kinds[k] + 1)))
+        out.append((len(words), total))
     return out
 
 
-def test_scores_match_word_by_word_sums(spark):
-    texts = ["the cat sat on the mat and the dog", None, "", " \n ", "one", "One TWO", "w " * 5000]
-    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+@pytest.mark.parametrize("known", [16, 1])
+def test_scores_match_word_by_word_sums(spark, monkeypatch, known):
+    monkeypatch.setattr(W, "KNOWN", known)                 # 1: the rarer words' counts all come by the join
+    texts = ["the cat sat on the mat and the dog", None, "", " \n ", "one", "One TWO", "w " * 5000,
+             " ".join(f"rare{i}" for i in range(400)), "the cat sat on the mat and the dog"]
+    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)] + [(None, "the null id", 1)], "doc_id long, text string, n_words int")
     model = W.train(df)
+    counts = Counter(int(h) for t in [*texts, "the null id"] for h in W._words(pa.array([t]))[0])
     got = {r["doc_id"]: r for r in W.score(df, model).collect()}
-    for i, (n, total) in enumerate(_brute_scores(model, texts)):
+    for i, (n, total) in enumerate(_brute_scores(model, texts, counts)):
         assert got[i]["n_words"] == n and got[i]["log_likelihood"] == pytest.approx(total, abs=1e-3 * max(1, n / 100))
         assert (got[i]["mean_log_likelihood"] is None) == (n == 0)
+    assert got[0]["log_likelihood"] == got[8]["log_likelihood"] and got[None]["n_words"] == 3
+    other = spark.createDataFrame([(1, "never seen here, the cat")], "doc_id long, text string")
+    (n, total), = _brute_scores(model, ["never seen here, the cat"], counts | Counter())
+    assert W.score(other, model).first()["log_likelihood"] == pytest.approx(total, abs=1e-3)
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    rng, side = np.random.default_rng(5), 4
+    words = rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    counts = np.sort(rng.integers(1, 50, 60))[::-1].astype(float)
+    klass = words[side * side:].view(np.int64) % side
+    v = W.Vocabulary(side, words, counts, np.bincount(klass, counts[side * side:], side), np.bincount(klass, minlength=side))
+    assert v.rank(words).tolist() == list(range(60)) and v.rank(np.array([2, 4], np.uint64)).tolist() == [-1, -1]
+    _, k, m, _ = v.codes(words)
+    x = np.tile(rng.integers(0, side + 1, (1, 4)), (60, 1))
+    p = v.start().log_probability(x, k, m).astype(float)
+    rare = m == side
+    p[rare] += v.share(k[rare], counts[rare])
+    unseen = v.start().log_probability(x[:side], np.arange(side), np.full(side, side)) + v.share(np.arange(side), 0)
+    assert np.exp(p).sum() + np.exp(unseen).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_gradient_matches_differences():
-    rng = np.random.default_rng(1)
-    net = W.Network()
-    x, y = rng.integers(0, W.CLASSES + 1, (40, 4)), rng.integers(0, W.CLASSES, 40)
-    loss = lambda flat: -W.Network(flat).forward(x)[2][np.arange(40), y].astype(float).mean()
-    g = net.gradient(x, y)
-    for i in rng.choice(W.Network.SIZE, 40, replace=False):
+    rng, side = np.random.default_rng(1), 5
+    net = W.Network(side)
+    net.flat *= 3
+    x, k, m = rng.integers(0, side + 1, (90, 4)), rng.choice(side, 90, p=[0.6, 0.2, 0.1, 0.1, 0]), rng.integers(0, side + 1, 90)
+    loss = lambda flat: -W.Network(side, flat).log_probability(x, k, m).astype(float).mean()
+    g = net.gradient(x, k, m)
+    assert g.shape == net.flat.shape
+    for i in rng.choice(len(g), 80, replace=False):
         up, down = net.flat.copy(), net.flat.copy()
         up[i] += 0.02
         down[i] -= 0.02
@@ -143,16 +180,20 @@ def test_gradient_matches_differences():
 def test_model_counts_all_rows_and_beats_the_unigram(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = docs.where("doc_id % 10 = 0")
-    vocabulary, net = W.train(docs.where("doc_id % 10 <> 0"))
+    vocabulary, net, counts = W.train(docs.where("doc_id % 10 <> 0"))
     columns = pa.array([r["text"] for r in held.collect()])
-    n, total = W.log_likelihoods(vocabulary, net, columns)
-    bucket, _ = W._words(columns)
-    klass = np.zeros(W.CLASSES)
-    for part in np.array_split(np.arange(W.BUCKETS), 8):
-        np.add.at(klass, vocabulary.klass[part], np.exp(vocabulary.share[part]) * 0)
-    counts = np.bincount(vocabulary.klass[bucket], minlength=W.CLASSES) + 1.0
-    unigram = (np.log(counts / counts.sum())[vocabulary.klass[bucket]] + vocabulary.share[bucket]).sum()
-    assert total.sum() > unigram + 0.02 * n.sum()
+    n, total, _, _ = W.log_likelihoods(vocabulary, net, columns)
+    _, unigram, _, _ = W.log_likelihoods(vocabulary, _blind(vocabulary), columns)
+    assert counts.agg({"n": "sum"}).first()[0] == sum(
+        len((r["text"] or "").split()) for r in docs.where("doc_id % 10 <> 0").collect())
+    assert total.sum() > unigram.sum() + 0.02 * n.sum()
+
+
+def _blind(vocabulary):
+    """The network that sees no neighbours: words by their counts."""
+    net = vocabulary.start()
+    net.w2[:], net.w3[:] = 0, 0
+    return net
 
 
 def test_op4_query_scores_every_document(spark):
