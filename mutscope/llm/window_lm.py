@@ -153,10 +153,22 @@ def contexts(code: np.ndarray, doc: np.ndarray, edge: int) -> np.ndarray:
     return padded[at[:, None] + np.array(_OFFSETS)]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=-1, keepdims=True))
-    return z
+def _exponentials(z: np.ndarray, reach: float):
+    """(exp(z) in place of z, their sums, what was taken off first); ``reach``: all values lie within it."""
+    off = z.max(axis=-1, keepdims=True) if reach > 60 else np.float32(0)
+    if reach > 60:
+        z -= off
+    np.exp(z, out=z)
+    return z, (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1), off
+
+
+def _sums(values: np.ndarray, code: np.ndarray, codes: int) -> np.ndarray:
+    """The sum of the rows of ``values`` of each code."""
+    order = np.argsort(code.astype(np.uint16), kind="stable")
+    upto = np.zeros((len(code) + 1, values.shape[1]))
+    np.cumsum(values[order], axis=0, dtype=np.float64, out=upto[1:])
+    ends = np.cumsum(np.bincount(code, minlength=codes))
+    return np.diff(upto[ends], axis=0, prepend=0).astype(np.float32)
 
 
 class Network:
@@ -190,45 +202,57 @@ class Network:
         row[order] = within % TILE
         return np.repeat(np.arange(self.side), tiles), tile, row
 
+    def _classes(self, h: np.ndarray):
+        """The classes' logits and a bound of their size."""
+        return h @ self.w2 + self.b2, float((np.abs(self.w2).sum(axis=0) + np.abs(self.b2)).max())
+
     def _members(self, h: np.ndarray, klass: np.ndarray):
-        """The tiles, their hidden rows and their members' log-probabilities."""
+        """The tiles, their hidden rows, their members' logits and a bound of their size."""
         of, tile, row = self._tiles(klass)
         rows = np.zeros((len(of), TILE, HIDDEN), np.float32)
         rows[tile, row] = h
-        return of, tile, row, rows, _log_softmax(rows @ self.w3[of] + self.b3[of][:, None, :])
+        reach = float((np.abs(self.w3).sum(axis=1) + np.abs(self.b3)).max())
+        z = rows @ self.w3[of]
+        z += self.b3[of][:, None, :]
+        return of, tile, row, rows, z, reach
 
     def log_probability(self, x: np.ndarray, klass: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Of ``member`` of ``klass`` given contexts ``x``."""
+        one_row = np.arange(len(x))
         _, h = self._hidden(x)
-        z = _log_softmax(h @ self.w2 + self.b2)
-        _, tile, row, _, inner = self._members(h, klass)
-        return z[np.arange(len(z)), klass] + inner[tile, row, member]
+        z, reach = self._classes(h)
+        value = z[one_row, klass]
+        _, total, off = _exponentials(z, reach)
+        value -= (np.log(total) + off)[:, 0]
+        _, tile, row, _, z, reach = self._members(h, klass)
+        value += z[tile, row, member]
+        _, total, off = _exponentials(z, reach)
+        return value - (np.log(total) + off)[tile, row, 0]
 
     def gradient(self, x: np.ndarray, klass: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Of the mean log-loss given contexts ``x``, as a flat vector."""
-        n, one_row = len(x), np.arange(len(x))
+        n = len(x)
         e, h = self._hidden(x)
-        d = np.exp(_log_softmax(h @ self.w2 + self.b2))
-        d[one_row, klass] -= 1
-        d /= n
-        of, tile, row, rows, inner = self._members(h, klass)
-        inner = np.exp(inner, out=inner)
-        inner[tile, row, member] -= 1
-        told = np.zeros(inner.shape[:2], np.float32)
+        d, total, _ = _exponentials(*self._classes(h))
+        d *= 1 / (n * total)
+        d[np.arange(n), klass] -= 1 / n
+        of, tile, row, rows, z, reach = self._members(h, klass)
+        inner, total, _ = _exponentials(z, reach)
+        told = np.zeros(total.shape, np.float32)
         told[tile, row] = 1 / n
-        inner *= told[:, :, None]
-        w3, b3 = np.zeros_like(self.w3), np.zeros_like(self.b3)
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        w3[of[first]] = np.add.reduceat(rows.transpose(0, 2, 1) @ inner, first, axis=0)
-        b3[of[first]] = np.add.reduceat(inner.sum(axis=1), first, axis=0)
-        back = inner @ self.w3[of].transpose(0, 2, 1)
+        inner *= told / total
+        inner[tile, row, member] -= 1 / n
+        w3, b3, back = np.zeros_like(self.w3), np.zeros_like(self.b3), np.empty_like(rows)
+        begin = np.searchsorted(of, np.arange(self.side + 1))
+        for c in np.unique(of):                        # a class's tiles lie side by side
+            part = slice(begin[c], begin[c + 1])
+            x3, d3 = rows[part].reshape(-1, HIDDEN), inner[part].reshape(-1, self.side + 1)
+            w3[c], b3[c] = x3.T @ d3, d3.sum(axis=0)
+            back[part] = (d3 @ self.w3[c].T).reshape(-1, TILE, HIDDEN)
         dh = (d @ self.w2.T + back[tile, row]) * (1 - h * h)
         de = (dh @ self.w1.T).reshape(n * 2 * REACH, EMBED)
-        # embedding rows are summed by code: one small product instead of a scatter
-        one = np.zeros((n * 2 * REACH, self.side + 1), np.float32)
-        one[np.arange(len(one)), x.ravel()] = 1
-        return np.concatenate([(one.T @ de).ravel(), (e.T @ dh).ravel(), dh.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0),
-                               w3.ravel(), b3.ravel()])
+        return np.concatenate([_sums(de, x.ravel(), self.side + 1).ravel(), (e.T @ dh).ravel(), dh.sum(axis=0), (h.T @ d).ravel(),
+                               d.sum(axis=0), w3.ravel(), b3.ravel()])
 
 
 class Adam:

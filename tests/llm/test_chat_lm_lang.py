@@ -334,3 +334,12 @@ def test_every_label_is_a_language_in_all_its_spellings(spark):
     assert sorted(model.labels) == sorted([*codes, L.UNKNOWN])
     out = L.identify(df.withColumn("host", F.lit("h")), model, "text", "host", "lang").collect()
     assert len(out) == len(rows) and all(r["language"] == r["code"] and r["kept"] for r in out)
+
+
+def test_far_logits_are_brought_near_first():
+    rng, side = np.random.default_rng(2), 5
+    near, far = W.Network(side), W.Network(side)
+    far.b2[:], far.b3[:] = far.b2 + 200, far.b3 - 200
+    x, k, m = rng.integers(0, side + 1, (50, 4)), rng.integers(0, side, 50), rng.integers(0, side + 1, 50)
+    assert far.log_probability(x, k, m) == pytest.approx(near.log_probability(x, k, m), abs=1e-3)
+    assert far.gradient(x, k, m) == pytest.approx(near.gradient(x, k, m), abs=1e-4)
