@@ -88,13 +88,20 @@ def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> Data
     k = _keys(keys)
     pairs = materialize(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
                         .groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_c")), "pairs")
+    return _paired_ranks(pairs, k, x, y).groupBy(*k).agg(_rank_correlation().alias(out))
+
+
+def _paired_ranks(pairs: DataFrame, k: list[str], x: str, y: str, *extra: Column) -> DataFrame:
+    """Written pair counts (``_c``) with both average ranks, twice their mean, and ``extra`` aggregates of the group."""
     tables, size = _ranks_from_counts(pairs, k, {x: "_rx", y: "_ry"})
-    total = pairs.groupBy(*k).agg((F.sum("_c") + 1).alias("_n1"))
+    total = pairs.groupBy(*k).agg((F.sum("_c") + 1).alias("_n1"), *extra)
     r = attach_by_value(attach_by_value(pairs, tables[x], k, x, size=size), tables[y], k, y, size=size)
-    r = attach_group_stats(r, total, k)
+    return attach_group_stats(r, total, k)
+
+
+def _rank_correlation() -> Column:
     dx, dy, c = F.col("_rx") - F.col("_n1") / 2.0, F.col("_ry") - F.col("_n1") / 2.0, F.col("_c")
-    return r.groupBy(*k).agg(F.try_divide(
-        F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy))).alias(out))
+    return F.try_divide(F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy)))
 
 
 # ---------------------------------------------------------------- ROC / AUC
@@ -248,19 +255,22 @@ def regression_metrics(df: DataFrame, keys, split: str = "split", pred: str = "p
     is given.  With ``splits`` every group has a row for each of these splits,
     NULL metrics where it holds no such row."""
     k = _keys(keys)
+    by = k + [split]
     groups = df.select(*k).distinct() if k else df.sparkSession.range(1).select()
-    base = df.select(*k, split, pred, actual).filter(F.col(pred).isNotNull() & F.col(actual).isNotNull())
+    pairs = (df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull())
+             .groupBy(*by, pred, actual).agg(F.count(F.lit(1)).alias("_c")))
     if pooled:
         a, b, name = pooled
-        base = base.unionByName(base.filter(F.col(split).isin(a, b))
-                                .withColumn(split, F.lit(name)))
-    err = F.col(pred) - F.col(actual)
-    g = base.groupBy(*k, split).agg(
-        F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.sum(err * err).alias("_ss_res"),
-        (F.var_pop(actual) * F.count(F.lit(1))).alias("_ss_tot"))
-    g = g.select(*k, split, "rmse", (1 - F.try_divide(F.col("_ss_res"), F.col("_ss_tot"))).alias("r2"))
-    g = null_safe_join(g, spearman(base, k + [split], pred, actual), k + [split], "left")
+        # counted rows, not rows, stand for the pooled split as well
+        own = F.array(F.col(split))
+        pairs = pairs.withColumn(split, F.explode(F.when(F.col(split).isin(a, b), F.array_append(own, F.lit(name))).otherwise(own)))
+    pairs = materialize(pairs, "pairs")
+    r = _paired_ranks(pairs, by, pred, actual, (F.sum(F.col("_c") * F.col(actual)) / F.sum("_c")).alias("_mean"))
+    err, away, c = F.col(pred) - F.col(actual), F.col(actual) - F.col("_mean"), F.col("_c")
+    g = r.groupBy(*by).agg(
+        F.sqrt(F.sum(c * err * err) / F.sum(c)).alias("rmse"),
+        (1 - F.try_divide(F.sum(c * err * err), F.sum(c * away * away))).alias("r2"),
+        _rank_correlation().alias("spearman"))
     if splits is None:
         return g
     asked = groups.withColumn(split, F.explode(F.array(*map(F.lit, splits))))
