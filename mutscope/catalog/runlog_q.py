@@ -275,13 +275,11 @@ def q_p7(spark, d):
     """Completed runs with their position in end-time order (the ordering is
     kept as a column so an order-insensitive compare still checks it)."""
     log = R.RunLog.bound(spark, d)
-    done = R.completed_runs(log.run)
-    from pyspark.sql import Window
-    return finish(done.select(
+    return finish(R.completed_run_order(log.run).select(
         "run_id", "config_id", "name", "dataset_name",
         F.date_format("start_ts", "yyyy-MM-dd").alias("start_day"),
         F.date_format("end_ts", "yyyy-MM-dd").alias("end_day"),
-        F.row_number().over(Window.orderBy("end_ts")).alias("end_order")))
+        F.col("end_order").cast("int").alias("end_order")))
 
 
 @register("P8", rounded(with_(*BASE, extra={"newest": "SELECT max(run_id) AS run_id FROM b_run"}) + """

@@ -415,15 +415,17 @@ def fit_pca(df: DataFrame, array_col: str, k: int) -> FittedPca | WidePca:
     return FittedPca(centre, PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(v)), array_col)
 
 
-def bimodal_threshold(df: DataFrame, value: str, keys=(), starts: int = 10, iterations: int = 30,
-                      grid: int = 1000, floor: float = 1e-9) -> DataFrame:
+def bimodal_threshold(df: DataFrame, value: str, keys=(), starts: int = 10, iterations: int = 100,
+                      grid: int = 1000, floor: float = 1e-9, tol: float = 1e-3) -> DataFrame:
     """Per key a two-component 1-D mixture; the threshold is the density
     minimum between the two means on a ``grid``-point grid over [min−1, max+1].
 
     EM runs on counted values for all keys and ``starts`` at once: one
     aggregation an iteration gives every start's new parameters, the best
     log-likelihood per key is kept (ties: the first start).  Start s places
-    the means (s + 1)/4 deviations below and above the mean.  A key whose
+    the means (s + 1)/4 deviations below and above the mean.  A start whose
+    log-likelihood a value changes by less than ``tol`` is fitted and goes
+    through no further iteration (of at most ``iterations``).  A key whose
     values are all equal has a NULL threshold.
     """
     keys = list(keys)
@@ -439,11 +441,11 @@ def bimodal_threshold(df: DataFrame, value: str, keys=(), starts: int = 10, iter
     away = F.col("sd") * (F.col("s") + 1) / 4
     p = st.select(*g, "sd", "m", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("s")).select(
         *g, "s", F.lit(0.5).alias("w"), (F.col("m") - away).alias("a"), (F.col("m") + away).alias("b"),
-        (F.col("sd") ** 2).alias("x"), (F.col("sd") ** 2).alias("y"), F.lit(0.0).alias("ll"))
+        (F.col("sd") ** 2).alias("x"), (F.col("sd") ** 2).alias("y"), F.lit(None).cast("double").alias("ll"), F.lit(False).alias("_done"))
     normal = lambda v, mu, var: F.exp(-(v - mu) * (v - mu) / (2 * var)) / F.sqrt(2 * math.pi * var)
     v, c = F.col("v"), F.col("n")
     for _ in range(iterations):
-        j = null_safe_join(counts, bounded_broadcast(p), g)
+        j = null_safe_join(counts, bounded_broadcast(p.where("not _done")), g)
         j = j.withColumn("fa", F.col("w") * normal(v, F.col("a"), F.col("x")) + 1e-300)
         j = j.withColumn("fb", (1 - F.col("w")) * normal(v, F.col("b"), F.col("y")) + 1e-300)
         j = j.withColumn("ra", F.col("fa") / (F.col("fa") + F.col("fb"))).withColumn("rb", 1 - F.col("ra"))
@@ -451,13 +453,18 @@ def bimodal_threshold(df: DataFrame, value: str, keys=(), starts: int = 10, iter
             F.sum(c * F.col("ra")).alias("na"), F.sum(c * F.col("rb")).alias("nb"),
             F.sum(c * F.col("ra") * v).alias("sa"), F.sum(c * F.col("rb") * v).alias("sb"),
             F.sum(c * F.col("ra") * v * v).alias("qa"), F.sum(c * F.col("rb") * v * v).alias("qb"),
-            F.sum(c * F.log(F.col("fa") + F.col("fb"))).alias("ll"))
+            F.sum(c * F.log(F.col("fa") + F.col("fb"))).alias("ll"),
+            F.first("ll").alias("_before"), F.sum(c).alias("_total"))
         t = t.withColumn("na", F.greatest("na", F.lit(1e-12))).withColumn("nb", F.greatest("nb", F.lit(1e-12)))
         a, b = F.col("sa") / F.col("na"), F.col("sb") / F.col("nb")
-        p = materialize(t.select(
+        near = F.abs(F.col("ll") - F.col("_before")) < tol * F.col("_total")
+        t = t.select(
             *g, "s", (F.col("na") / (F.col("na") + F.col("nb"))).alias("w"), a.alias("a"), b.alias("b"),
             F.greatest(F.col("qa") / F.col("na") - a * a, F.lit(floor)).alias("x"),
-            F.greatest(F.col("qb") / F.col("nb") - b * b, F.lit(floor)).alias("y"), "ll"), "mixture")
+            F.greatest(F.col("qb") / F.col("nb") - b * b, F.lit(floor)).alias("y"), "ll", F.coalesce(near, F.lit(False)).alias("_done"))
+        p = materialize(t.unionByName(p.where("_done").select(*t.columns)), "mixture")
+        if p.where("not _done").isEmpty():
+            break
     best = p.groupBy(*g).agg(F.max_by(F.struct("w", "a", "b", "x", "y"), F.struct("ll", -F.col("s"))).alias("p")).select(*g, "p.*")
     best = null_safe_join(best, st.select(*g, "lo", "hi"), g)
     pts = best.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))

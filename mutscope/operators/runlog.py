@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources import bindings
 from ..util import bounded_broadcast, materialize
+from .ordered import ordered_scan
 
 RUN_KEYS = ("config_id", "dataset_name", "name")
 
@@ -69,6 +70,12 @@ def completed_runs(run: DataFrame) -> DataFrame:
             .orderBy("end_ts"))
 
 
+def completed_run_order(run: DataFrame) -> DataFrame:
+    """P7 with ``end_order``, the 1-based place of each run by end time, from the ordered scan (no single-task window)."""
+    done = completed_runs(run).withColumn("_one", F.lit(1).cast("long"))
+    return ordered_scan(done, [], F.col("end_ts"), {"end_order": ("sum", "_one")}).drop("_one")
+
+
 def train_size(round_num: Column | None = None) -> Column:
     """0 in round 1, else first + (round-2)·(acq + pred)."""
     round_num = F.col("round_num") if round_num is None else round_num

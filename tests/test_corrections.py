@@ -188,3 +188,36 @@ def test_bimodal_threshold_of_every_key(spark):
     assert set(got) == {"a", None}
     assert (got["a"].mean_low, got["a"].mean_high) == (pytest.approx(0, abs=0.2), pytest.approx(6, abs=0.3))
     assert 1 < got["a"].threshold < 4 and -7 < got[None].threshold < 7
+
+
+def _em(values, start, tol, cap):
+    """Two components of one variable by plain EM: (log-likelihood, means), and the iterations it took."""
+    v = np.array(values)
+    sd, w = v.std(), 0.5
+    mu = v.mean() + np.array([-1, 1]) * sd * (start + 1) / 4
+    var, before = np.array([sd ** 2] * 2), None
+    for i in range(cap):
+        f = np.array([w, 1 - w])[:, None] * np.exp(-(v - mu[:, None]) ** 2 / (2 * var[:, None])) / np.sqrt(2 * np.pi * var[:, None]) + 1e-300
+        r, ll = f / f.sum(axis=0), np.log(f.sum(axis=0)).sum()
+        n = np.maximum(r.sum(axis=1), 1e-12)
+        w, mu = n[0] / n.sum(), (r * v).sum(axis=1) / n
+        var = np.maximum((r * v * v).sum(axis=1) / n - mu ** 2, 1e-9)
+        if before is not None and abs(ll - before) < tol * len(v):
+            break
+        before = ll
+    return ll, mu, i + 1
+
+
+def test_bimodal_fit_stops_where_each_start_does(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    near = np.round(np.concatenate([rng.normal(0, 1, 150), rng.normal(2.5, 1, 150)]), 3).tolist()
+    apart = np.round(np.concatenate([rng.normal(0, 1, 80), rng.normal(30, 1, 120)]), 3).tolist()
+    fits = {k: [_em(x, s, 1e-3, 100) for s in range(3)] for k, x in (("near", near), ("apart", apart))}
+    written, write = [], FT.materialize
+    monkeypatch.setattr(FT, "materialize", lambda df, tag="stage", **o: (written.append(tag), write(df, tag, **o))[1])
+    rows = [("near", x) for x in near] + [("apart", x) for x in apart]
+    got = FT.bimodal_threshold(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], starts=3).collect()
+    for r in got:
+        _, mu, _ = max(fits[r.k], key=lambda f: f[0])
+        assert np.allclose([r.mean_low, r.mean_high], sorted(mu), atol=1e-6)
+    assert len(got) == 2 and written.count("mixture") == max(f[2] for x in fits.values() for f in x) < 100
