@@ -45,6 +45,7 @@ from . import textops as T
 from .ordering import hot_key_join, hot_keys
 
 SAMPLE_ROWS = 500
+SALTS = 64               # tasks over which the rows of one label are dealt out
 BROADCAST_ROWS = 1 << 17  # of the sample's ids
 BUCKETS = 1 << 14
 TEXT_WEIGHT = 200        # trigrams at most that a text's evidence counts as
@@ -153,10 +154,14 @@ def fit_text_model(rows: DataFrame, text_col: str, label_col: str, id_col: str)
     if not labels:
         return TextModel([], np.zeros((BUCKETS, 0)))
     ids = named.select("id", "label").withColumn("h", F.xxhash64("id"))
-    first = Window.partitionBy("label").orderBy("h", "id")
-    # a window limit: each task keeps SAMPLE_ROWS rows a label at most
-    chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS).select("id", "label")
-    chosen = chosen.distinct()
+    # window limits: each task keeps SAMPLE_ROWS rows a label at most, their
+    # first ones are found by SALTS tasks a label, and the first of these by one
+    # (the same rows, whichever task read them)
+    chosen = ids.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    for by in (["label", "salt"], ["label"]):
+        first = Window.partitionBy(*by).orderBy("h", "id")
+        chosen = chosen.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS)
+    chosen = chosen.select("id", "label").distinct()
     if len(labels) * SAMPLE_ROWS <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     sample = named.join(chosen, ["id", "label"], "left_semi").select("label", "text")

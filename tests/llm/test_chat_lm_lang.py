@@ -343,3 +343,11 @@ def test_far_logits_are_brought_near_first():
     x, k, m = rng.integers(0, side + 1, (50, 4)), rng.integers(0, side, 50), rng.integers(0, side + 1, 50)
     assert far.log_probability(x, k, m) == pytest.approx(near.log_probability(x, k, m), abs=1e-3)
     assert far.gradient(x, k, m) == pytest.approx(near.gradient(x, k, m), abs=1e-4)
+
+
+def test_sample_is_the_same_however_rows_are_dealt_out(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} text{i}", ("en", "de", "EN-us")[i % 3]) for i in range(400)] + [(3, "word3 text3", "en")] * 3
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 20)
+    one, many = (L.fit_text_model(df.repartition(n, "text"), "text", "lang", "id") for n in (1, 9))
+    assert one.labels == many.labels and (one.table == many.table).all()
