@@ -22,9 +22,12 @@ of blocks and no rows.
 from __future__ import annotations
 
 import itertools
+import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +41,7 @@ LIMIT = 16                # longest code, in bits
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 256
 STEP_IDS = 1 << 20        # ids decoded at a time
-CACHE_WORDS = 700_000
+CACHE_WORDS = 700_000     # pieces of words that a worker keeps
 
 # Fixed values of the public tokenizer file: its split pattern.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -81,12 +84,23 @@ class _Ragged:
         return self.flat[np.repeat(self.off[at] - total[:-1], size) + np.arange(total[-1])], total
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(letter 1, number 2 or other 0 for each ASCII byte; the same for the letters of two bytes from U+0080 to U+00FF)."""
+    kind = [1 if chr(c).isalpha() else 2 if unicodedata.category(chr(c))[0] == "N" else 0 for c in range(256)]
+    return np.array(kind[:128] + [0] * 128, np.int8), np.array(kind[128:], np.int8)
+
+
+_KIND, _KIND_TWO = _kinds()
+
+
 class WordIds:
-    """Ids of each white-space-separated word, found once and kept for later batches.
+    """Ids of texts, those of each piece of a word found once and kept for later batches.
 
-    Words of Latin-1 letters are split by the tokenizer's pattern, and new
-    pieces go to the library's model together; other words, and those that
-    may hold a special token, go through the whole library tokenizer.
+    The distinct white-space-separated words of a batch are split together.
+    Words of Latin-1 letters are split by the tokenizer's pattern, in numpy
+    where no contraction is possible, and new pieces go to the library's model
+    together; other words, and those that may hold a special token, go through
+    the whole library tokenizer.
     """
 
     def __init__(self, path: str):
@@ -102,36 +116,65 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.pieces = _Numbers(), _Numbers()
-        self.word_ids, self.piece_ids = _Ragged(), _Ragged()
+        self.pieces, self.piece_ids = _Numbers(), _Ragged()
+
+    def _numbered(self, pieces) -> np.ndarray:
+        return np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
 
-    def _split(self, word: str) -> list[str]:
+    @staticmethod
+    def _split(word: str) -> list[str]:
+        """The pieces of a word that is not split in numpy."""
         try:
             word.encode("latin-1")
         except UnicodeEncodeError:
             return ["\x1c" + word]
-        if "<|" in word:
-            return ["\x1c" + word]
-        low = word.lower()
-        if low.isalpha():
-            return [low]
-        if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return _PIECES.findall(low)
+        return ["\x1c" + word] if "<|" in word else _PIECES.findall(word.lower())
+
+    def _split_all(self, words: pa.Array):
+        """(numbers of the pieces, how many each word has)."""
+        raw, off = T.utf8(words)
+        if not len(raw):
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        low, kind = T.lower_ascii(raw).copy(), _KIND[raw]
+        lead = np.flatnonzero((raw == 0xC2) | (raw == 0xC3))
+        kind[lead] = kind[lead + 1] = _KIND_TWO[(raw[lead] - 0xC2) * 64 + (raw[lead + 1] & 0x3F)]
+        capital = lead[(raw[lead] == 0xC3) & (raw[lead + 1] <= 0x9E) & (raw[lead + 1] != 0x97)] + 1
+        low[capital] += 0x20
+        start = np.ones(len(raw), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        start[off[:-1][off[:-1] < len(raw)]] = True
+        start &= (raw & 0xC0) != 0x80
+        starts = np.flatnonzero(start)
+        size = np.diff(np.searchsorted(starts, off))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(low))
+        slow = (raw >= 0xC4) | (raw == 0x27)
+        slow[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        slow = np.unique(np.searchsorted(off, np.flatnonzero(slow), "right") - 1)
+        owner = np.repeat(np.arange(len(words)), size)
+        if len(slow):
+            quick = np.ones(len(words), bool)
+            quick[slow] = False
+            pieces, owner = pieces.filter(pa.array(quick[owner])), owner[quick[owner]]
+        coded = pieces.dictionary_encode()
+        at = self._numbered(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+        if len(slow):
+            split = [self._split(w) for w in words.take(pa.array(slow)).to_pylist()]
+            size[slow] = [len(x) for x in split]
+            owner = np.concatenate((owner, np.repeat(slow, size[slow])))
+            at = np.concatenate((at, self._numbered(list(itertools.chain.from_iterable(split)))))
+            at = at[np.argsort(owner, kind="stable")]
+        return at, size
 
     def _learn(self) -> None:
-        """Ids of the words that were new."""
-        if not self.words.new:
-            return
-        split = [self._split(w) for w in self.words.new]
-        sizes = np.array([len(x) for x in split])
-        at = np.fromiter(map(self.pieces.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        """Ids of the pieces that were new."""
         new = self.pieces.new
+        if not new:
+            return
         plain = [p for p in new if p[0] != "\x1c"]
         ids = np.zeros(0, np.int64)
         if plain:
             joined = " ".join(plain).encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.model.encode(joined, add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(plain):
             raise ValueError("the vocabulary does not mark where words end")
@@ -142,31 +185,35 @@ class WordIds:
                      np.array(self.tokenizer.encode(p[1:], add_special_tokens=False).ids, np.int64) for p in new]
             ids, size = np.concatenate(found), np.array([len(f) for f in found])
         self.piece_ids.add(ids, size)
-        flat, total = self.piece_ids.take(at)
-        self.word_ids.add(flat, np.diff(total[np.concatenate(([0], np.cumsum(sizes)))]))
-        self.words.new, self.pieces.new = [], []
+        self.pieces.new = []
 
-    def encode(self, texts: list[str]):
-        """(ids, count for each text), the ids without end ids."""
-        if len(self.words) > CACHE_WORDS:
+    def encode(self, texts):
+        """(ids, count for each text), the ids without end ids; ``texts`` is a list or an Arrow column without nulls."""
+        if len(self.pieces) > CACHE_WORDS:
             self.reset()
-        words: list[str] = []
-        n_words, whole = [], {}
-        for i, t in enumerate(texts):
-            if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:    # white space to Python only
-                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int64)
-                n_words.append(0)
-                continue
-            w = t.split()
-            words += w
-            n_words.append(len(w))
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string())
+        raw, off = T.utf8(column)
+        # white space to Python and Arrow only
+        whole = np.unique(np.searchsorted(off, np.flatnonzero((raw >= 0x1C) & (raw <= 0x1F)), "right") - 1)
+        apart = {int(i): np.array(self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.int64) for i in whole}
+        if apart:
+            mask = np.zeros(len(column), bool)
+            mask[whole] = True
+            column = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), column)
+        # an empty word, as of a text without words, has no pieces
+        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(column))
+        coded = words.flatten().dictionary_encode()
+        at, size = self._split_all(coded.dictionary)
         self._learn()
-        ids, total = self.word_ids.take(at)
+        flat, total = self.piece_ids.take(at)
+        word_ids = _Ragged()
+        word_ids.add(flat, np.diff(total[np.concatenate(([0], np.cumsum(size)))]))
+        ids, total = word_ids.take(coded.indices.to_numpy())
+        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         bounds = total[np.concatenate(([0], np.cumsum(n_words)))]
         count = np.diff(bounds)
-        if whole:
-            parts = [whole[i] if i in whole else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
+        if apart:
+            parts = [apart[i] if i in apart else ids[bounds[i]:bounds[i + 1]] for i in range(len(column))]
             ids, count = np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, count
 
@@ -175,6 +222,7 @@ _KEPT: dict[str, WordIds] = {}
 
 
 def _word_ids(path: str) -> WordIds:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark's tasks are the parallel ones
     if path not in _KEPT:
         _KEPT[path] = WordIds(path)
     return _KEPT[path]
@@ -191,8 +239,8 @@ def _token_batches(path, kind, end_id, batches):
     words, shard, done = _word_ids(path), TaskContext.get().partitionId(), 0
     for b in batches:
         ids_col, col = b.column(0), b.column(1)
-        for lo, hi in T.slices(col):
-            ids, count = words.encode(T.null_free(col.slice(lo, hi - lo), "").to_pylist())
+        for lo, hi in T.slices(col, T.BATCH_BYTES):
+            ids, count = words.encode(T.null_free(col.slice(lo, hi - lo), ""))
             last = np.cumsum(count)
             ids = np.insert(ids, last, end_id).astype(kind)
             count = count + 1

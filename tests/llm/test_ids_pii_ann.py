@@ -56,6 +56,18 @@ def test_words_found_once_equal_whole_texts():
     assert [ids[a:b].tolist() + [H.END_ID] for a, b in zip(off, off[1:])] == _library_ids(ODD)
 
 
+def test_latin_1_words_are_split_without_a_call_for_each(monkeypatch):
+    texts = [*(f"{chr(c)}Ab {chr(c)} {chr(c)}{chr(d)}9z" for c in range(33, 256) if c not in (39, 0x85, 0xA0) for d in (65, 0xB2, 0xD7, 0xE9)),
+             " ", "two  Words. 12"]
+    asked = []
+    split = H.WordIds._split
+    monkeypatch.setattr(H.WordIds, "_split", lambda *a: asked.append(a[-1]) or split(a[-1]))
+    ids, count = H.WordIds(PATH).encode(pa.array(texts))
+    off = np.concatenate(([0], np.cumsum(count)))
+    assert [ids[a:b].tolist() + [H.END_ID] for a, b in zip(off, off[1:])] == _library_ids(texts)
+    assert asked == []
+
+
 def test_a_full_cache_starts_again(monkeypatch):
     monkeypatch.setattr(H, "CACHE_WORDS", 3)
     words = H.WordIds(PATH)
