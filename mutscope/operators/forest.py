@@ -42,6 +42,9 @@ TREE_BLOCK = 10
 BINS = 64
 PREDICT_ROWS = 1 << 14
 CUT_BYTES = 32 << 20          # of the quantiles that are broadcast: larger groups are cut in turns
+HIST_ROWS = 1 << 15           # rows whose histograms a task adds up at a time
+HIST_BYTES = 32 << 20         # of the histograms that a task holds
+ROUTE_ROWS = 1 << 15          # rows, one for each tree, that are routed at a time
 MAX_NODES = 1 << 18           # nodes cut in one level; more trees than that are grown in turns
 
 TREE = ("feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>")
@@ -111,8 +114,10 @@ def grow_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray):
         number = np.where(goes_on, np.cumsum(goes_on) - 1, -1)
         node = np.full(len(y), -1)
         node[rows] = np.where(child >= 0, number[child], -1) if n_child else -1
-        order = order[node[order] >= 0].reshape(len(x), -1)
-        order = np.take_along_axis(order, np.argsort(node[order], axis=1, kind="stable"), axis=1)
+        of = node.astype(np.int16)[order] if n_child < 1 << 15 else node[order]       # two bytes are sorted by radix
+        keep = of >= 0
+        order, of = order[keep].reshape(len(x), -1), of[keep].reshape(len(x), -1)
+        order = np.take_along_axis(order, np.argsort(of, axis=1, kind="stable"), axis=1)
     return feature, threshold, left, right, value
 
 
@@ -221,15 +226,28 @@ def fit_forests(df: DataFrame, keys: list[str], features: str, label: str, id_co
 
 # ---------------------------------------------------------------- cuts above the subtrees
 
+def _gathered(batches):
+    """Tables of about ``HIST_ROWS`` rows, or what is left: the batches as they come, put together."""
+    some, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            some.append(b)
+            n += b.num_rows
+        if n >= HIST_ROWS:
+            yield pa.Table.from_batches(some)
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def _histograms(shared, batches):
     """(unit, tree, node, hist): weight, weighted label, rows, least and greatest value by feature and bin; then of the label."""
     open_nodes, width = shared.value                   # {(unit, tree): nodes, sorted}
     held: dict = {}
-    for b in batches:
-        if not b.num_rows:
-            continue
-        unit, bins = b.column("unit").to_numpy(), _matrix(b.column("bin")).astype(np.int64)
+    for b in _gathered(batches):
+        unit, bins = b.column("unit").to_numpy(), _matrix(b.column("bin"))
         x, y, w, node = _matrix(b.column("x")), b.column("y").to_numpy(), _matrix(b.column("w")), _matrix(b.column("node"))
+        offset = np.arange(width) * BINS
         for u in np.unique(unit):
             mine = unit == u
             for t in range(w.shape[1]):
@@ -237,21 +255,24 @@ def _histograms(shared, batches):
                 if want is None:
                     continue
                 rows = np.flatnonzero(mine & (w[:, t] > 0) & np.isin(node[:, t], want))
-                for n in np.unique(node[rows, t]):
-                    r = rows[node[rows, t] == n]
+                if not len(rows):
+                    continue
+                rows = rows[np.argsort(node[rows, t], kind="stable")]
+                at = node[rows, t]
+                for r in np.split(rows, np.flatnonzero(at[1:] != at[:-1]) + 1):
                     h = np.zeros((5, width * BINS + 1))
-                    place = (bins[r] + np.arange(width) * BINS).ravel()
+                    place = (bins[r] + offset).ravel()
                     for i, v in enumerate((w[r, t], w[r, t] * y[r], np.ones(len(r)))):
                         h[i, :-1] = np.bincount(place, np.repeat(v, width), width * BINS)
                     h[3], h[4] = np.inf, -np.inf
                     np.minimum.at(h[3], place, x[r].ravel())
                     np.maximum.at(h[4], place, x[r].ravel())
                     h[3, -1], h[4, -1] = y[r].min(), y[r].max()
-                    key = (int(u), t, int(n))
+                    key = (int(u), t, int(node[r[0], t]))
                     held[key] = _merged(held[key], h) if key in held else h
-            if len(held) * width * BINS * 40 > 64 << 20:
-                yield _hist_batch(held)
-                held = {}
+                    if len(held) * width * BINS * 40 > HIST_BYTES:
+                        yield _hist_batch(held)
+                        held = {}
     if held:
         yield _hist_batch(held)
 
@@ -445,8 +466,9 @@ def _level(state: DataFrame, open_nodes: dict, width: int) -> list:
 def _routes(shared, keys, trees, batches):
     """Rows of cut groups, once for each tree: _row, keys, x, tree and the node whose subtree the row meets."""
     cuts = shared.value                                # {key values: {tree: {node: (feature, threshold, left, right)}}}
-    for b in batches:
-        x = _matrix(b.column("x")) if b.num_rows else None
+    step = max(1, ROUTE_ROWS // len(trees))
+    for b in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
+        x = _matrix(b.column("x"))
         at, nodes = [], []
         for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys))):
             mine = cuts[key]

@@ -1,6 +1,9 @@
 """Forests of all groups in one job against a plain recursive tree."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +118,37 @@ def test_an_empty_table(spark):
     df = spark.createDataFrame([], "g string, id string, x array<double>, y double")
     model = FO.fit_forests(df, ["g"], "x", "y", "id", trees=3)
     assert FO.predict_forests(model, df, "x").collect() == []
+
+
+def _state(rows, width, trees, nodes, seed=5):
+    rng = np.random.default_rng(seed)
+    lists = lambda v, kind: pa.array(v.tolist(), pa.list_(kind))
+    node = rng.integers(0, nodes, (rows, trees))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(rows, np.int32)), lists(rng.normal(size=(rows, width)), pa.float64()), pa.array(rng.integers(0, 9, rows).astype(float)),
+         lists(rng.poisson(1, (rows, trees)), pa.int32()), lists(rng.integers(0, FO.BINS, (rows, width)), pa.int32()), lists(node, pa.int64())],
+        names=["unit", "x", "y", "w", "bin", "node"])
+
+
+def test_histograms_of_many_nodes_leave_a_task_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(FO, "HIST_BYTES", 1 << 16)
+    width, trees, nodes = 3, 6, 40
+    shared = SimpleNamespace(value=({(0, t): np.arange(nodes) for t in range(trees)}, width))
+    batch = _state(900, width, trees, nodes)
+    found = list(FO._histograms(shared, iter([batch.slice(0, 500), batch.slice(500)])))
+    assert max(b.num_rows for b in found) * width * FO.BINS * 40 <= (1 << 16) + width * FO.BINS * 40
+    got = [tuple(r.values())[:3] for b in found for r in b.to_pylist()]
+    assert len(got) == len(set(got))                   # both batches are added up before a node leaves
+    w, node = (np.array(batch.column(c).to_pylist()) for c in ("w", "node"))
+    told = {tuple(r.values())[:3]: np.frombuffer(r["hist"]).reshape(5, -1)[2, :FO.BINS].sum() for b in found for r in b.to_pylist()}
+    assert told == {(0, t, n): c for t in range(trees) for n in range(nodes) if (c := ((w[:, t] > 0) & (node[:, t] == n)).sum())}
+
+
+def test_rows_are_routed_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(FO, "ROUTE_ROWS", 50)
+    batch = pa.RecordBatch.from_pydict({"_row": list(range(100)), "g": [0] * 100, "x": [[float(i)] for i in range(100)]})
+    cuts = {(0,): {t: {0: (0, 10.0 * t, 1, 2)} for t in range(10)}}
+    found = list(FO._routes(SimpleNamespace(value=cuts), ["g"], tuple(range(10)), iter([batch])))
+    assert max(b.num_rows for b in found) <= 50
+    rows = [(r["_row"], r["tree"], r["node"]) for b in found for r in b.to_pylist()]
+    assert rows == [(i, t, 1 if i <= 10 * t else 2) for i in range(100) for t in range(10)]
