@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir, table
 from ..sources import bindings as B
 from ..sources import files as IO
 from ..sources import runlog_store as RS
-from ..util import finish
+from ..util import finish, materialize
 from .bind_sql import rounded, with_
 from .registry import ORACLES, register
 from .variants_q import _MUT_SQL, WV, _clinical, clinical_labels
@@ -177,16 +177,22 @@ def q_s11(spark, d):
 
 
 def stored_log(spark, log) -> RS.RunLogStore:
-    """The bound run log, written to a new store with ``run_id`` in every table."""
+    """The bound run log, written to a new store with ``run_id`` in every table.
+
+    Rounds are numbered once: the tables below them find their run in the
+    stored rounds. The top variants are joined once and written, then appended.
+    """
     store = RS.RunLogStore(spark, scratch(spark, "runlog"))
     sim = log.simulation.join(log.sub_run.select("sub_run_id", "run_id"), "sub_run_id")
     rnd = log.round.join(sim.select("simulation_id", "run_id"), "simulation_id")
-    of_round = lambda t: t.join(rnd.select("round_id", "run_id"), "round_id")
-    for name, df in (("run", log.run), ("sub_run", log.sub_run), ("simulation", sim), ("round", rnd),
-                     ("round_acquired_variant", of_round(log.acquired_variant)),
+    for name, df in (("run", log.run), ("sub_run", log.sub_run), ("simulation", sim), ("round", rnd)):
+        store.append(name, df, "all")
+    runs = store.read("round").select("round_id", F.col("run_id").cast(rnd.schema["run_id"].dataType).alias("run_id"))
+    of_round = lambda t: t.join(runs, "round_id")
+    for name, df in (("round_acquired_variant", of_round(log.acquired_variant)),
                      ("last_round_score", log.last_round_score.join(sim.select("simulation_id", "run_id"), "simulation_id"))):
         store.append(name, df, "all")
-    top = of_round(log.top_variant)
+    top = materialize(of_round(log.top_variant), "top-variants", compression="zstd")
     for batch, part in (("low", F.col("run_id") < 3), ("high", F.col("run_id") >= 3), ("high", F.col("run_id") >= 3)):
         store.append("round_top_variant", top.filter(part), batch)
     return store

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mutscope.catalog.sources_q import stored_log
 from mutscope.operators import domains as D
+from mutscope.operators.runlog import RunLog
 from mutscope.sources.runlog_store import RunLogStore
 
 
@@ -91,3 +93,31 @@ def test_a_batch_written_again_must_cover_its_runs(spark, tmp_path):
         store.append("round", df.where("run_id = 2"), "a")
     store.append("round", df.withColumn("v", F.lit("new")), "a")
     assert rows(store) == [(1, "new"), (2, "new"), (2, "other")]
+
+
+def test_top_variants_and_rounds_of_a_stored_log_are_computed_once(spark):
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("round", "top")}
+
+    def counted(name):
+        def f(v):
+            seen[name].add(1)
+            return v
+        return F.udf(f, "long").asNondeterministic()
+
+    frame = spark.createDataFrame
+    scores = "variant_id string, assay_score double"
+    rounds = frame([(r, r // 10, r) for r in range(50)], "round_id long, simulation_id long, n long")
+    variants = frame([(i % 50, str(i), i / 2) for i in range(200)], f"round_id long, {scores}")
+    log = RunLog(run=frame([(r, "a") for r in range(5)], "run_id long, name string"),
+                 sub_run=frame([(r, r if r != 1 else None) for r in range(5)], "sub_run_id long, run_id long"),
+                 simulation=frame([(r, r) for r in range(5)], "simulation_id long, sub_run_id long"),
+                 round=rounds.withColumn("n", counted("round")("n")),
+                 top_variant=variants.withColumn("m", counted("top")("round_id")), acquired_variant=variants,
+                 last_round_score=frame([(r, "v", 1.0) for r in range(5)], f"simulation_id long, {scores}"))
+    store = stored_log(spark, log)
+    assert {n: a.value for n, a in seen.items()} == {"round": 50, "top": 200}
+    runs = {s: s for s in range(5)} | {1: None}
+    assert sorted((r["run_id"], r["variant_id"]) for r in store.read("round_top_variant").collect()) == sorted(
+        (runs[i % 50 // 10], str(i)) for i in range(200) if i % 50 // 10 != 1)       # a batch of the log names runs
+    assert {(r["run_id"], r["variant_id"]) for r in store.read("round_acquired_variant").collect()} == {
+        (runs[i % 50 // 10], str(i)) for i in range(200)}
