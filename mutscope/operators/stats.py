@@ -8,9 +8,7 @@ are aggregates joined back, never collected to the driver.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import attach_group_stats, estimated_bytes, materialize, null_safe_join
@@ -18,6 +16,8 @@ from .attach import attach_by_value
 from .ordered import scan_and_rows
 from .select_rank import percentiles_of
 
+GROUP_ROWS = 1 << 18         # rows of a group, beyond which pairs of values are ranked by ordered scans
+
 
 def _keys(keys) -> list[str]:
     return list(keys or [])
@@ -60,13 +60,6 @@ def _ranked(counts: DataFrame, df: DataFrame, keys, cols: dict[str, str]):
             for c, out in cols.items()}, estimated_bytes(written)
 
 
-def _ranks_from_counts(pairs: DataFrame, keys, cols: dict[str, str]):
-    """Average-rank tables of columns of a counted table (count ``_c``), and a bound of their size."""
-    parts = [pairs.groupBy(*keys, c).agg(F.sum("_c").alias("_cnt"))
-             .select(*keys, F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"), "_cnt") for c in cols]
-    return _ranked(reduce(DataFrame.unionByName, parts), pairs, keys, cols)
-
-
 def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """1-based rank of ``value`` within ``keys``, ties get the mean rank.
 
@@ -78,30 +71,52 @@ def average_ranks(df: DataFrame, keys, value: str, out: str = "avg_rank") -> Dat
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, out: str = "spearman") -> DataFrame:
-    """Spearman correlation per group: Pearson on average ranks.
-
-    Rows are first counted by (x, y); ranks are attached to these counts, not
-    to rows.  The mean rank of n rows is (n + 1) / 2, so the moments are
-    weighted sums around a known centre.  NULL when either side is constant
-    (``try_divide``; ANSI ``corr`` raises).
-    """
+    """Spearman correlation per group: Pearson on average ranks (``_with_spearman``)."""
     k = _keys(keys)
-    pairs = materialize(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-                        .groupBy(*k, x, y).agg(F.count(F.lit(1)).alias("_c")), "pairs")
-    return _paired_ranks(pairs, k, x, y).groupBy(*k).agg(_rank_correlation().alias(out))
+    rows = materialize(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*k, x, y), "rows")
+    return _with_spearman(rows, k, x, y, out, _largest_group(rows, k) <= GROUP_ROWS)
 
 
-def _paired_ranks(pairs: DataFrame, k: list[str], x: str, y: str, *extra: Column) -> DataFrame:
-    """Written pair counts (``_c``) with both average ranks, twice their mean, and ``extra`` aggregates of the group."""
-    tables, size = _ranks_from_counts(pairs, k, {x: "_rx", y: "_ry"})
-    total = pairs.groupBy(*k).agg((F.sum("_c") + 1).alias("_n1"), *extra)
-    r = attach_by_value(attach_by_value(pairs, tables[x], k, x, size=size), tables[y], k, y, size=size)
-    return attach_group_stats(r, total, k)
+def _largest_group(rows: DataFrame, k: list[str]) -> int:
+    return rows.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
 
 
-def _rank_correlation() -> Column:
-    dx, dy, c = F.col("_rx") - F.col("_n1") / 2.0, F.col("_ry") - F.col("_n1") / 2.0, F.col("_c")
-    return F.try_divide(F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy)))
+def _with_spearman(rows: DataFrame, k: list[str], x: str, y: str, out: str, small: bool, extra: list[Column] = ()) -> DataFrame:
+    """Per group the rank correlation of rows without NULL values, and ``extra`` aggregates.
+
+    The mean rank of n rows is (n + 1) / 2, so the moments are sums around a
+    known centre.  NULL when either side is constant (``try_divide``; ANSI
+    ``corr`` raises).  Groups that are ``small`` are ranked by windows, which
+    share one exchange.  Else the column with fewer values is ranked by an
+    ordered scan and its ranks are attached to the rows; these are summed by
+    the other column's value, so that the scan of its values ends the job.
+    """
+    if small:
+        group = Window.partitionBy(*k)
+        n1 = F.count(F.lit(1)).over(group) + 1
+        for c in (x, y):
+            ties = F.count(F.lit(1)).over(Window.partitionBy(*k, c))
+            rows = rows.withColumn(f"_d_{c}", F.rank().over(group.orderBy(c)) + (ties - 1) / 2.0 - n1 / 2.0)
+        dx, dy = F.col(f"_d_{x}"), F.col(f"_d_{y}")
+        return rows.groupBy(*k).agg(_correlation(F.sum(dx * dy), F.sum(dx * dx), F.sum(dy * dy)).alias(out), *extra)
+
+    distinct = rows.agg(F.approx_count_distinct(x).alias("x"), F.approx_count_distinct(y).alias("y")).first()
+    if distinct.x > distinct.y:
+        x, y = y, x
+    counts = materialize(value_counts(rows, k, x), "counts")
+    ranks, size = _ranked(counts.select(*k, F.lit(x).alias("_col"), F.col(x).cast("double").alias("_v"), "_cnt"), rows, k, {x: "_r"})
+    n1 = counts.groupBy(*k).agg((F.sum("_cnt") + 1).alias("_n1"))
+    ranks = attach_group_stats(ranks[x], n1, k).withColumn("_d", F.col("_r") - F.col("_n1") / 2.0).drop("_r")
+    by_value = attach_by_value(rows, ranks, k, x, size=size).groupBy(*k, y).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.sum("_d").alias("_sx"), F.sum(F.col("_d") * F.col("_d")).alias("_sxx"), F.max("_n1").alias("_n1"))
+    s = scan_and_rows(by_value, k, F.col(y), {"_cum": ("sum", "_cnt")})[0]
+    dy = F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0 - F.col("_n1") / 2.0
+    g = s.groupBy(*k).agg(_correlation(F.sum(F.col("_sx") * dy), F.sum("_sxx"), F.sum(F.col("_cnt") * dy * dy)).alias(out))
+    return null_safe_join(rows.groupBy(*k).agg(*extra), g, k) if extra else g
+
+
+def _correlation(xy: Column, xx: Column, yy: Column) -> Column:
+    return F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
 
 
 # ---------------------------------------------------------------- ROC / AUC
@@ -257,20 +272,19 @@ def regression_metrics(df: DataFrame, keys, split: str = "split", pred: str = "p
     k = _keys(keys)
     by = k + [split]
     groups = df.select(*k).distinct() if k else df.sparkSession.range(1).select()
-    pairs = (df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull())
-             .groupBy(*by, pred, actual).agg(F.count(F.lit(1)).alias("_c")))
+    written = materialize(df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(*by, pred, actual), "rows")
+    # a bound of every split's rows, but for a pooled one named like one of its parts
+    small = _largest_group(written, k) <= GROUP_ROWS
+    # the exchange by ``k`` serves the splits, too
+    rows = written.repartition(*k) if small and k else written
     if pooled:
         a, b, name = pooled
-        # counted rows, not rows, stand for the pooled split as well
         own = F.array(F.col(split))
-        pairs = pairs.withColumn(split, F.explode(F.when(F.col(split).isin(a, b), F.array_append(own, F.lit(name))).otherwise(own)))
-    pairs = materialize(pairs, "pairs")
-    r = _paired_ranks(pairs, by, pred, actual, (F.sum(F.col("_c") * F.col(actual)) / F.sum("_c")).alias("_mean"))
-    err, away, c = F.col(pred) - F.col(actual), F.col(actual) - F.col("_mean"), F.col("_c")
-    g = r.groupBy(*by).agg(
-        F.sqrt(F.sum(c * err * err) / F.sum(c)).alias("rmse"),
-        (1 - F.try_divide(F.sum(c * err * err), F.sum(c * away * away))).alias("r2"),
-        _rank_correlation().alias("spearman"))
+        rows = rows.withColumn(split, F.explode(F.when(F.col(split).isin(a, b), F.array_append(own, F.lit(name))).otherwise(own)))
+    err, away = F.col(pred) - F.col(actual), F.max(actual).cast("double") - F.min(actual).cast("double")
+    moments = [F.sqrt(F.avg(err * err)).alias("rmse"),
+               F.when(away == 0, None).otherwise(1 - F.try_divide(F.avg(err * err), F.var_pop(actual))).alias("r2")]
+    g = _with_spearman(rows, by, pred, actual, "spearman", small, moments).select(*by, "rmse", "r2", "spearman")
     if splits is None:
         return g
     asked = groups.withColumn(split, F.explode(F.array(*map(F.lit, splits))))

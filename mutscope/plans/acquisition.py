@@ -49,8 +49,8 @@ class AcquisitionStep:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """Per group and split: RMSE, R², Spearman, and for the pooled split."""
-        return S.regression_metrics(self.assayed, self.keys, self.split, self.score, "assay_score")
+        """Per group and split: RMSE, R², Spearman, and for the pooled split; all are written, whichever are read."""
+        return materialize(S.regression_metrics(self.assayed, self.keys, self.split, self.score, "assay_score"), "metrics")
 
     @cached_property
     def top(self) -> DataFrame:
@@ -66,6 +66,7 @@ def acquisition_step(pred: DataFrame, assay: DataFrame, n_acq: int, n_pred: int,
     predictions, remaining pool."""
     keys = list(keys)
     known = assay.select(id_col, "assay_score")
-    # the batch feeds three results: written once
+    # scored predictions feed the batch and every result, the batch three of them: each is written once
+    pred = materialize(pred, "scored")
     batch = materialize(SEL.attach_assay(SEL.select_batch(pred, n_acq, n_pred, keys, acq, score, id_col), known, id_col), "batch")
     return AcquisitionStep(pred, known, batch, keys, split, score, id_col, n_top, keep_all)

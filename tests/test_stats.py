@@ -147,6 +147,70 @@ def test_roc_curve_and_youden(spark):
     assert best.threshold == 0.6 and best.youden == pytest.approx(2 / 3)
 
 
+def _tied_rows():
+    """Splits with ties on both sides, heavy values, a NULL key and split, NULL values, a constant and a single row."""
+    rnd = random.Random(3)
+    rows = [(k, s, float(rnd.choice([0, 0, 0, 1, 2, rnd.randint(0, 50)])), float(rnd.choice([5, 5, 7, rnd.randint(0, 9)])))
+            for k in ("g", None) for s in ("train", "validation", "test", None) for _ in range(150)]
+    rows += [("c", "train", float(i), 0.1) for i in range(30)] + [("c", "test", 1.0, float(i)) for i in range(30)]
+    return rows + [("one", "validation", 1.0, 2.0), ("g", "train", None, 1.0), ("g", "test", 1.0, None), ("none", "test", None, 1.0)]
+
+
+def _average_rank(v):
+    return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+
+def _metrics_brute(rows):
+    groups = {}
+    for k, s, p, a in rows:
+        if p is not None and a is not None:
+            for name in [s] + ["train_validation"] * (s in ("train", "validation")):
+                groups.setdefault((k, name), []).append((p, a))
+    out = {}
+    for g, v in groups.items():
+        p, a = np.array(v).T
+        dp, da = (_average_rank(x) - (len(x) + 1) / 2 for x in (p, a))
+        spread = math.sqrt((dp * dp).sum()) * math.sqrt((da * da).sum())
+        out[g] = (math.sqrt(((p - a) ** 2).mean()), None if a.min() == a.max() else 1 - ((p - a) ** 2).sum() / ((a - a.mean()) ** 2).sum(),
+                  (dp * da).sum() / spread if spread else None)
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 18])
+@pytest.mark.parametrize("swapped", [False, True])
+def test_regression_metrics_by_windows_and_by_scans(spark, monkeypatch, limit, swapped):
+    monkeypatch.setattr(S, "GROUP_ROWS", limit)
+    rows = [(k, s, a, p) if swapped else (k, s, p, a) for k, s, p, a in _tied_rows()]
+    df = spark.createDataFrame(rows, "k string, split string, prediction double, assay_score double")
+    found = S.regression_metrics(df, ["k"]).collect()
+    got, want = {(r.k, r.split): (r.rmse, r.r2, r.spearman) for r in found}, _metrics_brute(rows)
+    assert len(found) == len(want) and set(got) == set(want)
+    for g, values in want.items():
+        assert [v is None for v in got[g]] == [v is None for v in values], g
+        assert [v for v in got[g] if v is not None] == pytest.approx([v for v in values if v is not None]), g
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 18])
+def test_spearman_without_keys(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "GROUP_ROWS", limit)
+    rows = [(p, a) for _, _, p, a in _tied_rows()]
+    df = spark.createDataFrame(rows, "x double, y double")
+    v = np.array([r for r in rows if None not in r]).T
+    assert S.spearman(df, [], "x", "y").first().spearman == pytest.approx(np.corrcoef(*map(_average_rank, v))[0, 1])
+
+
+def test_regression_metrics_exchange_rows_few_times(spark, monkeypatch):
+    """Large groups: rows of a column with few values are exchanged once, summed by the other column's value."""
+    monkeypatch.setattr(S, "GROUP_ROWS", 0)
+    written = {}
+    original = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, tag="stage": written.setdefault(tag, original(df, tag)))
+    df = spark.range(4000).select(F.lit("g").alias("k"), F.lit("train").alias("split"), F.col("id").cast("double").alias("prediction"),
+                                  (F.col("id") % 5).cast("double").alias("assay_score"))
+    assert S.regression_metrics(df, ["k"]).count() == 2
+    assert written["rows"].count() == 4000 and written["counts"].count() == 10      # not a line a pair and pooled split
+
+
 def test_regression_metrics_against_numpy(spark):
     rnd = random.Random(1)
     rows = [("g", "train" if i % 3 else "test", rnd.random(), rnd.random()) for i in range(60)]
