@@ -8,6 +8,9 @@ are aggregates joined back, never collected to the driver.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,8 @@ from .attach import attach_by_value
 from .ordered import scan_and_rows
 from .select_rank import percentiles_of
 
-GROUP_ROWS = 1 << 18         # rows of a group, beyond which pairs of values are ranked by ordered scans
+GROUP_ROWS = 1 << 18         # rows of a group that are ranked in one window; larger groups are dealt over buckets
+MAX_BUCKETS = 1 << 13        # of a job; beyond GROUP_ROWS times as many rows the buckets grow
 
 
 def _keys(keys) -> list[str]:
@@ -88,8 +92,8 @@ def _with_spearman(rows: DataFrame, k: list[str], x: str, y: str, out: str, smal
     known centre.  NULL when either side is constant (``try_divide``; ANSI
     ``corr`` raises).  Groups that are ``small`` are ranked by windows, which
     share one exchange.  Else the column with fewer values is ranked by an
-    ordered scan and its ranks are attached to the rows; these are summed by
-    the other column's value, so that the scan of its values ends the job.
+    ordered scan and its ranks are attached to the rows, which are then summed
+    by the other column's value (``_rank_moments``).
     """
     if small:
         group = Window.partitionBy(*k)
@@ -100,21 +104,47 @@ def _with_spearman(rows: DataFrame, k: list[str], x: str, y: str, out: str, smal
         dx, dy = F.col(f"_d_{x}"), F.col(f"_d_{y}")
         return rows.groupBy(*k).agg(_correlation(F.sum(dx * dy), F.sum(dx * dx), F.sum(dy * dy)).alias(out), *extra)
 
-    distinct = rows.agg(F.approx_count_distinct(x).alias("x"), F.approx_count_distinct(y).alias("y")).first()
-    if distinct.x > distinct.y:
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(x).alias("x"), F.approx_count_distinct(y).alias("y")).first()
+    if seen.x > seen.y:
         x, y = y, x
     counts = materialize(value_counts(rows, k, x), "counts")
     ranks, size = _ranked(counts.select(*k, F.lit(x).alias("_col"), F.col(x).cast("double").alias("_v"), "_cnt"), rows, k, {x: "_r"})
     n1 = counts.groupBy(*k).agg((F.sum("_cnt") + 1).alias("_n1"))
-    ranks = attach_group_stats(ranks[x], n1, k).withColumn("_d", F.col("_r") - F.col("_n1") / 2.0).drop("_r")
-    by_value = attach_by_value(rows, ranks, k, x, size=size).groupBy(*k, y).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.sum("_d").alias("_sx"), F.sum(F.col("_d") * F.col("_d")).alias("_sxx"), F.max("_n1").alias("_n1"))
-    s = scan_and_rows(by_value, k, F.col(y), {"_cum": ("sum", "_cnt")})[0]
-    dy = F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0 - F.col("_n1") / 2.0
-    g = s.groupBy(*k).agg(_correlation(F.sum(F.col("_sx") * dy), F.sum("_sxx"), F.sum(F.col("_cnt") * dy * dy)).alias(out))
+    ranks = attach_group_stats(ranks[x], n1, k).select(*k, x, (F.col("_r") - F.col("_n1") / 2.0).alias("_d"), "_cnt")
+    moments = _rank_moments(attach_by_value(rows, ranks, k, x, size=size), k, y, seen.n)
+    xx = ranks.groupBy(*k).agg(F.sum(F.col("_cnt") * F.col("_d") * F.col("_d")).alias("_xx"))
+    g = attach_group_stats(moments, xx, k).select(*k, _correlation(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias(out))
     return null_safe_join(rows.groupBy(*k).agg(*extra), g, k) if extra else g
 
 
+def _rank_moments(rows: DataFrame, k: list[str], y: str, n: int) -> DataFrame:
+    """Per group ``_xy`` and ``_yy``: sums of ``_d`` times, and of, the centred average ranks of ``y``, squared.
+
+    Rows are summed by value, and the values dealt over buckets with edges at
+    quantiles of all rows, so that a group of any size is many windows.  A
+    bucket gives its moments around its own middle rank; the groups add them
+    up with the distances of these from the group's middle.
+    """
+    count = max(2, min(MAX_BUCKETS, n // max(1, GROUP_ROWS)))
+    value = F.col(y).cast("double") + 0.0                     # no negative zero
+    edges = rows.agg(F.percentile_approx(value, [i / count for i in range(1, count)], 10 * count)).first()[0] or [0.0]
+    edges = sorted({e + 0.0 for e in edges if math.isfinite(e)}) or [0.0]
+    buckets = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_value", outputCol="_bucket", handleInvalid="keep")
+    v = (buckets.transform(rows.select(*k, y, "_d", value.alias("_value"))).groupBy(*k, "_bucket", y)
+         .agg(F.count(F.lit(1)).alias("_cnt"), F.sum("_d").alias("_sx")))
+    bucket = Window.partitionBy(*k, "_bucket")
+    below = F.sum("_cnt").over(bucket.orderBy(y).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cnt")
+    v = v.withColumn("_dy", below + F.col("_cnt") / 2.0 - F.sum("_cnt").over(bucket) / 2.0)
+    b = v.groupBy(*k, "_bucket").agg(
+        F.sum("_cnt").alias("_n"), F.sum("_sx").alias("_sx"), F.sum(F.col("_sx") * F.col("_dy")).alias("_xy"),
+        F.sum(F.col("_cnt") * F.col("_dy") * F.col("_dy")).alias("_yy"))
+    group = Window.partitionBy(*k)
+    before = F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    b = b.withColumn("_away", before + F.col("_n") / 2.0 - F.sum("_n").over(group) / 2.0)
+    return b.groupBy(*k).agg(F.sum(F.col("_xy") + F.col("_sx") * F.col("_away")).alias("_xy"),
+                             F.sum(F.col("_yy") + F.col("_n") * F.col("_away") * F.col("_away")).alias("_yy"))
+
+
 def _correlation(xy: Column, xx: Column, yy: Column) -> Column:
     return F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
 
